@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import bpe, chat_format, embed_dedup, simhash, url_filter
+from ledgerloom.llm import bpe, chat_format, embed_dedup, quality, simhash, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_chat_format": chat_format.op1_chat_format,
+        "op2_toxicity": toxicity.op2_toxicity,
         "op5_embedding_dedup": embed_dedup.op5_embedding_dedup,
         "op6_bpe": bpe.op6_bpe,
         "op8_simhash": simhash.op8_simhash,
         "op9_url_filter": url_filter.op9_url_filter,
+        "op10_quality": quality.op10_quality,
     }
 
 
