@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import bpe, chat_format, embed_dedup, quality, simhash, toxicity, url_filter
+from ledgerloom.llm import bpe, chat_format, decontaminate, embed_dedup, quality, simhash, suffix_dedup, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_chat_format": chat_format.op1_chat_format,
         "op2_toxicity": toxicity.op2_toxicity,
+        "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_embedding_dedup": embed_dedup.op5_embedding_dedup,
         "op6_bpe": bpe.op6_bpe,
+        "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_simhash": simhash.op8_simhash,
         "op9_url_filter": url_filter.op9_url_filter,
         "op10_quality": quality.op10_quality,
