@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import bpe, chat_format, decontaminate, embed_dedup, quality, simhash, suffix_dedup, toxicity, url_filter
+from ledgerloom.llm import bpe, chat_format, decontaminate, embed_dedup, lm_score, quality, simhash, suffix_dedup, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_chat_format": chat_format.op1_chat_format,
         "op2_toxicity": toxicity.op2_toxicity,
+        "op3_lm_score": lm_score.op3_lm_score,
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_embedding_dedup": embed_dedup.op5_embedding_dedup,
         "op6_bpe": bpe.op6_bpe,
