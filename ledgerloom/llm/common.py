@@ -73,9 +73,11 @@ def in_blocks(rows: DataFrame, key: str, block_rows: int) -> DataFrame:
 
     A bucket of at most ``block_rows`` rows is one block. A larger one is split by a hash of the row into c blocks and
     every row goes to the c pairs (i, j), i <= j, that its block takes part in, so any two rows meet in some task
-    and no task holds more than about two blocks of a bucket. Adds ``blk``, ``bi``, ``bj``; buckets of one row go."""
-    sizes = rows.groupBy(key).agg(F.count("*").alias("n_in")).where("n_in > 1").withColumn("n_blk", F.ceil(F.col("n_in") / block_rows).cast("int"))
-    dealt = rows.join(stored(sizes.select(key, "n_blk")), key)
+    and no task holds more than about two blocks of a bucket. Adds ``blk``, ``bi``, ``bj``.
+    Only buckets beyond a block, few by their size, take part in the join that tells c."""
+    large = rows.groupBy(key).agg(F.count("*").alias("n_in")).where(F.col("n_in") > block_rows)
+    large = stored(large.select(key, F.ceil(F.col("n_in") / block_rows).cast("int").alias("n_large")))
+    dealt = rows.join(large, key, "left").withColumn("n_blk", F.coalesce("n_large", F.lit(1))).drop("n_large")
     # the blocks of a bucket: from the row's own columns, so that a retried task deals as before
     blk = F.when(F.col("n_blk") == 1, 0).otherwise(F.pmod(F.hash("id", F.lit(11)), F.col("n_blk")))
     other = F.explode(F.sequence(F.lit(0), F.col("n_blk") - 1))

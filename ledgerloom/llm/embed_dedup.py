@@ -15,7 +15,7 @@ from ledgerloom.llm.common import components, in_blocks, local_components, over_
 
 THRESHOLD = 0.93
 #: Share of pairs exactly at the threshold that no table may bring together; pairs above it are missed less often.
-MISS = 1e-6
+MISS = 1e-5
 #: Distinct vectors that a bucket should hold on average, and rows of a bucket that are compared as one block.
 PER_BUCKET, BLOCK = 16, 1024
 _SEED = 20_260_101
@@ -44,44 +44,56 @@ def _keyed(vectors: DataFrame) -> DataFrame:
                 hashlib.blake2b(np.asarray(v, np.float32).tobytes(), digest_size=16).hexdigest() if lab is not None and lab == lab and _valid(v) else None
                 for v, lab in zip(batch["v"], batch["label"], strict=True)
             ]
-            yield batch.assign(digest=digests)
+            yield batch.assign(digest=digests, v=[None if v is None else np.asarray(v, np.float32).tobytes() for v in batch["v"]])
 
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<float>").alias("v"))
-    return rows.mapInPandas(run, "vec_id long, label long, v array<float>, digest string")
+    return rows.mapInPandas(run, "vec_id long, label long, v binary, digest string")
+
+
+def _planes(d: int, tables: int, bits: int) -> np.ndarray:
+    return np.random.default_rng([_SEED, d]).standard_normal((d, tables * bits))
+
+
+def _signatures(x: np.ndarray, planes: np.ndarray, tables: int, bits: int) -> np.ndarray:
+    """Of each vector the signature in every table."""
+    return ((x @ planes > 0).reshape(len(x), tables, bits) * (1 << np.arange(bits, dtype=np.int64))).sum(axis=2)
 
 
 def _signed(classes: DataFrame, tables: int, bits: int) -> DataFrame:
-    """A row for each class and table: key, id, v, sigs, n_same."""
+    """A row for each class and table: key, id, label, t, n_same, v (bytes of float32)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         planes: dict[int, np.ndarray] = {}
-        weights = 1 << np.arange(bits, dtype=np.int64)
         for batch in batches:
-            width = batch["v"].map(len).to_numpy()
+            width = batch["v"].map(len).to_numpy() // 4
             for d in np.unique(width):
-                part = batch[width == d]
-                if d not in planes:
-                    planes[d] = np.random.default_rng([_SEED, int(d)]).standard_normal((int(d), tables * bits))
-                x = np.stack(part["v"].to_numpy()).astype(np.float64)
-                sigs = ((x @ planes[d] > 0).reshape(len(part), tables, bits) * weights).sum(axis=2)
-                for at in range(tables):
-                    yield pd.DataFrame({"id": part["id"].to_numpy(), "label": part["label"].to_numpy(), "d": int(d), "t": at, "sig": sigs[:, at], "n_same": part["n_same"].to_numpy(), "v": part["v"].to_numpy(), "sigs": list(sigs.astype(np.int32))})
+                for at in range(0, int((width == d).sum()), 4096):
+                    part = batch[width == d].iloc[at : at + 4096]
+                    if d not in planes:
+                        planes[d] = _planes(int(d), tables, bits)
+                    x = np.frombuffer(b"".join(part["v"]), np.float32).reshape(-1, d).astype(np.float64)
+                    sigs = _signatures(x, planes[d], tables, bits)
+                    for t in range(tables):
+                        yield pd.DataFrame({"id": part["id"].to_numpy(), "label": part["label"].to_numpy(), "t": t, "sig": sigs[:, t], "n_same": part["n_same"].to_numpy(), "v": part["v"].to_numpy()})
+
+    rows = classes.mapInPandas(run, "id long, label long, t int, sig long, n_same long, v binary")
+    return rows.select(F.xxhash64("label", F.octet_length("v"), "t", "sig").alias("key"), "id", "label", "t", "n_same", "v")
 
-    rows = classes.mapInPandas(run, "id long, label long, d int, t int, sig long, n_same long, v array<float>, sigs array<int>")
-    return rows.select(F.xxhash64("label", "d", "t", "sig").alias("key"), "id", "label", "d", "t", "n_same", "v", "sigs")
 
+def _link(threshold: float, tables: int, bits: int):
+    planes: dict[int, np.ndarray] = {}
 
-def _link(threshold: float):
     def work(frame: pd.DataFrame, start: np.ndarray, end: np.ndarray) -> pd.DataFrame:
-        ids, t, label, d = (frame[c].to_numpy() for c in ("id", "t", "label", "d"))
-        same = frame["n_same"].to_numpy()
-        width = int(d.max())
-        x = np.zeros((len(frame), width))
+        ids, t, label, same = (frame[c].to_numpy() for c in ("id", "t", "label", "n_same"))
+        d = frame["v"].map(len).to_numpy() // 4
+        x, sigs = np.zeros((len(frame), int(d.max()))), np.zeros((len(frame), tables), np.int64)
         for n in np.unique(d):
             at = np.flatnonzero(d == n)
-            x[at, :n] = np.stack(frame["v"].to_numpy()[at])
+            x[at, :n] = np.frombuffer(b"".join(frame["v"].to_numpy()[at]), np.float32).reshape(-1, n)
+            if n not in planes:
+                planes[n] = _planes(int(n), tables, bits)
+            sigs[at] = _signatures(x[at, :n], planes[n], tables, bits)
         x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
-        sigs = np.stack(frame["sigs"].to_numpy())
         links, found = np.zeros(len(frame), np.int64), []
         for a, b in pairs_by_lag(frame, end):
             ok = (label[a] == label[b]) & (d[a] == d[b])
@@ -118,8 +130,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     classes = stored(valid.groupBy("label", "digest").agg(F.min("vec_id").alias("id"), F.count("*").alias("n_same"), F.first("v").alias("v")))
     tables, bits = table_shape(classes.count(), threshold)
     signed = _signed(classes.select("id", "v", "label", "n_same"), tables, bits)
-    dealt = in_blocks(stored(signed), "key", BLOCK).repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "id")
-    pairs = stored(dealt.mapInPandas(over_groups(_link(threshold), "key"), "a long, b long, links long"))
+    dealt = in_blocks(signed, "key", BLOCK).repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "id")
+    pairs = stored(dealt.mapInPandas(over_groups(_link(threshold, tables, bits), "key"), "a long, b long, links long"))
     linked = stored(pairs.groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links")))
     found = components(pairs.where("a <> b").select("a", "b"))
     per_class = (

