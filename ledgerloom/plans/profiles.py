@@ -1,0 +1,118 @@
+"""Queries on profiles, cleaning and filters."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ledgerloom.operators import profile as pf
+from ledgerloom.plans.registry import query, rounded, table
+
+
+def _numeric(c: str, t: str) -> str:
+    return f"""SELECT '{c}' AS column, count({c}) AS count, count(*) - count({c}) AS missing, round((count(*) - count({c})) / count(*) * 100, 2) AS missing_pct, round(avg({c}), 4) AS mean, round(median({c}), 4) AS median,
+  round(stddev_samp({c}), 4) AS std, round(min({c})::DOUBLE, 4) AS min, round(max({c})::DOUBLE, 4) AS max, round(quantile_cont({c}, 0.25)::DOUBLE, 4) AS q25, round(quantile_cont({c}, 0.75)::DOUBLE, 4) AS q75,
+  round((quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25))::DOUBLE, 4) AS iqr, round(skewness({c}), 4) AS skewness, count(*) FILTER ({c} < lo OR {c} > hi) > 0 AS has_outliers, count(*) FILTER ({c} < lo OR {c} > hi) AS outlier_count,
+  round(sum({c})::DOUBLE, 4) AS sum FROM {t}, (SELECT quantile_cont({c}, 0.25) - 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS lo, quantile_cont({c}, 0.75) + 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS hi FROM {t})"""
+
+
+_CUSTOMER = ["c_acctbal", "c_nationkey"]
+
+
+@query("numeric_summary", " UNION ALL ".join(_numeric(c, "customer") for c in _CUSTOMER))
+def _(s, d):
+    return pf.numeric_summary(table(s, d, "customer"), _CUSTOMER)
+
+
+@query("describe", " UNION ALL ".join(f"""
+SELECT '{c}' AS column, count({c}) AS count, round(avg({c}), 2) AS mean, round(stddev_samp({c}), 2) AS std, round(min({c})::DOUBLE, 2) AS min, round(quantile_cont({c}, 0.25)::DOUBLE, 2) AS q25, round(median({c}), 2) AS median,
+  round(quantile_cont({c}, 0.75)::DOUBLE, 2) AS q75, round(max({c})::DOUBLE, 2) AS max FROM customer""" for c in _CUSTOMER))
+def _(s, d):
+    return pf.describe(table(s, d, "customer"), _CUSTOMER)
+
+
+_CATS = ["p_brand", "p_type"]
+
+
+@query("value_counts", " UNION ALL ".join(f"SELECT * FROM (SELECT '{c}' AS column, row_number() OVER (ORDER BY count(*) DESC, {c}) AS rank, {c} AS value, count(*) AS n FROM part GROUP BY {c}) WHERE rank <= 3" for c in _CATS))
+def _(s, d):
+    return pf.value_counts(table(s, d, "part"), _CATS, 3)
+
+
+@query("categorical_summary", " UNION ALL ".join(f"""
+SELECT '{c}' AS column, CAST(sum(k) AS BIGINT) AS count, 0::BIGINT AS missing, 0.0::DOUBLE AS missing_pct, count(*) AS unique_count, arg_min(v, (-k, v)) AS top_value, max(k) AS top_count, round(max(k) / sum(k) * 100, 2) AS top_pct
+FROM (SELECT {c} AS v, count(*) AS k FROM part GROUP BY 1)""" for c in _CATS))
+def _(s, d):
+    return pf.categorical_summary(table(s, d, "part"), _CATS)
+
+
+@query("datetime_range", """
+SELECT 'ts' AS column, min(ts) AS min, max(ts) AS max, floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000)::BIGINT AS range_days, count(DISTINCT ts::DATE) AS unique_dates FROM events""")
+def _(s, d):
+    return pf.datetime_range(table(s, d, "events"), "ts")
+
+
+@query("duplicate_rows", "SELECT count(*) AS rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)) AS duplicates FROM lineitem")
+def _(s, d):
+    return pf.duplicate_rows(table(s, d, "lineitem").select("l_orderkey", "l_linenumber"))
+
+
+@query("quick_stats", """
+SELECT count(*) AS rows, 0::BIGINT AS duplicates, 2::BIGINT AS columns, 1::BIGINT AS numeric_columns, round(sum(c_acctbal), 2) AS total_c_acctbal, round(avg(c_acctbal), 2) AS avg_c_acctbal, 0.0::DOUBLE AS missing_pct FROM customer""")
+def _(s, d):
+    return pf.quick_stats(table(s, d, "customer").select("c_name", "c_acctbal"))
+
+
+@query("distribution", f"""
+SELECT count(value) AS count, round(avg(value), 2) AS mean, round(stddev_samp(value), 2) AS std, round(min(value), 2) AS min, round(max(value), 2) AS max, round(max(value) - min(value), 2) AS range,
+  {", ".join(f"round(quantile_cont(value, {p / 100}), 2) AS p{p}" for p in pf.PERCENTILES)}, round(skewness(value), 2) AS skewness, round(kurtosis(value), 2) AS kurtosis FROM events""")
+def _(s, d):
+    return pf.distribution(table(s, d, "events"), "value")
+
+
+@query("compare_periods", """
+WITH g AS (SELECT date_trunc('month', o_orderdate)::DATE AS period, sum(o_totalprice) AS t, avg(o_totalprice) AS a, count(*) AS n FROM orders GROUP BY 1), h AS (SELECT *, lag(t) OVER (ORDER BY period) AS p FROM g)
+SELECT period, round(t, 2) AS total, round(a, 2) AS average, n AS count, round(p, 2) AS prev_total, round(t - p, 2) AS change, round((t - p) / p * 100, 2) AS change_pct FROM h""", ("period",))
+def _(s, d):
+    return rounded(pf.compare_periods(table(s, d, "orders"), "o_orderdate", "o_totalprice"))
+
+
+@query("top_performers", """
+WITH g AS (SELECT o_custkey, sum(o_totalprice) AS t, avg(o_totalprice) AS a, count(*) AS n FROM orders GROUP BY 1), h AS (SELECT *, round(t / sum(t) OVER () * 100, 2) AS share_pct, row_number() OVER (ORDER BY t DESC, o_custkey) AS rank FROM g)
+SELECT o_custkey, round(t, 2) AS total, round(a, 2) AS average, n AS count, share_pct, rank FROM h WHERE rank <= 10""")
+def _(s, d):
+    return rounded(pf.top_performers(table(s, d, "orders"), "o_custkey", "o_totalprice"))
+
+
+_PART = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
+
+
+@query("missing_values", " UNION ALL ".join(f"SELECT '{c}' AS column, count({c}) AS non_null, count(*) - count({c}) AS missing, round((count(*) - count({c})) / count(*) * 100, 2) AS missing_pct, count(DISTINCT {c}) AS unique_count FROM part" for c in _PART))
+def _(s, d):
+    return pf.missing_values(table(s, d, "part"))
+
+
+@query("data_quality", """
+SELECT count(*) AS rows, 0.0::DOUBLE AS missing_pct, 0.0::DOUBLE AS duplicate_pct, 0::BIGINT AS constant_columns, 3::BIGINT AS n_numeric, 'good' AS level, '' AS warnings FROM part""")
+def _(s, d):
+    return pf.data_quality(table(s, d, "part"))
+
+
+@query("semantic_types", """
+SELECT 'p_brand' AS column, 'categorical' AS semantic_type, 0.0::DOUBLE AS null_pct, round(count(DISTINCT p_brand) / count(*) * 100, 2) AS unique_pct, round(avg(length(p_brand)), 2) AS avg_length FROM part
+UNION ALL SELECT 'p_retailprice', 'currency', 0.0, round(count(DISTINCT p_retailprice) / count(*) * 100, 2), NULL FROM part""")
+def _(s, d):
+    got = pf.semantic_types(table(s, d, "part").select("p_brand", "p_retailprice"))
+    return got.withColumn("avg_length", F.when(F.col("column") == "p_brand", F.col("avg_length")))
+
+
+@query("filtered", "SELECT o_orderkey FROM orders WHERE o_orderdate BETWEEN '1996-01-01' AND '1996-06-30' AND o_totalprice BETWEEN 1000 AND 200000 AND o_orderpriority IN ('1-URGENT', '2-HIGH')")
+def _(s, d):
+    got = pf.filtered(table(s, d, "orders"), {"o_orderdate": ("1996-01-01", "1996-06-30")}, {"o_totalprice": (1000.0, 200000.0)}, {"o_orderpriority": ["1-URGENT", "2-HIGH"]})
+    return got.select("o_orderkey")
+
+
+@query("clean_numeric", """
+SELECT p_partkey, round(p_retailprice, 2) AS price, round(-p_size::DOUBLE, 2) AS size FROM part""")
+def _(s, d):
+    p = table(s, d, "part").select("p_partkey", F.concat(F.lit("$"), F.format_number("p_retailprice", 2)).alias("price"), F.concat(F.lit("("), F.col("p_size").cast("string"), F.lit(")")).alias("size"))
+    return rounded(pf.clean_numeric(p))

@@ -1,0 +1,239 @@
+"""Queries on experiments, association and anomalies."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ledgerloom.operators import anomaly as an
+from ledgerloom.operators import association as ass
+from ledgerloom.operators import experiment as ex
+from ledgerloom.plans.registry import query, rounded, table
+
+
+def _ab(s, d, k=2):
+    e = table(s, d, "events")
+    return e.select(F.concat(F.lit("v"), (F.col("user_id") % k).cast("string")).alias("variant"), "value", (F.col("event_type") == "purchase").cast("int").alias("bought"))
+
+
+_P = ["p_value", "variant_a_ci_low", "variant_a_ci_high", "variant_b_ci_low", "variant_b_ci_high", "is_significant", "recommendation"]
+
+
+def _welch(k: int) -> str:
+    return f"""WITH g AS (SELECT 'v' || (user_id % {k}) AS variant, count(*) AS n, avg(value) AS m, var_samp(value) AS s2 FROM events WHERE value IS NOT NULL GROUP BY 1),
+w AS (SELECT b.variant, b.n, b.m, a.n AS na, a.m AS ma, a.s2 AS sa, b.s2 AS sb, (b.m - a.m) / a.m * 100 AS lift, (b.m - a.m) / sqrt(a.s2 / a.n + b.s2 / b.n) AS t,
+  power(a.s2 / a.n + b.s2 / b.n, 2) / (power(a.s2 / a.n, 2) / (a.n - 1) + power(b.s2 / b.n, 2) / (b.n - 1)) AS dof,
+  (b.m - a.m) / sqrt(((a.n - 1) * a.s2 + (b.n - 1) * b.s2) / (a.n + b.n - 2)) AS dd FROM g b JOIN g a ON a.variant = 'v0' AND b.variant <> 'v0')"""
+
+
+@query("ab_test", _welch(2) + """
+SELECT 'v0' AS variant_a_name, variant AS variant_b_name, na AS variant_a_count, n AS variant_b_count, round(ma, 5) AS variant_a_mean, round(m, 5) AS variant_b_mean,
+  round(sqrt(sa), 5) AS variant_a_std, round(sqrt(sb), 5) AS variant_b_std, round(lift, 5) AS lift_percentage, round(t, 5) AS t_statistic, 0.95::DOUBLE AS confidence_level, round(dd, 5) AS cohens_d,
+  CASE WHEN abs(dd) < 0.2 THEN 'negligible' WHEN abs(dd) < 0.5 THEN 'small' WHEN abs(dd) < 0.8 THEN 'medium' ELSE 'large' END AS effect_size FROM w""")
+def _(s, d):
+    return rounded(ex.ab_test(_ab(s, d), "variant", "value", "v0", "v1").drop(*_P), 5)
+
+
+@query("ab_test_full")
+def _(s, d):
+    return ex.ab_test(_ab(s, d), "variant", "value", "v0", "v1")
+
+
+@query("multi_variant", _welch(4) + " SELECT variant, n AS sample_size, round(m, 5) AS mean, round(lift, 5) AS lift_pct, round(dd, 5) AS effect_size, round(t, 5) AS t_statistic, round(dof, 3) AS dof FROM w")
+def _(s, d):
+    r = ex.multi_variant_test(_ab(s, d, 4), "variant", "value", "v0")
+    return rounded(r.drop("p_value", "is_significant", "recommendation").withColumn("dof", F.round("dof", 3)), 5)
+
+
+@query("sequential_test")
+def _(s, d):
+    return ex.sequential_test(_ab(s, d), "variant", "value", "v0", "v1")
+
+
+@query("conversion_rates", """
+WITH g AS (SELECT count(*) FILTER (user_id % 2 = 0) AS na, count(*) FILTER (user_id % 2 = 1) AS nb, CAST(count(*) FILTER (user_id % 2 = 0 AND event_type = 'purchase') AS DOUBLE) AS ca,
+  CAST(count(*) FILTER (user_id % 2 = 1 AND event_type = 'purchase') AS DOUBLE) AS cb FROM events), h AS (SELECT *, ca / na AS ra, cb / nb AS rb, (ca + cb) / (na + nb) AS p FROM g)
+SELECT ca AS conversions_a, na AS total_a, cb AS conversions_b, nb AS total_b, round(ra, 6) AS conversion_rate_a, round(rb, 6) AS conversion_rate_b, round((rb - ra) / ra * 100, 6) AS lift_percentage,
+  round((rb - ra) / sqrt(p * (1 - p) * (1 / na + 1 / nb)), 6) AS z_statistic FROM h""")
+def _(s, d):
+    return rounded(ex.conversion_rates(_ab(s, d), "variant", "bought", "v0", "v1").drop("p_value", "is_significant"), 6)
+
+
+_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_PAIRS = [(a, b) for i, a in enumerate(_NUM) for b in _NUM[i + 1 :]]
+
+
+def _corr_sql(table_: str = "lineitem") -> str:
+    return " UNION ALL ".join(f"SELECT '{a}' AS var1, '{b}' AS var2, round(corr({a}, {b}), 4) AS correlation FROM {table_}" for a, b in _PAIRS)
+
+
+@query("correlation_pearson", _corr_sql())
+def _(s, d):
+    return ass.correlation_pairs(table(s, d, "lineitem"), _NUM)
+
+
+@query("correlation_spearman", " UNION ALL ".join(f"""
+SELECT '{a}' AS var1, '{b}' AS var2, round(corr(ra, rb), 4) AS correlation FROM (SELECT rank() OVER (ORDER BY {a}) + (count(*) OVER (PARTITION BY {a}) - 1) / 2 AS ra, rank() OVER (ORDER BY {b}) + (count(*) OVER (PARTITION BY {b}) - 1) / 2 AS rb FROM lineitem)""" for a, b in _PAIRS))
+def _(s, d):
+    return ass.correlation_pairs(table(s, d, "lineitem"), _NUM, "spearman")
+
+
+@query("correlation_kendall", """
+WITH k AS (SELECT l_discount AS x, l_tax AS y, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY 1, 2),
+s AS (SELECT sum(sign(b.y - a.y) * a.n * b.n) AS s FROM k a JOIN k b ON a.x < b.x),
+t AS (SELECT sum(n * (n - 1) / 2) AS tx FROM (SELECT CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY l_discount)), u AS (SELECT sum(n * (n - 1) / 2) AS ty FROM (SELECT CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY l_tax)),
+p AS (SELECT CAST(count(*) AS DOUBLE) * (count(*) - 1) / 2 AS p FROM lineitem)
+SELECT 'l_discount' AS var1, 'l_tax' AS var2, round(s / sqrt((p - tx) * (p - ty)), 4) AS correlation FROM s, t, u, p""")
+def _(s, d):
+    return ass.correlation_pairs(table(s, d, "lineitem"), ["l_discount", "l_tax"], "kendall")
+
+
+@query("strong_correlations", f"""
+SELECT *, CASE WHEN abs(correlation) >= 0.9 THEN 'very strong' WHEN abs(correlation) >= 0.7 THEN 'strong' WHEN abs(correlation) >= 0.5 THEN 'moderate' ELSE 'weak' END AS strength,
+  CASE WHEN correlation > 0 THEN 'positive' ELSE 'negative' END AS direction FROM ({_corr_sql()}) WHERE abs(correlation) >= 0.001""")
+def _(s, d):
+    return ass.strong_correlations(table(s, d, "lineitem"), 0.001, columns=_NUM)
+
+
+_LABEL = "CASE WHEN abs(r) >= 0.7 THEN 'Strong' WHEN abs(r) >= 0.4 THEN 'Moderate' WHEN abs(r) >= 0.2 THEN 'Weak' END"
+
+
+@query("correlation_with_target", f"""
+WITH c AS ({" UNION ALL ".join(f"SELECT '{c}' AS variable, corr({c}, l_extendedprice) AS r FROM lineitem" for c in ("l_quantity", "l_discount", "l_tax"))})
+SELECT variable, round(r, 6) AS correlation, round(abs(r), 6) AS abs_correlation, coalesce({_LABEL} || CASE WHEN r > 0 THEN ' positive' ELSE ' negative' END || ' relationship', 'Very weak or no relationship') AS interpretation FROM c""")
+def _(s, d):
+    return rounded(ass.correlation_with_target(table(s, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"]), 6)
+
+
+@query("crosstab", """
+SELECT coalesce(l_returnflag, 'Total') AS row, coalesce(l_linestatus, 'Total') AS col, CAST(count(*) AS DOUBLE) AS value FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)""")
+def _(s, d):
+    return ass.cross_tabulation(table(s, d, "lineitem"), "l_returnflag", "l_linestatus")
+
+
+@query("crosstab_mean", """
+WITH c AS (SELECT l_returnflag, l_linestatus, avg(l_quantity) AS v FROM lineitem GROUP BY 1, 2)
+SELECT coalesce(l_returnflag, 'Total') AS row, coalesce(l_linestatus, 'Total') AS col, round(sum(v), 4) AS value FROM c GROUP BY CUBE (l_returnflag, l_linestatus)""")
+def _(s, d):
+    return rounded(ass.cross_tabulation(table(s, d, "lineitem"), "l_returnflag", "l_linestatus", "l_quantity", "mean"), 4)
+
+
+@query("crosstab_normalized", """
+WITH c AS (SELECT l_returnflag AS row, l_linestatus AS col, count(*) AS v FROM lineitem GROUP BY 1, 2) SELECT row, col, round(v / sum(v) OVER (PARTITION BY row), 6) AS value FROM c""")
+def _(s, d):
+    return rounded(ass.cross_tabulation(table(s, d, "lineitem"), "l_returnflag", "l_linestatus", normalize="index"), 6)
+
+
+@query("group_comparison", """
+WITH o AS (SELECT avg(l_extendedprice) AS m, stddev_samp(l_extendedprice) AS s FROM lineitem),
+g AS (SELECT l_returnflag, count(*) AS n, avg(l_extendedprice) AS a, stddev_samp(l_extendedprice) AS sd, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, median(l_extendedprice) AS md FROM lineitem GROUP BY 1)
+SELECT l_returnflag, n AS count, round(a, 3) AS mean, round(sd, 3) AS std, round(lo, 3) AS min, round(hi, 3) AS max, round(md, 3) AS median, round(a - m, 3) AS diff_from_overall,
+  round((a - m) / m * 100, 2) AS diff_pct, round(sd / a, 3) AS cv, round((a - m) / s, 3) AS effect_size FROM g, o""")
+def _(s, d):
+    return rounded(ass.group_comparison(table(s, d, "lineitem"), "l_returnflag", "l_extendedprice"), 3)
+
+
+@query("outliers_iqr", """
+WITH q AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events), r AS (SELECT a - 1.5 * (b - a) AS lo, b + 1.5 * (b - a) AS hi FROM q)
+SELECT 'value' AS column, 'iqr' AS method, 1.5::DOUBLE AS threshold, count(value) AS total_values, count(*) FILTER (value < lo OR value > hi) AS outlier_count,
+  round(count(*) FILTER (value < lo OR value > hi) / count(value) * 100, 2) AS outlier_pct, round(any_value(lo), 4) AS lower_bound, round(any_value(hi), 4) AS upper_bound FROM events, r""")
+def _(s, d):
+    return ass.detect_outliers(table(s, d, "events"), "value")
+
+
+@query("outliers_zscore", """
+WITH r AS (SELECT avg(value) - 1.5 * stddev_samp(value) AS lo, avg(value) + 1.5 * stddev_samp(value) AS hi FROM events)
+SELECT 'value' AS column, 'zscore' AS method, 1.5::DOUBLE AS threshold, count(value) AS total_values, count(*) FILTER (value < lo OR value > hi) AS outlier_count,
+  round(count(*) FILTER (value < lo OR value > hi) / count(value) * 100, 2) AS outlier_pct, round(any_value(lo), 4) AS lower_bound, round(any_value(hi), 4) AS upper_bound FROM events, r""")
+def _(s, d):
+    return ass.detect_outliers(table(s, d, "events"), "value", "zscore")
+
+
+@query("outlier_rows", """
+WITH q AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events) SELECT event_id, value FROM events, q WHERE value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a)""")
+def _(s, d):
+    return ass.outlier_rows(table(s, d, "events"), "value").select("event_id", "value")
+
+
+_CHI = """WITH c AS (SELECT event_type AS x, 'g' || (user_id % 4) AS y, CAST(count(*) AS DOUBLE) AS o FROM events GROUP BY 1, 2),
+e AS (SELECT *, sum(o) OVER (PARTITION BY x) * sum(o) OVER (PARTITION BY y) / sum(o) OVER () AS e FROM c)"""
+
+
+@query("cramers_v", _CHI + """
+SELECT CAST(sum(o) AS BIGINT) AS n, round(sum(o * o / e) - sum(o), 5) AS chi_square, round(sqrt((sum(o * o / e) - sum(o)) / (sum(o) * (least(count(DISTINCT x), count(DISTINCT y)) - 1))), 6) AS cramers_v FROM e""")
+def _(s, d):
+    e = table(s, d, "events").withColumn("g", F.concat(F.lit("g"), (F.col("user_id") % 4).cast("string")))
+    r = ass.cramers_v(e, "event_type", "g")
+    return r.select("n", F.round("chi_square", 5).alias("chi_square"), F.round("cramers_v", 6).alias("cramers_v"))
+
+
+@query("cramers_v_corrected", """
+WITH b AS (SELECT CASE WHEN event_type = 'purchase' THEN 'a' ELSE 'b' END AS x, CASE WHEN user_id % 2 = 0 THEN 'c' ELSE 'd' END AS y FROM events),
+c AS (SELECT x, y, CAST(count(*) AS DOUBLE) AS o FROM b GROUP BY 1, 2), e AS (SELECT *, sum(o) OVER (PARTITION BY x) * sum(o) OVER (PARTITION BY y) / sum(o) OVER () AS e FROM c),
+k AS (SELECT sum(o) AS n, sum(power(abs(o - e) - least(0.5, abs(o - e)), 2) / e) AS q FROM e)
+SELECT CAST(n AS BIGINT) AS n, round(q, 5) AS chi_square, round(sqrt(q / n), 6) AS cramers_v FROM k""")
+def _(s, d):
+    e = table(s, d, "events").select(F.when(F.col("event_type") == "purchase", "a").otherwise("b").alias("x"), F.when(F.col("user_id") % 2 == 0, "c").otherwise("d").alias("y"))
+    return ass.cramers_v(e, "x", "y", True).select("n", F.round("chi_square", 5).alias("chi_square"), F.round("cramers_v", 6).alias("cramers_v"))
+
+
+@query("eta_squared", """
+WITH g AS (SELECT event_type, CAST(count(*) AS DOUBLE) AS n, avg(value) AS m, var_pop(value) AS v FROM events WHERE value IS NOT NULL GROUP BY 1),
+t AS (SELECT *, sum(n) OVER () AS na, sum(n * m) OVER () / sum(n) OVER () AS mm FROM g), s AS (SELECT count(*) AS k, any_value(na) AS n, sum(n * power(m - mm, 2)) AS b, sum(n * v) AS w FROM t)
+SELECT k AS groups, CAST(n AS BIGINT) AS n, round((b / (k - 1)) / (w / (n - k)), 5) AS f_statistic, round(b / (b + w), 6) AS eta_squared FROM s""")
+def _(s, d):
+    r = ass.eta_squared(table(s, d, "events"), "event_type", "value")
+    return r.select("groups", "n", F.round("f_statistic", 5).alias("f_statistic"), F.round("eta_squared", 6).alias("eta_squared"))
+
+
+@query("multi_variable_analysis")
+def _(s, d):
+    return ass.multi_variable_analysis(table(s, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_returnflag", "l_linestatus"])
+
+
+@query("find_all_relationships")
+def _(s, d):
+    return ass.find_all_relationships(table(s, d, "lineitem"), ["l_quantity", "l_extendedprice"], ["l_returnflag", "l_linestatus"])
+
+
+@query("value_anomalies", """
+WITH s AS (SELECT avg(value) AS m, stddev_samp(value) AS sd FROM events), a AS (SELECT event_id, value AS v, m, sd, abs(value - m) / sd AS z, abs((value - m) / m * 100) AS d FROM events, s WHERE value IS NOT NULL)
+SELECT 'value' AS anomaly_type, CASE WHEN d > 100 THEN 'critical' WHEN d > 50 THEN 'high' WHEN d > 30 THEN 'medium' ELSE 'low' END AS severity,
+  CASE WHEN v > m THEN 'Unusual Spike in value' ELSE 'Unusual Drop in value' END AS title, round(v, 4) AS detected_value, round(m, 4) AS expected_value, round(d, 4) AS deviation_pct, CAST(event_id AS VARCHAR) AS row
+FROM a WHERE z > 2.5 AND d >= 20""")
+def _(s, d):
+    a = an.value_anomalies(table(s, d, "events"), ["value"], key="event_id")
+    return rounded(a.select("anomaly_type", "severity", "title", "detected_value", "expected_value", "deviation_pct", F.col("context")["row"].alias("row")), 4)
+
+
+@query("rare_combinations", """
+WITH b AS (SELECT event_type, 'h' || hour(ts) AS h FROM events), c AS (SELECT event_type AS value1, h AS value2, count(*) AS count FROM b GROUP BY 1, 2),
+f AS (SELECT *, count / sum(count) OVER () AS frequency, row_number() OVER (ORDER BY count, value1, value2) AS k FROM c)
+SELECT 'event_type' AS col1, 'h' AS col2, value1, value2, count, round(frequency, 8) AS frequency FROM f WHERE frequency < 0.01 AND k <= 3""")
+def _(s, d):
+    e = table(s, d, "events").select("event_type", F.concat(F.lit("h"), F.hour("ts").cast("string")).alias("h"))
+    return rounded(an.rare_combinations(e, ["event_type", "h"], max_values=30), 8)
+
+
+@query("odd_category_means", """
+WITH o AS (SELECT avg(l_extendedprice) AS m, stddev_samp(l_extendedprice) AS s FROM lineitem),
+g AS (SELECT 'q' || CAST(l_quantity AS INT) AS c, count(*) AS n, avg(l_extendedprice) AS a FROM lineitem GROUP BY 1)
+SELECT 'q' AS category_column, c AS category_value, 'l_extendedprice' AS numeric_column, n AS count, round(a, 4) AS mean, round(m, 4) AS overall_mean, round(abs(a - m) / (s / sqrt(n)), 4) AS z,
+  round(abs((a - m) / m) * 100, 4) AS deviation_pct FROM g, o WHERE n >= 5 AND abs(a - m) / (s / sqrt(n)) > 2.5 AND abs((a - m) / m) * 100 > 5""")
+def _(s, d):
+    e = table(s, d, "lineitem").select(F.concat(F.lit("q"), F.col("l_quantity").cast("int").cast("string")).alias("q"), "l_extendedprice")
+    return rounded(an.odd_category_means(e, ["q"], ["l_extendedprice"], min_deviation_pct=5), 4)
+
+
+@query("sequence_anomalies", """
+WITH o AS (SELECT value AS v, ts, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS i FROM events WHERE value IS NOT NULL), a AS (
+  SELECT avg(v) FILTER (i <= 7) AS r, avg(v) FILTER (i BETWEEN 8 AND 14) AS p, avg(v) FILTER (i BETWEEN 15 AND 21) AS o FROM o)
+SELECT 'value' AS metric, round(r, 4) AS recent_avg, round(p, 4) AS previous_avg, round((r - p) / abs(p) * 100, 4) AS change_pct,
+  CASE WHEN abs((r - p) / abs(p) * 100) > 100 THEN 'critical' WHEN abs((r - p) / abs(p) * 100) > 50 THEN 'high' ELSE 'medium' END AS severity FROM a WHERE abs((r - p) / abs(p) * 100) >= 1""")
+def _(s, d):
+    return rounded(an.sequence_anomalies(table(s, d, "events"), "ts", ["value"], min_change_pct=1, ties=["event_id"]).select("metric", "recent_avg", "previous_avg", "change_pct", "severity"), 4)
+
+
+@query("anomalies_prioritized")
+def _(s, d):
+    e = table(s, d, "events").withColumn("h", F.concat(F.lit("h"), F.hour("ts").cast("string")))
+    return an.prioritized(an.unique_anomalies(an.all_anomalies(e, ["value"], ["event_type", "h"], "ts", "medium", "event_id", ["event_id"]))).drop("context")
