@@ -8,6 +8,7 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _NORMAL = NormalDist()
 
@@ -67,22 +68,22 @@ def _each(f, *cols: pd.Series) -> pd.Series:
     return pd.Series([None if any(v is None or v != v for v in row) else f(*row) for row in zip(*cols, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _t_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return _each(t_two_sided, t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _f_p(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return _each(f_tail, f, d1, d2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _t_q(p: pd.Series, df: pd.Series) -> pd.Series:
     return _each(t_quantile, p, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _z_p(z: pd.Series) -> pd.Series:
     return _each(normal_two_sided, z)
 
