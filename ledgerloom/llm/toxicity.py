@@ -189,7 +189,7 @@ def train(sample: DataFrame) -> tuple[KneserNey, np.ndarray]:
 
     got = sample.where("part = 'calibrate'").select("text", "y").mapInPandas(measure, "x array<double>, y long").toPandas()
     if not len(got) or got["y"].nunique() < 2:
-        return model, np.zeros(6)
+        return model, np.array([-30.0, 0, 0, 0, 0, 0])  # nothing tells toxic from ordinary
     return model, logistic(np.stack(got["x"].to_numpy()), got["y"].to_numpy().astype(float))
 
 
@@ -198,7 +198,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
 
     ``labels`` (doc_id, toxic): the labelled documents that may teach; the sample is bounded by ``fit_rows`` and
     ``calibrate_rows``. Null and empty texts get the calibration's own prior. Without labels of both kinds all scores
-    are 0.5. Repeated rows are kept; rows are scored one by one, in whole, without a shuffle."""
+    are 0, so that nothing is rejected unseen. Repeated rows are kept; rows are scored one by one, in whole, without a shuffle."""
     model, weights = train(labelled(docs, labels, "toxic", fit_rows, calibrate_rows))
     shared = docs.sparkSession.sparkContext.broadcast((model, weights))
 
