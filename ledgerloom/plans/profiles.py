@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.text_metrics import text_metrics, text_table
 from ledgerloom.operators import profile as pf
+from ledgerloom.operators.narrate import segment_insights, series_insights
+from ledgerloom.operators.scan import full_scan, ranked_findings
 from ledgerloom.plans.registry import query, rounded, table
 
 
@@ -116,3 +119,42 @@ SELECT p_partkey, round(p_retailprice, 2) AS price, round(-p_size::DOUBLE, 2) AS
 def _(s, d):
     p = table(s, d, "part").select("p_partkey", F.concat(F.lit("$"), F.format_number("p_retailprice", 2)).alias("price"), F.concat(F.lit("("), F.col("p_size").cast("string"), F.lit(")")).alias("size"))
     return rounded(pf.clean_numeric(p))
+
+
+@query("text_percentages", r"""
+WITH f AS (SELECT page_id, unnest(regexp_extract_all(html, '([-+]?\d+(?:[.,]\d+)?\s?%)', 1)) AS v FROM pages)
+SELECT page_id, trim(v) AS value, count(*) AS n FROM f GROUP BY 1, 2""")
+def _(s, d):
+    m = text_metrics(table(s, d, "pages"), "page_id", "html").where("kind = 'percentage'")
+    return m.groupBy("page_id", "value").agg(F.count("*").alias("n"))
+
+
+@query("text_kpis", r"""
+WITH f AS (SELECT page_id, unnest(regexp_extract_all(html, '([A-Za-z][A-Za-z ]{2,49})\s*[:=]\s*([$€£]?\s?[-+]?\d[\d.,]*\s?%?)', 1)) AS l,
+  unnest(regexp_extract_all(html, '([A-Za-z][A-Za-z ]{2,49})\s*[:=]\s*([$€£]?\s?[-+]?\d[\d.,]*\s?%?)', 2)) AS v FROM pages)
+SELECT page_id, trim(l) AS label, trim(v) AS value, count(*) AS n FROM f GROUP BY 1, 2, 3""")
+def _(s, d):
+    m = text_metrics(table(s, d, "pages"), "page_id", "html").where("kind = 'kpi'")
+    return m.groupBy("page_id", "label", "value").agg(F.count("*").alias("n"))
+
+
+@query("text_tables")
+def _(s, d):
+    return text_table(table(s, d, "documents"), "doc_id", "text")
+
+
+@query("series_insights")
+def _(s, d):
+    return series_insights(table(s, d, "events"), "ts", "value")
+
+
+@query("segment_insights", """
+WITH g AS (SELECT c_mktsegment AS s, sum(c_acctbal) AS t FROM customer GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY t DESC, s) AS k, avg(t) OVER () AS m FROM g)
+SELECT count(*) AS segments, round(sum(t) FILTER (k <= 3) / sum(t) * 100, 4) AS top3_share_pct, count(*) FILTER (t < 0.3 * m) AS weak_segments FROM r""")
+def _(s, d):
+    return rounded(segment_insights(table(s, d, "customer"), "c_mktsegment", "c_acctbal"), 4)
+
+
+@query("full_scan")
+def _(s, d):
+    return ranked_findings(full_scan(table(s, d, "lineitem"), "l_shipdate", ["l_quantity", "l_extendedprice", "l_discount"], ["l_returnflag", "l_linestatus"]))
