@@ -138,9 +138,14 @@ def _(s, d):
     return m.groupBy("page_id", "label", "value").agg(F.count("*").alias("n"))
 
 
-@query("text_tables")
-def _(s, d):
-    return text_table(table(s, d, "documents"), "doc_id", "text")
+@query("text_tables", r"""
+WITH l AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS t FROM documents),
+c AS (SELECT doc_id, line, list_filter(regexp_split_to_array(trim(t), '\t|\s{2,}|\s*\|\s*'), lambda x: x <> '') AS cells FROM l),
+d AS (SELECT * FROM c WHERE len(cells) > 1), m AS (SELECT doc_id, arg_max(k, (n, k)) AS k FROM (SELECT doc_id, len(cells) AS k, count(*) AS n FROM d GROUP BY 1, 2) GROUP BY 1)
+SELECT doc_id, line, len(cells) AS n_cells, array_to_string(cells, ' / ') AS cells FROM d JOIN m USING (doc_id) WHERE len(cells) = k""")
+def _(s, d):
+    got = text_table(table(s, d, "documents"), "doc_id", "text")
+    return got.select("doc_id", F.col("line").cast("long").alias("line"), F.size("cells").cast("long").alias("n_cells"), F.array_join("cells", " / ").alias("cells"))
 
 
 @query("series_insights")

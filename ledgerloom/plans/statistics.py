@@ -185,7 +185,18 @@ def _(s, d):
     return r.select("groups", "n", F.round("f_statistic", 5).alias("f_statistic"), F.round("eta_squared", 6).alias("eta_squared"))
 
 
-@query("multi_variable_analysis")
+def _eta(c: str) -> str:
+    return f"""SELECT '{c}' AS feature, 'eta_squared' AS method, round(b / (b + w), 4) AS strength, CASE WHEN b / (b + w) >= 0.14 THEN 'Large effect size' WHEN b / (b + w) >= 0.06 THEN 'Medium effect size'
+  WHEN b / (b + w) >= 0.01 THEN 'Small effect size' ELSE 'Negligible effect' END AS interpretation FROM (SELECT sum(n * power(m - (SELECT avg(l_extendedprice) FROM lineitem), 2)) AS b, sum(n * v) AS w
+  FROM (SELECT CAST(count(*) AS DOUBLE) AS n, avg(l_extendedprice) AS m, var_pop(l_extendedprice) AS v FROM lineitem GROUP BY {c}))"""
+
+
+def _pearson(c: str) -> str:
+    return f"""SELECT '{c}' AS feature, 'pearson_correlation' AS method, round(r, 4) AS strength, coalesce({_LABEL} || CASE WHEN r > 0 THEN ' positive' ELSE ' negative' END || ' relationship', 'Very weak or no relationship') AS interpretation
+  FROM (SELECT corr({c}, l_extendedprice) AS r FROM lineitem)"""
+
+
+@query("multi_variable_analysis", " UNION ALL ".join([_pearson("l_quantity"), _pearson("l_discount"), _eta("l_returnflag"), _eta("l_linestatus")]))
 def _(s, d):
     return ass.multi_variable_analysis(table(s, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_returnflag", "l_linestatus"])
 
