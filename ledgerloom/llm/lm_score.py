@@ -25,6 +25,10 @@ SPACE, END = 0x20, 0x0A
 _RUN = 4_000_000
 
 
+#: The odds of going on against stopping are kept in a byte, in steps of an eighth of a doubling; ALWAYS: stop.
+_STEP, _ALWAYS = np.log(2) / 8, -128
+_WEIGHTS = 1 / (1 + np.exp(np.arange(-128, 128) * _STEP))
+_WEIGHTS[0] = 1
 _MASKS = np.array([(1 << 8 * (n + 1)) - 1 for n in range(DEPTH + 1)], np.uint64)
 
 
@@ -81,35 +85,36 @@ class ContextTree:
     def __init__(self, grams: np.ndarray, counts: np.ndarray):
         """``grams``: each byte with its context; ``counts`` over the corpus. What comes with a shorter context than
         others is a branch of its own there, so that counts add up at every depth."""
-        self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # by depth: grams, running count, stop weights
-        by_depth = []
+        self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # by depth: grams, counts, coded stop weights
         key, c = grams, counts.astype(np.float64)
+        below: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for d in range(DEPTH, 0, -1):
             key, c = _sums(key & np.uint64((1 << 8 * (d + 1)) - 1), c)
-            by_depth.append((d, key, c))
-        below: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for d, key, c in by_depth:
-            stop = np.ones((len(key), 8))
+            stop = np.full((len(key), 8), _ALWAYS, np.int8)
             above: dict[int, tuple[np.ndarray, np.ndarray]] = {}
             for bit in range(8):
                 node, a, b = self._nodes(key, c, bit)
-                own = log_kt(a, b)
-                total = own
-                if bit in below and len(below[bit][0]):
-                    at, hit = _find(below[bit][0], node)
-                    deeper = np.where(hit, below[bit][1][at], 0.0)
-                    mixed = np.where(hit, np.logaddexp(own, deeper) - np.log(2), own)
-                    w = np.where(hit, np.exp(own - np.log(2) - mixed), 1.0)
-                    total = mixed
+                total = log_kt(a, b)
+                longer = below.pop(bit, None)
+                if longer is not None and len(longer[0]):
+                    at, hit = _find(longer[0], node)
+                    odds = np.where(hit, longer[1][at] - total, -np.inf)  # of going on against stopping
                     at, _ = _find(node, self._node_of(key, bit))
-                    stop[:, bit] = w[at]
+                    stop[:, bit] = np.where(np.isneginf(odds), _ALWAYS, np.clip(np.rint(odds / _STEP), -127, 127))[at]
+                    total = np.where(hit, total + np.logaddexp(0, odds) - np.log(2), total)
                 # to the node with one byte less of context
                 mask = np.uint64((1 << (8 * d - 8 + bit)) - 1)
                 above[bit] = _sums(node & mask, total) if d > 1 else (node, total)
             below = above
-            self.tables.append((key, np.append(0, np.cumsum(c)), stop.astype(np.float16)))
+            self.tables.append((key, c.astype(np.float32), stop))
         self.tables.reverse()
 
+    def running(self) -> list[np.ndarray]:
+        """Running counts of each table, made once in each process that scores."""
+        if not hasattr(self, "upto"):
+            self.upto = [np.append(0, np.cumsum(c, dtype=np.float64)) for _, c, _ in self.tables]
+        return self.upto
+
     @staticmethod
     def _node_of(key: np.ndarray, bit: int) -> np.ndarray:
         """The context and the first ``bit`` bits of the byte."""
@@ -127,7 +132,7 @@ class ContextTree:
             p, left = np.zeros(len(grams)), np.ones(len(grams))
             last = np.full(len(grams), 0.5)
             alive = np.arange(len(grams))
-            for d, (key, upto, stop) in enumerate(self.tables, 1):
+            for d, ((key, _, stop), upto) in enumerate(zip(self.tables, self.running(), strict=True), 1):
                 g = grams[alive] & np.uint64((1 << 8 * (d + 1)) - 1)
                 free = np.uint64(8 - bit)
                 low = (g >> free) << free
@@ -140,7 +145,7 @@ class ContextTree:
                 zeros, count = upto[mi] - upto[lo], upto[hi] - upto[lo]
                 side = np.where(ones[alive], count - zeros, zeros)
                 kt = (side + 0.5) / (count + 1)
-                w = stop[lo, bit].astype(np.float64)
+                w = _WEIGHTS[stop[lo, bit].astype(np.int64) + 128]
                 p[alive] += left[alive] * w * kt
                 left[alive] *= 1 - w
                 last[alive] = kt
