@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -17,12 +18,13 @@ from ledgerloom.llm.toxicity import _find, _sums, fold
 DEPTH = 7
 #: Context bytes at the start of a word; from its fifth byte on, a context reaches back to the word's start at most.
 NEAR = 4
-#: Entries of the tree at the deepest level and at NEAR: the most frequent, others count for shorter contexts.
-MAX_NODES = 1 << 20
-#: So many of the most frequent words, at most, are looked up in memory, all others by a join.
-MAX_WORDS = 1 << 18
+#: The tree's levels from this one down are weighted and read in tasks, each with whole contexts of this many bytes;
+#: the driver holds the levels above it, at most 2^24 entries whatever the corpus.
+ROOT = 3
+#: So many of the most looked-up grams and words, at most, are looked up in memory, all others by joins.
+MAX_GRAMS, MAX_WORDS = 1 << 20, 1 << 18
 SPACE, END = 0x20, 0x0A
-_RUN = 4_000_000
+_RUN, _GROUPS = 4_000_000, 400_000
 
 
 #: The odds of going on against stopping are kept in a byte, in steps of an eighth of a doubling; ALWAYS: stop.
@@ -41,22 +43,25 @@ def stream_of(words: list[bytes]) -> bytes:
     return b" ".join([*words, bytes([END])]) if words else bytes([END])
 
 
-def packed(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(grams, stream index): each byte with the bytes of its context, up to DEPTH; before a stream stand ENDs.
+def packed(streams: list[bytes], inside: bool | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(grams, stream index): each byte with the bytes of its context, up to DEPTH; before a stream stand ENDs and a space.
 
-    A byte's context is that of NEAR bytes or what its word has before it, with the space; the rest of a gram is zero."""
-    pad = bytes([END]) * DEPTH
-    flat = np.frombuffer(b"".join([pad + s for s in streams]), np.uint8).astype(np.uint64)
+    A byte's context is that of NEAR bytes or what its word has before it, with the space; the rest of a gram is zero.
+    ``inside``: only bytes whose context lies in their word, so that the word alone tells the gram, or only all others."""
+    pad = bytes([END]) * (DEPTH - 1) + bytes([SPACE])
+    flat = np.frombuffer(b"".join([pad + s for s in streams]), np.uint8)
     sizes = np.array([len(s) for s in streams], np.int64)
     owner = np.repeat(np.arange(len(streams)), sizes)
     at = np.arange(len(owner)) + (owner + 1) * DEPTH
+    # bytes since the space before the word, at each place
+    since = at - np.maximum.accumulate(np.where(flat == SPACE, np.arange(len(flat)), 0))[at - 1]
+    if inside is not None:
+        chosen = np.flatnonzero((since >= NEAR) == inside)
+        owner, at, since = owner[chosen], at[chosen], since[chosen]
     grams = np.zeros(len(owner), np.uint64)
-    for back in range(DEPTH, -1, -1):
+    for back in range(NEAR if inside is False else DEPTH, -1, -1):
         grams = (grams << np.uint64(8)) | flat[at - back]
-    # bytes since the space before the word, at each place
-    mark = np.where((flat == SPACE) | (flat == END), np.arange(len(flat)), 0)
-    reach = np.clip(at - np.maximum.accumulate(mark)[at - 1], NEAR, DEPTH)
-    return grams & _MASKS[reach], owner
+    return grams & _MASKS[np.clip(since, NEAR, DEPTH)], owner
 
 
 def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -82,23 +87,24 @@ class ContextTree:
     term is the weight of stopping there. A prediction follows the contexts of a place from short to long, mixing the KT
     estimates of all depths by these weights, and stops at the deepest node that the corpus supports."""
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray):
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, low: int = 1, high: int = DEPTH, longer: dict | None = None):
         """``grams``: each byte with its context; ``counts`` over the corpus. What comes with a shorter context than
-        others is a branch of its own there, so that counts add up at every depth."""
+        others is a branch of its own there, so that counts add up at every depth. Only levels ``low`` to ``high`` are
+        made; ``longer``: what the level below them leaves in its ``above``, log P of its nodes summed by shorter node."""
         self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # by depth: grams, counts, coded stop weights
         key, c = grams, counts.astype(np.float64)
-        below: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for d in range(DEPTH, 0, -1):
+        below: dict[int, tuple[np.ndarray, np.ndarray]] = dict(longer or {})
+        for d in range(high, low - 1, -1):
             key, c = _sums(key & np.uint64((1 << 8 * (d + 1)) - 1), c)
             stop = np.full((len(key), 8), _ALWAYS, np.int8)
             above: dict[int, tuple[np.ndarray, np.ndarray]] = {}
             for bit in range(8):
                 node, a, b = self._nodes(key, c, bit)
                 total = log_kt(a, b)
-                longer = below.pop(bit, None)
-                if longer is not None and len(longer[0]):
-                    at, hit = _find(longer[0], node)
-                    odds = np.where(hit, longer[1][at] - total, -np.inf)  # of going on against stopping
+                deeper = below.pop(bit, None)
+                if deeper is not None and len(deeper[0]):
+                    at, hit = _find(deeper[0], node)
+                    odds = np.where(hit, deeper[1][at] - total, -np.inf)  # of going on against stopping
                     at, _ = _find(node, self._node_of(key, bit))
                     stop[:, bit] = np.where(np.isneginf(odds), _ALWAYS, np.clip(np.rint(odds / _STEP), -127, 127))[at]
                     total = np.where(hit, total + np.logaddexp(0, odds) - np.log(2), total)
@@ -108,6 +114,7 @@ class ContextTree:
             below = above
             self.tables.append((key, c.astype(np.float32), stop))
         self.tables.reverse()
+        self.above = below
 
     def running(self) -> list[np.ndarray]:
         """Running counts of each table, made once in each process that scores."""
@@ -153,16 +160,13 @@ class ContextTree:
         return out
 
 
-class Scorer:
-    """Scores streams; grams of the deepest table are scored once, in a hash table of twice to four times their number."""
+class GramTable:
+    """Values of grams in a hash table of twice to four times their number."""
 
-    def __init__(self, tree: ContextTree):
-        self.tree = tree
-        keys = tree.tables[-1][0]
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.shift = np.uint64(64 - max(4, int(np.ceil(np.log2(max(len(keys), 1) * 2)))))
         self.slot_key = np.full(1 << (64 - int(self.shift)), ~np.uint64(0))
         self.slot_p = np.zeros(len(self.slot_key), np.float32)
-        values = tree.log10_p(keys).astype(np.float32)
         rest, step = np.arange(len(keys)), 0
         while len(rest):
             slot = self._slot(keys[rest], step)
@@ -179,9 +183,9 @@ class Scorer:
     def _slot(self, key: np.ndarray, step: int) -> np.ndarray:
         return ((((key * np.uint64(0x9E3779B97F4A7C15)) >> self.shift) + np.uint64(step)) & np.uint64(len(self.slot_key) - 1)).astype(np.int64)
 
-    def log10_p(self, grams: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(grams))
-        rest, missing = np.arange(len(grams)), []
+    def sums(self, grams: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Of each of ``n`` owners the sum of its grams' values, and its grams that the table lacks."""
+        out, rest, missing = np.zeros(len(grams)), np.arange(len(grams)), []
         for step in range(self.steps):
             if not len(rest):
                 break
@@ -191,153 +195,236 @@ class Scorer:
             out[rest[hit]] = self.slot_p[slot[hit]]
             missing.append(rest[gone])
             rest = rest[~hit & ~gone]
-        left = np.concatenate([*missing, rest]) if missing else rest
-        if len(left):
-            kinds, back = np.unique(grams[left], return_inverse=True)
-            out[left] = self.tree.log10_p(kinds)[back]
-        return out
+        left = np.sort(np.concatenate([*missing, rest]))
+        bounds = np.searchsorted(owner[left], np.arange(1, n))
+        return np.bincount(owner, weights=out, minlength=n), np.split(grams[left].view(np.int64), bounds)
 
-    def texts(self, streams: list[bytes]) -> np.ndarray:
-        out = np.zeros(len(streams))
-        at = 0
-        while at < len(streams):
-            to, size = at, 0
-            while to < len(streams) and (to == at or size + len(streams[to]) <= _RUN):
-                size += len(streams[to])
-                to += 1
-            grams, owner = packed(streams[at:to])
-            out[at:to] = np.bincount(owner, weights=self.log10_p(grams), minlength=to - at)
-            at = to
-        return out
+
+def _runs(streams: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of streams of about _RUN bytes each."""
+    at = 0
+    while at < len(streams):
+        to, size = at, 0
+        while to < len(streams) and (to == at or size + len(streams[to]) <= _RUN):
+            size += len(streams[to])
+            to += 1
+        yield at, to
+        at = to
+
+
+class _Adder:
+    """Sums by gram of two counts, added up in memory until they are taken."""
+
+    def __init__(self):
+        self.held: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, grams: np.ndarray, *counts: np.ndarray) -> None:
+        self.held.append(_sums(grams, *counts))
+        if len(self.held) > 6:
+            self.held = [self.total()]
+
+    def total(self) -> tuple[np.ndarray, ...]:
+        return _sums(*map(np.concatenate, zip(*self.held, strict=True)))
+
+    def frames(self) -> Iterator[pd.DataFrame]:
+        key, n, looks = self.total() if self.held else (np.zeros(0, np.uint64),) * 3
+        for at in range(0, len(key), 500_000):
+            part = slice(at, at + 500_000)
+            yield pd.DataFrame({"gram": key[part].view(np.int64), "n": n[part].astype(np.int64), "looks": looks[part].astype(np.int64)})
 
 
 def corpus_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(word, n) and (gram, n) over all texts of ``docs``; each task adds up its batches before anything moves."""
+    """(word, n, looks, wid) and (gram, n, looks) over all texts of ``docs`` (text, learn): n counts rows that teach, looks
+    all occurrences, of a gram inside words all words; each task adds up its batches before anything moves."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words: Counter = Counter()
-        grams: list[tuple[np.ndarray, np.ndarray]] = []
-        n_end = 0
+        words: tuple[Counter, Counter] = (Counter(), Counter())
+        heads = _Adder()
 
         def out() -> Iterator[pd.DataFrame]:
-            if words:
-                yield pd.DataFrame({"word": list(words.keys()), "gram": None, "n": list(words.values())}).astype({"gram": "Int64"})
-                words.clear()
-
-        def fold_in(streams: list[bytes]) -> None:
-            key, _ = packed(streams)
-            key.sort()
-            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            grams.append((key[first], np.diff(np.append(first, len(key)))))
-            if len(grams) > 6:
-                total = _sums(np.concatenate([g for g, _ in grams]), np.concatenate([c for _, c in grams]))
-                grams[:] = [total]
+            for learn, seen in enumerate(words):
+                if seen:
+                    looks = np.fromiter(seen.values(), np.int64, len(seen))
+                    yield pd.DataFrame({"word": list(seen), "gram": None, "n": looks * learn, "looks": looks}).astype({"gram": "Int64"})
+                    seen.clear()
 
         for batch in batches:
-            streams, size = [], 0
-            for text in batch["text"]:
+            streams, learns = [], batch["learn"].to_numpy(bool)
+            for text, learn in zip(batch["text"], learns.tolist(), strict=True):
                 w = words_of(text)
-                words.update(w)
-                n_end += 1
+                words[learn].update(w)
+                words[learn][bytes([END])] += 1
                 streams.append(stream_of(w))
-                size += len(streams[-1])
-                if size > _RUN:
-                    fold_in(streams)
-                    streams, size = [], 0
-            if streams:
-                fold_in(streams)
-            if len(words) > 600_000:
+            for at, to in _runs(streams):
+                grams, owner = packed(streams[at:to], inside=False)
+                teaches = learns[at:to][owner]
+                for learn in (False, True):
+                    key = np.sort(grams[teaches == learn])
+                    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+                    looks = np.diff(np.append(first, len(key)))
+                    heads.add(key[first], looks * learn, looks)
+            if len(words[0]) + len(words[1]) > 600_000:
                 yield from out()
-        words[bytes([END])] += n_end
         yield from out()
-        if grams:
-            key, c = _sums(np.concatenate([g for g, _ in grams]), np.concatenate([c for _, c in grams]))
-            for at in range(0, len(key), 500_000):
-                yield pd.DataFrame({"word": None, "gram": key[at : at + 500_000].astype(np.int64), "n": c[at : at + 500_000]}).astype({"gram": "Int64"})
-
-    both = stored(docs.select("text").mapInPandas(count, "word binary, gram long, n long"))
-    words = both.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
-    grams = both.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n"))
-    return stored(words), stored(grams)
-
-
-def _shortened(grams: DataFrame, n: int) -> DataFrame:
-    """Counts of the grams with ``n`` bytes of context."""
-    return grams.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (n + 1)) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
-
+        for frame in heads.frames():
+            yield frame.assign(word=None)[["word", "gram", "n", "looks"]].astype({"gram": "Int64"})
 
-def _most_frequent(counts: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """``counts`` in two: down to the frequency from which there are no more than ``most`` rows, and the others."""
-    classes = counts.groupBy(F.floor(F.log2("n") * 16).alias("c")).agg(F.count("*").alias("k"), F.min("n").alias("n")).toPandas()  # 1,024 rows at most
+    def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tails = _Adder()
+        for batch in batches:
+            streams, n = [bytes(w) + b" " for w in batch["word"]], batch["n"].to_numpy()
+            for at, to in _runs(streams):
+                grams, owner = packed(streams[at:to], inside=True)
+                tails.add(grams, n[at:to][owner], np.ones(len(grams), np.int64))
+        yield from tails.frames()
+
+    both = stored(docs.select("text", "learn").mapInPandas(count, "word binary, gram long, n long, looks long"))
+    sums = F.sum("n").alias("n"), F.sum("looks").alias("looks")
+    words = stored(both.where("word is not null").groupBy("word").agg(*sums).withColumn("wid", F.monotonically_increasing_id()))
+    tails = words.where(F.col("word") != F.lit(bytes([END]))).select("word", "n").mapInPandas(inside, "gram long, n long, looks long")
+    grams = both.where("gram is not null").select("gram", "n", "looks").unionByName(tails).groupBy("gram").agg(*sums)
+    return words, stored(grams)
+
+
+def _whole_contexts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(grams, counts) of some whole contexts of ROOT bytes at a time, from rows that are sorted by ``ctx``."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= _GROUPS:
+            rows = pd.concat(held, ignore_index=True)
+            cut = int(np.searchsorted(rows["ctx"].to_numpy(), rows["ctx"].iloc[-1]))
+            if cut:
+                yield rows["gram"].to_numpy(np.int64)[:cut].view(np.uint64), rows["n"].to_numpy(np.float64)[:cut]
+            held = [rows.iloc[cut:]]
+    if held:
+        rows = pd.concat(held, ignore_index=True)
+        yield rows["gram"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.float64)
+
+
+def gram_scores(grams: DataFrame) -> DataFrame:
+    """(gram, p, looks): log10 probability of each gram's last byte by the tree of all grams with n > 0.
+
+    The levels from ROOT down fall apart into subtrees, one a context of ROOT bytes, which tasks weight and read; their
+    roots' totals make up the levels above."""
+    dealt = grams.withColumn("ctx", F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit((1 << 8 * ROOT) - 1))).repartition("ctx").sortWithinPartitions("ctx")
+    shorter = np.uint64((1 << 8 * ROOT) - 1)
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for key, n in _whole_contexts(batches):
+            key, n = key[n > 0], n[n > 0]
+            upper = _sums(key & shorter, n)
+            for bit, (node, total) in [(-1, upper), *ContextTree(key, n, low=ROOT).above.items()]:
+                yield pd.DataFrame({"bit": bit, "node": node.astype(np.int64), "total": total})
+
+    # of the levels above ROOT, whose number of grams is bounded by that of ROOT bytes
+    roots = dealt.select("ctx", "gram", "n").mapInPandas(weigh, "bit int, node long, total double").groupBy("bit", "node").agg(F.sum("total").alias("total"))
+    roots = stored(roots).toArrow().sort_by("node")
+    bit, node, total = roots["bit"].to_numpy(), roots["node"].to_numpy().astype(np.uint64), roots["total"].to_numpy()
+    top = ContextTree(node[bit < 0], total[bit < 0], high=ROOT - 1, longer={b: (node[bit == b], total[bit == b]) for b in range(8)}).tables
+    shared = grams.sparkSession.sparkContext.broadcast(top)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for key, n in _whole_contexts(batches):
+            tree = ContextTree(key[n > 0], n[n > 0], low=ROOT)
+            tree.tables = [*shared.value, *tree.tables]
+            yield pd.DataFrame({"gram": key.view(np.int64), "p": tree.log10_p(key)})
+
+    return dealt.select("ctx", "gram", "n").mapInPandas(read, "gram long, p double")
+
+
+def _most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """``counts`` down to the number of looks from which there are no more than ``most`` rows."""
+    classes = counts.groupBy(F.floor(F.log2("looks") * 16).alias("c")).agg(F.count("*").alias("k"), F.min("looks").alias("looks")).toPandas()  # 1,024 rows at most
     classes = classes.sort_values("c", ascending=False)
     fits = classes[classes["k"].cumsum() <= most]
-    least = int(fits["n"].min()) if len(fits) else (1 << 62)
-    return counts.where(F.col("n") >= least), counts.where(F.col("n") < least)
+    return counts.where(F.col("looks") >= (int(fits["looks"].min()) if len(fits) else (1 << 62)))
+
 
+def score_language(docs: DataFrame) -> DataFrame:
+    """doc_id, row, n_tokens, n_known, train_tokens, base_score and score for each row of ``docs`` (doc_id, text, learn).
 
-def score_language(docs: DataFrame, training: DataFrame) -> DataFrame:
-    """doc_id, row, n_tokens, n_known, train_tokens, base_score and score for each row of ``docs`` (doc_id, text).
+    Rows whose ``learn`` is true teach and are counted in whole, no entry is left out. score: log10 of the context
+    tree's probability of the text as lower-cased words, a space after each, and an end. base_score: the same under single
+    words with one added to each count. Null and empty texts: the end alone. Null learn: false. Repeated rows are kept; no
+    rows that teach: every bit is 1/2, all words are unknown. Ids may be null; other columns are ignored.
 
-    ``training`` (text): the texts that teach, counted in whole. score: log10 of the context tree's probability of the
-    text as lower-cased words, a space after each, and an end. base_score: the same under single words with one added to
-    each count. Null and empty texts: the end alone. Repeated rows are kept; no training rows: every bit is 1/2, all words
-    are unknown. Ids may be null; other columns are ignored."""
+    A text's score is the sum over its words of what a word gives by itself, from its fourth byte on, and of the bytes
+    before, whose contexts reach into the word before. Both are looked up: the most frequent in memory, others by joins."""
     spark = docs.sparkSession
-    words, grams = corpus_counts(training)
-    n_all, n_kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    kept, rest = _most_frequent(grams, MAX_NODES)
-    near, rest = _most_frequent(_shortened(rest, NEAR), MAX_NODES)
-    # at most MAX_NODES rows each, and the bytes after one byte, come to the driver: a size that the corpus doesn't change
-    table_ = kept.unionByName(near).unionByName(_shortened(rest, 1)).toPandas()
-    tree = ContextTree(table_["gram"].to_numpy(np.int64).astype(np.uint64), table_["n"].to_numpy(np.float64))
-    common = {bytes(r.word): int(r.n) for r in _most_frequent(words, MAX_WORDS)[0].toLocalIterator()}
-    shared = spark.sparkContext.broadcast((tree, common))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("learn"), F.lit(False)).alias("learn"))
+    words, grams = corpus_counts(rows)
+    n_all, n_kinds = words.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    scores = stored(gram_scores(grams).join(grams.select("gram", "looks"), "gram"))
+    hot = _most_frequent(scores, MAX_GRAMS).select("gram", "p").toArrow()
+    table_ = spark.sparkContext.broadcast((uuid.uuid4().hex, hot["gram"].to_numpy().view(np.uint64), hot["p"].to_numpy().astype(np.float32)))
+    del hot
+
+    def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _made(table_, lambda value: GramTable(*value[1:]))
+        for batch in batches:
+            streams = [bytes(w) + b" " if bytes(w) != bytes([END]) else b"" for w in batch["word"]]
+            tail, far = np.zeros(len(streams)), []
+            for at, to in _runs(streams):
+                tail[at:to], missing = known.sums(*packed(streams[at:to], inside=True), to - at)
+                far += missing
+            yield batch.assign(tail=tail, far=far)
+
+    made = stored(words.mapInPandas(inside, "word binary, n long, looks long, wid long, tail double, far array<long>"))
+    more = made.where("size(far) > 0").select("wid", F.explode("far").alias("gram")).join(scores.select("gram", "p"), "gram").groupBy("wid").agg(F.sum("p").alias("more"))
+    scored = made.drop("far").join(more, "wid", "left").select("word", "n", "looks", (F.col("tail") + F.coalesce("more", F.lit(0.0))).alias("tail"))
+    scored = stored(scored)
+    common = _most_frequent(scored, MAX_WORDS).select("word", "n", "tail").toArrow()
+    words_ = spark.sparkContext.broadcast((uuid.uuid4().hex, common["word"].to_pylist(), common["n"].to_numpy(), common["tail"].to_numpy()))
+    del common
     base = float(np.log10(n_all + 1.0 * (n_kinds + 1)))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree, common = shared.value
-        scorer = _scorer(shared)
-        log_of = {w: float(np.log10(c + 1)) for w, c in common.items()}
-        end = log_of.get(bytes([END]), 0.0)
+        known = _made(table_, lambda value: GramTable(*value[1:]))
+        place, seen, logs, tails = _made(words_, lambda v: ({w: i for i, w in enumerate(v[1])}, np.append(v[2] > 0, False), np.append(np.log10(v[2] + 1.0), 0), np.append(v[3], 0)))
         for batch in batches:
-            n, known, logs, rare, streams = [], [], [], [], []
+            out, streams = [], []
             for text in batch["text"]:
-                w = words_of(text)
-                got = [log_of.get(x) for x in w]
-                left = [x for x, y in zip(w, got, strict=True) if y is None]
-                n.append(len(w) + 1)
-                known.append(len(w) - len(left) + (bytes([END]) in log_of))
-                logs.append(sum(y for y in got if y is not None) + end)
-                rare.append(left)
-                streams.append(stream_of(w))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "row": batch["row"].to_numpy(), "n_tokens": n, "known": known, "logs": logs, "rare": rare, "score": scorer.texts(streams)})
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
-    made = stored(rows.mapInPandas(score, "doc_id long, row long, n_tokens long, known long, logs double, rare array<binary>, score double"))
-    # words outside the common ones: none has more than n_all / MAX_WORDS occurrences, so no key of this join is hot
-    apart = made.where("size(rare) > 0").select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("k"))
-    more = apart.join(words, "word").groupBy("row").agg(F.sum("k").alias("more_known"), F.sum(F.col("k") * F.log10(F.col("n") + 1.0)).alias("more_logs"))
-    out = made.drop("rare").join(more, "row", "left")
+                w = [*words_of(text), bytes([END])]
+                at = np.array([place.get(x, -1) for x in w], np.int64)
+                rare = [w[i] for i in np.flatnonzero(at < 0)]
+                out.append((len(w), int(seen[at].sum()), float(logs[at].sum()), float(tails[at].sum()), rare))
+                streams.append(stream_of(w[:-1]))
+            frame = pd.DataFrame(out, columns=["n_tokens", "known", "logs", "score", "rare"])
+            heads, far = np.zeros(len(streams)), []
+            for at, to in _runs(streams):
+                heads[at:to], missing = known.sums(*packed(streams[at:to], inside=False), to - at)
+                far += missing
+            yield frame.assign(doc_id=batch["doc_id"], row=batch["row"], score=frame["score"] + heads, far=far)[["doc_id", "row", "n_tokens", "known", "logs", "score", "rare", "far"]]
+
+    numbered = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
+    made = stored(numbered.mapInPandas(score, "doc_id long, row long, n_tokens long, known long, logs double, score double, rare array<binary>, far array<long>"))
+    # no word or gram outside the tables is frequent, so no key of these joins is hot
+    rare = made.where("size(rare) > 0").select("row", F.explode("rare").alias("word")).join(scored, "word")
+    rare = rare.select("row", (F.col("n") > 0).cast("long").alias("k"), F.log10(F.col("n") + 1.0).alias("l"), F.col("tail").alias("s"))
+    far = made.where("size(far) > 0").select("row", F.explode("far").alias("gram")).join(scores.select("gram", "p"), "gram").select("row", F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("l"), F.col("p").alias("s"))
+    more = rare.unionByName(far).groupBy("row").agg(F.sum("k").alias("k"), F.sum("l").alias("l"), F.sum("s").alias("s"))
+    out = made.drop("rare", "far").join(more, "row", "left")
     return out.select(
-        "doc_id", "row", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(int(n_all)).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(base)).alias("base_score"), "score",
+        "doc_id", "row", "n_tokens", (F.col("known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(int(n_all)).cast("long").alias("train_tokens"),
+        (F.col("logs") + F.coalesce("l", F.lit(0.0)) - F.col("n_tokens") * F.lit(base)).alias("base_score"), (F.col("score") + F.coalesce("s", F.lit(0.0))).alias("score"),
     )
 
 
-_MADE: dict[int, Scorer] = {}
+_KEPT: dict = {}
 
 
-def _scorer(shared) -> Scorer:
-    """One scorer for all tasks of a Python worker that use the same broadcast."""
-    key = shared._jbroadcast.id() if getattr(shared, "_jbroadcast", None) is not None else id(shared.value)
-    if key not in _MADE:
-        _MADE.clear()
-        _MADE[key] = Scorer(shared.value[0])
-    return _MADE[key]
+def _made(shared, make):
+    """What ``make`` makes of a broadcast value, once for all tasks of a Python worker."""
+    token = shared.value[0]
+    if token not in _KEPT:
+        if len(_KEPT) > 1:
+            _KEPT.pop(next(iter(_KEPT)))
+        _KEPT[token] = make(shared.value)
+    return _KEPT[token]
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.coalesce(fold(7) == 2, F.lit(False))
-    made = score_language(docs, docs.where(~held))
-    return made.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (~held).alias("learn"))
+    return score_language(docs).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

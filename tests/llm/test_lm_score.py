@@ -70,29 +70,27 @@ def test_same_as_recursion():
         assert math.isclose(got, naive(counts, lm_score.DEPTH, ctx, byte), abs_tol=0.05)
 
 
-def test_scorer_equals_tree():
-    texts = ["the cat sat", "the dog sat down", ""] * 3
-    tree = tree_of(texts)
-    streams = [lm_score.stream_of(lm_score.words_of(t)) for t in ["the cat", "unseen words here", ""]]
-    got = lm_score.Scorer(tree).texts(streams)
-    want = [tree.log10_p(lm_score.packed([s])[0]).sum() for s in streams]
-    assert np.allclose(got, want, atol=1e-4)
-
-
-@pytest.mark.parametrize("max_words", [1 << 18, 5])
-def test_base_and_counts(spark, monkeypatch, max_words):
+@pytest.mark.parametrize("max_words, max_grams", [(1 << 18, 1 << 20), (5, 7)])
+def test_scores_base_and_counts(spark, monkeypatch, max_words, max_grams):
+    """Whatever is looked up in memory, by joins, in many subtrees: the same as one tree of all texts that teach."""
     monkeypatch.setattr(lm_score, "MAX_WORDS", max_words)
+    monkeypatch.setattr(lm_score, "MAX_GRAMS", max_grams)
     train = ["The cat  sat on the mat", "the dog", None, "cat\tcat"]
-    docs = [(1, "THE cat flew"), (2, None), (2, None), (3, "Ünseen mat mat"), (None, "x")]
-    got = lm_score.score_language(
-        spark.createDataFrame([(i, t, 9) for i, t in docs], "doc_id long, text string, n int"), spark.createDataFrame([(t,) for t in train], "text string")
-    ).collect()
+    docs = [(1, "THE cat flew", None), (2, None, False), (2, None, False), (3, "Ünseen mat mat thematic", False), (None, "x", False)] + [(9, t, True) for t in train]
+    got = lm_score.score_language(spark.createDataFrame([(i, t, k, 9) for i, t, k in docs], "doc_id long, text string, learn boolean, n int")).collect()
     counts = Counter(w for t in train for w in [*lm_score.words_of(t), b"\n"])
     n, v = sum(counts.values()), len(counts)
     assert len(got) == len(docs)
-    by = {r.doc_id: r for r in got}
-    for i, t in docs:
+    by, tree = {r.doc_id: r for r in got}, tree_of(train)
+    for i, t, _ in docs[:5]:
         w = [*lm_score.words_of(t), b"\n"]
         assert by[i].n_tokens == len(w) and by[i].n_known == sum(counts[x] > 0 for x in w) and by[i].train_tokens == n
         assert math.isclose(by[i].base_score, sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), abs_tol=1e-9)
-        assert by[i].score < 0
+        grams = lm_score.packed([lm_score.stream_of(w[:-1])])[0]
+        assert math.isclose(by[i].score, tree.log10_p(grams).sum(), abs_tol=1e-3)
+
+
+def test_no_rows_that_teach(spark):
+    got = lm_score.score_language(spark.createDataFrame([(1, "a b", False)], "doc_id long, text string, learn boolean")).collect()
+    assert got[0].n_known == 0 and got[0].train_tokens == 0 and math.isclose(got[0].score, -5 * 8 * math.log10(2), abs_tol=1e-3)
+    assert lm_score.score_language(spark.createDataFrame([], "doc_id long, text string, learn boolean")).count() == 0
