@@ -17,8 +17,6 @@ ORDER, START, END = 6, 1, 2
 DISCOUNT = 0.75
 #: At most so many labelled documents teach the models, and so many more the calibration: those of lowest hash.
 FIT_ROWS, CALIBRATE_ROWS = 12_000, 6_000
-#: Grams seen less often than this in the sample are left to the shared backoff.
-LEAST = 2
 #: Words of a document whose ratios are averaged apart, and the ratio from which a word counts as an expression.
 TOP, STRONG = 3, 3.0
 _WORD = re.compile(r"\w+")
@@ -178,7 +176,7 @@ def train(sample: DataFrame) -> tuple[KneserNey, np.ndarray]:
                     yield pd.DataFrame({"g": g.astype(np.int64), "c0": c * (1 - y), "c1": c * y})
 
     counted = sample.where("part = 'fit'").select("text", "y").mapInPandas(count, "g long, c0 long, c1 long")
-    found = counted.groupBy("g").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).where(f"c0 + c1 >= {LEAST}").toPandas()
+    found = counted.groupBy("g").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).toPandas()
     model = KneserNey(found["g"].to_numpy().astype(np.uint64), found[["c0", "c1"]].to_numpy().reshape(-1, 2))
     shared = sample.sparkSession.sparkContext.broadcast(model)
 

@@ -79,3 +79,12 @@ def test_edges(spark, score, name, untaught):
     labels = spark.createDataFrame([(1, 0), (2, 1), (2, None), (None, 1)], f"doc_id long, {label} int")
     assert all(0 <= r[name] <= 1 for r in score(docs, labels).collect())
     assert score(docs.limit(0), labels).collect() == []
+
+
+def test_a_toxic_word_seen_once_counts(spark):
+    plain = "the quick brown fox jumps over the lazy dog while the old man reads the news of the day".split()
+    rows = [(" ".join(plain[i % 9 :] + plain[: i % 5]), 0, "fit") for i in range(40)] + [(" ".join(plain[i % 7 :]) + " idiot", 1, "fit") for i in range(10)]
+    rows.append((f"{rows[0][0]} zyxgrokq", 1, "fit"))
+    model, _ = tx.train(spark.createDataFrame(rows, "text string, y long, part string"))
+    assert np.isin(tx.grams_of(["zyxgrokq"])[0], model.grams).all()
+    assert model.ratios(["zyxgrokq"])[0] > 0.7 > model.ratios(["dog"])[0]
