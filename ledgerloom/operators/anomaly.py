@@ -49,15 +49,15 @@ def value_anomalies(df: DataFrame, columns: list[str], sensitivity: float = 2.5,
 
 def rare_combinations(df: DataFrame, columns: list[str], max_values: int = 20, min_support: float = 0.01, per_pair: int = 3) -> DataFrame:
     """Of each pair of columns with at most ``max_values`` values the ``per_pair`` rarest combinations under
-    ``min_support``: col1, col2, value1, value2, count, frequency. One pass: grouping sets over all pairs."""
+    ``min_support``: col1, col2, value1, value2, count, frequency. Pairs of more values go before anything is ranked."""
     need(df, *columns)
     pairs = list(combinations(range(len(columns)), 2))
     made = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(columns[i]).cast("string").alias("value1"), F.col(columns[j]).cast("string").alias("value2")) for i, j in pairs]))
     cells = df.select(made.alias("p")).select("p.*").dropna().groupBy("i", "j", "value1", "value2").agg(F.count("*").alias("count"))
     w = Window.partitionBy("i", "j")
-    kinds = F.greatest(F.size(F.collect_set("value1").over(w)), F.size(F.collect_set("value2").over(w)))
-    got = cells.withColumns({"kinds": kinds, "frequency": F.col("count") / F.sum("count").over(w)})
-    got = got.where((F.col("kinds") <= max_values) & (F.col("frequency") < min_support))
+    kinds = [F.count_distinct(c) <= max_values for c in ("value1", "value2")]
+    few = cells.groupBy("i", "j").agg(F.sum("count").alias("total"), (kinds[0] & kinds[1]).alias("few")).where("few")  # a row a pair
+    got = cells.join(F.broadcast(few), ["i", "j"]).withColumn("frequency", F.col("count") / F.col("total")).where(F.col("frequency") < min_support)
     got = got.withColumn("k", F.row_number().over(w.orderBy("count", "value1", "value2"))).where(F.col("k") <= per_pair)
     name = F.array(*map(F.lit, columns))
     return got.select(name[F.col("i")].alias("col1"), name[F.col("j")].alias("col2"), "value1", "value2", "count", "frequency")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.semantics import need, num, numbered, pct, period_start, ratio, total, with_total
@@ -88,20 +88,30 @@ def growth_metrics(df: DataFrame, date: str, revenue: str, period: str = "M") ->
     return got.select("latest_period", r("latest_revenue"), r("previous_revenue"), r("period_growth"), r("avg_growth_rate"), F.round(cagr, 2).alias("cagr"), "total_periods", trend.alias("trend"), r("total_revenue"), r("avg_period_revenue"))
 
 
+def _vital_few(threshold: float) -> Column:
+    return (F.col("cumulative_share_pct") <= threshold) | (F.col("rank") == 1)
+
+
+def vital_few_items(df: DataFrame, dimension: str, revenue: str, threshold: float = 80) -> DataFrame:
+    """A row for each of the vital few of ``pareto_analysis``: rank, item, revenue, share_pct, cumulative_share_pct."""
+    few = revenue_by_dimension(df, dimension, revenue).where(_vital_few(threshold))
+    return few.select("rank", F.col(dimension).cast("string").alias("item"), "revenue", "share_pct", "cumulative_share_pct")
+
+
 def pareto_analysis(df: DataFrame, dimension: str, revenue: str, threshold: float = 80) -> DataFrame:
     """One row on the vital few: the items in order of revenue while their cumulative share is within ``threshold``,
-    at least one. Their names come ordered; list them from ``revenue_by_dimension`` where they are very many."""
+    at least one. ``vital_few_items`` lists them."""
     d = revenue_by_dimension(df, dimension, revenue)
-    few = (F.col("cumulative_share_pct") <= threshold) | (F.col("rank") == 1)
+    few = _vital_few(threshold)
     got = d.agg(
         F.count("*").alias("total_items"), F.sum("revenue").alias("total_revenue"), F.count_if(few).alias("vital_few_count"),
-        F.sum(F.when(few, F.col("revenue"))).alias("vital_few_revenue"), F.array_sort(F.collect_list(F.when(few, F.struct("rank", F.col(dimension).cast("string").alias("item"))))).alias("items"),
+        F.sum(F.when(few, F.col("revenue"))).alias("vital_few_revenue"),
     ).where("total_items > 0")
     share, of = pct(F.col("vital_few_count"), F.col("total_items"), 10), pct(F.col("vital_few_revenue"), F.col("total_revenue"), 10)
     return got.select(
         "total_items", F.round("total_revenue", 2).alias("total_revenue"), "vital_few_count", F.round(share, 2).alias("vital_few_pct"),
         F.round("vital_few_revenue", 2).alias("vital_few_revenue"), F.round(of, 2).alias("vital_few_revenue_pct"),
-        F.col("items.item").alias("vital_few_items"), F.round(ratio(of, share), 2).alias("concentration_ratio"), ((share < 30) & (of > 70)).alias("is_concentrated"),
+        F.round(ratio(of, share), 2).alias("concentration_ratio"), ((share < 30) & (of > 70)).alias("is_concentrated"),
     )
 
 

@@ -152,3 +152,23 @@ def test_cleaning(spark):
     got = profile.prepare_for_analysis(df)
     assert got.columns == ["total_price", "name"] and [r.total_price for r in got.orderBy("total_price").collect()] == [-45.0, 12.0, 1200.0]
     assert profile.suggest_mapping(got).revenue == "total_price"
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pareto_items_are_rows(spark):
+    df = orders(spark, [(f"c{i:03d}", "2024-01-01", float(1000 - i)) for i in range(300)])
+    one, items = revenue.pareto_analysis(df, "c", "v"), revenue.vital_few_items(df, "c", "v")
+    assert "collect_list" not in plan_of(one) and "collect_list" not in plan_of(items)
+    got = items.orderBy("rank").collect()
+    assert len(got) == one.first().vital_few_count > 200
+    assert [r.item for r in got] == [f"c{i:03d}" for i in range(len(got))]
+
+
+def test_rare_combinations_hold_no_sets(spark):
+    rows = [("a" if i % 200 else "b", "x" if i % 3 else "y", f"id{i}") for i in range(1000)]
+    got = anomaly.rare_combinations(spark.createDataFrame(rows, "p string, q string, r string"), ["p", "q", "r"])
+    assert "collect_set" not in plan_of(got)
+    assert sorted((r.col1, r.col2, r.value1, r.value2, r["count"], r.frequency) for r in got.collect()) == [("p", "q", "b", "x", 3, 0.003), ("p", "q", "b", "y", 2, 0.002)]
