@@ -215,7 +215,7 @@ def _touches(s, d):
 
 
 _ARGS = ("user_id", "channel", "conversion", "ts")
-_T = "(SELECT user_id, ts, event_id, 'ch' || (event_id % 5) AS channel, CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 END AS v FROM events)"
+_T = "(SELECT user_id, ts, event_id, 'ch' || (event_id % 5) AS channel, CASE WHEN event_type = 'purchase' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM events)"
 
 
 def _end(f: str, where: str = "WHERE v > 0") -> str:
