@@ -43,12 +43,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long) of each row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fps = np.array([fingerprint(t) for t in batch["text"]], np.uint64).view(np.int64)
+            fps = np.array([fingerprint(t, shingle) for t in batch["text"]], np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "fp": fps})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, fp long")
@@ -91,14 +91,14 @@ def _link(frame: pd.DataFrame, start: np.ndarray, end: np.ndarray) -> pd.DataFra
     return pd.DataFrame({"a": ids[moved], "b": ids[label[moved]]})
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id for each row of ``docs`` (doc_id, text).
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, fp, component_id for each row of ``docs`` (doc_id, text), by shingles of ``shingle`` words.
 
     Documents of one fingerprint are one class, held by its smallest doc_id; only distinct fingerprints are compared, so
     copies cost a count. Buckets of any size are compared in blocks. Null or empty text: fingerprint zero, which links
     like any other. Null doc_id: kept, with its fingerprint's component. Repeated rows are kept; other columns
     are ignored; an empty table gives no rows."""
-    prints = stored(fingerprints(docs))
+    prints = stored(fingerprints(docs, shingle))
     classes = stored(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")))
     keyed = classes.select("id", "fp", F.explode(F.array(*_keys())).alias("key"))
     dealt = in_blocks(keyed, "key", BLOCK).repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "id")

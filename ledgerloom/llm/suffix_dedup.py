@@ -1,14 +1,15 @@
-"""Suffix dedup: bytes covered by windows that occur more than once, found by depth-limited most-significant-digit passes.
+"""Suffix dedup: what windows cover that occur more than once, found by depth-limited most-significant-digit passes.
 
-Suffixes are never ordered beyond the threshold. Each pass is one shuffle on a digit, a longer piece of the suffix's first
-``threshold`` bytes than the last one's, and only groups of two and more go on:
+Windows are of bytes or of words. Suffixes are never told apart beyond the threshold. Each pass is one shuffle on a digit,
+a longer piece of the window than the last one's, and only groups of two and more go on:
 
-1. the anchor: of the GRAM-byte pieces of a window the one of smallest hash, which equal windows have at the same place;
-2. the core: the bytes common to all windows of one stretch of places before an anchor;
+1. the anchor: of the pieces of half a window the one of smallest hash, which equal windows have at the same place;
+2. the core: the tokens common to all windows of one stretch of places before an anchor;
 3. the whole window.
 
-Windows in a row share anchor and core, so the first two passes move stretches instead of places, and most repeats
-are settled there: a stretch that occurs twice as a whole needs no third pass."""
+Windows in a row share anchor and core, so the first two passes move stretches instead of places, and most repeats are settled
+there: a stretch that occurs twice as a whole needs no third pass. Groups are told apart by 128-bit digests of the digits.
+Equal texts are one text in all passes but the first, so copies cost a row a stretch there and nothing later."""
 
 from __future__ import annotations
 
@@ -18,18 +19,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import stored, table
+from ledgerloom.llm.common import extended, passing, stored, table
 
-THRESHOLD = 400
-#: Bytes of an anchor's piece, as a share of the threshold; places of a stretch as a share of it.
+#: Bytes of a window, and words of one.
+THRESHOLD, WORDS = 400, 51
+#: Tokens of an anchor's piece, as a share of the threshold; places of a stretch as a share of it.
 GRAM_SHARE, STRETCH_SHARE = 0.5, 0.08
 _MULT = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULT, -1, 1 << 64)
-_PLACE_BITS = 28
+#: Places are numbered within chunks of so many windows, so a text may have any length.
+_CHUNK, _PLACE_BITS = 1 << 22, 24
 _BYTES = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -42,41 +46,63 @@ def _powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def piece_hashes(x: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit hash of each ``n``-byte piece of ``x``."""
-    upto = np.zeros(len(x) + 1, np.uint64)
-    np.cumsum(_BYTES[x] * _powers(_INVERSE, len(x)), out=upto[1:])
-    h = (upto[n:] - upto[:-n]) * _powers(_MULT, len(x) - n + 1)
-    h ^= h >> np.uint64(33)
-    h *= np.uint64(0xFF51AFD7ED558CCD)
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     return h ^ (h >> np.uint64(29))
 
 
+def piece_hashes(x: np.ndarray, start: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
+    """A 64-bit hash of each piece start..end of the token codes ``x``."""
+    upto = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(x * _powers(_INVERSE, len(x)), out=upto[1:])
+    return _mixed((upto[end] - upto[start]) * _powers(_MULT, len(x) + 1)[start])
+
+
+def word_places(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word, between white space of ASCII."""
+    edge = np.diff(np.concatenate([[True], _SPACE[np.frombuffer(raw, np.uint8)], [True]]).astype(np.int8))
+    return np.flatnonzero(edge < 0), np.flatnonzero(edge > 0)
+
+
+def coded(raw: bytes, words: bool) -> tuple[np.ndarray, bytes, int]:
+    """(a code for each token, the same as bytes, bytes a token): for bytes their own, for words a hash of eight bytes each."""
+    x = _BYTES[np.frombuffer(raw, np.uint8)]
+    if not words:
+        return x, raw, 1
+    start, end = word_places(raw)
+    codes = piece_hashes(x, start, end) if len(start) else np.zeros(0, np.uint64)
+    return codes, codes.tobytes(), 8
+
+
 def anchors(x: np.ndarray, threshold: int, gram: int) -> tuple[np.ndarray, ...]:
     """(hash, place, first, last): runs of window starts first..last with the same anchor at ``place``.
 
-    The anchor is the leftmost of the pieces of smallest hash, so it depends on the window's bytes alone."""
-    h = piece_hashes(x, gram)
+    The anchor is the leftmost of the pieces of smallest hash, so it depends on the window's tokens alone."""
+    out = []
     width = threshold - gram + 1
     low = np.uint64((1 << _PLACE_BITS) - 1)
-    packed = (h & ~low) | (np.arange(len(h), dtype=np.uint64) & low)
-    fill = np.full(-len(packed) % width, ~np.uint64(0))
-    blocks = np.concatenate([packed, fill]).reshape(-1, width)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    n = len(x) - threshold + 1
-    least = np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
-    first = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
-    place = (least[first] & low).astype(np.int64)
-    return h[place].view(np.int64), place, first, np.append(first[1:], n) - 1
-
-
-def _digit_one(threshold: int, gram: int):
+    for at in range(0, len(x) - threshold + 1, _CHUNK):
+        part = x[at : at + _CHUNK + threshold - 1]
+        h = piece_hashes(part, slice(0, len(part) - gram + 1), slice(gram, len(part) + 1))
+        packed = (h & ~low) | (np.arange(len(h), dtype=np.uint64) & low)
+        fill = np.full(-len(packed) % width, ~np.uint64(0))
+        blocks = np.concatenate([packed, fill]).reshape(-1, width)
+        ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+        behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+        n = len(part) - threshold + 1
+        least = np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
+        first = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+        place = (least[first] & low).astype(np.int64)
+        out.append((h[place].view(np.int64), place + at, first + at, np.append(first[1:], n) - 1 + at))
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+
+def _digit_one(threshold: int, gram: int, words: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            held: list[pd.DataFrame] = []
+            held: list[tuple] = []
             for k1, k2, text in zip(batch["k1"], batch["k2"], batch["text"], strict=True):
-                x = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+                x, _, _ = coded(text.encode("utf-8", "replace"), words)
                 if len(x) >= threshold:
                     h, place, first, last = anchors(x, threshold, gram)
                     held.append((h, np.full(len(h), k1), np.full(len(h), k2), place, first, last))
@@ -86,29 +112,30 @@ def _digit_one(threshold: int, gram: int):
     return run
 
 
-def _digit_two(threshold: int, stretch: int):
+def _digit_two(threshold: int, stretch: int, words: bool):
+    """Rows of the second pass: what lies around the core in ``f``; ``core`` and ``v`` (the whole stretch) as digests."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        digest = xxhash.xxh64_intdigest
+        digest = xxhash.xxh3_128_digest
         for batch in batches:
             out = []
             for k1, k2, text, runs in zip(batch["k1"], batch["k2"], batch["text"], batch["runs"], strict=True):
-                x = text.encode("utf-8", "replace")
+                _, x, u = coded(text.encode("utf-8", "replace"), words)
                 for r in runs:
                     a, low, high = r["a"], r["a"] - r["e"], r["a"] - r["s"]
                     for q in range(low // stretch, high // stretch + 1):
                         o1, o2 = max(low, q * stretch), min(high, q * stretch + stretch - 1)
-                        begin, end = a - q * stretch, a - (q + 1) * stretch + 1 + threshold
-                        out.append((digest(x[begin:end], q), q, o1, o2, x[a - o2 : begin] + x[end : a - o1 + threshold], k1, k2, a))
+                        begin, end = u * (a - q * stretch), u * (a - (q + 1) * stretch + 1 + threshold)
+                        first, last = u * (a - o2), u * (a - o1 + threshold)
+                        out.append((digest(x[begin:end], q), digest(x[first:last], o1 << 32 | o2), q, o1, o2, x[first:begin] + x[end:last], k1, k2, a))
             if out:
-                made = pd.DataFrame(out, columns=["core", "q", "o1", "o2", "f", "k1", "k2", "a"])
-                made["core"] = made["core"].to_numpy(np.uint64).view(np.int64)
-                yield made
+                yield pd.DataFrame(out, columns=["core", "v", "q", "o1", "o2", "f", "k1", "k2", "a"])
 
     return run
 
 
 def merged(spans: list) -> list[tuple[int, int]]:
-    """Maximal runs of bytes in overlapping or touching spans."""
+    """Maximal runs of tokens in overlapping or touching spans."""
     out: list[tuple[int, int]] = []
     for s, e in sorted(spans):
         if out and s <= out[-1][1]:
@@ -118,38 +145,54 @@ def merged(spans: list) -> list[tuple[int, int]]:
     return out
 
 
-def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """k1, k2 (hash of the text; doc_id) and spans, array of (start, end): the bytes of each text of ``docs`` that windows
-    of ``threshold`` bytes cover which start anywhere else too. Texts without any are left out."""
+def _text_keys() -> list[Column]:
+    """128 bits that tell texts apart."""
+    text = F.col("text").cast("string")
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2")]
+
+
+def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, words: bool = False) -> DataFrame:
+    """k1, k2 (two hashes of the text) and spans, array of (start, end): the tokens of each different text of ``docs`` that
+    windows of ``threshold`` bytes, or words, cover which start anywhere else too. Texts without any are left out."""
     gram, stretch = max(1, int(threshold * GRAM_SHARE)), max(1, int(threshold * STRETCH_SHARE))
-    texts = docs.select(F.xxhash64("text").alias("k1"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("k2"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") >= threshold)
-    one = stored(texts.mapInPandas(_digit_one(threshold, gram), "h long, k1 long, k2 long, a int, s int, e int"))
-    twice = stored(one.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
-    runs = stored(one.join(twice, "h").select("k1", "k2", F.struct("a", "s", "e").alias("run")))
-    by_text = runs.groupBy("k1", "k2").agg(F.collect_list("run").alias("runs"))
-    fields = "core long, q int, o1 int, o2 int, f binary, k1 long, k2 long, a int"
-    two = stored(texts.join(by_text, ["k1", "k2"]).mapInPandas(_digit_two(threshold, stretch), fields).withColumn("v", F.xxhash64("core", "o1", "o2", "f")))
-    # stretches that are equal as a whole are one variant; a core with other variants goes through the third pass
-    variants = stored(two.groupBy("v").agg(F.first("core").alias("core"), F.first("q").alias("q"), F.first("o1").alias("o1"), F.first("o2").alias("o2"), F.first("f").alias("f"), F.count("*").alias("n")))
-    several = stored(variants.groupBy("core").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("core"))
-    open_ = variants.join(several, "core")
-    window = open_.select("v", "n", "core", F.explode(F.sequence("o1", "o2")).alias("o"), (F.col("o2") - F.col("q") * stretch).alias("left"), F.col("q").alias("q"), "f", "o1")
-    before = F.expr(f"substring(f, left - (o - q * {stretch}) + 1, o - q * {stretch})")
-    after = F.expr(f"substring(f, left + 1, (q + 1) * {stretch} - 1 - o)")
-    window = stored(window.select("v", "n", "o", F.xxhash64("core", "o", before, F.lit("|"), after).alias("w")))
-    again = stored(window.groupBy("w").agg(F.count("*").alias("m")).where("m > 1").select("w"))
-    found = stored(window.where("n = 1").join(again, "w").groupBy("v").agg(F.collect_set("o").alias("os")))
-    settled = variants.join(found, "v", "left").where("n > 1 or os is not null").select("v", F.when(F.col("n") == 1, F.col("os")).alias("os"))
-    place = lambda o1, o2: F.struct((F.col("a") - o2).alias("start"), (F.col("a") - o1 + threshold).alias("end"))
-    spans = F.when(F.col("os").isNull(), F.array(place(F.col("o1"), F.col("o2")))).otherwise(F.transform("os", lambda o: place(o, o)))
-    hit = two.select("v", "k1", "k2", "a", "o1", "o2").join(stored(settled), "v").select("k1", "k2", spans.alias("spans"))
-    return hit.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-
-
-def with_spans(docs: DataFrame, threshold: int, keep: tuple[str, ...]) -> DataFrame:
-    found = stored(repeated_spans(docs, threshold))
-    rows = docs.select(*keep, F.xxhash64("text").alias("k1"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("k2"))
-    return rows.join(found, ["k1", "k2"], "left").drop("k1", "k2")
+    u = 8 if words else 1
+    with passing(docs.sparkSession):
+        texts = docs.select(*_text_keys(), F.col("text").cast("string").alias("text")).where(F.octet_length("text") >= (2 * threshold - 1 if words else threshold))
+        one = stored(texts.mapInPandas(_digit_one(threshold, gram, words), "h long, k1 long, k2 long, a long, s long, e long"))
+        twice = stored(one.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+        # a set, so that the copies of a text bring its runs once
+        runs = one.join(twice, "h").groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "s", "e")).alias("runs"))
+        kinds = texts.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+        fields = "core binary, v binary, q long, o1 long, o2 long, f binary, k1 long, k2 long, a long"
+        two = stored(kinds.join(runs, ["k1", "k2"]).select("k1", "k2", "text", "runs").mapInPandas(_digit_two(threshold, stretch, words), fields))
+        # stretches that are equal as a whole are one variant; a core with other variants goes through the third pass
+        variants = stored(two.groupBy("v").agg(F.first("core").alias("core"), F.first("q").alias("q"), F.first("o1").alias("o1"), F.first("o2").alias("o2"), F.first("f").alias("f"), F.count("*").alias("n")))
+        several = stored(variants.groupBy("core").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("core"))
+        open_ = variants.join(several, "core")
+        window = open_.select("v", "n", "core", F.explode(F.sequence("o1", "o2")).alias("o"), (F.col("o2") - F.col("q") * stretch).alias("left"), F.col("q").alias("q"), "f")
+        before = F.expr(f"substring(f, CAST({u} * (left - (o - q * {stretch})) + 1 AS INT), CAST({u} * (o - q * {stretch}) AS INT))")
+        after = F.expr(f"substring(f, CAST({u} * left + 1 AS INT), CAST({u} * ((q + 1) * {stretch} - 1 - o) AS INT))")
+        window = stored(window.select("v", "n", "o", F.unhex(F.md5(F.concat("core", F.col("o").cast("string").cast("binary"), F.lit(b"|"), before, after))).alias("w")))
+        again = stored(window.groupBy("w").agg(F.count("*").alias("m")).where("m > 1").select("w"))
+        found = stored(window.where("n = 1").join(again, "w").groupBy("v").agg(F.collect_set("o").alias("os")))
+        settled = variants.join(found, "v", "left").where("n > 1 or os is not null").select("v", F.when(F.col("n") == 1, F.col("os")).alias("os"))
+        place = lambda o1, o2: F.struct((F.col("a") - o2).alias("start"), (F.col("a") - o1 + threshold).alias("end"))
+        spans = F.when(F.col("os").isNull(), F.array(place(F.col("o1"), F.col("o2")))).otherwise(F.transform("os", lambda o: place(o, o)))
+        hit = two.select("v", "k1", "k2", "a", "o1", "o2").join(stored(settled), "v").select("k1", "k2", spans.alias("spans"))
+        by_text = hit.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        # a text that occurs twice is repeated from its first window to its last; an end beyond the text is cut to it
+        whole = texts.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.max(F.octet_length("text")).cast("long").alias("end")).where("copies > 1")
+        whole = whole.select("k1", "k2", F.array(F.struct(F.lit(0).cast("long").alias("start"), "end")).alias("all"))
+        both = by_text.join(whole, ["k1", "k2"], "full").select("k1", "k2", F.coalesce("all", "spans").alias("spans"))
+        return stored(both, outlives=True)
+
+
+def with_spans(docs: DataFrame, threshold: int, keep: tuple[str, ...], words: bool = False, name: str = "spans") -> DataFrame:
+    """The columns ``keep`` of ``docs`` and ``name``: what ``repeated_spans`` tells of each row's text."""
+    keys = [f"{name}_1", f"{name}_2"]
+    found = repeated_spans(docs, threshold, words).toDF(*keys, name)
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], *[k.alias(n) for k, n in zip(_text_keys(), keys, strict=True)])
+    return rows.join(found, keys, "left").drop(*keys)
 
 
 def cut(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -173,40 +216,57 @@ def whole_characters(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int
     return out
 
 
-def _listed(spans) -> list[tuple[int, int]]:
-    return merged([(r["start"], r["end"]) for r in spans]) if spans is not None else []
+def _listed(spans, n: int, threshold: int) -> list[tuple[int, int]]:
+    """Maximal runs of ``spans`` in a text of ``n`` tokens; a whole text that is shorter than a window is none."""
+    return merged([(r["start"], min(r["end"], n)) for r in spans]) if spans is not None and n >= threshold else []
 
 
-def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, words: bool = False) -> DataFrame:
     """The columns of ``docs`` (doc_id, text, ...) with every repeated passage cut from text, and n_removed (bytes).
 
-    All occurrences go, as judged on the input; characters stay whole. Null text stays null; texts shorter than the
-    threshold stay as they are. Rows of equal doc_id and text are repeats of one another. Null doc_id is an id of its
-    own. No rows give none."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    A passage is what windows of ``threshold`` bytes, or ``words``, cover that start anywhere else too, as judged on the
+    input; all its occurrences go. Characters stay whole. Null text stays null; texts shorter than the threshold stay as
+    they are. Every row is a text of its own, also where doc_id and text are those of another row: both are repeats then.
+    Null doc_ids are as good as any. A column of ``docs`` named n_removed is replaced, all others are kept whatever their
+    names. No rows give none."""
+    docs, fields = extended(docs, n_removed="long")
+    mark = "repeated_spans__"
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark += "_"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts, removed = [], []
-            for text, spans in zip(batch["text"], batch["spans__"], strict=True):
-                raw = (text or "").encode("utf-8", "replace")
-                gone = whole_characters(raw, _listed(spans))
+            for text, spans in zip(batch["text"], batch[mark], strict=True):
+                raw, gone = (text or "").encode("utf-8", "replace"), []
+                if spans is not None and words:
+                    start, end = word_places(raw)
+                    gone = [(int(start[s]), int(end[e - 1])) for s, e in _listed(spans, len(start), threshold)]
+                elif spans is not None:
+                    gone = whole_characters(raw, _listed(spans, len(raw), threshold))
                 texts.append(cut(raw, gone).decode() if gone else text)
                 removed.append(sum(e - s for s, e in gone))
-            yield batch.drop(columns="spans__").assign(text=texts, n_removed=removed)
+            yield batch.drop(columns=mark).assign(text=texts, n_removed=removed)
 
-    rows = with_spans(docs, threshold, tuple(docs.columns)).withColumnRenamed("spans", "spans__")
-    return rows.mapInPandas(run, f"{fields}, n_removed long")
+    return with_spans(docs, threshold, tuple(docs.columns), words, mark).mapInPandas(run, fields)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns at THRESHOLD bytes, and n_passage_words: the words covered by windows of WORDS words that
+    start anywhere else too, which also tells passages of over 50 short words."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc_id, text, spans in zip(batch["doc_id"], batch["text"], batch["spans"], strict=True):
-                raw, gone = (text or "").encode("utf-8", "replace"), _listed(spans)
-                out.append((doc_id, len(raw), sum(e - s for s, e in gone), len(gone), hashlib.sha256(cut(raw, gone)).hexdigest()))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return with_spans(docs, THRESHOLD, ("doc_id", "text")).mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+            for doc_id, text, spans, passages in zip(batch["doc_id"], batch["text"], batch["spans"], batch["passages"], strict=True):
+                raw = (text or "").encode("utf-8", "replace")
+                gone = _listed(spans, len(raw), THRESHOLD)
+                long = sum(e - s for s, e in _listed(passages, len(word_places(raw)[0]), WORDS)) if passages is not None else 0
+                out.append((doc_id, len(raw), sum(e - s for s, e in gone), len(gone), hashlib.sha256(cut(raw, gone)).hexdigest(), long))
+            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words"])
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("string").alias("text"))
+    passages = repeated_spans(docs, WORDS, words=True).withColumnRenamed("spans", "passages")
+    found = repeated_spans(docs, THRESHOLD).join(passages, ["k1", "k2"], "full")
+    rows = docs.select("doc_id", "text", *_text_keys()).join(found, ["k1", "k2"], "left").select("doc_id", "text", "spans", "passages")
+    return rows.mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long")
