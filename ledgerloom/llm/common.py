@@ -152,6 +152,24 @@ def over_groups(work: Callable[[pd.DataFrame, np.ndarray, np.ndarray], pd.DataFr
     return run
 
 
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str], rows: int = 50_000) -> Iterator[pd.DataFrame]:
+    """Frames of whole groups of equal ``keys``, from batches in which the rows of a group follow one another."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(batch)
+        if sum(map(len, held)) >= rows:
+            frame = pd.concat(held, ignore_index=True)
+            same = np.logical_and.reduce([(frame[k] == frame[k].iloc[-1]).to_numpy() for k in keys])
+            cut = 0 if same.all() else int(np.flatnonzero(~same)[-1]) + 1
+            if cut:
+                yield frame.iloc[:cut]
+            held = [frame.iloc[cut:]]
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def pairs_by_lag(frame: pd.DataFrame, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of rows of the same group, lag by lag; of a pair of blocks only those across both."""
     blk, across = frame["blk"].to_numpy(), (frame["bi"] != frame["bj"]).to_numpy()
