@@ -11,12 +11,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import table
+from ledgerloom.llm.common import extended, table
 from ledgerloom.llm.toxicity import fold, labelled
 
-#: At most so many labelled documents teach the field: those of lowest hash. A longer one teaches in pieces of PIECE lines.
-FIT_ROWS, PIECE = 6_000, 64
-STEPS, RATE, RIDGE = 120, 0.15, 1e-3
+#: At most so many labelled documents teach the field, those of lowest hash, with no more than FIT_BYTES of text together;
+#: documents of over TEXT_BYTES are scored like all others but teach nothing.
+FIT_ROWS, FIT_BYTES, TEXT_BYTES = 6_000, 24 << 20, 1 << 15
+STEPS, RATE, RIDGE = 80, 0.15, 1e-3
+#: Step of the difference quotients.
+_TILT = 1e-3
 #: Upper edges of the buckets of shares, and of word counts and word lengths.
 SHARES = np.array([0.0, 0.01, 0.03, 0.06, 0.12, 0.25, 0.5, 0.75])
 COUNTS = np.array([0, 1, 3, 6, 12, 25, 60, 150])
@@ -75,69 +78,85 @@ def with_neighbours(own: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.concatenate([own, before, after], axis=1) + offset
 
 
-def marginals(emit: np.ndarray, sizes: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def marginals(emit: np.ndarray, sizes: np.ndarray, trans: np.ndarray, start: np.ndarray, pairs: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """P(good) of each line, and of all lines but the first of each text the pairwise probabilities, with their rows.
 
-    ``emit``: score of good against bad, line by line. Forward and backward run over all texts at once, step by step."""
+    ``emit``: score of good against bad, line by line. Forward and backward run over all texts at once, step by step, as odds
+    of good against bad: what a line passes on is (a + b odds) / (c + d odds)."""
     order = np.argsort(-sizes, kind="stable")
     first = (np.cumsum(sizes) - sizes)[order]
     left = sizes[order]
     n = len(emit)
-    fwd, bwd = np.zeros((n, 2)), np.zeros((n, 2))
-    e = np.stack([np.zeros(n), emit], axis=1)
-    active = [np.searchsorted(-left, -t, side="left") for t in range(int(left.max(initial=0)))]  # texts with more than t lines
-    for t, k in enumerate(active):
-        at = first[:k] + t
-        if t == 0:
-            a = start + e[at]
+    e = np.exp(np.clip(emit, -30, 30))
+    t = np.exp(np.clip(trans, -30, 30))
+    fwd, bwd = np.zeros(n), np.ones(n)
+    active = np.searchsorted(-left, -np.arange(int(left.max(initial=0))), side="left").tolist()  # texts with more than so many lines
+    for k, many in enumerate(active):
+        at = first[:many] + k
+        if k == 0:
+            fwd[at] = e[at] * np.exp(np.clip(start[1] - start[0], -30, 30))
         else:
-            prev = fwd[at - 1]
-            a = e[at] + np.logaddexp(prev[:, :1] + trans[0], prev[:, 1:] + trans[1])
-        fwd[at] = a - np.logaddexp(a[:, 0], a[:, 1])[:, None]
-    for t in range(len(active) - 1, 0, -1):
-        at = first[: active[t]] + t
-        nxt = e[at] + bwd[at]
-        b = np.logaddexp(trans[:, 0][None, :] + nxt[:, :1], trans[:, 1][None, :] + nxt[:, 1:])
-        bwd[at - 1] = b - np.logaddexp(b[:, 0], b[:, 1])[:, None]
-    p = fwd + bwd
-    p = np.exp(p - np.logaddexp(p[:, 0], p[:, 1])[:, None])
+            r = fwd[at - 1]
+            fwd[at] = e[at] * ((t[0, 1] + t[1, 1] * r) / (t[0, 0] + t[1, 0] * r))
+    for k in range(len(active) - 1, 0, -1):
+        at = first[: active[k]] + k
+        r = e[at] * bwd[at]
+        bwd[at - 1] = (t[1, 0] + t[1, 1] * r) / (t[0, 0] + t[0, 1] * r)
+    odds = fwd * bwd
+    p = odds / (1 + odds)
+    if not pairs:
+        return p, np.zeros((0, 2, 2)), np.zeros(0, np.int64)
     later = np.ones(n, bool)
     later[np.cumsum(sizes) - sizes] = False
     rows = np.flatnonzero(later)
-    pair = fwd[rows - 1][:, :, None] + trans[None] + (e[rows] + bwd[rows])[:, None, :]
-    pair = np.exp(pair - np.logaddexp.reduce(pair.reshape(-1, 4), axis=1)[:, None, None]) if len(rows) else np.zeros((0, 2, 2))
-    return p[:, 1], pair, rows
+    before, after = fwd[rows - 1], e[rows] * bwd[rows]
+    one = np.ones(len(rows))
+    pair = np.stack([one, after, before, before * after], axis=1).reshape(-1, 2, 2) * t[None]
+    return p, pair / pair.sum(axis=(1, 2), keepdims=True), rows
 
 
-def fit_field(own: np.ndarray, sizes: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(weights, transitions, start) by gradient ascent with momentum on the conditional likelihood; all lines of
-    a text bear its label. A text longer than PIECE lines is cut into pieces, so long texts bound no step."""
+def fit_field(own: np.ndarray, sizes: np.ndarray, length: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(weights, transitions, start) by gradient descent with momentum on the cross-entropy of the texts' labels under the texts'
+    scores, the means of P(good) over their lines by length.
+
+    The labels of lines are latent: a bad text may hold good lines. How a text's score moves with a line's emission or
+    a transition is the covariance of that with the length-weighted labels, which is the change of the marginals when the
+    emissions are tilted by the lengths."""
     feats = with_neighbours(own, sizes)
-    y = np.repeat(good, sizes)
-    cut = [min(PIECE, n - at) for n in sizes for at in range(0, n, PIECE)]
-    sizes = np.array(cut, np.int64)
     first = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    share = (length + 1) / np.bincount(owner, weights=length + 1)[owner]
+    tilt = _TILT * share * sizes[owner]
     params = np.zeros(3 * N_STATS * N_BUCKETS + 6)
     m, v = np.zeros_like(params), np.zeros_like(params)
     w_n = len(params) - 6
     for step in range(1, STEPS + 1):
         w, trans, start = params[:w_n], params[w_n : w_n + 4].reshape(2, 2), params[w_n + 4 :]
-        p, pair, rows = marginals(w[feats].sum(axis=1), sizes, trans, start)
+        emit = w[feats].sum(axis=1)
+        p, pair, rows = marginals(emit + tilt, sizes, trans, start)
+        q, pair2, _ = marginals(emit - tilt, sizes, trans, start)
+        score = np.clip(np.bincount(owner, weights=share * (p + q) / 2), 1e-6, 1 - 1e-6)
+        slope = (score - good) / (score * (1 - score)) / (2 * _TILT * sizes)  # of the loss, for a unit of tilt
+        moved = (p - q) * slope[owner]
         grad = np.zeros_like(params)
-        grad[:w_n] = np.bincount(feats.ravel(), weights=np.repeat(y - p, feats.shape[1]), minlength=w_n)
-        seen = np.zeros((2, 2))
-        np.add.at(seen, (y[rows - 1], y[rows]), 1)
-        grad[w_n : w_n + 4] = (seen - pair.sum(axis=0)).ravel()
-        grad[w_n + 4 :] = [np.sum(p[first] - y[first]), np.sum(y[first] - p[first])]
-        grad = grad / len(sizes) - RIDGE * params
+        grad[:w_n] = np.bincount(feats.ravel(), weights=np.repeat(moved, feats.shape[1]), minlength=w_n)
+        grad[w_n : w_n + 4] = ((pair - pair2) * slope[owner[rows]][:, None, None]).sum(axis=0).ravel()
+        grad[w_n + 4 :] = [-moved[first].sum(), moved[first].sum()]
+        grad = grad / len(sizes) + RIDGE * params
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        params = params + RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        params = params - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return params[:w_n], params[w_n : w_n + 4].reshape(2, 2), params[w_n + 4 :]
 
 
-def quality_of(texts: list[str | None], field: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+def line_marginals(texts: list[str | None], field: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(P(good) of each line, its bytes, lines of each text)."""
     own, length, sizes = line_buckets(texts)
-    p, _, _ = marginals(field[0][with_neighbours(own, sizes)].sum(axis=1), sizes, field[1], field[2])
+    p, _, _ = marginals(field[0][with_neighbours(own, sizes)].sum(axis=1), sizes, field[1], field[2], pairs=False)
+    return p, length, sizes
+
+
+def quality_of(texts: list[str | None], field: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    p, length, sizes = line_marginals(texts, field)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     return np.bincount(owner, weights=p * (length + 1)) / np.bincount(owner, weights=length + 1)
 
@@ -145,23 +164,26 @@ def quality_of(texts: list[str | None], field: tuple[np.ndarray, np.ndarray, np.
 def score_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The columns of ``docs`` (doc_id, text, ...) and quality_score (0 to 1; 0.5 and more: good) for every row.
 
-    ``labels`` (doc_id, quality): the labelled documents that may teach, of which ``fit_rows`` are taken. Null and empty
-    texts are one empty line. Without labels of both kinds all scores are 0.5. Repeated rows are kept; rows are
-    scored one by one, in whole, without a shuffle."""
-    sample = labelled(docs, labels, "quality", fit_rows, 0).select("text", "y")
+    ``labels`` (doc_id, quality): the labelled documents that may teach, of which ``fit_rows`` are taken (bounds in bytes:
+    FIT_BYTES, TEXT_BYTES). Null and empty texts are one empty line. Without labels of both kinds all scores are 0.5. Repeated
+    rows are kept; rows are scored one by one, in whole, without a shuffle. A column named quality_score is replaced."""
+    sample = labelled(docs, labels, "quality", fit_rows, 0, FIT_BYTES, TEXT_BYTES).select("text", "y")
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            own, _, sizes = line_buckets(batch["text"].tolist())
-            rows = np.split(own.astype(np.uint8), np.cumsum(sizes)[:-1]) if len(sizes) else []
-            yield pd.DataFrame({"y": batch["y"].to_numpy(), "lines": [x.tobytes() for x in rows]})
+            own, length, sizes = line_buckets(batch["text"].tolist())
+            cut = np.cumsum(sizes)[:-1]
+            rows = [[x.tobytes() for x in np.split(v, cut)] if len(sizes) else [] for v in (own.astype(np.uint8), length)]
+            yield pd.DataFrame({"y": batch["y"].to_numpy(), "lines": rows[0], "sizes": rows[1]})
 
-    seen = sample.mapInPandas(measure, "y long, lines binary").toPandas().sort_values(["y", "lines"], ignore_index=True)
+    seen = sample.mapInPandas(measure, "y long, lines binary, sizes binary").toPandas().sort_values(["y", "lines", "sizes"], ignore_index=True)
     field = (np.zeros(3 * N_STATS * N_BUCKETS), np.zeros((2, 2)), np.zeros(2))
     if seen["y"].nunique() == 2:
         own = np.frombuffer(b"".join(seen["lines"]), np.uint8).reshape(-1, N_STATS).astype(np.int64)
-        field = fit_field(own, seen["lines"].map(len).to_numpy() // N_STATS, seen["y"].to_numpy().astype(np.int64))
+        length = np.frombuffer(b"".join(seen["sizes"]), np.int64)
+        field = fit_field(own, seen["lines"].map(len).to_numpy() // N_STATS, length, seen["y"].to_numpy().astype(np.int64))
     shared = docs.sparkSession.sparkContext.broadcast(field)
+    docs, fields = extended(docs, quality_score="double")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -169,8 +191,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
                 part = batch.iloc[at : at + _TEXTS]
                 yield part.assign(quality_score=quality_of(part["text"].tolist(), shared.value))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInPandas(score, f"{fields}, quality_score double")
+    return docs.mapInPandas(score, fields)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

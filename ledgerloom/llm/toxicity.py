@@ -7,16 +7,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import stored, table
+from ledgerloom.llm.common import extended, stored, table
 
 #: A word is read byte by byte, each byte after the ORDER - 1 before it; START pads its front, END closes it.
 ORDER, START, END = 6, 1, 2
 DISCOUNT = 0.75
-#: At most so many labelled documents teach the models, and so many more the calibration: those of lowest hash.
+#: At most so many labelled documents teach the models, and so many more the calibration: those of lowest hash, as long as
+#: their texts have no more than FIT_BYTES together; documents of over TEXT_BYTES are scored like all others but teach nothing.
 FIT_ROWS, CALIBRATE_ROWS = 12_000, 6_000
+FIT_BYTES, TEXT_BYTES = 96 << 20, 1 << 16
 #: Words of a document whose ratios are averaged apart, and the ratio from which a word counts as an expression.
 TOP, STRONG = 3, 3.0
 _WORD = re.compile(r"\w+")
@@ -150,13 +152,20 @@ def fold(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, fit_rows: int, calibrate_rows: int) -> DataFrame:
-    """text, y, part ('fit' or 'calibrate') of a bounded sample of labelled rows: those of lowest hash."""
+def labelled(docs: DataFrame, labels: DataFrame, label: str, fit_rows: int, calibrate_rows: int, fit_bytes: int = FIT_BYTES, text_bytes: int = TEXT_BYTES) -> DataFrame:
+    """text, y, part ('fit' or 'calibrate') of a bounded sample of labelled rows: those of lowest hash of doc_id.
+
+    Bounds: rows, bytes of a text and bytes of all texts. Of several rows of a doc_id one counts: the least text."""
     want = labels.where(f"{label} in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max(label).alias("y"))
     want = want.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(fit_rows + calibrate_rows)
     part = F.when(F.pmod(F.xxhash64(F.col("h")), F.lit(fit_rows + calibrate_rows)) < fit_rows, "fit").otherwise("calibrate")
-    want = stored(want.withColumn("part", part).drop("h"))
-    return stored(docs.select("doc_id", "text").join(want, "doc_id").select(F.col("text").cast("string").alias("text"), "y", "part"))
+    want = stored(want.withColumn("part", part))
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") <= text_bytes)
+    found = stored(texts.join(want, "doc_id").groupBy("doc_id", "y", "part", "h").agg(F.min("text").alias("text")))
+    # at most fit_rows + calibrate_rows rows, without their texts
+    before = Window.orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    fits = found.select("doc_id", "h", F.octet_length("text").cast("long").alias("size")).withColumn("upto", F.sum("size").over(before)).where(F.col("upto") <= fit_bytes)
+    return stored(found.join(fits.select("doc_id"), "doc_id", "left_semi").select("text", "y", "part"))
 
 
 def train(sample: DataFrame) -> tuple[KneserNey, np.ndarray]:
@@ -195,10 +204,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
     """The columns of ``docs`` (doc_id, text, ...) and tox_score (0 to 1; 0.5 and more: toxic) for every row.
 
     ``labels`` (doc_id, toxic): the labelled documents that may teach; the sample is bounded by ``fit_rows`` and
-    ``calibrate_rows``. Null and empty texts get the calibration's own prior. Without labels of both kinds all scores
-    are 0, so that nothing is rejected unseen. Repeated rows are kept; rows are scored one by one, in whole, without a shuffle."""
+    ``calibrate_rows``, and in bytes (``labelled``). Null and empty texts get the calibration's own prior. Without labels
+    of both kinds all scores are 0, so that nothing is rejected unseen. Repeated rows are kept; rows are scored one by
+    one, in whole, without a shuffle. A column of ``docs`` named tox_score is replaced."""
     model, weights = train(labelled(docs, labels, "toxic", fit_rows, calibrate_rows))
     shared = docs.sparkSession.sparkContext.broadcast((model, weights))
+    docs, fields = extended(docs, tox_score="double")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, weights = shared.value
@@ -209,8 +220,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
                 z = features(part["text"].tolist(), model, known) @ weights
                 yield part.assign(tox_score=1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInPandas(score, f"{fields}, tox_score double")
+    return docs.mapInPandas(score, fields)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
