@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import table
 
-#: One of these between boundaries rejects a URL.
-STRICT_TERMS = ("porn", "xxx", "casino", "viagra", "cheap-pills", "spam-farm", "warez", "malware", "phishing")
-#: So many different ones of these reject a URL.
-SOFT_TERMS = ("free", "win", "prize", "cheap", "pills", "spam", "farm", "bet", "loan", "click", "download", "crack", "adult", "deal", "bonus")
-SOFT_LIMIT = 2
+#: (term, kind, weight): the vocabulary of the query, an example; others come as a table. A strict term rejects a URL, different
+#: soft terms do so together from SOFT_LIMIT on.
+TERMS = (
+    *((t, "strict", 1.0) for t in ("porn", "xxx", "casino", "viagra", "warez", "malware", "phishing", "escort", "torrent")),
+    *((t, "soft", 1.0) for t in ("win", "prize", "cheap", "pills", "spam", "farm", "bet", "loan", "crack", "adult", "bonus")),
+    *((t, "soft", 0.5) for t in ("free", "click", "download", "deal", "best", "online", "offer")),
+)
+SOFT_LIMIT = 2.0
 #: Rules of the query: host and path in one string, verdict.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 
@@ -46,63 +49,68 @@ def longest_rule(host: str, path: str, rules: dict[str, dict[str, str]]) -> tupl
     return best or (None, None)
 
 
-def vocabulary(strict: tuple[str, ...], soft: tuple[str, ...]) -> ahocorasick.Automaton:
+def vocabulary(terms: list[tuple[str, str, float]]) -> ahocorasick.Automaton:
+    """Of the rows of a term strict goes before soft and the larger weight before the smaller."""
     words = ahocorasick.Automaton()
-    for kind, terms in (("soft", soft), ("strict", strict)):
-        for t in terms:
-            words.add_word(t, (kind, t))
+    for term, kind, weight in sorted(terms, key=lambda t: (t[1] == "strict", t[2])):
+        words.add_word(term.lower(), (kind, term.lower(), weight))
     words.make_automaton()
     return words
 
 
-def term_hits(url: str, words: ahocorasick.Automaton) -> tuple[int, int]:
-    """Different strict and soft terms that stand in the lower-cased URL with no letter or digit on either side."""
+def _part_of_word(c: str) -> bool:
+    return "a" <= c <= "z" or "0" <= c <= "9"
+
+
+def term_hits(url: str, words: ahocorasick.Automaton) -> tuple[int, int, float]:
+    """Different strict terms, different soft terms and the weight of these, that stand in the lower-cased URL with no ASCII
+    letter or digit on either side."""
     url = url.lower()
-    hits = set()
-    for end, (kind, term) in words.iter(url):
+    hits = {}
+    for end, (kind, term, weight) in words.iter(url):
         start = end - len(term)
-        if (start < 0 or not url[start].isalnum()) and (end + 1 == len(url) or not url[end + 1].isalnum()):
-            hits.add((kind, term))
-    strict = sum(kind == "strict" for kind, _ in hits)
-    return strict, len(hits) - strict
+        if (start < 0 or not _part_of_word(url[start])) and (end + 1 == len(url) or not _part_of_word(url[end + 1])):
+            hits[term] = kind, weight
+    soft = [w for kind, w in hits.values() if kind != "strict"]
+    return len(hits) - len(soft), len(soft), float(sum(soft))
 
 
-def judge_urls(pages: DataFrame, rules: tuple = RULES, strict: tuple = STRICT_TERMS, soft: tuple = SOFT_TERMS, soft_limit: int = SOFT_LIMIT) -> DataFrame:
-    """page_id, host, path, rule, verdict, n_strict, n_soft for each row of ``pages`` (page_id, url).
+def judge_urls(pages: DataFrame, rules: tuple = RULES, terms: tuple | DataFrame = TERMS, soft_limit: float = SOFT_LIMIT) -> DataFrame:
+    """page_id, host, path, rule, verdict, n_strict, n_soft, soft_weight for each row of ``pages`` (page_id, url).
 
-    Without a fitting rule one strict term or ``soft_limit`` different soft terms block. Null or empty url: host and
-    path empty, allowed. Repeated rows are kept, null ids stay null, other columns are ignored, no rows give none.
-    Rules and terms are parameters of fixed size; a URL is judged alone, so there is no shuffle."""
+    ``terms`` (term, kind, weight): the vocabulary, as rows or as a table, which is collected: it has to fit in a task's
+    memory as the automaton does. Without a fitting rule a strict term blocks, and so do different soft terms whose weights
+    make up ``soft_limit``. Null or empty url: host and path empty, allowed. Repeated rows are kept, null ids stay null,
+    other columns are ignored, no rows give none. A URL is judged alone, so there is no shuffle."""
     by_host: dict[str, dict[str, str]] = {}
     for rule, verdict in rules:
         host, slash, path = rule.partition("/")
         by_host.setdefault(host.lower(), {})[slash + path] = verdict
+    if isinstance(terms, DataFrame):
+        terms = [tuple(r) for r in terms.where("term <> '' and kind in ('strict', 'soft')").select("term", "kind", F.coalesce(F.col("weight").cast("double"), F.lit(1.0))).collect()]
+    listed = [t for t in terms if t[0]]
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = vocabulary(strict, soft)
+        words = vocabulary(listed)
         for batch in batches:
             out = []
             for url in batch["url"]:
                 host, path = split_url(url)
                 rule, verdict = longest_rule(host, path, by_host)
-                n_strict, n_soft = term_hits(url or "", words)
-                out.append((host, path, rule, verdict or ("block" if n_strict or n_soft >= soft_limit else "allow"), n_strict, n_soft))
-            made = pd.DataFrame(out, columns=["host", "path", "rule", "verdict", "n_strict", "n_soft"])
+                n_strict, n_soft, weight = term_hits(url or "", words) if listed else (0, 0, 0.0)
+                out.append((host, path, rule, verdict or ("block" if n_strict or weight >= soft_limit else "allow"), n_strict, n_soft, weight))
+            made = pd.DataFrame(out, columns=["host", "path", "rule", "verdict", "n_strict", "n_soft", "soft_weight"])
             made.insert(0, "page_id", batch["page_id"].to_numpy())
             yield made
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
-    return rows.mapInPandas(judge, "page_id long, host string, path string, rule string, verdict string, n_strict long, n_soft long")
+    return rows.mapInPandas(judge, "page_id long, host string, path string, rule string, verdict string, n_strict long, n_soft long, soft_weight double")
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
-def _terms(terms: tuple[str, ...]) -> str:
-    return ", ".join(f"('{t}')" for t in terms)
-
-
 _RULES = ", ".join(f"('{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{r}', '{v}')" for r, v in RULES)
 ORACLE = f"""
 WITH cut AS (
@@ -114,12 +122,11 @@ rules(rh, rp, rule, v) AS (VALUES {_RULES}),
 fit AS (
   SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(v, length(rule)) AS v FROM parts, rules
   WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id),
-strict(t) AS (VALUES {_terms(STRICT_TERMS)}), soft(t) AS (VALUES {_terms(SOFT_TERMS)}),
+terms(t, kind, w) AS (VALUES {", ".join(f"('{t}', '{k}', {w}::DOUBLE)" for t, k, w in TERMS)}),
 hits AS (
-  SELECT page_id,
-    (SELECT count(*) FROM strict WHERE regexp_matches(lower(coalesce(url, '')), '(^|[^a-z0-9])' || t || '($|[^a-z0-9])')) AS n_strict,
-    (SELECT count(*) FROM soft WHERE regexp_matches(lower(coalesce(url, '')), '(^|[^a-z0-9])' || t || '($|[^a-z0-9])')) AS n_soft FROM parts)
-SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.v, CASE WHEN n_strict > 0 OR n_soft >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
-  CAST(n_strict AS BIGINT) AS n_strict, CAST(n_soft AS BIGINT) AS n_soft
+  SELECT p.page_id, count(*) FILTER (kind = 'strict') AS n_strict, count(*) FILTER (kind = 'soft') AS n_soft, coalesce(sum(w) FILTER (kind = 'soft'), 0) AS weight
+  FROM parts p LEFT JOIN terms ON regexp_matches(lower(coalesce(url, '')), '(^|[^a-z0-9])' || t || '($|[^a-z0-9])') GROUP BY p.page_id)
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.v, CASE WHEN n_strict > 0 OR weight >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
+  CAST(n_strict AS BIGINT) AS n_strict, CAST(n_soft AS BIGINT) AS n_soft, CAST(weight AS DOUBLE) AS soft_weight
 FROM parts p LEFT JOIN fit f USING (page_id) JOIN hits h USING (page_id)
 """

@@ -9,7 +9,7 @@ def judged(spark, urls):
 def test_rules_and_vocabulary(spark):
     got = judged(spark, [
         "http://WWW.Example.com/en/700?x#y", "http://a.com/en/8", "https://a.net/de/9", "http://example.net/de/85", "http://x.org/es/", "http://badcom/en/1",
-        None, "", "no scheme", "http://host", "http://host#f/en/", "http://casino.site/a", "http://casinos.site/a", "http://free.site/win", "http://free.site/free", "http://h/PORN",
+        None, "", "no scheme", "http://host", "http://host#f/en/", "http://casino.site/a", "http://casinos.site/a", "http://free.site/win?click", "http://free.site/free", "http://h/PORN",
     ])
     assert got == [
         ("www.example.com", "/en/700", "example.com/en/7", "allow"), ("a.com", "/en/8", "com/en/", "block"), ("a.net", "/de/9", "net/de/", "allow"),
@@ -21,3 +21,13 @@ def test_rules_and_vocabulary(spark):
 
 def test_empty_table(spark):
     assert judged(spark, []) == []
+
+
+def test_vocabulary_from_a_table_long_urls_and_repeated_rows(spark):
+    terms = spark.createDataFrame([("Bad", "strict", None), ("a-b", "soft", 0.75), ("b", "soft", 0.5), ("b", "soft", 0.25), ("", "strict", 1.0), (None, "soft", 1.0)], "term string, kind string, weight double")
+    urls = ["http://a-b/b", "http://a-b/", "http://\u00e9bad.x/", "http://bad2.x/", "http://x/" + "q/" * 200_000 + "bad", "http://a-b/b"]
+    rows = spark.createDataFrame([(1, u) for u in urls], "page_id long, url string")
+    got = [(r.verdict, r.n_strict, r.n_soft, r.soft_weight) for r in uf.judge_urls(rows, (), terms, 1.25).collect()]
+    # "b" stands in "a-b" too, between boundaries
+    assert sorted(got) == sorted([("block", 0, 2, 1.25)] * 3 + [("block", 1, 0, 0.0)] * 2 + [("allow", 0, 0, 0.0)])
+    assert {r.verdict for r in uf.judge_urls(rows, (), ()).collect()} == {"allow"}
