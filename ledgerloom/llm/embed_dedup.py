@@ -11,23 +11,35 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import components, in_blocks, local_components, over_groups, pairs_by_lag, stored, table
+from ledgerloom.llm.common import components, in_blocks, local_components, over_groups, pairs_by_lag, passing, stored, table
 
 THRESHOLD = 0.93
 #: Share of pairs exactly at the threshold that no table may bring together; pairs above it are missed less often.
-MISS = 1e-5
+MISS = 1e-6
 #: Distinct vectors that a bucket should hold on average, and rows of a bucket that are compared as one block.
 PER_BUCKET, BLOCK = 16, 1024
+#: Bits of the sketch that tells which rows of a bucket may have a partner there, before any vector moves.
+SKETCH = 128
 _SEED = 20_260_101
 
 
 def table_shape(n: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int, int]:
     """(tables, bits) for ``n`` distinct vectors: bits grow with log n, tables so that ``miss`` holds."""
-    bits = min(24, max(8, math.ceil(math.log2(max(n, 1) / (PER_BUCKET * 4)))))
+    bits = max(8, math.ceil(math.log2(max(n, 1) / (PER_BUCKET * 4))))
     agree = (1 - math.acos(threshold) / math.pi) ** bits
     return math.ceil(math.log(miss) / math.log1p(-agree)), bits
 
 
+def sketch_budget(threshold: float = THRESHOLD, miss: float = MISS / 10) -> int:
+    """Bits by which the sketches of a pair at the threshold differ at most, but for a share ``miss``."""
+    p = math.acos(threshold) / math.pi
+    left, k = 1.0, -1
+    while left > miss:
+        k += 1
+        left -= math.comb(SKETCH, k) * p**k * (1 - p) ** (SKETCH - k)
+    return k
+
+
 def _valid(v: np.ndarray | None) -> bool:
     if v is None or not len(v):
         return False
@@ -35,64 +47,82 @@ def _valid(v: np.ndarray | None) -> bool:
     return bool(np.isfinite(x).all() and x.any())
 
 
-def _keyed(vectors: DataFrame) -> DataFrame:
-    """vec_id, label, v, digest; digest is null where a vector links with nothing."""
+def _keyed(vectors: DataFrame) -> tuple[DataFrame, np.dtype]:
+    """vec_id, label, v (the components' bytes), digest; digest is null where a vector links with nothing. And the bytes' kind:
+    components of single precision stay so, all others are doubles."""
+    kind = vectors.schema["embedding"].dataType.elementType.simpleString()
+    dtype = np.dtype(np.float32 if kind == "float" else np.float64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             digests = [
-                hashlib.blake2b(np.asarray(v, np.float32).tobytes(), digest_size=16).hexdigest() if lab is not None and lab == lab and _valid(v) else None
+                hashlib.blake2b(np.asarray(v, dtype).tobytes(), digest_size=16).hexdigest() if lab is not None and lab == lab and _valid(v) else None
                 for v, lab in zip(batch["v"], batch["label"], strict=True)
             ]
-            yield batch.assign(digest=digests, v=[None if v is None else np.asarray(v, np.float32).tobytes() for v in batch["v"]])
+            yield batch.assign(digest=digests, v=[None if v is None else np.asarray(v, dtype).tobytes() for v in batch["v"]])
 
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<float>").alias("v"))
-    return rows.mapInPandas(run, "vec_id long, label long, v binary, digest string")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast(f"array<{'float' if dtype.itemsize == 4 else 'double'}>").alias("v"))
+    return rows.mapInPandas(run, "vec_id long, label long, v binary, digest string"), dtype
 
 
-def _planes(d: int, tables: int, bits: int) -> np.ndarray:
-    return np.random.default_rng([_SEED, d]).standard_normal((d, tables * bits))
+def _signed(classes: DataFrame, tables: int, bits: int, dtype: np.dtype) -> DataFrame:
+    """id, label, size, sigs (of each table, long by long), s1 and s2 (the sketch): made once, so that all passes see the same."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        planes: dict[int, np.ndarray] = {}
+        for batch in batches:
+            size = batch["v"].map(len).to_numpy()
+            for b in np.unique(size):
+                d = int(b) // dtype.itemsize
+                if d not in planes:
+                    planes[d] = np.random.default_rng([_SEED, d]).standard_normal((d, tables * bits + SKETCH))
+                for at in range(0, int((size == b).sum()), 4096):
+                    part = batch[size == b].iloc[at : at + 4096]
+                    x = np.frombuffer(b"".join(part["v"]), dtype).reshape(-1, d).astype(np.float64)
+                    above = x @ planes[d] > 0
+                    sigs = (above[:, SKETCH:].reshape(len(x), tables, bits) * (1 << np.arange(bits, dtype=np.int64))).sum(axis=2)
+                    sketch = np.packbits(above[:, :SKETCH], axis=1).view(np.int64)
+                    yield pd.DataFrame({"id": part["id"].to_numpy(), "label": part["label"].to_numpy(), "size": b, "sigs": [r.tobytes() for r in sigs], "s1": sketch[:, 0], "s2": sketch[:, 1]})
 
-def _signatures(x: np.ndarray, planes: np.ndarray, tables: int, bits: int) -> np.ndarray:
-    """Of each vector the signature in every table."""
-    return ((x @ planes > 0).reshape(len(x), tables, bits) * (1 << np.arange(bits, dtype=np.int64))).sum(axis=2)
+    return classes.select("id", "label", "v").mapInPandas(run, "id long, label long, size long, sigs binary, s1 long, s2 long")
 
 
-def _signed(classes: DataFrame, tables: int, bits: int) -> DataFrame:
-    """A row for each class and table: key, id, label, t, n_same, v (bytes of float32)."""
+def _dealt(signed: DataFrame) -> DataFrame:
+    """A row for each class and table: label, size, t, sig, id, s1, s2."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        planes: dict[int, np.ndarray] = {}
         for batch in batches:
-            width = batch["v"].map(len).to_numpy() // 4
-            for d in np.unique(width):
-                for at in range(0, int((width == d).sum()), 4096):
-                    part = batch[width == d].iloc[at : at + 4096]
-                    if d not in planes:
-                        planes[d] = _planes(int(d), tables, bits)
-                    x = np.frombuffer(b"".join(part["v"]), np.float32).reshape(-1, d).astype(np.float64)
-                    sigs = _signatures(x, planes[d], tables, bits)
-                    for t in range(tables):
-                        yield pd.DataFrame({"id": part["id"].to_numpy(), "label": part["label"].to_numpy(), "t": t, "sig": sigs[:, t], "n_same": part["n_same"].to_numpy(), "v": part["v"].to_numpy()})
+            if not len(batch):
+                continue
+            sigs = np.frombuffer(b"".join(batch["sigs"]), np.int64).reshape(len(batch), -1)
+            for t in range(sigs.shape[1]):
+                yield batch.drop(columns="sigs").assign(t=t, sig=sigs[:, t])
+
+    rows = signed.mapInPandas(run, "id long, label long, size long, s1 long, s2 long, t int, sig long")
+    return rows.select(F.xxhash64("label", "size", "t", "sig").alias("key"), "id", "t", "s1", "s2")
+
 
-    rows = classes.mapInPandas(run, "id long, label long, t int, sig long, n_same long, v binary")
-    return rows.select(F.xxhash64("label", F.octet_length("v"), "t", "sig").alias("key"), "id", "label", "t", "n_same", "v")
+def _partnered(budget: int):
+    def work(frame: pd.DataFrame, start: np.ndarray, end: np.ndarray) -> pd.DataFrame:
+        """The rows with another in their bucket whose sketch is near enough."""
+        s1, s2 = frame["s1"].to_numpy().view(np.uint64), frame["s2"].to_numpy().view(np.uint64)
+        has = np.zeros(len(frame), bool)
+        for a, b in pairs_by_lag(frame, end):
+            near = np.bitwise_count(s1[a] ^ s1[b]).astype(np.int64) + np.bitwise_count(s2[a] ^ s2[b]) <= budget
+            has[a[near]] = has[b[near]] = True
+        return frame.loc[has, ["key", "bi", "bj", "blk", "id", "t"]]
 
+    return work
 
-def _link(threshold: float, tables: int, bits: int):
-    planes: dict[int, np.ndarray] = {}
 
+def _link(threshold: float, dtype: np.dtype):
     def work(frame: pd.DataFrame, start: np.ndarray, end: np.ndarray) -> pd.DataFrame:
         ids, t, label, same = (frame[c].to_numpy() for c in ("id", "t", "label", "n_same"))
-        d = frame["v"].map(len).to_numpy() // 4
-        x, sigs = np.zeros((len(frame), int(d.max()))), np.zeros((len(frame), tables), np.int64)
+        d = frame["v"].map(len).to_numpy() // dtype.itemsize
+        x, sigs = np.zeros((len(frame), int(d.max()))), np.frombuffer(b"".join(frame["sigs"]), np.int64).reshape(len(frame), -1)
         for n in np.unique(d):
             at = np.flatnonzero(d == n)
-            x[at, :n] = np.frombuffer(b"".join(frame["v"].to_numpy()[at]), np.float32).reshape(-1, n)
-            if n not in planes:
-                planes[n] = _planes(int(n), tables, bits)
-            sigs[at] = _signatures(x[at, :n], planes[n], tables, bits)
+            x[at, :n] = np.frombuffer(b"".join(frame["v"].to_numpy()[at]), dtype).reshape(-1, n)
         x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
         links, found = np.zeros(len(frame), np.int64), []
         for a, b in pairs_by_lag(frame, end):
@@ -121,24 +151,32 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of ``vectors`` (vec_id, embedding, label).
 
     Rows of equal label and equal vector form a class, held by its smallest vec_id and linked with one another; only
-    distinct vectors are compared, in buckets of any size, block by block. Recall: a pair at the threshold meets in one
-    of the tables but for a share MISS; no pair below it is linked. Null label, null, empty or zero vector, null or
-    non-finite component: no links, a component of its own. Vectors of different lengths don't link. Null vec_id: kept,
-    linked with nothing. Other columns are ignored; an empty table gives no rows."""
-    keyed = stored(_keyed(vectors))
-    valid = keyed.where("digest is not null and vec_id is not null")
-    classes = stored(valid.groupBy("label", "digest").agg(F.min("vec_id").alias("id"), F.count("*").alias("n_same"), F.first("v").alias("v")))
-    tables, bits = table_shape(classes.count(), threshold)
-    signed = _signed(classes.select("id", "v", "label", "n_same"), tables, bits)
-    dealt = in_blocks(signed, "key", BLOCK).repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "id")
-    pairs = stored(dealt.mapInPandas(over_groups(_link(threshold, tables, bits), "key"), "a long, b long, links long"))
-    linked = stored(pairs.groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links")))
-    found = components(pairs.where("a <> b").select("a", "b"))
-    per_class = (
-        classes.select("label", "digest", "id", "n_same").join(linked, "id", "left").join(found, F.col("id") == F.col("node"), "left")
-        .select("label", "digest", (F.col("n_same") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    )
-    out = keyed.select("vec_id", "label", "digest").join(stored(per_class), ["label", "digest"], "left")
+    distinct vectors are compared, in buckets of any size, block by block. Sketches of SKETCH bits go to the buckets first;
+    vectors follow only for rows that may have a partner there. Recall: a pair at the threshold meets in one of the
+    tables but for a share MISS, and its sketches differ by more than the budget in a tenth of that; no pair below it is
+    linked. Null label, null, empty or zero vector, null or non-finite component: no links, a component of its own. Vectors of
+    different lengths don't link. Null vec_id: kept, linked with nothing. Other columns are ignored; an empty table
+    gives no rows."""
+    keyed, dtype = _keyed(vectors)
+    keyed = stored(keyed)
+    with passing(vectors.sparkSession):
+        valid = keyed.where("digest is not null and vec_id is not null")
+        classes = stored(valid.groupBy("label", "digest").agg(F.min("vec_id").alias("id"), F.count("*").alias("n_same"), F.first("v").alias("v")))
+        tables, bits = table_shape(classes.count(), threshold)
+        signed = stored(_signed(classes, tables, bits, dtype))
+        dealt = in_blocks(_dealt(signed), "key", BLOCK).repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "id")
+        met = stored(dealt.mapInPandas(over_groups(_partnered(sketch_budget(threshold)), "key"), "key long, bi int, bj int, blk int, id long, t int"))
+        full = met.join(signed.select("id", "sigs"), "id").join(classes.select("id", "v", "label", "n_same"), "id")
+        full = full.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "id")
+        pairs = stored(full.mapInPandas(over_groups(_link(threshold, dtype), "key"), "a long, b long, links long"))
+        linked = stored(pairs.groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links")))
+        found = components(pairs.where("a <> b").select("a", "b"))
+        per_class = (
+            classes.select("label", "digest", "id", "n_same").join(linked, "id", "left").join(found, F.col("id") == F.col("node"), "left")
+            .select("label", "digest", (F.col("n_same") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+        )
+        per_class = stored(per_class, outlives=True)
+    out = keyed.select("vec_id", "label", "digest").join(per_class, ["label", "digest"], "left")
     alone = F.col("component_id").isNull() | F.col("vec_id").isNull()
     component = F.when(alone, F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

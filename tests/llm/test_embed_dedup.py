@@ -57,3 +57,23 @@ def test_enough_tables():
     for n in (10, 10_000, 10_000_000):
         tables, bits = ed.table_shape(n)
         assert (1 - (1 - np.arccos(ed.THRESHOLD) / np.pi) ** bits) ** tables <= ed.MISS
+
+
+def test_sketches_lose_almost_nothing():
+    assert 30 < ed.sketch_budget() < 50
+    rnd = np.random.default_rng(2)
+    a, r = rnd.standard_normal((2, 4000, 32))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    r -= (a * r).sum(1)[:, None] * a
+    b = ed.THRESHOLD * a + np.sqrt(1 - ed.THRESHOLD**2) * r / np.linalg.norm(r, axis=1)[:, None]
+    planes = np.random.default_rng([ed._SEED, 32]).standard_normal((32, ed.SKETCH))
+    assert (((a @ planes > 0) != (b @ planes > 0)).sum(1) <= ed.sketch_budget()).all()
+
+
+def test_doubles_stay_doubles(spark):
+    """A pair whose cosine passes the threshold in double precision alone, and one that passes in single precision alone."""
+    c = ed.THRESHOLD
+    s = float(np.sqrt(1 - c * c))
+    rows = [(0, [1.0, 0.0], 1), (1, [c + 1e-12, s], 1), (2, [1.0, 0.0], 2), (3, [c - 1e-12, s], 2)]
+    got = {r.vec_id: r.n_links for r in ed.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {0: 1, 1: 1, 2: 0, 3: 0}
