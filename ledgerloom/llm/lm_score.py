@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import LOWER, stored, table
 from ledgerloom.llm.toxicity import _find, _sums, fold
 
-#: Bytes of the deepest context. The tree is rooted at contexts of one byte.
+#: Bytes of the deepest context; the tree's root is the context of none.
 DEPTH = 7
 #: Context bytes at the start of a word; from its fifth byte on, a context reaches back to the word's start at most.
 NEAR = 4
@@ -27,10 +27,8 @@ SPACE, END = 0x20, 0x0A
 _RUN, _GROUPS = 4_000_000, 400_000
 
 
-#: The odds of going on against stopping are kept in a byte, in steps of an eighth of a doubling; ALWAYS: stop.
-_STEP, _ALWAYS = np.log(2) / 8, -128
-_WEIGHTS = 1 / (1 + np.exp(np.arange(-128, 128) * _STEP))
-_WEIGHTS[0] = 1
+#: Odds of going on against stopping, as logs; ALWAYS: stop.
+_ALWAYS = np.float32(-np.inf)
 _MASKS = np.array([(1 << 8 * (n + 1)) - 1 for n in range(DEPTH + 1)], np.uint64)
 
 
@@ -80,23 +78,24 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
 
 
 class ContextTree:
-    """Byte contexts of 1 to DEPTH bytes; in each, a byte is eight binary choices, so a node is a context and the bits
+    """Byte contexts of 0 to DEPTH bytes; in each, a byte is eight binary choices, so a node is a context and the bits
     chosen so far.
 
     Weighting: P(node) = (KT(node) + product of P over the node with one byte more of context) / 2; the share of the first
     term is the weight of stopping there. A prediction follows the contexts of a place from short to long, mixing the KT
     estimates of all depths by these weights, and stops at the deepest node that the corpus supports."""
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, low: int = 1, high: int = DEPTH, longer: dict | None = None):
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, low: int = 0, high: int = DEPTH, longer: dict | None = None):
         """``grams``: each byte with its context; ``counts`` over the corpus. What comes with a shorter context than
         others is a branch of its own there, so that counts add up at every depth. Only levels ``low`` to ``high`` are
         made; ``longer``: what the level below them leaves in its ``above``, log P of its nodes summed by shorter node."""
-        self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # by depth: grams, counts, coded stop weights
+        self.low = low
+        self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # by depth: grams, counts, log odds of going on
         key, c = grams, counts.astype(np.float64)
         below: dict[int, tuple[np.ndarray, np.ndarray]] = dict(longer or {})
         for d in range(high, low - 1, -1):
             key, c = _sums(key & np.uint64((1 << 8 * (d + 1)) - 1), c)
-            stop = np.full((len(key), 8), _ALWAYS, np.int8)
+            stop = np.full((len(key), 8), _ALWAYS, np.float32)
             above: dict[int, tuple[np.ndarray, np.ndarray]] = {}
             for bit in range(8):
                 node, a, b = self._nodes(key, c, bit)
@@ -106,13 +105,12 @@ class ContextTree:
                     at, hit = _find(deeper[0], node)
                     odds = np.where(hit, deeper[1][at] - total, -np.inf)  # of going on against stopping
                     at, _ = _find(node, self._node_of(key, bit))
-                    stop[:, bit] = np.where(np.isneginf(odds), _ALWAYS, np.clip(np.rint(odds / _STEP), -127, 127))[at]
+                    stop[:, bit] = odds[at]
                     total = np.where(hit, total + np.logaddexp(0, odds) - np.log(2), total)
                 # to the node with one byte less of context
-                mask = np.uint64((1 << (8 * d - 8 + bit)) - 1)
-                above[bit] = _sums(node & mask, total) if d > 1 else (node, total)
+                above[bit] = _sums(node & np.uint64((1 << (8 * d - 8 + bit)) - 1), total) if d else (node, total)
             below = above
-            self.tables.append((key, c.astype(np.float32), stop))
+            self.tables.append((key, c, stop))
         self.tables.reverse()
         self.above = below
 
@@ -139,7 +137,7 @@ class ContextTree:
             p, left = np.zeros(len(grams)), np.ones(len(grams))
             last = np.full(len(grams), 0.5)
             alive = np.arange(len(grams))
-            for d, ((key, _, stop), upto) in enumerate(zip(self.tables, self.running(), strict=True), 1):
+            for d, ((key, _, stop), upto) in enumerate(zip(self.tables, self.running(), strict=True), self.low):
                 g = grams[alive] & np.uint64((1 << 8 * (d + 1)) - 1)
                 free = np.uint64(8 - bit)
                 low = (g >> free) << free
@@ -152,7 +150,7 @@ class ContextTree:
                 zeros, count = upto[mi] - upto[lo], upto[hi] - upto[lo]
                 side = np.where(ones[alive], count - zeros, zeros)
                 kt = (side + 0.5) / (count + 1)
-                w = _WEIGHTS[stop[lo, bit].astype(np.int64) + 128]
+                w = 1 / (1 + np.exp(np.minimum(stop[lo, bit].astype(np.float64), 700)))
                 p[alive] += left[alive] * w * kt
                 left[alive] *= 1 - w
                 last[alive] = kt
@@ -166,7 +164,7 @@ class GramTable:
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.shift = np.uint64(64 - max(4, int(np.ceil(np.log2(max(len(keys), 1) * 2)))))
         self.slot_key = np.full(1 << (64 - int(self.shift)), ~np.uint64(0))
-        self.slot_p = np.zeros(len(self.slot_key), np.float32)
+        self.slot_p = np.zeros(len(self.slot_key))
         rest, step = np.arange(len(keys)), 0
         while len(rest):
             slot = self._slot(keys[rest], step)
@@ -327,7 +325,7 @@ def gram_scores(grams: DataFrame) -> DataFrame:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for key, n in _whole_contexts(batches):
             tree = ContextTree(key[n > 0], n[n > 0], low=ROOT)
-            tree.tables = [*shared.value, *tree.tables]
+            tree.tables, tree.low = [*shared.value, *tree.tables], 0
             yield pd.DataFrame({"gram": key.view(np.int64), "p": tree.log10_p(key)})
 
     return dealt.select("ctx", "gram", "n").mapInPandas(read, "gram long, p double")
@@ -342,10 +340,12 @@ def _most_frequent(counts: DataFrame, most: int) -> DataFrame:
 
 
 def score_language(docs: DataFrame) -> DataFrame:
-    """doc_id, row, n_tokens, n_known, train_tokens, base_score and score for each row of ``docs`` (doc_id, text, learn).
+    """doc_id, row, n_tokens, n_known, train_tokens, base_score, score, n_bytes and bits_per_byte for each row of ``docs``
+    (doc_id, text, learn).
 
     Rows whose ``learn`` is true teach and are counted in whole, no entry is left out. score: log10 of the context
-    tree's probability of the text as lower-cased words, a space after each, and an end. base_score: the same under single
+    tree's probability of the text as lower-cased words, a space after each, and an end; bits_per_byte: its code length in
+    bits by the n_bytes of that. base_score: the same under single
     words with one added to each count. Null and empty texts: the end alone. Null learn: false. Repeated rows are kept; no
     rows that teach: every bit is 1/2, all words are unknown. Ids may be null; other columns are ignored.
 
@@ -357,7 +357,7 @@ def score_language(docs: DataFrame) -> DataFrame:
     n_all, n_kinds = words.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     scores = stored(gram_scores(grams).join(grams.select("gram", "looks"), "gram"))
     hot = _most_frequent(scores, MAX_GRAMS).select("gram", "p").toArrow()
-    table_ = spark.sparkContext.broadcast((uuid.uuid4().hex, hot["gram"].to_numpy().view(np.uint64), hot["p"].to_numpy().astype(np.float32)))
+    table_ = spark.sparkContext.broadcast((uuid.uuid4().hex, hot["gram"].to_numpy().view(np.uint64), hot["p"].to_numpy()))
     del hot
 
     def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -388,26 +388,28 @@ def score_language(docs: DataFrame) -> DataFrame:
                 w = [*words_of(text), bytes([END])]
                 at = np.array([place.get(x, -1) for x in w], np.int64)
                 rare = [w[i] for i in np.flatnonzero(at < 0)]
-                out.append((len(w), int(seen[at].sum()), float(logs[at].sum()), float(tails[at].sum()), rare))
+                out.append((len(w), sum(map(len, w)) + len(w) - 1, int(seen[at].sum()), float(logs[at].sum()), float(tails[at].sum()), rare))
                 streams.append(stream_of(w[:-1]))
-            frame = pd.DataFrame(out, columns=["n_tokens", "known", "logs", "score", "rare"])
+            frame = pd.DataFrame(out, columns=["n_tokens", "n_bytes", "known", "logs", "score", "rare"])
             heads, far = np.zeros(len(streams)), []
             for at, to in _runs(streams):
                 heads[at:to], missing = known.sums(*packed(streams[at:to], inside=False), to - at)
                 far += missing
-            yield frame.assign(doc_id=batch["doc_id"], row=batch["row"], score=frame["score"] + heads, far=far)[["doc_id", "row", "n_tokens", "known", "logs", "score", "rare", "far"]]
+            yield frame.assign(doc_id=batch["doc_id"], row=batch["row"], score=frame["score"] + heads, far=far)[["doc_id", "row", "n_tokens", "n_bytes", "known", "logs", "score", "rare", "far"]]
 
     numbered = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
-    made = stored(numbered.mapInPandas(score, "doc_id long, row long, n_tokens long, known long, logs double, score double, rare array<binary>, far array<long>"))
+    made = stored(numbered.mapInPandas(score, "doc_id long, row long, n_tokens long, n_bytes long, known long, logs double, score double, rare array<binary>, far array<long>"))
     # no word or gram outside the tables is frequent, so no key of these joins is hot
     rare = made.where("size(rare) > 0").select("row", F.explode("rare").alias("word")).join(scored, "word")
     rare = rare.select("row", (F.col("n") > 0).cast("long").alias("k"), F.log10(F.col("n") + 1.0).alias("l"), F.col("tail").alias("s"))
     far = made.where("size(far) > 0").select("row", F.explode("far").alias("gram")).join(scores.select("gram", "p"), "gram").select("row", F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("l"), F.col("p").alias("s"))
     more = rare.unionByName(far).groupBy("row").agg(F.sum("k").alias("k"), F.sum("l").alias("l"), F.sum("s").alias("s"))
     out = made.drop("rare", "far").join(more, "row", "left")
+    score_ = F.col("score") + F.coalesce("s", F.lit(0.0))
     return out.select(
         "doc_id", "row", "n_tokens", (F.col("known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(int(n_all)).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("l", F.lit(0.0)) - F.col("n_tokens") * F.lit(base)).alias("base_score"), (F.col("score") + F.coalesce("s", F.lit(0.0))).alias("score"),
+        (F.col("logs") + F.coalesce("l", F.lit(0.0)) - F.col("n_tokens") * F.lit(base)).alias("base_score"), score_.alias("score"),
+        "n_bytes", (-score_ * F.lit(float(np.log2(10))) / F.col("n_bytes")).alias("bits_per_byte"),
     )
 
 
@@ -427,4 +429,4 @@ def _made(shared, make):
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(fold(7) == 2, F.lit(False))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (~held).alias("learn"))
-    return score_language(docs).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return score_language(docs).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")

@@ -44,8 +44,8 @@ def naive(counts, depth, ctx, byte):
     for i in range(8):
         bits, one = format(byte, "08b")[:i], format(byte, "08b")[i] == "1"
         p, left, last = 0.0, 1.0, 0.5
-        for d in range(1, depth + 1):
-            c = ctx[-d:]
+        for d in range(depth + 1):
+            c = ctx[-d:] if d else b""
             a, b = node(c, bits)
             if a + b == 0:
                 break
@@ -67,7 +67,7 @@ def test_same_as_recursion():
     for ctx, byte in [(b"\x00\x00\x00\n\nabr", ord("a")), (b"\x00\x00\nabba", ord(" ")), (b"qqqqqab", ord("r")), (b"\0\0\0\n\n\n\n", ord("c")), (b"cadabr", ord("z"))]:
         ctx = ctx[-lm_score.DEPTH :].rjust(lm_score.DEPTH, b"\0")
         got = tree.log10_p(np.array([(int.from_bytes(ctx, "big") << 8) + byte], np.uint64))[0]
-        assert math.isclose(got, naive(counts, lm_score.DEPTH, ctx, byte), abs_tol=0.05)
+        assert math.isclose(got, naive(counts, lm_score.DEPTH, ctx, byte), abs_tol=1e-5)
 
 
 @pytest.mark.parametrize("max_words, max_grams", [(1 << 18, 1 << 20), (5, 7)])
@@ -87,7 +87,8 @@ def test_scores_base_and_counts(spark, monkeypatch, max_words, max_grams):
         assert by[i].n_tokens == len(w) and by[i].n_known == sum(counts[x] > 0 for x in w) and by[i].train_tokens == n
         assert math.isclose(by[i].base_score, sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), abs_tol=1e-9)
         grams = lm_score.packed([lm_score.stream_of(w[:-1])])[0]
-        assert math.isclose(by[i].score, tree.log10_p(grams).sum(), abs_tol=1e-3)
+        assert math.isclose(by[i].score, tree.log10_p(grams).sum(), abs_tol=1e-9)
+        assert by[i].n_bytes == len(grams) and math.isclose(by[i].bits_per_byte, -by[i].score * math.log2(10) / len(grams), abs_tol=1e-9)
 
 
 def test_no_rows_that_teach(spark):
