@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import LOWER, components, in_blocks, local_components, over_groups, pairs_by_lag, stored, table
+from ledgerloom.llm.common import LOWER, components, in_blocks, local_components, over_groups, pairs_by_lag, passing, stored, table
 
 #: Bits by which linked fingerprints differ at most, and the ring of segments as (lowest bit, bits).
 MAX_BITS = 4
@@ -99,12 +99,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     like any other. Null doc_id: kept, with its fingerprint's component. Repeated rows are kept; other columns
     are ignored; an empty table gives no rows."""
     prints = stored(fingerprints(docs, shingle))
-    classes = stored(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")))
-    keyed = classes.select("id", "fp", F.explode(F.array(*_keys())).alias("key"))
-    dealt = in_blocks(keyed, "key", BLOCK).repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "id")
-    edges = dealt.mapInPandas(over_groups(_link, "key"), "a long, b long")
-    found = components(edges)
-    label = stored(classes.join(found, classes["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id")))
+    with passing(docs.sparkSession):
+        classes = stored(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")))
+        keyed = classes.select("id", "fp", F.explode(F.array(*_keys())).alias("key"))
+        dealt = in_blocks(keyed, "key", BLOCK).repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "id")
+        edges = dealt.mapInPandas(over_groups(_link, "key"), "a long, b long")
+        found = components(edges)
+        label = stored(classes.join(found, classes["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id")), outlives=True)
     return prints.join(label, "fp", "left").select("doc_id", "fp", "component_id")
 
 

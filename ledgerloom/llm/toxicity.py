@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import extended, stored, table
+from ledgerloom.llm.common import extended, passing, stored, table
 
 #: A word is read byte by byte, each byte after the ORDER - 1 before it; START pads its front, END closes it.
 ORDER, START, END = 6, 1, 2
@@ -22,7 +22,7 @@ FIT_BYTES, TEXT_BYTES = 96 << 20, 1 << 16
 #: Words of a document whose ratios are averaged apart, and the ratio from which a word counts as an expression.
 TOP, STRONG = 3, 3.0
 _WORD = re.compile(r"\w+")
-_REMEMBERED, _AT_ONCE, _TEXTS = 500_000, 100_000, 1_000
+_REMEMBERED, _AT_ONCE, _TEXTS = 200_000, 100_000, 1_000
 
 
 def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -156,16 +156,17 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, fit_rows: int, cali
     """text, y, part ('fit' or 'calibrate') of a bounded sample of labelled rows: those of lowest hash of doc_id.
 
     Bounds: rows, bytes of a text and bytes of all texts. Of several rows of a doc_id one counts: the least text."""
-    want = labels.where(f"{label} in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max(label).alias("y"))
-    want = want.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(fit_rows + calibrate_rows)
-    part = F.when(F.pmod(F.xxhash64(F.col("h")), F.lit(fit_rows + calibrate_rows)) < fit_rows, "fit").otherwise("calibrate")
-    want = stored(want.withColumn("part", part))
-    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") <= text_bytes)
-    found = stored(texts.join(want, "doc_id").groupBy("doc_id", "y", "part", "h").agg(F.min("text").alias("text")))
-    # at most fit_rows + calibrate_rows rows, without their texts
-    before = Window.orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    fits = found.select("doc_id", "h", F.octet_length("text").cast("long").alias("size")).withColumn("upto", F.sum("size").over(before)).where(F.col("upto") <= fit_bytes)
-    return stored(found.join(fits.select("doc_id"), "doc_id", "left_semi").select("text", "y", "part"))
+    with passing(docs.sparkSession):
+        want = labels.where(f"{label} in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max(label).alias("y"))
+        want = want.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(fit_rows + calibrate_rows)
+        part = F.when(F.pmod(F.xxhash64(F.col("h")), F.lit(fit_rows + calibrate_rows)) < fit_rows, "fit").otherwise("calibrate")
+        want = stored(want.withColumn("part", part))
+        texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") <= text_bytes)
+        found = stored(texts.join(want, "doc_id").groupBy("doc_id", "y", "part", "h").agg(F.min("text").alias("text")))
+        # at most fit_rows + calibrate_rows rows, without their texts
+        before = Window.orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+        fits = found.select("doc_id", "h", F.octet_length("text").cast("long").alias("size")).withColumn("upto", F.sum("size").over(before)).where(F.col("upto") <= fit_bytes)
+        return stored(found.join(fits.select("doc_id"), "doc_id", "left_semi").select("text", "y", "part"), outlives=True)
 
 
 def train(sample: DataFrame) -> tuple[KneserNey, np.ndarray]:
