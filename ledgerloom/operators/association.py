@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.dist import f_p_value
 from ledgerloom.functions.semantics import categorical_columns, need, num, numbered, numeric_columns, pct, ratio, with_total
+from ledgerloom.functions.store import stored
 
 
 def _pairs_long(one_row: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
@@ -19,8 +20,9 @@ def _pairs_long(one_row: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 def correlation_pairs(df: DataFrame, columns: list[str] | None = None, method: str = "pearson", digits: int | None = 4) -> DataFrame:
     """var1, var2, correlation for each pair of numeric columns, on rows where both are there.
 
-    pearson: all pairs in one aggregation. spearman: the same of average ranks. kendall: tau-b, from the counts of
-    distinct pairs of values; meant for columns of few values, as its work is the square of their number."""
+    pearson: all pairs in one aggregation. spearman: the same of average ranks; columns without missing values are ranked
+    once for all their pairs, others anew for each pair. kendall: tau-b, from the counts of distinct pairs of values; meant
+    for columns of few values, as its work is the square of their number: over KENDALL_KINDS it is refused."""
     columns = columns or numeric_columns(df)
     need(df, *columns)
     pairs = list(combinations(columns, 2))
@@ -30,9 +32,12 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None, method: s
     if method == "pearson":
         got = _pairs_long(d.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]), pairs)
     elif method in ("spearman", "kendall"):
-        one = _spearman if method == "spearman" else _kendall
-        got = None
-        for a, b in pairs:
+        one, whole = _spearman if method == "spearman" else _kendall, []
+        if method == "spearman":
+            seen = d.agg(F.count("*").alias("n"), *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+            whole = [c for i, c in enumerate(columns) if seen[f"n{i}"] == seen["n"]]
+        got = _spearman_whole(d, whole, [p for p in pairs if set(p) <= set(whole)]) if len(whole) > 1 else None
+        for a, b in [p for p in pairs if not set(p) <= set(whole)]:
             p = one(d.select(F.col(a).alias("x"), F.col(b).alias("y")).dropna()).select(F.lit(a).alias("var1"), F.lit(b).alias("var2"), "correlation")
             got = p if got is None else got.unionByName(p)
     else:
@@ -53,8 +58,25 @@ def _spearman(d: DataFrame) -> DataFrame:
     return ranked.agg(F.corr("rx", "ry").alias("correlation"))
 
 
+def _spearman_whole(d: DataFrame, columns: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
+    """All pairs of columns without missing values: a rank a column, one aggregation."""
+    ranked = d.select(*columns)
+    for i, c in enumerate(columns):
+        counts = stored(d.groupBy(c).agg(F.count("*").alias("k__")))
+        ranks = numbered(counts, c, [], ascending=True, number="i__", running={"u__": "k__"})
+        ranked = ranked.join(stored(ranks.select(c, (F.col("u__") - (F.col("k__") - 1) / 2).alias(f"r{i}__"))), c)
+    at = {c: f"r{i}__" for i, c in enumerate(columns)}
+    return _pairs_long(ranked.agg(*[F.corr(at[a], at[b]).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]), pairs)
+
+
+#: Distinct pairs of values that kendall takes.
+KENDALL_KINDS = 20_000
+
+
 def _kendall(d: DataFrame) -> DataFrame:
-    kinds = d.groupBy("x", "y").agg(F.count("*").cast("double").alias("n"))
+    kinds = stored(d.groupBy("x", "y").agg(F.count("*").cast("double").alias("n")))
+    if (k := kinds.count()) > KENDALL_KINDS:
+        raise ValueError(f"kendall takes {KENDALL_KINDS} distinct pairs of values, there are {k}: use spearman")
     a, b = kinds.select(F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("n").alias("n1")), kinds.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("n").alias("n2"))
     s = a.join(b, (F.col("x1") < F.col("x2"))).agg(F.sum(F.signum(F.col("y2") - F.col("y1")) * F.col("n1") * F.col("n2")).alias("s"))
     tied = lambda c: d.groupBy(c).agg(F.count("*").cast("double").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2))

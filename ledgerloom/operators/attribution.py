@@ -83,22 +83,25 @@ def time_decay(df: DataFrame, customer: str, channel: str, conversion: str, date
 def _position(t: DataFrame, lookback_days: int, first: float, last: float, renormalize: bool) -> DataFrame:
     if first + last > 1:
         raise ValueError("first and last weights are over 1 together")
-    j = _meet(t, lookback_days)
-    w = Window.partitionBy("id")
-    j = j.withColumns({"n": F.count("*").over(w), "i": F.row_number().over(w.orderBy("t", "tie"))})
+    w, span = Window.partitionBy("c").orderBy("t"), lookback_days * _DAY
+    back, touch = w.rangeBetween(-span, 0), F.struct("t", "tie", "channel")
+    t = t.withColumns({"n": F.count("*").over(back), "first": F.min(touch).over(back), "last": F.max(touch).over(back)})
+    t = t.withColumn("m", F.when((F.col("v") > 0) & (F.col("n") > 2), (1 - first - last) / (F.col("n") - 2) * F.col("v")).otherwise(0.0))
     two = first + last if renormalize and first + last > 0 else 1.0
 
-    def weight() -> Column:
-        ends = F.when(F.col("i") == 1, first).when(F.col("i") == F.col("n"), last)
-        middle = (1 - first - last) / (F.col("n") - 2)
-        return F.when(F.col("n") == 1, 1.0).when(F.col("n") == 2, ends / two).otherwise(F.coalesce(ends, F.when(F.col("n") > 2, middle)))
+    def end(touch: str, weight: float) -> Column:
+        # what an end gets beyond the share of the middle that the sum below gives to all touches
+        own = F.when(F.col("n") == 1, 1.0 if touch == "last" else 0.0).when(F.col("n") == 2, weight / two).otherwise(weight)
+        return F.struct(F.col(f"{touch}.channel").alias("channel"), F.when(F.col("v") > 0, own * F.col("v") - F.col("m")).alias("credit"))
 
-    return j.withColumn("credit", weight() * F.col("cv")).select("channel", "credit")
+    t = t.withColumn("share", F.sum("m").over(w.rangeBetween(0, span)))
+    middle = F.struct("channel", F.col("share").alias("credit"))
+    return t.select(F.explode(F.array(middle, end("first", first), end("last", last))).alias("x")).select("x.*").where("credit <> 0")
 
 
 def position_based(df: DataFrame, customer: str, channel: str, conversion: str, date: str, lookback_days: int = 30, first_weight: float = 0.4, last_weight: float = 0.4, tie: str | None = None, renormalize: bool = False) -> DataFrame:
     """First and last touch get their weights, those between share the rest. Of exactly two touches the rest is
-    lost, unless ``renormalize``."""
+    lost, unless ``renormalize``. Range windows as in linear, no join."""
     return _shares(_position(_touches(df, customer, channel, conversion, date, tie), lookback_days, first_weight, last_weight, renormalize))
 
 

@@ -79,17 +79,67 @@ def read_campaign(kpis: dict[str, float]) -> Reading:
     return r
 
 
+def read_revenue(recent: float, earlier: float, total: float, std: float, mean: float, n: int) -> Reading:
+    """Of a revenue series: means of the last and the first seven values, sum, sample deviation, mean, rows."""
+    growth = (recent - earlier) / earlier * 100 if earlier > 0 else 0.0
+    cv = std / mean * 100 if mean > 0 else 0.0
+    word = _step(growth, ((20 + 1e-12, "Strong growth"), (1e-12, "Growth"), (-10 + 1e-12, "Stable")), "Decline")
+    r = Reading(f"{word}: revenue {growth:+.1f}%", [f"Recent mean {recent:,.0f}", f"Earlier mean {earlier:,.0f}", f"Total {total:,.0f}"])
+    if cv > 30:
+        r.findings.append(f"Volatile: coefficient of variation {cv:.0f}%")
+    elif cv < 10:
+        r.findings.append(f"Steady: coefficient of variation {cv:.0f}%")
+    if growth > 10:
+        r.recommendations += ["Find what drives the growth and put more into it", "See that the infrastructure keeps up"]
+    elif growth < -10:
+        r.recommendations += ["Look into the decline at once", "Review feedback and churn", "Consider promotions"]
+    else:
+        r.recommendations += ["Work on margins and efficiency", "Try new ways to grow"]
+    if cv > 40:
+        r.warnings.append("Revenue can hardly be foretold")
+    if n < 30:
+        r.warnings.append("Under 30 rows")
+    return r
+
+
+def _ends(d: DataFrame, n: int, name: str) -> DataFrame:
+    """One row: mean and population deviation of the first and of the last ``n`` rows in order of time."""
+    part = lambda order, k: d.orderBy(*order).limit(n).agg(F.avg("v").alias(f"{k}_mean{name}"), F.stddev_pop("v").alias(f"{k}_std{name}"))
+    return part(("t", "v"), "first").crossJoin(part((F.desc("t"), F.desc("v")), "last"))
+
+
 def series_insights(df: DataFrame, date: str, value: str) -> DataFrame:
-    """One row: n, change_pct of the second half's mean, n_outliers (over two population deviations), volatility (population
-    deviation over mean): what is told of a series, from two aggregations."""
+    """Rows kind, severity, value of what is told of a series in order of time (equal times: by value). trend: change of the mean of
+    the last seven rows against the first seven, in per cent, over 10 (high over 30; from seven rows on). anomaly:
+    rows beyond two population deviations (high over a tenth of all). volatility: deviation of the last 30 rows against the
+    first 30, over 1.5 times (from 30 rows on). Both ends are small top-n sorts; rows without time or value are left out."""
     need(df, date, value)
     d = df.select(micros(date).alias("t"), num(value).alias("v")).dropna()
-    s = F.broadcast(d.agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"), F.percentile_approx("t", 0.5, 10_000).alias("mid")))
-    got = d.crossJoin(s).agg(
-        F.count("*").alias("n"), F.avg(F.when(F.col("t") <= F.col("mid"), F.col("v"))).alias("first"), F.avg(F.when(F.col("t") > F.col("mid"), F.col("v"))).alias("second"),
-        F.count_if(F.abs(F.col("v") - F.col("m")) > 2 * F.col("s")).alias("n_outliers"), F.first("s").alias("s"), F.first("m").alias("m"),
-    )
-    return got.select("n", (ratio(F.col("second") - F.col("first"), F.abs("first")) * 100).alias("change_pct"), "n_outliers", ratio(F.col("s"), F.abs("m")).alias("volatility"))
+    s = d.agg(F.count("*").alias("n"), F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
+    far = d.crossJoin(F.broadcast(s.select("m", "s"))).agg(F.count_if((F.col("s") > 0) & (F.abs(F.col("v") - F.col("m")) > 2 * F.col("s"))).alias("far"))
+    one = s.crossJoin(far).crossJoin(_ends(d, 7, "7")).crossJoin(_ends(d, 30, "30"))
+    change = F.coalesce(ratio(F.col("last_mean7") - F.col("first_mean7"), F.col("first_mean7")) * 100, F.lit(0.0))
+    told = F.array(
+        F.when((F.col("n") >= 7) & (F.abs(change) > 10), F.struct(F.lit("trend").alias("kind"), F.when(F.abs(change) > 30, "high").otherwise("medium").alias("severity"), change.alias("value"))),
+        F.when(F.col("far") > 0, F.struct(F.lit("anomaly").alias("kind"), F.when(F.col("far") > F.col("n") * 0.1, "high").otherwise("low").alias("severity"), F.col("far").cast("double").alias("value"))),
+        F.when((F.col("n") >= 30) & (F.col("last_std30") > 1.5 * F.col("first_std30")), F.struct(F.lit("volatility").alias("kind"), F.lit("medium").alias("severity"), (ratio(F.col("last_std30"), F.col("first_std30")) * 100 - 100).alias("value"))),
+    )
+    return one.select(F.explode(F.filter(told, lambda x: x.isNotNull())).alias("x")).select("x.*")
+
+
+def revenue_reading(df: DataFrame, date: str, revenue: str) -> Reading:
+    """``read_revenue`` of the rows in order of time."""
+    need(df, date, revenue)
+    d = df.select(micros(date).alias("t"), num(revenue).alias("v")).dropna()
+    s = d.agg(F.count("*").alias("n"), F.sum("v").alias("total"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std")).crossJoin(_ends(d, 7, "7")).first()
+    return read_revenue(s.last_mean7 or 0.0, s.first_mean7 or 0.0, s.total or 0.0, s.std or 0.0, s["mean"] or 0.0, s.n)
+
+
+def correlation_insights(pairs: DataFrame, threshold: float = 0.7, most: int | None = 3) -> DataFrame:
+    """var1, var2, correlation, direction of the pairs (in the order of their names) of at least ``threshold``, ``most`` of them."""
+    got = pairs.where(F.abs("correlation") >= threshold).withColumn("direction", F.when(F.col("correlation") > 0, "positive").otherwise("negative"))
+    got = got.select("var1", "var2", "correlation", "direction").orderBy("var1", "var2")
+    return got.limit(most) if most else got
 
 
 def segment_insights(df: DataFrame, segment: str, value: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.semantics import competition_rank, need, num, numbered, pct, period_start, ratio, total, with_total
+from ledgerloom.functions.store import stored
 
 
 def product_performance(df: DataFrame, product: str, revenue: str, quantity: str | None = None, top_n: int | None = None, sort_by: str = "revenue") -> DataFrame:
@@ -20,6 +21,7 @@ def product_performance(df: DataFrame, product: str, revenue: str, quantity: str
     if quantity:
         got = got.withColumn("avg_quantity_per_transaction", F.round(ratio(F.col("quantity"), F.col("transactions")), 2))
     got = got.withColumn("avg_revenue_per_transaction", F.round(ratio(F.col("revenue"), F.col("transactions")), 2))
+    got = stored(got)  # a row a product, read by every rank below
     got = with_total(got, r__=F.sum("revenue"), **({"q__": F.sum("quantity")} if quantity else {}))
     got = got.withColumn("revenue_share_pct", pct(F.col("revenue"), F.col("r__")))
     if quantity:
@@ -62,7 +64,8 @@ def product_trends(df: DataFrame, date: str, product: str, revenue: str, period:
     """(period, product, revenue, growth_pct) of the ``top_n`` products by revenue; revenue is 0 in periods without
     sales that another of them has."""
     need(df, date, product, revenue)
-    top = product_performance(df, product, revenue, top_n=top_n).select(product)
+    by_product = df.where(F.col(product).isNotNull()).groupBy(product).agg(total(revenue).alias("revenue"))
+    top = stored(by_product.orderBy(F.desc_nulls_last("revenue"), product).limit(top_n).select(product))
     rows = df.join(F.broadcast(top), product, "left_semi").where(F.col(date).isNotNull())
     got = rows.groupBy(period_start(date, period).alias("period"), product).agg(total(revenue).alias("revenue"))
     grid = got.select("period").distinct().crossJoin(F.broadcast(top))
@@ -76,7 +79,7 @@ def basket_pairs(df: DataFrame, order: str, product: str, min_support: float = 0
 
     A product in fewer orders than that can't be in such a pair, so it is dropped before the join on the order."""
     need(df, order, product)
-    rows = df.select(order, product).dropna().distinct()
+    rows = stored(df.select(order, product).dropna().distinct())
     n = F.broadcast(df.agg(F.count_distinct(order).alias("n_orders")))
     least = F.floor(F.col("n_orders") * min_support)
     often = rows.groupBy(product).agg(F.count("*").alias("k")).crossJoin(n).where(F.col("k") >= least).select(product)

@@ -19,9 +19,9 @@ def _long(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[num(c).alias(c) for c in columns]).unpivot([], columns, "column", "v")
 
 
-def numeric_summary(df: DataFrame, columns: list[str] | None = None, digits: int = 4) -> DataFrame:
+def numeric_summary(df: DataFrame, columns: list[str] | None = None, digits: int = 4, outliers_beyond: float = 1.5) -> DataFrame:
     """A row a column: count, missing, missing_pct, mean, median, std, min, max, q25, q75, iqr, skewness, has_outliers,
-    outlier_count (beyond 1.5 x iqr from the quartiles), sum. All columns in one pass, outliers in a second."""
+    outlier_count (beyond ``outliers_beyond`` x iqr from the quartiles), sum. All columns in one pass, outliers in a second."""
     columns = columns or numeric_columns(df)
     need(df, *columns)
     long, v = _long(df, columns), F.col("v")
@@ -30,7 +30,7 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None, digits: int
         F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), sample_skewness(v).alias("skewness"), total("v").alias("sum"),
     )
     low, high = F.col("q")[0], F.col("q")[2]
-    s = s.withColumns({"lo": low - (high - low) * 1.5, "hi": high + (high - low) * 1.5})
+    s = s.withColumns({"lo": low - (high - low) * outliers_beyond, "hi": high + (high - low) * outliers_beyond})
     out = long.join(F.broadcast(s.select("column", "lo", "hi")), "column").groupBy("column").agg(F.count_if((v < F.col("lo")) | (v > F.col("hi"))).alias("outlier_count"))
     r = lambda c: F.round(c, digits)
     return s.join(F.broadcast(out), "column").select(
@@ -119,11 +119,97 @@ def top_performers(df: DataFrame, group: str, value: str, n: int = 10, ascending
     return numbered(got, "total", [group], ascending=ascending).where(F.col("rank") <= n)
 
 
+def _text_of(df: DataFrame, c: str) -> Column:
+    """A text that tells the values of a column of any type apart."""
+    kind = df.schema[c].dataType
+    return F.to_json(F.struct(F.col(f"`{c}`"))) if isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.VariantType)) else F.hex(F.col(f"`{c}`")) if isinstance(kind, T.BinaryType) else F.col(f"`{c}`").cast("string")
+
+
 def missing_values(df: DataFrame) -> DataFrame:
-    """column, non_null, missing, missing_pct, unique_count."""
-    c = df.agg(F.count("*").alias("n"), *[F.count(x).alias(f"a{i}") for i, x in enumerate(df.columns)], *[F.count_distinct(x).alias(f"u{i}") for i, x in enumerate(df.columns)])
-    rows = F.array(*[F.struct(F.lit(x).alias("column"), F.col(f"a{i}").alias("non_null"), (F.col("n") - F.col(f"a{i}")).alias("missing"), pct(F.col("n") - F.col(f"a{i}"), F.col("n")).alias("missing_pct"), F.col(f"u{i}").alias("unique_count")) for i, x in enumerate(df.columns)])
-    return c.select(F.explode(rows).alias("r")).select("r.*")
+    """column, non_null, missing, missing_pct, unique_count. Columns become (column, value) rows, which one aggregation counts."""
+    texts = df.select(*[F.when(F.col(f"`{c}`").isNotNull(), _text_of(df, c)).alias(c) for c in df.columns])
+    kinds = texts.unpivot([], [F.col(f"`{c}`") for c in df.columns], "column", "value").groupBy("column", "value").agg(F.count("*").alias("k"))
+    there = F.col("value").isNotNull()
+    got = kinds.groupBy("column").agg(F.coalesce(F.sum(F.when(there, F.col("k"))), F.lit(0)).alias("non_null"), F.coalesce(F.sum(F.when(~there, F.col("k"))), F.lit(0)).alias("missing"), F.count("value").alias("unique_count"))
+    every = df.sparkSession.createDataFrame([(c,) for c in df.columns], "column string")  # also those of an empty table
+    got = F.broadcast(every).join(got, "column", "left").fillna(0, ["non_null", "missing", "unique_count"])
+    return got.select("column", "non_null", "missing", pct(F.col("missing"), F.col("missing") + F.col("non_null")).alias("missing_pct"), "unique_count")
+
+
+def column_profile(df: DataFrame, samples: int = 5) -> DataFrame:
+    """A row a column: its semantic type, non_null, null_count, null_pct, unique_count, unique_pct, sample_values (the first in order),
+    and of numbers min, max, mean, median and std (0 of a single value)."""
+    m = missing_values(df)
+    kinds = semantic_types(df).select("column", "semantic_type")
+    texts = df.select(*[F.when(F.col(f"`{c}`").isNotNull(), _text_of(df, c)).alias(c) for c in df.columns])
+    first = texts.unpivot([], [F.col(f"`{c}`") for c in df.columns], "column", "value").where("value is not null").distinct()
+    first = first.withColumn("i", F.row_number().over(Window.partitionBy("column").orderBy("value"))).where(F.col("i") <= samples)
+    first = first.groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("sample_values"))
+    got = m.join(kinds, "column").join(first, "column", "left")
+    names = numeric_columns(df)
+    stats = ["min", "max", "mean", "median", "std"]
+    if names:
+        got = got.join(numeric_summary(df, names).select("column", *stats), "column", "left").withColumn("std", F.when(F.col("mean").isNotNull(), F.coalesce("std", F.lit(0.0))))
+    else:
+        got = got.withColumns({c: F.lit(None).cast("double") for c in stats})
+    rows = F.col("non_null") + F.col("missing")
+    return got.select("column", "semantic_type", "non_null", F.col("missing").alias("null_count"), F.coalesce("missing_pct", F.lit(0.0)).alias("null_pct"), "unique_count", F.coalesce(pct(F.col("unique_count"), rows), F.lit(0.0)).alias("unique_pct"), "sample_values", *stats)
+
+
+def profile_score(df: DataFrame) -> DataFrame:
+    """One row: rows, columns, quality_score, issues, recommendations (texts, in order).
+
+    Issues: over half of a column missing, a single value, repeated rows. Recommendations: over a fifth missing, numbers of which
+    over 95 per cent differ. The score is 100 less 10 an issue, 3 a recommendation and 30 times the share of missing cells,
+    from 0 to 100."""
+    p = missing_values(df).join(semantic_types(df).select("column", "semantic_type"), "column")
+    rows = F.col("non_null") + F.col("missing")
+    named = lambda text: F.concat("column", F.lit(text))
+    issue = F.array(F.when(F.col("missing_pct") > 50, named(": over half is missing")), F.when((F.col("unique_count") == 1) & (F.col("non_null") > 0), named(": a single value")))
+    advice = F.array(F.when((F.col("missing_pct") > 20) & (F.col("missing_pct") <= 50), named(": fill in what is missing")), F.when((F.col("semantic_type") == "numeric") & (pct(F.col("unique_count"), rows) > 95), named(": may be an identifier")))
+    listed = lambda c: F.array_sort(F.flatten(F.collect_list(F.filter(c, lambda x: x.isNotNull()))))
+    got = p.agg(listed(issue).alias("issues"), listed(advice).alias("recommendations"), (F.sum("missing") / F.nullif(F.sum(rows), F.lit(0))).alias("null_rate"), F.count("*").alias("columns"))
+    got = duplicate_rows(df).crossJoin(F.broadcast(got))
+    issues = F.when(F.col("duplicates") > 0, F.array_append("issues", F.lit("repeated rows"))).otherwise(F.col("issues"))
+    score = 100 - F.size(issues) * 10 - F.size("recommendations") * 3 - F.coalesce("null_rate", F.lit(0.0)) * 30
+    return got.select("rows", "columns", F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)), 1).alias("quality_score"), issues.alias("issues"), "recommendations")
+
+
+def dataset_summary(df: DataFrame) -> DataFrame:
+    """One row: rows, columns, numeric, categorical and datetime columns, total_missing, total_missing_pct, duplicate_rows."""
+    m = missing_values(df).agg(F.coalesce(F.sum("missing"), F.lit(0)).alias("total_missing"), F.sum(F.col("missing") + F.col("non_null")).alias("cells"))
+    dates = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))]
+    lists = {"numeric_columns": numeric_columns(df), "categorical_columns": categorical_columns(df), "datetime_columns": dates}
+    got = duplicate_rows(df).crossJoin(F.broadcast(m))
+    return got.select(
+        "rows", F.lit(len(df.columns)).cast("long").alias("columns"), *[F.lit(", ".join(v)).alias(k) for k, v in lists.items()],
+        "total_missing", F.coalesce(pct(F.col("total_missing"), F.col("cells")), F.lit(0.0)).alias("total_missing_pct"), F.col("duplicates").alias("duplicate_rows"),
+    )
+
+
+def summary_insights(df: DataFrame) -> DataFrame:
+    """kind, column, value: what the summaries of a table say. Of the table: empty; small (under 100 rows), large (over 100,000);
+    missing (over 20 per cent of all cells); duplicates (rows). Of numbers: outliers (over 5 per cent), skewed (over 2), missing
+    (over 30 per cent). Of categories: dominated (over 80 per cent), cardinality (over 100). Of the first date: short (under 7
+    days), long (over 365, in years)."""
+    d = dataset_summary(df)
+    one = lambda when, kind, value, column=F.lit(None).cast("string"): F.when(when, F.struct(F.lit(kind).alias("kind"), column.alias("column"), value.cast("double").alias("value")))
+    told = lambda rows, *found: rows.select(F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("x")).select("x.*")
+    rows, column = F.col("rows"), F.col("column")
+    parts = [told(d, one(rows == 0, "empty", rows), one(rows.between(1, 99), "small", rows), one(rows > 100_000, "large", rows), one(F.col("total_missing_pct") > 20, "missing", F.col("total_missing_pct")), one(F.col("duplicate_rows") > 0, "duplicates", F.col("duplicate_rows")))]
+    if names := numeric_columns(df):
+        share = ratio(F.col("outlier_count"), F.col("count")) * 100
+        parts.append(told(numeric_summary(df, names), one(share > 5, "outliers", share, column), one(F.abs("skewness") > 2, "skewed", F.col("skewness"), column), one(F.col("missing_pct") > 30, "missing", F.col("missing_pct"), column)))
+    if names := categorical_columns(df):
+        parts.append(told(categorical_summary(df, names), one(F.col("top_pct") > 80, "dominated", F.col("top_pct"), column), one(F.col("unique_count") > 100, "cardinality", F.col("unique_count"), column)))
+    dates = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))]
+    if dates:
+        days = F.col("range_days")
+        parts.append(told(datetime_range(df, dates[0]), one(days < 7, "short", days, column), one(days > 365, "long", days / 365, column)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def data_quality(df: DataFrame) -> DataFrame:

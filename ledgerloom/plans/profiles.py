@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.text_metrics import text_metrics, text_table
 from ledgerloom.operators import profile as pf
-from ledgerloom.operators.narrate import segment_insights, series_insights
-from ledgerloom.operators.scan import full_scan, ranked_findings
+from ledgerloom.operators.association import correlation_pairs
+from ledgerloom.operators.narrate import correlation_insights, segment_insights, series_insights
+from ledgerloom.operators.scan import full_scan, half_changes, mean_gaps, ranked_findings, top_fifth, top_value_share
 from ledgerloom.plans.registry import query, rounded, table
 
 
@@ -148,9 +149,86 @@ def _(s, d):
     return got.select("doc_id", F.col("line").cast("long").alias("line"), F.size("cells").cast("long").alias("n_cells"), F.array_join("cells", " / ").alias("cells"))
 
 
-@query("series_insights")
+@query("series_insights", """
+WITH d AS (SELECT ts AS t, value AS v FROM events WHERE ts IS NOT NULL AND value IS NOT NULL), o AS (SELECT *, row_number() OVER (ORDER BY t, v) AS i, count(*) OVER () AS n FROM d),
+s AS (SELECT count(*) AS n, avg(v) AS m, stddev_pop(v) AS s, avg(v) FILTER (i <= 7) AS f7, avg(v) FILTER (i > n - 7) AS l7, stddev_pop(v) FILTER (i <= 30) AS f30, stddev_pop(v) FILTER (i > n - 30) AS l30 FROM o),
+a AS (SELECT s.*, (SELECT count(*) FROM d WHERE abs(v - s.m) > 2 * s.s) AS far, (l7 - f7) / f7 * 100 AS p FROM s)
+SELECT 'trend' AS kind, CASE WHEN abs(p) > 30 THEN 'high' ELSE 'medium' END AS severity, round(p, 4) AS value FROM a WHERE abs(p) > 10 AND n >= 7
+UNION ALL SELECT 'anomaly', CASE WHEN far > n * 0.1 THEN 'high' ELSE 'low' END, far::DOUBLE FROM a WHERE far > 0
+UNION ALL SELECT 'volatility', 'medium', round(l30 / f30 * 100 - 100, 4) FROM a WHERE n >= 30 AND l30 > 1.5 * f30""")
 def _(s, d):
-    return series_insights(table(s, d, "events"), "ts", "value")
+    return rounded(series_insights(table(s, d, "events"), "ts", "value"), 4)
+
+
+@query("correlation_insights", """
+SELECT 'l_quantity' AS var1, 'price2' AS var2, round(corr(l_quantity, l_extendedprice + l_quantity * 4000), 4) AS correlation, 'positive' AS direction FROM lineitem HAVING corr(l_quantity, l_extendedprice + l_quantity * 4000) >= 0.7""")
+def _(s, d):
+    t = table(s, d, "lineitem").select("l_quantity", "l_tax", (F.col("l_extendedprice") + F.col("l_quantity") * 4000).alias("price2"))
+    return correlation_insights(correlation_pairs(t, ["l_quantity", "l_tax", "price2"]))
+
+
+_HALF = """SELECT '{c}' AS metric, round(sum(s * i / k) / sum(i), 6) AS first, round(sum(s * (1 - i / k)) / sum(k - i), 6) AS second, max(n)::BIGINT AS n FROM (
+  SELECT *, greatest(0, least(k, n // 2 - (u - k))) AS i FROM (SELECT *, sum(k) OVER (ORDER BY t) AS u, sum(k) OVER () AS n FROM (SELECT l_shipdate AS t, count(*) AS k, sum({c}) AS s FROM lineitem GROUP BY 1)))"""
+
+
+@query("half_changes", " UNION ALL ".join(_HALF.format(c=c) for c in ("l_quantity", "l_extendedprice", "l_discount")))
+def _(s, d):
+    return rounded(half_changes(table(s, d, "lineitem"), "l_shipdate", ["l_quantity", "l_extendedprice", "l_discount"]), 6)
+
+
+@query("top_value_share", " UNION ALL ".join(f"""
+SELECT '{c}' AS column, (SELECT count({c}) FROM lineitem) AS n, (SELECT count(DISTINCT {c}) FROM lineitem) AS kinds, v::DOUBLE AS top, round(k / (SELECT count({c}) FROM lineitem) * 100, 6) AS top_pct
+FROM (SELECT {c} AS v, count(*) AS k FROM lineitem GROUP BY 1 ORDER BY k DESC, v LIMIT 1)""" for c in ("l_quantity", "l_discount")))
+def _(s, d):
+    return rounded(top_value_share(table(s, d, "lineitem"), ["l_quantity", "l_discount"]), 6)
+
+
+@query("top_fifth", """
+WITH k AS (SELECT event_type AS v, count(*) AS k FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY k DESC, v) AS i, count(*) OVER () AS kinds, sum(k) OVER () AS n FROM k)
+SELECT 'event_type' AS column, max(kinds) AS kinds, max(greatest(1, floor(kinds * 0.2)))::BIGINT AS top_n, round(sum(k) FILTER (i <= greatest(1, floor(kinds * 0.2))) / max(n) * 100, 6) AS top_pct FROM r""")
+def _(s, d):
+    return rounded(top_fifth(table(s, d, "events"), ["event_type"]), 6)
+
+
+@query("mean_gaps", """
+WITH m AS (SELECT o_orderpriority AS v, avg(o_totalprice) AS m FROM orders GROUP BY 1)
+SELECT 'o_orderpriority' AS column, arg_max(v, m) AS best, arg_min(v, m) AS worst, round(max(m) / min(m), 6) AS gap FROM m""")
+def _(s, d):
+    return rounded(mean_gaps(table(s, d, "orders"), ["o_orderpriority"], "o_totalprice"), 6)
+
+
+@query("profile_score", """
+WITH c AS (SELECT count(*) AS n, count(DISTINCT c_acctbal) / count(*) * 100 AS u, count(DISTINCT c_nationkey) AS k FROM customer)
+SELECT 2 * n AS rows, 3::BIGINT AS columns, round(100 - 10 - 10 - CASE WHEN u / 2 > 95 THEN 3 ELSE 0 END, 1)::DOUBLE AS quality_score, 2::BIGINT AS n_issues, CASE WHEN u / 2 > 95 THEN 1 ELSE 0 END::BIGINT AS n_recommendations FROM c""")
+def _(s, d):
+    t = table(s, d, "customer").select("c_acctbal", "c_mktsegment", F.lit("x").alias("only"))
+    got = pf.profile_score(t.unionByName(t))
+    return got.select("rows", "columns", "quality_score", F.size("issues").cast("long").alias("n_issues"), F.size("recommendations").cast("long").alias("n_recommendations"))
+
+
+@query("column_profile", " UNION ALL ".join(f"""
+SELECT '{c}' AS column, '{k}' AS semantic_type, count({c}) AS non_null, 0::BIGINT AS null_count, 0.0::DOUBLE AS null_pct, count(DISTINCT {c}) AS unique_count, round(count(DISTINCT {c}) / count(*) * 100, 2) AS unique_pct,
+  {f"round(min({c})::DOUBLE, 4) AS min, round(max({c})::DOUBLE, 4) AS max, round(avg({c}), 4) AS mean, round(median({c})::DOUBLE, 4) AS median, round(stddev_samp({c}), 4) AS std" if k != "categorical" else "NULL::DOUBLE AS min, NULL::DOUBLE AS max, NULL::DOUBLE AS mean, NULL::DOUBLE AS median, NULL::DOUBLE AS std"} FROM part""" for c, k in (("p_brand", "categorical"), ("p_size", "numeric"), ("p_retailprice", "currency"))))
+def _(s, d):
+    return pf.column_profile(table(s, d, "part").select("p_brand", "p_size", "p_retailprice")).drop("sample_values")
+
+
+@query("dataset_summary", """
+SELECT count(*) AS rows, 4::BIGINT AS columns, 'o_custkey, o_totalprice' AS numeric_columns, 'o_orderstatus' AS categorical_columns, 'o_orderdate' AS datetime_columns, 0::BIGINT AS total_missing, 0.0::DOUBLE AS total_missing_pct,
+  count(*) - (SELECT count(*) FROM (SELECT DISTINCT o_custkey, o_totalprice, o_orderstatus, o_orderdate FROM orders)) AS duplicate_rows FROM orders""")
+def _(s, d):
+    return pf.dataset_summary(table(s, d, "orders").select("o_custkey", "o_totalprice", "o_orderstatus", "o_orderdate"))
+
+
+@query("summary_insights", """
+WITH c AS (SELECT count(*) AS n, count(DISTINCT o_orderdate) AS u, date_diff('day', min(o_orderdate), max(o_orderdate)) AS days, skewness(o_totalprice) AS sk,
+  quantile_cont(o_totalprice, 0.25) AS a, quantile_cont(o_totalprice, 0.75) AS b FROM orders), f AS (SELECT count(*) AS k FROM orders, c WHERE o_totalprice < a - 1.5 * (b - a) OR o_totalprice > b + 1.5 * (b - a)),
+d AS (SELECT count(*) - count(DISTINCT (o_totalprice, o_orderdate)) AS k FROM orders)
+SELECT 'large' AS kind, NULL::VARCHAR AS column, n::DOUBLE AS value FROM c WHERE n > 100000 UNION ALL SELECT 'small', NULL, n FROM c WHERE n < 100 UNION ALL SELECT 'duplicates', NULL, k FROM d WHERE k > 0
+UNION ALL SELECT 'outliers', 'o_totalprice', round(k / n * 100, 4) FROM c, f WHERE k / n > 0.05 UNION ALL SELECT 'skewed', 'o_totalprice', round(sk, 4) FROM c WHERE abs(sk) > 2
+UNION ALL SELECT 'long', 'o_orderdate', round(days / 365, 4) FROM c WHERE days > 365 UNION ALL SELECT 'short', 'o_orderdate', days FROM c WHERE days < 7""")
+def _(s, d):
+    return rounded(pf.summary_insights(table(s, d, "orders").select("o_totalprice", "o_orderdate")), 4)
 
 
 @query("segment_insights", """
