@@ -43,6 +43,7 @@ def stored(df: DataFrame, outlives: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # so that Spark's cleaner drops the shuffle files of what is written now
     atexit.register(_remove, spark, path)
     around = _OPEN[: len(_OPEN) - outlives]
     if around:
