@@ -27,7 +27,7 @@ from ledgerloom.llm.common import extended, passing, stored, table
 #: Bytes of a window, and words of one.
 THRESHOLD, WORDS = 400, 51
 #: Tokens of an anchor's piece, as a share of the threshold; places of a stretch as a share of it.
-GRAM_SHARE, STRETCH_SHARE = 0.5, 0.08
+GRAM_SHARE, STRETCH_SHARE, WORD_STRETCH_SHARE = 0.5, 0.08, 0.25
 _MULT = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULT, -1, 1 << 64)
 #: Places are numbered within chunks of so many windows, so a text may have any length.
@@ -113,13 +113,19 @@ def _digit_one(threshold: int, gram: int, words: bool):
 
 
 def _digit_two(threshold: int, stretch: int, words: bool):
-    """Rows of the second pass: what lies around the core in ``f``; ``core`` and ``v`` (the whole stretch) as digests."""
+    """Rows of the second pass: what lies around the core in ``f``; ``core`` and ``v`` (the whole stretch) as digests. Copies of
+    a text that follow one another count once; should some be in another task, they only tell that the text, which is
+    repeated as a whole, is repeated."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         digest = xxhash.xxh3_128_digest
+        last_text = None
         for batch in batches:
             out = []
             for k1, k2, text, runs in zip(batch["k1"], batch["k2"], batch["text"], batch["runs"], strict=True):
+                if (k1, k2) == last_text:
+                    continue
+                last_text = k1, k2
                 _, x, u = coded(text.encode("utf-8", "replace"), words)
                 for r in runs:
                     a, low, high = r["a"], r["a"] - r["e"], r["a"] - r["s"]
@@ -154,7 +160,7 @@ def _text_keys() -> list[Column]:
 def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, words: bool = False) -> DataFrame:
     """k1, k2 (two hashes of the text) and spans, array of (start, end): the tokens of each different text of ``docs`` that
     windows of ``threshold`` bytes, or words, cover which start anywhere else too. Texts without any are left out."""
-    gram, stretch = max(1, int(threshold * GRAM_SHARE)), max(1, int(threshold * STRETCH_SHARE))
+    gram, stretch = max(1, int(threshold * GRAM_SHARE)), max(1, int(threshold * (WORD_STRETCH_SHARE if words else STRETCH_SHARE)))
     u = 8 if words else 1
     with passing(docs.sparkSession):
         texts = docs.select(*_text_keys(), F.col("text").cast("string").alias("text")).where(F.octet_length("text") >= (2 * threshold - 1 if words else threshold))
@@ -162,9 +168,8 @@ def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, words: bool = Fa
         twice = stored(one.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
         # a set, so that the copies of a text bring its runs once
         runs = one.join(twice, "h").groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "s", "e")).alias("runs"))
-        kinds = texts.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
         fields = "core binary, v binary, q long, o1 long, o2 long, f binary, k1 long, k2 long, a long"
-        two = stored(kinds.join(runs, ["k1", "k2"]).select("k1", "k2", "text", "runs").mapInPandas(_digit_two(threshold, stretch, words), fields))
+        two = stored(texts.join(runs, ["k1", "k2"]).select("k1", "k2", "text", "runs").mapInPandas(_digit_two(threshold, stretch, words), fields))
         # stretches that are equal as a whole are one variant; a core with other variants goes through the third pass
         variants = stored(two.groupBy("v").agg(F.first("core").alias("core"), F.first("q").alias("q"), F.first("o1").alias("o1"), F.first("o2").alias("o2"), F.first("f").alias("f"), F.count("*").alias("n")))
         several = stored(variants.groupBy("core").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("core"))
