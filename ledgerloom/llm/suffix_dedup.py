@@ -3,7 +3,7 @@
 Windows are of bytes or of words. Suffixes are never told apart beyond the threshold. Each pass is one shuffle on a digit,
 a longer piece of the window than the last one's, and only groups of two and more go on:
 
-1. the anchor: of the pieces of half a window the one of smallest hash, which equal windows have at the same place;
+1. the anchor: of the pieces of a given length the one of smallest hash, which equal windows have at the same place;
 2. the core: the tokens common to all windows of one stretch of places before an anchor;
 3. the whole window.
 
@@ -26,8 +26,8 @@ from ledgerloom.llm.common import extended, passing, stored, table
 
 #: Bytes of a window, and words of one.
 THRESHOLD, WORDS = 400, 51
-#: Tokens of an anchor's piece, as a share of the threshold; places of a stretch as a share of it.
-GRAM_SHARE, STRETCH_SHARE, WORD_STRETCH_SHARE = 0.5, 0.08, 0.25
+#: Of bytes and of words: tokens of an anchor's piece, as a share of the threshold; places of a stretch as a share of it.
+GRAM_SHARE, STRETCH_SHARE = (0.5, 0.3), (0.08, 0.25)
 _MULT = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULT, -1, 1 << 64)
 #: Places are numbered within chunks of so many windows, so a text may have any length.
@@ -160,7 +160,7 @@ def _text_keys() -> list[Column]:
 def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, words: bool = False) -> DataFrame:
     """k1, k2 (two hashes of the text) and spans, array of (start, end): the tokens of each different text of ``docs`` that
     windows of ``threshold`` bytes, or words, cover which start anywhere else too. Texts without any are left out."""
-    gram, stretch = max(1, int(threshold * GRAM_SHARE)), max(1, int(threshold * (WORD_STRETCH_SHARE if words else STRETCH_SHARE)))
+    gram, stretch = max(1, int(threshold * GRAM_SHARE[words])), max(1, int(threshold * STRETCH_SHARE[words]))
     u = 8 if words else 1
     with passing(docs.sparkSession):
         texts = docs.select(*_text_keys(), F.col("text").cast("string").alias("text")).where(F.octet_length("text") >= (2 * threshold - 1 if words else threshold))
@@ -197,7 +197,8 @@ def with_spans(docs: DataFrame, threshold: int, keep: tuple[str, ...], words: bo
     keys = [f"{name}_1", f"{name}_2"]
     found = repeated_spans(docs, threshold, words).toDF(*keys, name)
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], *[k.alias(n) for k, n in zip(_text_keys(), keys, strict=True)])
-    return rows.join(found, keys, "left").drop(*keys)
+    # what is found is small beside the texts, which need no sort then
+    return rows.join(found.hint("shuffle_hash"), keys, "left").drop(*keys)
 
 
 def cut(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -273,5 +274,5 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("string").alias("text"))
     passages = repeated_spans(docs, WORDS, words=True).withColumnRenamed("spans", "passages")
     found = repeated_spans(docs, THRESHOLD).join(passages, ["k1", "k2"], "full")
-    rows = docs.select("doc_id", "text", *_text_keys()).join(found, ["k1", "k2"], "left").select("doc_id", "text", "spans", "passages")
+    rows = docs.select("doc_id", "text", *_text_keys()).join(found.hint("shuffle_hash"), ["k1", "k2"], "left").select("doc_id", "text", "spans", "passages")
     return rows.mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long")
