@@ -53,6 +53,11 @@ def head_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> list[
     return [r.value for r in spark.read.option("encoding", encoding).text(path).limit(_HEAD).collect()]
 
 
+def head_bytes(spark: SparkSession, path: str) -> bytes:
+    """The bytes of the first lines: the text source hands them on as they are."""
+    return b"\n".join(bytes(r.value) for r in spark.read.text(path).select(F.col("value").cast("binary")).limit(_HEAD).collect())
+
+
 def sniff_delimiter(lines: list[str]) -> str:
     """The first that occurs equally often, at least once, in all lines; else the most frequent."""
     lines = [x for x in lines if x.strip()]
@@ -80,12 +85,40 @@ def sniff_encoding(head: bytes) -> str:
         return "ISO-8859-1"
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, decimal: str | None = None, encoding: str = "UTF-8") -> DataFrame:
-    """All columns as text, malformed lines dropped; typed by ``profile.auto_clean`` or ``typed``."""
+_BAD = "_malformed_line"
+
+
+def _lines(spark: SparkSession, path: str, delimiter: str, encoding: str) -> DataFrame:
+    options = {"header": True, "sep": delimiter, "encoding": encoding, "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True, "columnPruning": False}  # a line's fields are counted whatever is selected
+    reader = lambda: spark.read.format("csv").options(**options)
+    schema = reader().load(path).schema
+    df = reader().schema(T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])).options(columnNameOfCorruptRecord=_BAD, mode="PERMISSIVE").load(path)
+    # always true: Spark reads the malformed lines only beside a column, whatever is selected later
+    return df.where(F.coalesce(F.length(F.col(f"`{schema.fields[0].name}`")) >= 0, F.lit(True)))
+
+
+def _too_long(df: DataFrame, delimiter: str) -> Column:
+    fields = F.size(F.split(_BAD, re.escape(delimiter)))
+    return F.coalesce(fields > len(df.columns) - 1, F.lit(False))
+
+
+def malformed_lines(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None) -> DataFrame:
+    """line, kept: the lines whose number of fields is not that of the header; those with too few are kept by ``read_csv``."""
+    encoding = encoding or sniff_encoding(head_bytes(spark, path))
+    delimiter = delimiter or sniff_delimiter(head_lines(spark, path, encoding))
+    df = _lines(spark, path, delimiter, encoding)
+    return df.withColumn("kept", ~_too_long(df, delimiter)).where(F.col(_BAD).isNotNull()).select(F.col(_BAD).alias("line"), "kept")
+
+
+def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, decimal: str | None = None, encoding: str | None = None) -> DataFrame:
+    """Columns typed by ``typed``. Encoding, delimiter and decimal sign are told from the first lines, where not given. A line of
+    too few fields is filled up with nulls; one of too many is left out (``malformed_lines`` has them)."""
+    encoding = encoding or sniff_encoding(head_bytes(spark, path))
     head = head_lines(spark, path, encoding)
     delimiter = delimiter or sniff_delimiter(head)
     decimal = decimal or sniff_decimal(head, delimiter)
-    df = spark.read.csv(path, header=True, sep=delimiter, encoding=encoding, mode="DROPMALFORMED", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    df = _lines(spark, path, delimiter, encoding)
+    df = df.where(~_too_long(df, delimiter)).drop(_BAD)
     df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
     if decimal == ",":
         swap = lambda c: F.when(F.col(c).rlike(r"^-?[\d.]*\d,\d+$"), F.replace(F.replace(c, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.col(c))

@@ -88,3 +88,14 @@ def test_streams(spark, tmp_path):
         q.stop()
     assert spark.sql("select sum(transactions) from w").first()[0] == 144
     assert spark.sql("select count(*) from s where view = 1 and buy = 1").first()[0] >= 0
+
+
+def test_encoding_is_told_and_short_lines_stay(spark, tmp_path):
+    f = tmp_path / "latin.csv"
+    f.write_bytes("name,n\nM\u00fcller,1\nK\u00e4the\nAnna,2,3\nBo,4\n".encode("latin-1"))
+    r = loader.load_file(spark, str(f))
+    assert r.success, r.error
+    assert sorted((x.name, x.n) for x in r.df.collect() if x.n) == [("Bo", 4), ("M\u00fcller", 1)]
+    assert [x.name for x in r.df.where("n is null").collect()] == ["K\u00e4the"]
+    assert {(x.line, x.kept) for x in loader.malformed_lines(spark, str(f)).collect()} == {("K\u00e4the", True), ("Anna,2,3", False)}
+    assert loader.sniff_encoding("\u00e4".encode("utf-8") * 9) == "UTF-8" and loader.sniff_encoding(b"\xff\xfea\x00") == "UTF-16"
