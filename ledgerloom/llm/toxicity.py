@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -178,11 +179,12 @@ def train(sample: DataFrame) -> tuple[KneserNey, np.ndarray]:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for y in (0, 1):
-                words = [w for t in batch.loc[batch["y"] == y, "text"] for w in _WORD.findall((t or "").lower())]
+                words: Counter[str] = Counter()
+                for t in batch.loc[batch["y"] == y, "text"]:  # text by text: a batch holds many times its distinct words
+                    words.update(_WORD.findall((t or "").lower()))
                 if words:
-                    kinds, n = np.unique(np.array(words, dtype=object).astype(str), return_counts=True)
-                    grams, owner = grams_of(kinds.tolist())
-                    g, c = _sums(grams, n[owner])
+                    grams, owner = grams_of(list(words))
+                    g, c = _sums(grams, np.fromiter(words.values(), np.int64, len(words))[owner])
                     yield pd.DataFrame({"g": g.astype(np.int64), "c0": c * (1 - y), "c1": c * y})
 
     counted = sample.where("part = 'fit'").select("text", "y").mapInPandas(count, "g long, c0 long, c1 long")
