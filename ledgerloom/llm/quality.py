@@ -171,10 +171,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            own, length, sizes = line_buckets(batch["text"].tolist())
-            cut = np.cumsum(sizes)[:-1]
-            rows = [[x.tobytes() for x in np.split(v, cut)] if len(sizes) else [] for v in (own.astype(np.uint8), length)]
-            yield pd.DataFrame({"y": batch["y"].to_numpy(), "lines": rows[0], "sizes": rows[1]})
+            for at in range(0, len(batch), _TEXTS):
+                part = batch.iloc[at : at + _TEXTS]
+                own, length, sizes = line_buckets(part["text"].tolist())
+                cut = np.cumsum(sizes)[:-1]
+                rows = [[x.tobytes() for x in np.split(v, cut)] for v in (own.astype(np.uint8), length)]
+                yield pd.DataFrame({"y": part["y"].to_numpy(), "lines": rows[0], "sizes": rows[1]})
 
     seen = sample.mapInPandas(measure, "y long, lines binary, sizes binary").toPandas().sort_values(["y", "lines", "sizes"], ignore_index=True)
     field = (np.zeros(3 * N_STATS * N_BUCKETS), np.zeros((2, 2)), np.zeros(2))
