@@ -200,3 +200,11 @@ def test_samples_are_bounded(spark):
     assert len(got) == 18 and {r.part for r in got} == {"fit", "calibrate"}
     got = tx.labelled(docs, labels, "toxic", 30, 6, fit_bytes=100, text_bytes=1000).collect()
     assert 1 < len(got) < 10 and sum(len(r.text) for r in got) <= 100
+
+
+def test_a_very_long_word_in_the_sample_costs_its_own_length(spark):
+    words = [" ".join(f"w{(i * 7 + k) % 997}" for k in range(200)) for i in range(200)]
+    rows = [(("scum " if i % 2 else "") + t, i % 2, "fit") for i, t in enumerate(words)] + [("x" * 60_000, 0, "fit")]
+    # in one batch and by fixed width these 40,000 words would take 240 kB each
+    model, _ = tx.train(spark.createDataFrame(rows, "text string, y long, part string").coalesce(1))
+    assert model.ratios(["scum"])[0] > model.ratios(["w1"])[0]
