@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import bpe, chat_format, decontaminate, embed_dedup, lm_score, quality, simhash, suffix_dedup, toxicity, url_filter
+from ledgerloom.llm import bpe, chat_format, decontaminate, embed_dedup, lm_score, quality, simhash, suffix_dedup, token_counts, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_simhash": simhash.op8_simhash,
         "op9_url_filter": url_filter.op9_url_filter,
         "op10_quality": quality.op10_quality,
+        "op13_token_counts": token_counts.op13_token_counts,
     }
 
 
