@@ -19,8 +19,8 @@ from tokenizers import Tokenizer
 from ledgerloom.llm.common import extended, table
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Characters of text that are taken apart at a time, and pre-tokens held at once of a longer one.
-SLICE, HELD = 4_000_000, 1_000_000
+#: Pre-tokens that are held at once; a longer text is counted in parts of so many.
+HELD = 1_000_000
 #: Pre-tokens whose counts a Python worker remembers; beyond it the memory starts afresh.
 REMEMBERED = 500_000
 #: Sequences of more symbols than this are merged rank after rank instead of round after round.
@@ -68,7 +68,8 @@ class TokenCounter:
         self.rank_at = np.argsort(keys).astype(np.int32)
         self.keys = keys[self.rank_at]
         self.special = self._special(made["added_tokens"])
-        self.find = self._pattern(Tokenizer.from_file(path))
+        self.find = regex.compile(public_tokenizers.PATTERN)
+        self.unknown = self._unknown_signs(Tokenizer.from_file(path))
         self.known: dict[str, int] = {}
 
     @staticmethod
@@ -79,17 +80,16 @@ class TokenCounter:
         return regex.compile("|".join(map(regex.escape, names))) if names else None
 
     @staticmethod
-    def _pattern(library: Tokenizer) -> regex.Pattern:
-        """The pre-tokens' pattern with letters and digits as the library knows them: its Unicode may be older than ours."""
+    def _unknown_signs(library: Tokenizer) -> dict[int, str]:
+        """Letters and digits of our Unicode tables that the library's, which may be older, don't know; to a sign that is neither."""
         signs = regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)])))
         starts = {a for _, (a, _) in library.pre_tokenizer.pre_tokenize_str("".join(["!" + c for c in signs]))}
-        newer = "".join(c for i, c in enumerate(signs) if 2 * i + 1 not in starts)
-        if not newer:
-            return regex.compile(public_tokenizers.PATTERN)
-        less = lambda kind: f"[\\p{{{kind}}}--[{newer}]]"
-        found = public_tokenizers.PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"(?:[^\s\p{{L}}\p{{N}}]|[{newer}])")
-        found = regex.sub(r"(?<!\^\\s|\^\\s\\p\{L\})\\p\{([LN])\}\+", lambda m: less(m[1]) + "+", found)
-        return regex.compile(found, regex.V1)
+        return {ord(c): "\uffff" for i, c in enumerate(signs) if 2 * i + 1 not in starts}
+
+    def pieces(self, text: str) -> Iterator[str]:
+        if text.isascii() or self.unknown.keys().isdisjoint(map(ord, set(text))):
+            return (m[0] for m in self.find.finditer(text))
+        return (text[slice(*m.span())] for m in self.find.finditer(text.translate(self.unknown)))
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         want = left.astype(np.int64) * self.base + right
@@ -193,7 +193,7 @@ class TokenCounter:
         return self.known
 
     def count(self, texts: list[str]) -> list[int]:
-        """Tokens of each text. Texts are taken apart a slice at a time; of a longer one no more than HELD pre-tokens are held."""
+        """Tokens of each text. No more than about HELD pre-tokens are held."""
         totals = [0] * len(texts)
         held: list[tuple[int, list[str]]] = []
         size = 0
@@ -210,17 +210,13 @@ class TokenCounter:
                 parts = self.special.split(text)
                 totals[i] += len(parts) - 1
             for part in parts:
-                if len(part) <= SLICE:
-                    held.append((i, self.find.findall(part)))
-                    size += len(part)
-                    if size >= SLICE:
+                found = self.pieces(part)
+                while pieces := list(islice(found, HELD)):
+                    held.append((i, pieces))
+                    size += len(pieces)
+                    if size >= HELD:
                         flush()
                         size = 0
-                else:
-                    found = self.find.finditer(part)
-                    while pieces := [m[0] for m in islice(found, HELD)]:
-                        held.append((i, pieces))
-                        flush()
         flush()
         return totals
 

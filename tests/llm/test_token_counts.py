@@ -48,7 +48,6 @@ def test_both_ways_of_merging_agree():
 
 
 def test_slices_and_memory(library, monkeypatch):
-    monkeypatch.setattr(token_counts, "SLICE", 300)
     monkeypatch.setattr(token_counts, "HELD", 7)
     monkeypatch.setattr(token_counts, "REMEMBERED", 50)
     texts = some_texts()
