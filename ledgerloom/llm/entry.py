@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import bpe, chat_format, decontaminate, embed_dedup, lm_score, quality, simhash, suffix_dedup, token_counts, toxicity, url_filter
+from ledgerloom.llm import bpe, chat_format, collocations, decontaminate, embed_dedup, lm_score, merkle, quality, simhash, suffix_dedup, token_counts, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_simhash": simhash.op8_simhash,
         "op9_url_filter": url_filter.op9_url_filter,
         "op10_quality": quality.op10_quality,
+        "op11_collocations": collocations.op11_collocations,
+        "op12_merkle": merkle.op12_merkle,
         "op13_token_counts": token_counts.op13_token_counts,
     }
 
@@ -26,4 +28,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_chat_format": chat_format.ORACLE,
         "op5_embedding_dedup": embed_dedup.ORACLE,
         "op9_url_filter": url_filter.ORACLE,
+        "op11_collocations": collocations.ORACLE,
+        "op12_merkle": merkle.ORACLE,
     }
