@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections import Counter
 from dataclasses import dataclass, field
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.operators.profile import ColumnMapping, suggest_mapping
+from ledgerloom.sources import csv_records
 from ledgerloom.sources.office import read_excel
 
 READERS = {".csv": "csv", ".tsv": "csv", ".txt": "csv", ".json": "json", ".jsonl": "json", ".ndjson": "json", ".parquet": "parquet", ".orc": "orc", ".xlsx": "excel", ".xlsm": "excel"}
@@ -18,6 +20,7 @@ READERS = {".csv": "csv", ".tsv": "csv", ".txt": "csv", ".json": "json", ".jsonl
 WRAPPERS = ("data", "results", "items", "records", "rows", "entries")
 DELIMITERS = (",", ";", "\t", "|")
 _HEAD = 11
+BOOLEANS = ("True", "TRUE", "true", "False", "FALSE", "false")
 
 
 @dataclass(frozen=True)
@@ -48,13 +51,8 @@ def is_supported(path: str) -> bool:
     return extension(path) in READERS
 
 
-def head_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> list[str]:
-    """The first lines, read by Spark, so that any store it reads will do."""
-    return [r.value for r in spark.read.option("encoding", encoding).text(path).limit(_HEAD).collect()]
-
-
 def head_bytes(spark: SparkSession, path: str) -> bytes:
-    """The bytes of the first lines: the text source hands them on as they are."""
+    """The bytes of the first lines: the text source hands them on as they are, from any store that Spark reads."""
     return b"\n".join(bytes(r.value) for r in spark.read.text(path).select(F.col("value").cast("binary")).limit(_HEAD).collect())
 
 
@@ -76,78 +74,135 @@ def sniff_decimal(lines: list[str], delimiter: str) -> str:
 
 
 def sniff_encoding(head: bytes) -> str:
+    """UTF-16 by its mark, UTF-8 if the bytes can begin such a text, else ISO-8859-1."""
     if head[:2] in (b"\xff\xfe", b"\xfe\xff"):
         return "UTF-16"
     try:
-        head[: len(head) - 4].decode("utf-8") if len(head) > 4 else head.decode("utf-8")
+        codecs.getincrementaldecoder("utf-8")().decode(head)
         return "UTF-8"
     except UnicodeDecodeError:
         return "ISO-8859-1"
 
 
-_BAD = "_malformed_line"
+def _names(header: list[str]) -> list[str]:
+    """Stripped names; a column without one by its place, repeated ones with a number, in any case."""
+    names: list[str] = []
+    for i, c in enumerate(header):
+        name = first = c.strip() or f"_c{i}"
+        n = 0
+        while name.lower() in {x.lower() for x in names}:
+            n += 1
+            name = f"{first}_{n}"
+        names.append(name)
+    return names
 
 
-def _lines(spark: SparkSession, path: str, delimiter: str, encoding: str) -> DataFrame:
-    options = {"header": True, "sep": delimiter, "encoding": encoding, "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True, "columnPruning": False}  # a line's fields are counted whatever is selected
-    reader = lambda: spark.read.format("csv").options(**options)
-    schema = reader().load(path).schema
-    df = reader().schema(T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])).options(columnNameOfCorruptRecord=_BAD, mode="PERMISSIVE").load(path)
-    # always true: Spark reads the malformed lines only beside a column, whatever is selected later
-    return df.where(F.coalesce(F.length(F.col(f"`{schema.fields[0].name}`")) >= 0, F.lit(True)))
+@dataclass(frozen=True)
+class CsvFormat:
+    """How a CSV is read, and what reading it through has told."""
 
+    encoding: str
+    delimiter: str
+    decimal: str
+    names: list[str]
+    splits: csv_records.Splits | None = None
 
-def _too_long(df: DataFrame, delimiter: str) -> Column:
-    fields = F.size(F.split(_BAD, re.escape(delimiter)))
-    return F.coalesce(fields > len(df.columns) - 1, F.lit(False))
+    @property
+    def width(self) -> int:
+        return len(self.names)
+
+
+def csv_format(spark: SparkSession, path: str, delimiter: str | None = None, decimal: str | None = None, encoding: str | None = None, whole: bool = True) -> CsvFormat:
+    """Delimiter and decimal sign from the first lines, where not given. ``whole``: all lines are read once, which tells where
+    records lie across splits, and ISO-8859-1 if any line is not UTF-8."""
+    head = head_bytes(spark, path)
+    told = encoding or sniff_encoding(head)
+    lines = head.decode(told, "replace").splitlines()
+    delimiter = delimiter or sniff_delimiter(lines)
+    splits = csv_records.scan_splits(spark, path, delimiter) if whole and told != "UTF-16" else None
+    if splits and not encoding:
+        told = "ISO-8859-1" if splits.other else "UTF-8"
+    if splits and splits.unclosed:
+        raise ValueError(f"{path}: a quoted field is never closed")
+    if told == "UTF-16":
+        header = spark.read.csv(path, header=True, sep=delimiter, encoding=told, multiLine=True).columns
+    else:
+        header = next(iter(csv_records.head_records(spark, path, 1, delimiter, told)), [])
+    if not header:
+        raise ValueError(f"{path}: no header")
+    return CsvFormat(told, delimiter, decimal or sniff_decimal(lines, delimiter), _names(header), splits)
+
+
+def _records(spark: SparkSession, path: str, form: CsvFormat) -> DataFrame:
+    """(cells, text) of all records; UTF-16, whose line ends are no single bytes, a file a task."""
+    if form.encoding != "UTF-16":
+        return csv_records.records(spark, path, form.splits, form.delimiter, form.encoding, form.width)
+    df = spark.read.csv(path, header=True, sep=form.delimiter, encoding=form.encoding, multiLine=True)
+    return df.select(F.array(*[F.col(f"`{c}`") for c in df.columns]).alias("cells"), F.lit(None).cast("string").alias("text"))
 
 
 def malformed_lines(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None) -> DataFrame:
-    """line, kept: the lines whose number of fields is not that of the header; those with too few are kept by ``read_csv``."""
-    encoding = encoding or sniff_encoding(head_bytes(spark, path))
-    delimiter = delimiter or sniff_delimiter(head_lines(spark, path, encoding))
-    df = _lines(spark, path, delimiter, encoding)
-    return df.withColumn("kept", ~_too_long(df, delimiter)).where(F.col(_BAD).isNotNull()).select(F.col(_BAD).alias("line"), "kept")
+    """line, kept: the records whose number of fields is not that of the header; those with too few are kept by ``read_csv``."""
+    form = csv_format(spark, path, delimiter, encoding=encoding)
+    odd = _records(spark, path, form).where("text is not null")
+    return odd.select(F.col("text").alias("line"), (F.size("cells") < form.width).alias("kept"))
+
+
+def _columns(rows: DataFrame, form: CsvFormat) -> DataFrame:
+    """The cells as columns of text, decimal commas as points. Too few are filled up with nulls; records of too many are left out."""
+    value = lambda i: F.get("cells", F.lit(i))
+    if form.decimal == ",":
+        swap = lambda v: F.when(v.rlike(r"^\s*-?[\d.]*\d,\d+\s*$"), F.replace(F.replace(v, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(v)
+        value = lambda i: swap(F.get("cells", F.lit(i)))
+    return rows.where(F.size("cells") <= form.width).select(*[value(i).alias(c) for i, c in enumerate(form.names)])
+
+
+def scan_csv(spark: SparkSession, path: str, delimiter: str | None = None, decimal: str | None = None, encoding: str | None = None) -> tuple[DataFrame, dict]:
+    """The typed table, and what was found: encoding, delimiter, decimal_separator, columns, rows, and values that became null a column.
+
+    A quoted field may hold line breaks wherever the file is split. Two passes decide (lines, then types); the table itself is lazy."""
+    form = csv_format(spark, path, delimiter, decimal, encoding)
+    df, told = typed(_columns(_records(spark, path, form), form))
+    return df, {"encoding": form.encoding, "delimiter": form.delimiter, "decimal_separator": form.decimal, "columns": form.width, **told}
 
 
 def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, decimal: str | None = None, encoding: str | None = None) -> DataFrame:
-    """Columns typed by ``typed``. Encoding, delimiter and decimal sign are told from the first lines, where not given. A line of
-    too few fields is filled up with nulls; one of too many is left out (``malformed_lines`` has them)."""
-    encoding = encoding or sniff_encoding(head_bytes(spark, path))
-    head = head_lines(spark, path, encoding)
-    delimiter = delimiter or sniff_delimiter(head)
-    decimal = decimal or sniff_decimal(head, delimiter)
-    df = _lines(spark, path, delimiter, encoding)
-    df = df.where(~_too_long(df, delimiter)).drop(_BAD)
-    df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
-    if decimal == ",":
-        swap = lambda c: F.when(F.col(c).rlike(r"^-?[\d.]*\d,\d+$"), F.replace(F.replace(c, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.col(c))
-        df = df.select(*[swap(f"`{c}`").alias(c) for c in df.columns])
-    return typed(df)
-
-
-def typed(df: DataFrame, least: float = 0.8) -> DataFrame:
-    """Text columns as whole numbers, doubles or timestamps where more than ``least`` of the values are; timestamps only if
-    the name tells a date. One pass over all rows decides."""
+    """The table of ``scan_csv``: a record of too few fields is filled up with nulls, one of too many is left out (``malformed_lines`` has both)."""
+    return scan_csv(spark, path, delimiter, decimal, encoding)[0]
+
+
+#: Words in the names of columns that may hold dates.
+DATE_WORDS = ("date", "datum", "time", "zeit", "created", "updated", "timestamp", "day", "month", "year", "tag", "monat", "jahr")
+NUMBER = r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"
+WHOLE = r"^\s*[-+]?\d{1,18}\s*$"
+
+
+def typed(df: DataFrame, least: float = 0.8) -> tuple[DataFrame, dict]:
+    """Text columns as whole numbers, doubles or booleans where all values are, as timestamps where the name tells a date and more than
+    ``least`` of the values are one; and {rows, nulled: values of each such column that are none}. One pass over all rows decides."""
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    if not texts:
-        return df
-    named = {c for c in texts if re.search(r"date|datum|time|created|updated|(_at|_on)$", c.lower())}
-    aggs = []
+    named = {c for c in texts if re.search(r"(_at|_on)$", c.lower()) or any(w in c.lower() for w in DATE_WORDS)}
+    aggs = [F.count("*").alias("rows")]
     for i, c in enumerate(texts):
         v = F.col(f"`{c}`")
-        aggs += [F.count(v).alias(f"n{i}"), F.count(v.try_cast("long")).alias(f"l{i}"), F.count(v.try_cast("double")).alias(f"d{i}"), F.count(F.try_to_timestamp(v)).alias(f"t{i}")]
+        aggs += [F.count(v).alias(f"n{i}"), *(F.count_if(t).alias(f"{k}{i}") for k, t in (("l", v.rlike(WHOLE)), ("d", v.rlike(NUMBER)), ("b", v.isin(*BOOLEANS))))]
+        if c in named:
+            aggs.append(F.count(F.try_to_timestamp(v)).alias(f"t{i}"))
     s = df.agg(*aggs).first()
-    made = {}
+    made, nulled = {}, {}
     for i, c in enumerate(texts):
         n, v = s[f"n{i}"], F.col(f"`{c}`")
-        if n and c in named and s[f"t{i}"] > n * least:
-            made[c] = F.try_to_timestamp(v)
-        elif n and s[f"l{i}"] == n:
+        if n and s[f"l{i}"] == n:
             made[c] = v.try_cast("long")
-        elif n and s[f"d{i}"] > n * least:
+        elif n and s[f"d{i}"] == n:
             made[c] = v.try_cast("double")
-    return df.withColumns(made) if made else df
+        elif n and s[f"b{i}"] == n:
+            made[c] = v.try_cast("boolean")
+        elif n and c in named and s[f"t{i}"] > n * least:
+            made[c] = F.try_to_timestamp(v)
+            if s[f"t{i}"] < n:
+                nulled[c] = n - s[f"t{i}"]
+    return df.withColumns({f"{c}": v for c, v in made.items()}) if made else df, {"rows": s["rows"], "nulled": nulled}
 
 
 def flattened(df: DataFrame) -> DataFrame:
@@ -192,7 +247,10 @@ def load_file(spark: SparkSession, path: str, **options) -> LoadResult:
         known = {".xls": "save it as .xlsx", ".doc": "save it as .docx", ".ppt": "save it as .pptx", ".pdf": "no PDF library is here", ".docx": "use office.read_documents", ".pptx": "use office.read_documents"}
         return LoadResult(path, error=f"{extension(path) or 'no extension'} is not supported ({known.get(extension(path), 'supported: ' + ', '.join(supported_extensions()))})")
     try:
-        read = {"csv": read_csv, "json": read_json, "excel": read_excel, "parquet": lambda s, p: s.read.parquet(p), "orc": lambda s, p: s.read.orc(p)}[kind]
+        if kind == "csv":
+            df, told = scan_csv(spark, path, **options)
+            return LoadResult(path, df, kind, suggest_mapping(df), told)
+        read = {"json": read_json, "excel": read_excel, "parquet": lambda s, p: s.read.parquet(p), "orc": lambda s, p: s.read.orc(p)}[kind]
         df = read(spark, path, **options)
         return LoadResult(path, df, kind, suggest_mapping(df), {"columns": len(df.columns)})
     except Exception as e:  # noqa: BLE001  the contract: errors are values
@@ -215,6 +273,13 @@ def load_many(spark: SparkSession, paths: list[str], combine: bool = False) -> d
 
 
 def preview(spark: SparkSession, path: str, n_rows: int = 10) -> DataFrame:
+    """The first rows. Of a CSV no more lines are read than they take, and they alone decide the types."""
+    if READERS.get(extension(path)) == "csv":
+        form = csv_format(spark, path, whole=False)
+        if form.encoding != "UTF-16":
+            found = csv_records.head_records(spark, path, n_rows + 1, form.delimiter, form.encoding)[1:]
+            rows = [([None if x in csv_records.MISSING else x for x in r], None) for r in found]
+            return typed(_columns(spark.createDataFrame(rows, "cells array<string>, text string"), form))[0]
     r = load_file(spark, path)
     if not r.success:
         raise ValueError(r.error)

@@ -108,7 +108,7 @@ def table_of(cells: DataFrame, part: str | None = None) -> DataFrame:
 def read_excel(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
     from ledgerloom.sources.loader import typed
 
-    return typed(table_of(read_documents(spark, path), sheet))
+    return typed(table_of(read_documents(spark, path), sheet))[0]
 
 
 def sheet_info(spark: SparkSession, path: str) -> DataFrame:
