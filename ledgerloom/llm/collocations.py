@@ -99,7 +99,8 @@ def _counted(rows: DataFrame, least: int) -> DataFrame:
             for cells in words.cells(CELLS):
                 cell, n = np.unique(cells[cells >= 0], return_counts=True)
                 counts[cell] = np.minimum(counts[cell] + np.minimum(n, least).astype(small), least)
-        yield pd.DataFrame({"lang": list(totals), "n": list(totals.values()), "chunk": None, "places": None, "counts": None})
+        if totals:
+            yield pd.DataFrame({"lang": list(totals), "n": list(totals.values()), "chunk": None, "places": None, "counts": None})
         for chunk in range(0, CELLS, CHUNK):
             part = counts[chunk : chunk + CHUNK]
             places = np.flatnonzero(part)
@@ -110,24 +111,34 @@ def _counted(rows: DataFrame, least: int) -> DataFrame:
     return rows.mapInPandas(run, "lang string, n long, chunk int, places binary, counts binary")
 
 
-def _filter(counted: DataFrame, least: int) -> bytes:
-    """A bit a cell, whether it may hold a word or pair of words of ``least`` occurrences: CELLS / 8 bytes at any size of input."""
+def _added_up(counted: DataFrame, least: int) -> DataFrame:
+    """(lang, n): the words of each language; (chunk, bits): a bit a cell, whether it may hold a word or pair of ``least`` occurrences."""
     small = np.min_scalar_type(2 * least)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: dict[str, int] = {}
         chunks: dict[int, np.ndarray] = {}
         for batch in batches:
-            for chunk, places, counts in zip(batch["chunk"], batch["places"], batch["counts"], strict=True):
-                whole = chunks.setdefault(chunk, np.zeros(CHUNK, small))
+            for lang, n, chunk, places, counts in batch.itertuples(index=False):
+                if lang is not None:
+                    totals[lang] = totals.get(lang, 0) + int(n)
+                    continue
+                whole = chunks.setdefault(int(chunk), np.zeros(CHUNK, small))
                 at = slice(None) if places is None else np.frombuffer(places, np.uint16)
                 whole[at] = np.minimum(whole[at] + np.frombuffer(counts, small), least)
-        if chunks:
-            yield pd.DataFrame({"chunk": list(chunks), "bits": [np.packbits(c >= least).tobytes() for c in chunks.values()]})
+        if totals:
+            yield pd.DataFrame({"lang": list(totals), "n": list(totals.values()), "chunk": None, "bits": None})
+        for chunk, counts in chunks.items():
+            yield pd.DataFrame({"lang": [None], "n": [None], "chunk": [chunk], "bits": [np.packbits(counts >= least).tobytes()]})
 
-    dealt = counted.where("chunk is not null").select("chunk", "places", "counts").repartition("chunk")
+    return counted.repartition("lang", "chunk").mapInPandas(run, "lang string, n long, chunk int, bits binary")
+
+
+def _filter(added: DataFrame) -> bytes:
+    """All bits: CELLS / 8 bytes at any size of input."""
     made = bytearray(CELLS // 8)
     size = CHUNK // 8
-    for row in dealt.mapInPandas(run, "chunk int, bits binary").toLocalIterator():
+    for row in added.where("chunk is not null").toLocalIterator():
         made[row.chunk * size : (row.chunk + 1) * size] = row.bits
     return bytes(made)
 
@@ -200,9 +211,9 @@ def phrase_counts(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST) -> tu
     """(lang, n), the words of each language, and (lang, phrase, k, f), all sequences of up to ``max_n`` words that occur ``least``
     times, counted within pieces. Both are stored."""
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    counted = stored(_counted(rows, least))
-    totals = stored(counted.where("lang is not null").groupBy("lang").agg(F.sum("n").alias("n")))
-    suffixes = stored(_suffixes(rows, _filter(counted, least), max_n))
+    added = stored(_added_up(_counted(rows, least), least))
+    totals = stored(added.where("lang is not null").groupBy("lang").agg(F.sum("n").alias("n")))
+    suffixes = stored(_suffixes(rows, _filter(added), max_n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sorted_rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
