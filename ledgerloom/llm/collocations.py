@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -177,34 +178,64 @@ def _suffixes(rows: DataFrame, bits: bytes, max_n: int) -> DataFrame:
     return rows.mapInArrow(run, "lang string, suffix binary, n long")
 
 
-def count_prefixes(rows: Iterator[tuple[str, bytes, int]], least: int) -> Iterator[tuple[str, bytes, int, int]]:
-    """(lang, prefix, words, n) of all prefixes of sorted suffixes that occur ``least`` times, or that may go on in other rows before
-    the first or behind the last. One stack: an entry a word of the suffix at hand, with what its prefix has been counted."""
-    stack: list[list] = []  # [word, count]
-    lang, start = None, None
-
-    def leave(depth: int, last: bool) -> Iterator[tuple[str, bytes, int, int]]:
-        while len(stack) > depth:
-            k, n = len(stack), stack[-1][1]
-            if n >= least or last or start[1][0] == stack[0][0] and start[0] == lang and start[1][:k] == [w for w, _ in stack]:
-                yield lang, b"".join([w + b" " for w, _ in stack]), k, n
-            stack.pop()
-            if stack:
-                stack[-1][1] += n
-
-    for now, suffix, n in rows:
-        words = suffix.split(b" ")[:-1]
-        if start is None:
-            start = (now, words)
+@dataclass
+class Open:
+    """A prefix on the stack: it goes on as long as the suffixes begin with it."""
+
+    lang: str
+    prefix: bytes
+    count: int
+    #: Whether the rows before the first may have had it too.
+    edge: bool
+
+
+def count_prefixes(batches: Iterator[pa.RecordBatch], max_n: int, least: int) -> Iterator[tuple[str, bytes, int, int]]:
+    """(lang, prefix, words, n) of all prefixes of sorted suffixes that occur ``least`` times, or that may go on in other rows, before
+    the first or behind the last. One stack holds the prefixes, of one word, two, ..., of the suffix at hand; what begins and ends
+    within a batch is summed up there at once."""
+    stack: list[Open | None] = [None] * max_n
+    fresh = [True] * max_n
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lang, suffix, n = batch.column(0), batch.column(1), batch.column(2).to_numpy()
+        parts = pc.split_pattern(suffix, b" ")
+        offsets, words = parts.offsets.to_numpy(), parts.values
+        sizes = np.diff(offsets) - 1  # a space ends the last word
+        new = np.append(True, pc.not_equal(lang.slice(1), lang.slice(0, len(n) - 1)).to_numpy(zero_copy_only=False))
+        first = suffix[0].as_py().split(b" ")[:-1]
         same = 0
-        if now == lang:
-            while same < min(len(stack), len(words)) and stack[same][0] == words[same]:
-                same += 1
-        yield from leave(same, last=False)
-        lang = now
-        stack += [[w, 0] for w in words[same:]]
-        stack[-1][1] += n
-    yield from leave(0, last=True)
+        while same < len(first) and (top := stack[same]) and top.lang == lang[0].as_py() and top.prefix == b"".join(w + b" " for w in first[: same + 1]):
+            same += 1
+        for k in range(max_n):
+            there = sizes > k
+            word = words.take(pa.array(np.where(there, offsets[:-1] + k, 0), mask=~there)).fill_null(b"")
+            new[1:] |= pc.not_equal(word.slice(1), word.slice(0, len(n) - 1)).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(new)
+            counts = np.add.reduceat(n, starts)
+            if k < same:  # the first rows go on with what is on the stack
+                stack[k].count += int(counts[0])
+                starts, counts = starts[1:], counts[1:]
+            real = there[starts]
+            if len(starts) and (top := stack[k]):
+                if top.count >= least or top.edge:
+                    yield top.lang, top.prefix, k + 1, top.count
+                stack[k] = None
+            if len(starts) and real[-1]:  # open at the end of the batch
+                last = int(starts[-1])
+                stack[k] = Open(lang[last].as_py(), _prefix(suffix[last].as_py(), k + 1), int(counts[-1]), fresh[k] and bool(real.sum() == 1))
+                real[-1] = False
+            at = np.flatnonzero(real & (counts >= least) | real & fresh[k] & (np.cumsum(real) == 1))
+            fresh[k] &= not there.any()
+            for i in at.tolist():
+                yield lang[int(starts[i])].as_py(), _prefix(suffix[int(starts[i])].as_py(), k + 1), k + 1, int(counts[i])
+    for k, top in enumerate(stack):
+        if top:
+            yield top.lang, top.prefix, k + 1, top.count
+
+
+def _prefix(suffix: bytes, k: int) -> bytes:
+    return b"".join(w + b" " for w in suffix.split(b" ")[:k])
 
 
 def phrase_counts(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -216,9 +247,8 @@ def phrase_counts(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST) -> tu
     suffixes = stored(_suffixes(rows, _filter(added), max_n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sorted_rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
         held = []
-        for row in count_prefixes(sorted_rows, least):
+        for row in count_prefixes(batches, max_n, least):
             held.append(row)
             if len(held) == 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held, strict=True)], ["lang", "prefix", "k", "f"])

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from ledgerloom.llm import collocations
@@ -85,10 +86,37 @@ def test_slices_give_all_words(monkeypatch):
     assert words.total == len(re.findall("[^ \t,\n]+", text)) + 1
 
 
-def test_stack():
+def batches_of(rows, size):
+    for a in range(0, len(rows), size):
+        part = rows[a : a + size]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), (pa.string(), pa.binary(), pa.int64()), strict=True)], ["lang", "suffix", "n"])
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 100])
+def test_stack(size):
     """Prefixes that touch the first or last suffix go out whatever their count."""
     rows = [("en", b"c d ", 1), ("en", b"b ", 9), ("en", b"a x ", 3), ("en", b"a b ", 2), ("en", b"a ", 5), ("de", b"z q ", 1)]
-    assert sorted(count_prefixes(iter(rows), 4)) == [("de", b"z ", 1, 1), ("de", b"z q ", 2, 1), ("en", b"a ", 1, 10), ("en", b"b ", 1, 9), ("en", b"c ", 1, 1), ("en", b"c d ", 2, 1)]
+    assert sorted(count_prefixes(batches_of(rows, size), 4, 4)) == [("de", b"z ", 1, 1), ("de", b"z q ", 2, 1), ("en", b"a ", 1, 10), ("en", b"b ", 1, 9), ("en", b"c ", 1, 1), ("en", b"c d ", 2, 1)]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_stack_over_parts_gives_all_counts(seed):
+    """Sorted suffixes cut into parts and batches anywhere: the sums of what comes out are the counts of all prefixes."""
+    rnd = random.Random(seed)
+    rows = [(rnd.choice(["en", "fr"]), b"".join(rnd.choice([b"a ", b"b ", b"a\x01 "]) for _ in range(rnd.randrange(1, 5))), rnd.randrange(1, 4)) for _ in range(rnd.randrange(1, 60))]
+    want = Counter()
+    for g, s, n in rows:
+        words = s.split(b" ")[:-1]
+        for k in range(1, len(words) + 1):
+            want[g, b"".join(w + b" " for w in words[:k]), k] += n
+    rows.sort(reverse=True)
+    for parts in (1, 3):
+        cuts = sorted([0, len(rows), *(rnd.randrange(len(rows) + 1) for _ in range(parts - 1))])
+        got = Counter()
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            for g, s, k, n in count_prefixes(batches_of(rows[a:b], rnd.randrange(1, 9)), 4, 6):
+                got[g, s, k] += n
+        assert {x: n for x, n in got.items() if n >= 6} == {x: n for x, n in want.items() if n >= 6}
 
 
 def test_same_as_sql(spark):
