@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.dist import f_p_value
+from ledgerloom.functions.quantiles import exact_quantiles, quantiles_of
 from ledgerloom.functions.semantics import categorical_columns, need, num, numbered, numeric_columns, pct, ratio, with_total
 from ledgerloom.functions.store import stored
 
@@ -150,7 +151,9 @@ def group_comparison(df: DataFrame, group: str, value: str) -> DataFrame:
     need(df, group, value)
     d = df.select(F.col(group), num(value).alias("v")).dropna(subset=["v"])
     overall = F.broadcast(d.agg(F.avg("v").alias("m__"), F.stddev_samp("v").alias("s__")))
-    got = d.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"), F.percentile("v", 0.5).alias("median")).crossJoin(overall)
+    got = d.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    middle = exact_quantiles(d.where(F.col(group).isNotNull()), [group], "v", (0.5,)).select(group, F.col("q")[0].alias("median"))
+    got = got.join(middle, group).crossJoin(overall)
     diff = F.col("mean") - F.col("m__")
     return got.withColumns({"diff_from_overall": diff, "diff_pct": pct(diff, F.col("m__")), "cv": F.round(ratio(F.col("std"), F.col("mean")), 3), "effect_size": F.round(ratio(diff, F.col("s__")), 3)}).drop("m__", "s__")
 
@@ -160,7 +163,7 @@ def outlier_bounds(df: DataFrame, column: str, method: str = "iqr", threshold: f
     need(df, column)
     v = num(column)
     if method == "iqr":
-        q = df.agg(F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+        q = quantiles_of(df, v, (0.25, 0.75))
         reach = (F.col("q")[1] - F.col("q")[0]) * threshold
         return q.select((F.col("q")[0] - reach).alias("lower_bound"), (F.col("q")[1] + reach).alias("upper_bound"))
     if method == "zscore":

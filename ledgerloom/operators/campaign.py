@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.quantiles import exact_quantiles
 from ledgerloom.functions.semantics import need, num, numbered, pct, period_start, ratio, total, with_total
 
 
@@ -15,7 +16,8 @@ def campaign_summary(df: DataFrame, metrics: list[str], by: list[str] | None = N
         aggs = [a for m in metrics for a in (total(m).alias(f"{m}_sum"), F.avg(num(m)).alias(f"{m}_mean"), F.count(num(m)).alias(f"{m}_count"))]
         return df.dropna(subset=by).groupBy(*by).agg(*aggs)
     long = df.select(*[num(m).alias(m) for m in metrics]).unpivot([], metrics, "metric", "v")
-    return long.groupBy("metric").agg(total("v").alias("sum"), F.avg("v").alias("mean"), F.percentile("v", 0.5).alias("median"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    middle = exact_quantiles(long, ["metric"], "v", (0.5,)).select("metric", F.col("q")[0].alias("median"))
+    return long.groupBy("metric").agg(total("v").alias("sum"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max")).join(middle, "metric", "left").select("metric", "sum", "mean", "median", "std", "min", "max")
 
 
 def _change_pct(new, old):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.quantiles import exact_quantiles
 from ledgerloom.functions.semantics import micros, need, num, ratio
 
 
@@ -67,4 +68,5 @@ def funnel_velocity(df: DataFrame, stage_times: list[str]) -> DataFrame:
     need(df, *stage_times)
     pairs = [F.struct(F.lit(a).alias("from_stage"), F.lit(b).alias("to_stage"), ((micros(b) - micros(a)) / 86_400_000_000).alias("days")) for a, b in zip(stage_times, stage_times[1:])]
     rows = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").where("days >= 0")
-    return rows.groupBy("from_stage", "to_stage").agg(F.count("*").alias("users"), F.avg("days").alias("avg_days"), F.percentile("days", 0.5).alias("median_days"))
+    middle = exact_quantiles(rows, ["from_stage", "to_stage"], "days", (0.5,)).select("from_stage", "to_stage", F.col("q")[0].alias("median_days"))
+    return rows.groupBy("from_stage", "to_stage").agg(F.count("*").alias("users"), F.avg("days").alias("avg_days")).join(middle, ["from_stage", "to_stage"])

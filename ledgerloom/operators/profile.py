@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.functions.quantiles import exact_quantiles, quantiles_of
 from ledgerloom.functions.semantics import categorical_columns, need, num, numbered, numeric_columns, pct, period_start, ratio, sample_kurtosis, sample_skewness, total, whole_days, with_total
+from ledgerloom.functions.store import stored
 
 PERCENTILES = (5, 10, 25, 50, 75, 90, 95)
+QUARTILES = (0.25, 0.5, 0.75)
 
 
 def _long(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -26,9 +29,10 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None, digits: int
     need(df, *columns)
     long, v = _long(df, columns), F.col("v")
     s = long.groupBy("column").agg(
-        F.count(v).alias("count"), F.count_if(v.isNull()).alias("missing"), F.avg(v).alias("mean"), F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"),
+        F.count(v).alias("count"), F.count_if(v.isNull()).alias("missing"), F.avg(v).alias("mean"),
         F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), sample_skewness(v).alias("skewness"), total("v").alias("sum"),
     )
+    s = stored(s.join(exact_quantiles(long, ["column"], "v", QUARTILES), "column", "left"))
     low, high = F.col("q")[0], F.col("q")[2]
     s = s.withColumns({"lo": low - (high - low) * outliers_beyond, "hi": high + (high - low) * outliers_beyond})
     out = long.join(F.broadcast(s.select("column", "lo", "hi")), "column").groupBy("column").agg(F.count_if((v < F.col("lo")) | (v > F.col("hi"))).alias("outlier_count"))
@@ -88,7 +92,8 @@ def distribution(df: DataFrame, column: str) -> DataFrame:
     """One row: count, mean, std, min, max, range, p5 ... p95, skewness, kurtosis; two digits. No values, no row."""
     need(df, column)
     v = num(column)
-    s = df.select(v.alias("v")).agg(F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"), F.percentile("v", F.array(*[F.lit(p / 100) for p in PERCENTILES])).alias("p"), sample_skewness(F.col("v")).alias("skewness"), sample_kurtosis(F.col("v")).alias("kurtosis"))
+    s = df.select(v.alias("v")).agg(F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"), sample_skewness(F.col("v")).alias("skewness"), sample_kurtosis(F.col("v")).alias("kurtosis"))
+    s = s.crossJoin(F.broadcast(quantiles_of(df, v, tuple(p / 100 for p in PERCENTILES), "p")))  # a row each
     r = lambda c: F.round(c, 2)
     return s.where("count > 0").select("count", r("mean").alias("mean"), F.coalesce(r("std"), F.lit(0.0)).alias("std"), r("min").alias("min"), r("max").alias("max"), r(F.col("max") - F.col("min")).alias("range"), *[r(F.col("p")[i]).alias(f"p{p}") for i, p in enumerate(PERCENTILES)], r("skewness").alias("skewness"), F.coalesce(r("kurtosis"), F.lit(0.0)).alias("kurtosis"))
 
@@ -97,7 +102,8 @@ def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """column, count, mean, std, min, q25, median, q75, max with two digits and exact quartiles."""
     columns = columns or numeric_columns(df)
     v = F.col("v")
-    got = _long(df, columns).groupBy("column").agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    got = _long(df, columns).groupBy("column").agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    got = got.join(exact_quantiles(_long(df, columns), ["column"], "v", QUARTILES), "column", "left")
     r = lambda c: F.round(c, 2)
     return got.select("column", "count", r("mean").alias("mean"), r("std").alias("std"), r("min").alias("min"), r(F.col("q")[0]).alias("q25"), r(F.col("q")[1]).alias("median"), r(F.col("q")[2]).alias("q75"), r("max").alias("max"))
 
