@@ -11,6 +11,7 @@ from ledgerloom.functions.dist import f_p_value
 from ledgerloom.functions.quantiles import exact_quantiles, quantiles_of
 from ledgerloom.functions.semantics import categorical_columns, need, num, numbered, numeric_columns, pct, ratio, with_total
 from ledgerloom.functions.store import stored
+from ledgerloom.operators.kendall import kendall_tau
 
 
 def _pairs_long(one_row: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
@@ -22,8 +23,8 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None, method: s
     """var1, var2, correlation for each pair of numeric columns, on rows where both are there.
 
     pearson: all pairs in one aggregation. spearman: the same of average ranks; columns without missing values are ranked
-    once for all their pairs, others anew for each pair. kendall: tau-b, from the counts of distinct pairs of values; meant
-    for columns of few values, as its work is the square of their number: over KENDALL_KINDS it is refused."""
+    once for all their pairs, others anew for each pair. kendall: tau-b, from the counts of distinct pairs of values, by
+    strips and cells (``kendall_tau``)."""
     columns = columns or numeric_columns(df)
     need(df, *columns)
     pairs = list(combinations(columns, 2))
@@ -33,7 +34,7 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None, method: s
     if method == "pearson":
         got = _pairs_long(d.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]), pairs)
     elif method in ("spearman", "kendall"):
-        one, whole = _spearman if method == "spearman" else _kendall, []
+        one, whole = _spearman if method == "spearman" else kendall_tau, []
         if method == "spearman":
             seen = d.agg(F.count("*").alias("n"), *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
             whole = [c for i, c in enumerate(columns) if seen[f"n{i}"] == seen["n"]]
@@ -70,22 +71,6 @@ def _spearman_whole(d: DataFrame, columns: list[str], pairs: list[tuple[str, str
     return _pairs_long(ranked.agg(*[F.corr(at[a], at[b]).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]), pairs)
 
 
-#: Distinct pairs of values that kendall takes.
-KENDALL_KINDS = 20_000
-
-
-def _kendall(d: DataFrame) -> DataFrame:
-    kinds = stored(d.groupBy("x", "y").agg(F.count("*").cast("double").alias("n")))
-    if (k := kinds.count()) > KENDALL_KINDS:
-        raise ValueError(f"kendall takes {KENDALL_KINDS} distinct pairs of values, there are {k}: use spearman")
-    a, b = kinds.select(F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("n").alias("n1")), kinds.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("n").alias("n2"))
-    s = a.join(b, (F.col("x1") < F.col("x2"))).agg(F.sum(F.signum(F.col("y2") - F.col("y1")) * F.col("n1") * F.col("n2")).alias("s"))
-    tied = lambda c: d.groupBy(c).agg(F.count("*").cast("double").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2))
-    all_ = d.agg((F.count("*").cast("double") * (F.count("*") - 1) / 2).alias("p"))
-    t = s.crossJoin(tied("x").toDF("tx")).crossJoin(tied("y").toDF("ty")).crossJoin(all_)
-    return t.select(ratio(F.coalesce("s", F.lit(0.0)), F.sqrt((F.col("p") - F.col("tx")) * (F.col("p") - F.col("ty")))).alias("correlation"))
-
-
 def strength_label(r: Column) -> Column:
     a = F.abs(r)
     return F.when(a >= 0.9, "very strong").when(a >= 0.7, "strong").when(a >= 0.5, "moderate").otherwise("weak")

@@ -77,14 +77,25 @@ def _(s, d):
     return ass.correlation_pairs(table(s, d, "lineitem"), _NUM, "spearman")
 
 
-@query("correlation_kendall", """
-WITH k AS (SELECT l_discount AS x, l_tax AS y, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY 1, 2),
-s AS (SELECT sum(sign(b.y - a.y) * a.n * b.n) AS s FROM k a JOIN k b ON a.x < b.x),
-t AS (SELECT sum(n * (n - 1) / 2) AS tx FROM (SELECT CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY l_discount)), u AS (SELECT sum(n * (n - 1) / 2) AS ty FROM (SELECT CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY l_tax)),
-p AS (SELECT CAST(count(*) AS DOUBLE) * (count(*) - 1) / 2 AS p FROM lineitem)
-SELECT 'l_discount' AS var1, 'l_tax' AS var2, round(s / sqrt((p - tx) * (p - ty)), 4) AS correlation FROM s, t, u, p""")
-def _(s, d):
-    return ass.correlation_pairs(table(s, d, "lineitem"), ["l_discount", "l_tax"], "kendall")
+def _kendall_sql(many: str, few: str) -> str:
+    """tau-b of a column and one of few values: at each value of the first, the rows before it of each value of the second."""
+    return f"""(WITH pts AS (SELECT {many} AS a, {few} AS b, count(*) AS n FROM lineitem WHERE {many} IS NOT NULL AND {few} IS NOT NULL GROUP BY 1, 2),
+  lv AS (SELECT DISTINCT b AS l FROM pts),
+  grid AS (SELECT x.a, l, coalesce(sum(n), 0)::BIGINT AS n FROM (SELECT DISTINCT a FROM pts) x CROSS JOIN lv LEFT JOIN pts ON pts.a = x.a AND pts.b = l GROUP BY 1, 2),
+  cum AS (SELECT a, l, n, coalesce(sum(n) OVER (PARTITION BY l ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS c FROM grid),
+  sides AS (SELECT n, coalesce(sum(c) OVER (PARTITION BY a ORDER BY l ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below,
+    coalesce(sum(c) OVER (PARTITION BY a ORDER BY l ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS above FROM cum),
+  s AS (SELECT sum(n * (below - above))::DOUBLE AS s FROM sides),
+  tie AS (SELECT sum(n * (n - 1.0) / 2)::DOUBLE AS ta FROM (SELECT sum(n)::DOUBLE AS n FROM pts GROUP BY a)), tib AS (SELECT sum(n * (n - 1.0) / 2)::DOUBLE AS tb FROM (SELECT sum(n)::DOUBLE AS n FROM pts GROUP BY b)),
+  p AS (SELECT sum(n)::DOUBLE * (sum(n)::DOUBLE - 1) / 2 AS p FROM pts)
+  SELECT round(s / sqrt((p - ta) * (p - tb)), 4) FROM s, tie, tib, p)"""
+
+
+@query("correlation_kendall", " UNION ALL ".join(
+    f"SELECT '{a}' AS var1, '{b}' AS var2, {_kendall_sql('l_extendedprice', b if a == 'l_extendedprice' else a) if 'l_extendedprice' in (a, b) else _kendall_sql(a, b)} AS correlation"
+    for i, a in enumerate(_NUM) for b in _NUM[i + 1 :]))
+def _(s, d):
+    return ass.correlation_pairs(table(s, d, "lineitem"), _NUM, "kendall")
 
 
 @query("strong_correlations", f"""
