@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,26 +61,58 @@ def linear(df: DataFrame, customer: str, channel: str, conversion: str, date: st
     return _shares(_linear(_touches(df, customer, channel, conversion, date, tie), lookback_days))
 
 
-def _decay(t: DataFrame, lookback_days: int, half_life_days: float) -> DataFrame:
-    """By the day: whole days before the conversion make the weight, so touches meet conversions in a join on the customer
-    and the window's blocks of days, not on the customer alone."""
-    joined = _meet(t, lookback_days)
-    joined = joined.withColumn("w", F.pow(F.lit(2.0), -F.floor((F.col("ct") - F.col("t")) / _DAY) / half_life_days))
-    sums = F.sum("w").over(Window.partitionBy("id"))
-    return joined.withColumn("credit", F.col("w") / sums * F.col("cv")).select("channel", "credit")
+def _decayed(rows: pd.DataFrame, ready: np.ndarray, lookback_days: int, half_life_days: float, size: int) -> pd.DataFrame:
+    """(channel, credit) of the conversions that are ``ready``; rows in order of customer, block and time, with all touches of theirs.
+
+    The touches that are j whole days before a conversion follow one another, so their number is the difference of two places
+    in the order, and credit goes to them as a step up at the one and down at the other."""
+    c, b, t = rows["c"].to_numpy(), rows["b"].to_numpy(), rows["t"].to_numpy()
+    group = np.cumsum(np.append(0, (c[1:] != c[:-1]) | (b[1:] != b[:-1])))
+    at = group * (4 * size) + (t - b * size + size)  # a line of time for all customers; a block's touches lie in [0, 2 size)
+    conv = at[ready]
+    bounds = [np.searchsorted(at, conv, "right")]
+    bounds += [np.searchsorted(at, conv - j * _DAY, "right") for j in range(1, lookback_days + 1)]
+    bounds.append(np.searchsorted(at, conv - lookback_days * _DAY, "left"))
+    weights = 2.0 ** (-np.arange(lookback_days + 1) / half_life_days)
+    total = sum(w * (high - low) for w, high, low in zip(weights, bounds, bounds[1:], strict=False))
+    unit = rows["v"].to_numpy()[ready] / total
+    step = np.zeros(len(rows) + 1)
+    for w, high, low in zip(weights, bounds, bounds[1:], strict=False):
+        np.add.at(step, low, unit * w)
+        np.add.at(step, high, -unit * w)
+    code, channels = pd.factorize(rows["channel"], use_na_sentinel=False)
+    return pd.DataFrame({"channel": channels, "credit": np.bincount(code, np.cumsum(step[:-1]), len(channels))})
 
 
-def _meet(t: DataFrame, lookback_days: int) -> DataFrame:
-    """(conversion id, ct, cv) with each touch within the lookback: equal customer and block of time, then the exact range."""
-    span = lookback_days * _DAY
-    block = lambda c: F.floor(c / F.lit(max(span, 1)))
-    conv = t.where("v > 0").select("c", F.col("t").alias("ct"), F.col("v").alias("cv"), F.struct("c", "t", "tie").alias("id"))
-    conv = conv.withColumn("b", F.explode(F.array_distinct(F.array(block(F.col("ct")), block(F.col("ct") - span)))))
-    return t.drop("v").withColumn("b", block(F.col("t"))).join(conv, ["c", "b"]).where((F.col("t") <= F.col("ct")) & (F.col("t") >= F.col("ct") - span))
+def _decay(t: DataFrame, lookback_days: int, half_life_days: float) -> DataFrame:
+    """(channel, credit) in parts. No touch meets a conversion in a join: rows go to their customer's block of time and, as what lies
+    before, to the next one; there they pass once in order of time, of which the last ``lookback_days`` are at hand."""
+    span, size = lookback_days * _DAY, max(lookback_days, 1) * _DAY
+    block = F.floor(F.col("t") / F.lit(size)).cast("long")
+    copies = F.explode(F.array(F.struct(block.alias("b"), F.col("v")), F.struct((block + 1).alias("b"), F.lit(0.0).alias("v")))).alias("x")
+    dealt = t.select("c", "channel", "t", copies).select("c", "channel", "t", "x.b", "x.v").repartition("c", "b").sortWithinPartitions("c", "b", "t")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if not len(rows):
+                continue
+            last = rows.iloc[-1]
+            same = ((rows["c"] == last["c"]) & (rows["b"] == last["b"])).to_numpy()
+            times = rows["t"].to_numpy()
+            wait = same & (times == last["t"])  # the next batch may have more touches of this time
+            yield _decayed(rows, (rows["v"] > 0).to_numpy() & ~wait, lookback_days, half_life_days, size)
+            held = rows.assign(v=rows["v"].where(wait, 0.0))[same & (times >= last["t"] - span)]
+        if held is not None:
+            yield _decayed(held, (held["v"] > 0).to_numpy(), lookback_days, half_life_days, size)
+
+    kind = t.schema["channel"].dataType.simpleString()
+    return dealt.mapInPandas(run, f"channel {kind}, credit double").where("credit <> 0")
 
 
 def time_decay(df: DataFrame, customer: str, channel: str, conversion: str, date: str, lookback_days: int = 30, half_life_days: float = 7, tie: str | None = None) -> DataFrame:
-    """As linear, with weights that halve every ``half_life_days`` before the conversion."""
+    """As linear, with weights that halve every ``half_life_days`` before the conversion, by whole days."""
     return _shares(_decay(_touches(df, customer, channel, conversion, date, tie), lookback_days, half_life_days))
 
 
