@@ -125,7 +125,9 @@ def cross_tabulation(df: DataFrame, row: str, col: str, value: str | None = None
     agg = {"count": F.count("v"), "sum": F.sum("v"), "mean": F.avg("v"), "min": F.min("v"), "max": F.max("v")}[aggfunc]
     cells = d.groupBy("row", "col").agg(agg.cast("double").alias("value"))
     if normalize:
-        w = {"index": Window.partitionBy("row"), "columns": Window.partitionBy("col"), "all": Window.partitionBy(F.lit(1))}[normalize]
+        if normalize == "all":
+            return with_total(cells, all__=F.sum("value")).withColumn("value", ratio(F.col("value"), F.col("all__"))).drop("all__")
+        w = {"index": Window.partitionBy("row"), "columns": Window.partitionBy("col")}[normalize]
         return cells.withColumn("value", ratio(F.col("value"), F.sum("value").over(w)))
     cube = cells.cube("row", "col").agg(F.sum("value").alias("value"))
     return cube.select(F.coalesce("row", F.lit("Total")).alias("row"), F.coalesce("col", F.lit("Total")).alias("col"), "value")
@@ -171,17 +173,19 @@ def detect_outliers(df: DataFrame, column: str, method: str = "iqr", threshold:
     return got.crossJoin(F.broadcast(b)).select(F.lit(column).alias("column"), F.lit(method).alias("method"), F.lit(float(threshold)).alias("threshold"), "total_values", "outlier_count", pct(F.col("outlier_count"), F.col("total_values")).alias("outlier_pct"), F.round("lower_bound", 4).alias("lower_bound"), F.round("upper_bound", 4).alias("upper_bound"))
 
 
-def cramers_v(df: DataFrame, x: str, y: str, correction: bool = False) -> DataFrame:
-    """One row: n, chi_square, cramers_v of two categorical columns; ``correction``: Yates' in a 2 x 2 table.
+def chi_square(cells: DataFrame, by: list[str], correction: bool = False) -> DataFrame:
+    """A row a table of ``by``: n, chi_square, cramers_v of its cells (x, y, o: how often); ``correction``: Yates' in a 2 x 2 table.
 
-    From the cells that occur: cells without rows add their expected count, which the totals tell."""
-    need(df, x, y)
-    cells = df.select(F.col(x).cast("string").alias("x"), F.col(y).cast("string").alias("y")).dropna().groupBy("x", "y").agg(F.count("*").cast("double").alias("o"))
-    wx, wy, all_ = Window.partitionBy("x"), Window.partitionBy("y"), Window.partitionBy(F.lit(1))
-    e = cells.withColumns({"r": F.sum("o").over(wx), "c": F.sum("o").over(wy), "n": F.sum("o").over(all_)}).withColumn("e", F.col("r") * F.col("c") / F.col("n"))
-    size = e.agg(F.first("n").alias("n"), F.count_distinct("x").alias("rows"), F.count_distinct("y").alias("cols"), F.sum(F.col("o") * F.col("o") / F.col("e")).alias("q"), F.min("e").alias("least"),
-                 F.sum(F.pow(F.greatest(F.abs(F.col("o") - F.col("e")) - F.least(F.lit(0.5), F.abs(F.col("o") - F.col("e"))), F.lit(0.0)), 2) / F.col("e")).alias("yates"),
-                 F.sum("e").alias("seen"), F.count("*").alias("cells"))
+    From the cells that occur: cells without rows add their expected count, which the totals tell. Totals are windows over a row
+    or column of one table and a sum a table; no task has all cells."""
+    o, e = F.col("o"), F.col("e")
+    totals = cells.groupBy(*by).agg(F.sum("o").alias("n"))
+    got = cells.withColumns({"r": F.sum("o").over(Window.partitionBy(*by, "x")), "c": F.sum("o").over(Window.partitionBy(*by, "y"))}).join(totals, by)
+    got = got.withColumn("e", F.col("r") * F.col("c") / F.col("n"))
+    size = got.groupBy(*by).agg(
+        F.first("n").alias("n"), F.sum(o / F.col("r")).alias("rows"), F.sum(o / F.col("c")).alias("cols"), F.sum(o * o / e).alias("q"), F.sum("e").alias("seen"), F.count("*").alias("cells"),
+        F.sum(F.pow(F.greatest(F.abs(o - e) - F.least(F.lit(0.5), F.abs(o - e)), F.lit(0.0)), 2) / e).alias("yates"),
+    ).withColumns({"rows": F.round("rows").cast("long"), "cols": F.round("cols").cast("long")})
     k = F.least("rows", "cols") - 1
     plain = F.col("q") - F.col("n")
     square = (F.col("rows") == 2) & (F.col("cols") == 2)
@@ -189,7 +193,14 @@ def cramers_v(df: DataFrame, x: str, y: str, correction: bool = False) -> DataFr
     gap = F.col("n") - F.col("seen")
     chi = F.when(square & (F.col("cells") == 4), F.col("yates")).when(square, F.col("yates") + F.when(gap > 0, F.pow(F.greatest(gap - 0.5, F.lit(0.0)), 2) / gap).otherwise(0.0)).otherwise(plain) if correction else plain
     chi = F.greatest(chi, F.lit(0.0))
-    return size.select(F.col("n").cast("long").alias("n"), chi.alias("chi_square"), F.coalesce(F.sqrt(ratio(chi, F.col("n") * k)), F.lit(0.0)).alias("cramers_v"))
+    return size.select(*by, F.col("n").cast("long").alias("n"), chi.alias("chi_square"), F.coalesce(F.sqrt(ratio(chi, F.col("n") * k)), F.lit(0.0)).alias("cramers_v"))
+
+
+def cramers_v(df: DataFrame, x: str, y: str, correction: bool = False) -> DataFrame:
+    """One row: n, chi_square, cramers_v of two categorical columns; ``correction``: Yates' in a 2 x 2 table. None without values."""
+    need(df, x, y)
+    cells = df.select(F.lit(0).alias("t"), F.col(x).cast("string").alias("x"), F.col(y).cast("string").alias("y")).dropna().groupBy("t", "x", "y").agg(F.count("*").cast("double").alias("o"))
+    return chi_square(cells, ["t"], correction).drop("t")
 
 
 def eta_squared(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -228,26 +239,3 @@ def multi_variable_analysis(df: DataFrame, target: str, features: list[str] | No
         p = relationship_strength(df, c, target).select(F.col("x_col").alias("feature"), "method", F.col("value").alias("strength"), "interpretation")
         got = p if got is None else got.unionByName(p)
     return got
-
-
-def mixed_correlations(df: DataFrame, numeric: list[str], categorical: list[str], min_v: float = 0.1, alpha: float = 0.05) -> DataFrame:
-    """kind, var1, var2, value, p_value: Pearson of numbers, Cramer's V over ``min_v`` of categories (with Yates'
-    correction), and eta squared of significant number by category pairs."""
-    need(df, *numeric, *categorical)
-    schema = "kind string, var1 string, var2 string, value double, p_value double"
-    got = df.sparkSession.createDataFrame([], schema)
-    null = F.lit(None).cast("double")
-    if len(numeric) > 1:
-        got = got.unionByName(correlation_pairs(df, numeric).select(F.lit("numeric").alias("kind"), "var1", "var2", F.col("correlation").alias("value"), null.alias("p_value")))
-    for a, b in combinations(categorical, 2):
-        got = got.unionByName(cramers_v(df, a, b, True).where(F.col("cramers_v") > min_v).select(F.lit("categorical").alias("kind"), F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.col("cramers_v").alias("value"), null.alias("p_value")))
-    for v in numeric:
-        for g in categorical:
-            got = got.unionByName(eta_squared(df, g, v).where(F.col("p_value") < alpha).select(F.lit("mixed").alias("kind"), F.lit(v).alias("var1"), F.lit(g).alias("var2"), F.col("eta_squared").alias("value"), "p_value"))
-    return got
-
-
-def find_all_relationships(df: DataFrame, numeric: list[str], categorical: list[str], threshold: float = 0.3) -> DataFrame:
-    """The mixed table with a mark of what reaches the threshold (every mixed pair counts, as it is significant)."""
-    got = mixed_correlations(df, numeric, categorical)
-    return got.withColumns({"is_strong": (F.abs("value") >= threshold) | (F.col("kind") == "mixed"), "type": F.when(F.col("kind") == "numeric", F.when(F.col("value") > 0, "positive").otherwise("negative"))})

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import anomaly as an
 from ledgerloom.operators import association as ass
 from ledgerloom.operators import experiment as ex
+from ledgerloom.operators import relations as rel
+from ledgerloom.plans.tails import beta_sql
 from ledgerloom.plans.registry import query, rounded, table
 
 
@@ -212,9 +214,55 @@ def _(s, d):
     return ass.multi_variable_analysis(table(s, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_returnflag", "l_linestatus"])
 
 
-@query("find_all_relationships")
+_REL = """rel AS (SELECT l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus,
+  CASE WHEN l_quantity > 25 THEN 'big' ELSE 'small' END AS size, CASE WHEN l_returnflag = 'R' OR (l_quantity > 40 AND l_tax < 0.04) THEN 'yes' WHEN l_discount > 0.01 THEN 'no' END AS mark FROM lineitem)"""
+_REL_NUM, _REL_CAT = ["l_quantity", "l_extendedprice", "l_discount"], ["l_linenumber", "l_tax", "l_returnflag", "l_linestatus", "size", "mark"]
+
+
+def _rel_table(s, d):
+    q = F.col("l_quantity")
+    mark = F.when((F.col("l_returnflag") == "R") | (q > 40) & (F.col("l_tax") < 0.04), "yes").when(F.col("l_discount") > 0.01, "no")
+    return table(s, d, "lineitem").select("l_linenumber", *_REL_NUM, "l_tax", "l_returnflag", "l_linestatus", F.when(q > 25, "big").otherwise("small").alias("size"), mark.alias("mark"))
+
+
+def _rel_number(a: str, b: str) -> str:
+    return f"SELECT 'numeric' AS kind, '{a}' AS var1, '{b}' AS var2, corr({a}, {b}) AS value, NULL::DOUBLE AS f_statistic, NULL::DOUBLE AS p_value, NULL AS strength FROM rel"
+
+
+def _rel_category(a: str, b: str) -> str:
+    return f"""SELECT 'categorical', '{a}', '{b}', v, NULL, NULL, CASE WHEN v > 0.5 THEN 'Strong' WHEN v > 0.3 THEN 'Moderate' ELSE 'Weak' END FROM (
+  SELECT sqrt(CASE WHEN count(DISTINCT x) = 2 AND count(DISTINCT y) = 2 THEN sum(power(abs(o - e) - least(0.5, abs(o - e)), 2) / e) ELSE sum(power(o - e, 2) / e) END / (sum(o) * (least(count(DISTINCT x), count(DISTINCT y)) - 1))) AS v
+  FROM (SELECT *, sum(o) OVER (PARTITION BY x) * sum(o) OVER (PARTITION BY y) / sum(o) OVER () AS e FROM (
+    SELECT x, y, coalesce(o, 0)::DOUBLE AS o FROM (SELECT DISTINCT {a} AS x FROM rel WHERE {a} IS NOT NULL AND {b} IS NOT NULL) CROSS JOIN (SELECT DISTINCT {b} AS y FROM rel WHERE {a} IS NOT NULL AND {b} IS NOT NULL)
+    LEFT JOIN (SELECT {a} AS x, {b} AS y, count(*) AS o FROM rel GROUP BY 1, 2) USING (x, y)))) WHERE v > 0.1"""
+
+
+def _rel_mixed(v: str, g: str) -> str:
+    return f"""SELECT 'mixed', '{v}', '{g}', eta, f, p, CASE WHEN eta > 0.14 THEN 'Large' WHEN eta > 0.06 THEN 'Medium' WHEN eta > 0.01 THEN 'Small' ELSE 'Very small' END FROM (
+  {beta_sql(f"""(SELECT *, (n - k) / 2.0 AS a, (k - 1) / 2.0 AS b, (n - k) / (n - k + (k - 1) * f) AS x FROM (
+    SELECT count(*)::DOUBLE AS k, sum(n) AS n, (sum(n * power(m - mean, 2)) / (count(*) - 1)) / (sum(n * s) / (sum(n) - count(*))) AS f, sum(n * power(m - am, 2)) / any_value(total) AS eta
+    FROM (SELECT *, sum(n * m) OVER () / sum(n) OVER () AS mean, (SELECT avg({v}) FROM rel) AS am, (SELECT count({v}) * var_pop({v}) FROM rel) AS total
+      FROM (SELECT count({v})::DOUBLE AS n, avg({v}) AS m, var_pop({v}) AS s FROM rel WHERE {g} IS NOT NULL GROUP BY {g}))))""", "eta, f")}) WHERE p < 0.05"""
+
+
+_REL_ROWS = "WITH " + _REL + ", found AS (" + " UNION ALL ".join(
+    [_rel_number(a, b) for i, a in enumerate(_REL_NUM) for b in _REL_NUM[i + 1 :]] + [_rel_category(a, b) for i, a in enumerate(_REL_CAT) for b in _REL_CAT[i + 1 :]] + [_rel_mixed(v, g) for v in _REL_NUM for g in _REL_CAT]) + ")"
+
+
+@query("find_all_relationships", _REL_ROWS + """
+SELECT kind, var1, var2, round(value, 6) AS value, round(f_statistic, 4) AS f_statistic, round(p_value, 8) AS p_value, strength, round(abs(value), 6) AS abs_value,
+  CASE WHEN kind = 'numeric' THEN CASE WHEN value > 0 THEN 'positive' ELSE 'negative' END END AS type, abs(value) >= 0.3 OR kind = 'mixed' AS is_strong FROM found""")
+def _(s, d):
+    got = rel.find_all_relationships(_rel_table(s, d))
+    digits = {"value": 6, "f_statistic": 4, "p_value": 8, "abs_value": 6}
+    return got.withColumns({c: F.round(c, n) for c, n in digits.items()})
+
+
+@query("relationship_summary", _REL_ROWS + f"""
+SELECT 9::BIGINT AS total_columns, {len(_REL_NUM)}::BIGINT AS numeric_columns, {len(_REL_CAT)}::BIGINT AS categorical_columns, count(*) FILTER (kind = 'numeric' AND abs(value) > 0.3) AS numeric_correlations_found,
+  count(*) FILTER (kind = 'categorical') AS categorical_associations_found, count(*) FILTER (kind = 'mixed') AS numeric_categorical_relationships FROM found""")
 def _(s, d):
-    return ass.find_all_relationships(table(s, d, "lineitem"), ["l_quantity", "l_extendedprice"], ["l_returnflag", "l_linestatus"])
+    return rel.mixed_summary(_rel_table(s, d))
 
 
 @query("value_anomalies", """
