@@ -6,18 +6,17 @@ import codecs
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.operators.profile import ColumnMapping, suggest_mapping
-from ledgerloom.sources import csv_records
+from ledgerloom.sources import csv_records, json_records
 from ledgerloom.sources.office import read_excel
 
 READERS = {".csv": "csv", ".tsv": "csv", ".txt": "csv", ".json": "json", ".jsonl": "json", ".ndjson": "json", ".parquet": "parquet", ".orc": "orc", ".xlsx": "excel", ".xlsm": "excel"}
-#: Keys that hold the records of a wrapped JSON document.
-WRAPPERS = ("data", "results", "items", "records", "rows", "entries")
 DELIMITERS = (",", ";", "\t", "|")
 _HEAD = 11
 BOOLEANS = ("True", "TRUE", "true", "False", "FALSE", "false")
@@ -30,7 +29,6 @@ class LoadResult:
     path: str
     df: DataFrame | None = None
     file_type: str | None = None
-    mapping: ColumnMapping | None = None
     metadata: dict = field(default_factory=dict)
     error: str | None = None
 
@@ -38,6 +36,11 @@ class LoadResult:
     def success(self) -> bool:
         return self.error is None
 
+    @cached_property
+    def mapping(self) -> ColumnMapping | None:
+        """What the columns may stand for; asked for, it reads the table once."""
+        return suggest_mapping(self.df) if self.df is not None else None
+
 
 def extension(path: str) -> str:
     return (m := re.search(r"\.\w+$", path.rstrip("/"))) and m[0].lower() or ""
@@ -205,39 +208,33 @@ def typed(df: DataFrame, least: float = 0.8) -> tuple[DataFrame, dict]:
     return df.withColumns({f"{c}": v for c, v in made.items()}) if made else df, {"rows": s["rows"], "nulled": nulled}
 
 
-def flattened(df: DataFrame) -> DataFrame:
-    """Struct fields as columns parent_child; lists of plain values stay, other lists become their first 100 characters."""
-    while any(isinstance(f.dataType, T.StructType) for f in df.schema.fields):
-        cols = []
-        for f in df.schema.fields:
-            if isinstance(f.dataType, T.StructType):
-                cols += [F.col(f"`{f.name}`.`{g.name}`").alias(f"{f.name}_{g.name}") for g in f.dataType.fields]
-            else:
-                cols.append(F.col(f"`{f.name}`"))
-        df = df.select(*cols)
-    long = [f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, (T.StructType, T.ArrayType, T.MapType))]
-    return df.withColumns({c: F.substring(F.to_json(f"`{c}`"), 1, 100) for c in long}) if long else df
-
-
-def json_shape(df: DataFrame) -> str:
-    """wrapped, nested or flat, from the inferred schema."""
-    for f in df.schema.fields:
-        if f.name in WRAPPERS and isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType):
-            return "wrapped"
-    return "nested" if any(isinstance(f.dataType, T.StructType) for f in df.schema.fields) else "flat"
-
-
-def read_json(spark: SparkSession, path: str, data_key: str | None = None, flatten: bool = True) -> DataFrame:
-    """Lines of records, or one document: a list, a record, or a record that wraps a list (under ``data_key`` or WRAPPERS)."""
-    lines = extension(path) in (".jsonl", ".ndjson")
-    df = spark.read.json(path, multiLine=not lines)
-    keys = [data_key] if data_key else [k for k in WRAPPERS if k in df.columns]
-    for k in keys:
-        kind = df.schema[k].dataType
-        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
-            df = df.select(F.explode(f"`{k}`").alias("r")).select("r.*")
-            break
-    return flattened(df) if flatten else df
+#: Words in the names of JSON fields that may hold dates.
+JSON_DATE_WORDS = ("date", "datum", "time", "zeit", "created", "updated", "timestamp", "_at", "_on", "day", "month", "year")
+
+
+def dated(df: DataFrame, words: tuple[str, ...] = JSON_DATE_WORDS, least: float = 0.8) -> DataFrame:
+    """Texts whose name tells a date as timestamps where over ``least`` of all rows are one. One pass decides, if there are such."""
+    named = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and any(w in f.name.lower() for w in words)]
+    if not named:
+        return df
+    s = df.agg(F.count("*").alias("n"), *[F.count(F.try_to_timestamp(F.col(f"`{c}`"))).alias(f"t{i}") for i, c in enumerate(named)]).first()
+    return df.withColumns({c: F.try_to_timestamp(F.col(f"`{c}`")) for i, c in enumerate(named) if s[f"t{i}"] > s["n"] * least})
+
+
+def json_shape(spark: SparkSession, path: str) -> str:
+    """array, object_with_data, nested, jsonlines or single_object."""
+    return json_records.scan_json(spark, path).structure
+
+
+def read_json(spark: SparkSession, path: str, data_key: str | None = None, flatten: bool = True, list_chars: int | None = None) -> DataFrame:
+    """The table of ``json_records.scan_json`` with dates."""
+    return _scan_json(spark, path, data_key, flatten, list_chars)[0]
+
+
+def _scan_json(spark: SparkSession, path: str, data_key: str | None = None, flatten: bool = True, list_chars: int | None = None) -> tuple[DataFrame, dict]:
+    found = json_records.scan_json(spark, path, data_key, flatten, list_chars, lines=True if extension(path) in (".jsonl", ".ndjson") else None)
+    df = dated(found.df)
+    return df, {"columns": len(df.columns), "json_structure": found.structure, "data_key": found.data_key, "flattened": flatten, "lines_left_out": found.malformed}
 
 
 def load_file(spark: SparkSession, path: str, **options) -> LoadResult:
@@ -247,12 +244,12 @@ def load_file(spark: SparkSession, path: str, **options) -> LoadResult:
         known = {".xls": "save it as .xlsx", ".doc": "save it as .docx", ".ppt": "save it as .pptx", ".pdf": "no PDF library is here", ".docx": "use office.read_documents", ".pptx": "use office.read_documents"}
         return LoadResult(path, error=f"{extension(path) or 'no extension'} is not supported ({known.get(extension(path), 'supported: ' + ', '.join(supported_extensions()))})")
     try:
-        if kind == "csv":
-            df, told = scan_csv(spark, path, **options)
-            return LoadResult(path, df, kind, suggest_mapping(df), told)
-        read = {"json": read_json, "excel": read_excel, "parquet": lambda s, p: s.read.parquet(p), "orc": lambda s, p: s.read.orc(p)}[kind]
+        if kind in ("csv", "json"):
+            df, told = (scan_csv if kind == "csv" else _scan_json)(spark, path, **options)
+            return LoadResult(path, df, kind, told)
+        read = {"excel": read_excel, "parquet": lambda s, p: s.read.parquet(p), "orc": lambda s, p: s.read.orc(p)}[kind]
         df = read(spark, path, **options)
-        return LoadResult(path, df, kind, suggest_mapping(df), {"columns": len(df.columns)})
+        return LoadResult(path, df, kind, {"columns": len(df.columns)})
     except Exception as e:  # noqa: BLE001  the contract: errors are values
         return LoadResult(path, file_type=kind, error=str(e).splitlines()[0] if str(e) else type(e).__name__)
 
