@@ -78,13 +78,13 @@ def odd_category_means(df: DataFrame, categorical: list[str], numeric: list[str]
 
 
 def pattern_anomalies(df: DataFrame, categorical: list[str], numeric: list[str], max_values: int = 20, min_support: float = 0.01) -> DataFrame:
-    """Rare combinations and odd category means (the first five columns of each kind) in the common schema."""
+    """Rare combinations and odd category means of all columns in the common schema."""
     rare = rare_combinations(df, categorical, max_values, min_support).select(
         F.lit("pattern").alias("anomaly_type"), F.lit("medium").alias("severity"), F.concat(F.lit("Rare Combination: "), "col1", F.lit(" + "), "col2").alias("title"),
         F.concat("col1", F.lit("="), "value1", F.lit(", "), "col2", F.lit("="), "value2").alias("description"), F.col("frequency").alias("detected_value"), F.lit(float(min_support)).alias("expected_value"),
         F.round((1 - F.col("frequency") / min_support) * 100, 6).alias("deviation_pct"), _context(count=F.col("count")).alias("context"),
     ) if len(categorical) > 1 else None
-    odd = odd_category_means(df, categorical[:5], numeric[:5]).select(
+    odd = odd_category_means(df, categorical, numeric).select(
         F.lit("pattern").alias("anomaly_type"), severity_of(F.col("deviation_pct"), ((100, "critical"), (50, "high")), "medium").alias("severity"), F.concat(F.lit("Unusual "), "numeric_column", F.lit(" for "), "category_column", F.lit("="), "category_value").alias("title"),
         F.format_string("mean %.2f against %.2f", "mean", "overall_mean").alias("description"), F.col("mean").alias("detected_value"), F.col("overall_mean").alias("expected_value"), "deviation_pct",
         _context(sample_size=F.col("count")).alias("context"),
@@ -96,16 +96,14 @@ def sequence_anomalies(df: DataFrame, date: str, metrics: list[str], window: int
     """Mean of the last ``window`` rows by date against the rows before them: metric, recent_avg, previous_avg, change_pct,
     severity, pattern (accelerating if the window before changed the same way, new if it did the other way, else sudden).
 
-    Only the last 3 x window rows are kept from the scan, so no large sort stands behind it."""
+    One pass for all metrics: rows become (metric, value) rows, of which each task hands on a metric's last 3 x window only."""
     need(df, date, *metrics, *(ties or []))
-    order = [F.col(date).desc(), *[F.col(t).desc() for t in ties or []]]
-    got = None
-    for m in metrics:  # a top-k of the table for each metric
-        last = df.where(F.col(date).isNotNull() & num(m).isNotNull()).orderBy(*order).limit(3 * window).select(num(m).alias("v"), F.col(date).alias("d"), F.row_number().over(Window.orderBy(*order)).alias("i"))
-        part = F.floor((F.col("i") - 1) / window)
-        avg = lambda k: F.avg(F.when(F.col("part") == k, F.col("v")))
-        a = last.withColumn("part", part).agg(avg(0).alias("recent_avg"), avg(1).alias("previous_avg"), avg(2).alias("older_avg"), F.count("*").alias("n"), F.min(F.when(F.col("part") == 0, F.col("d"))).alias("start"), F.max("d").alias("end"))
-        got = (p := a.withColumn("metric", F.lit(m))) if got is None else got.unionByName(p := a.withColumn("metric", F.lit(m)))
+    keys = {"d__": F.col(date), **{f"t{i}__": F.col(t) for i, t in enumerate(ties or [])}}
+    long = df.where(F.col(date).isNotNull()).select(*[c.alias(k) for k, c in keys.items()], *[num(m).alias(m) for m in metrics]).unpivot(list(keys), metrics, "metric", "v").where("v is not null")
+    last = long.withColumn("i", F.row_number().over(Window.partitionBy("metric").orderBy(*[F.col(k).desc() for k in keys]))).where(F.col("i") <= 3 * window)
+    part, d = F.floor((F.col("i") - 1) / window), F.col("d__")
+    avg = lambda k: F.avg(F.when(part == k, F.col("v")))
+    got = last.groupBy("metric").agg(avg(0).alias("recent_avg"), avg(1).alias("previous_avg"), avg(2).alias("older_avg"), F.count("*").alias("n"), F.min(F.when(part == 0, d)).alias("start"), F.max(d).alias("end"))
     change = ratio(F.col("recent_avg") - F.col("previous_avg"), F.abs("previous_avg")) * 100
     before = ratio(F.col("previous_avg") - F.col("older_avg"), F.abs("older_avg")) * 100
     got = got.where(F.col("n") >= 2 * window).withColumns({"change_pct": change, "before_pct": before}).where(F.abs("change_pct") >= min_change_pct)
@@ -115,13 +113,13 @@ def sequence_anomalies(df: DataFrame, date: str, metrics: list[str], window: int
 
 
 def all_anomalies(df: DataFrame, numeric: list[str], categorical: list[str], date: str | None = None, sensitivity: str = "medium", key: str | None = None, ties: list[str] | None = None) -> DataFrame:
-    """All kinds in the common schema; sequences of the first ten numbers where there is a date."""
+    """All kinds in the common schema; sequences of all numbers where there is a date."""
     z, impact = SENSITIVITY[sensitivity]
     got = value_anomalies(df, numeric, z, impact, key)
     if categorical:
         got = got.unionByName(pattern_anomalies(df, categorical, numeric))
     if date:
-        seq = sequence_anomalies(df, date, numeric[:10], ties=ties).select(
+        seq = sequence_anomalies(df, date, numeric, ties=ties).select(
             F.lit("sequence").alias("anomaly_type"), "severity", F.concat(F.when(F.col("change_pct") > 0, "Upward").otherwise("Downward"), F.lit(" Shift in "), "metric").alias("title"),
             F.format_string("%.2f after %.2f", "recent_avg", "previous_avg").alias("description"), F.col("recent_avg").alias("detected_value"), F.col("previous_avg").alias("expected_value"), F.abs("change_pct").alias("deviation_pct"),
             _context(pattern=F.col("pattern")).alias("context"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.order import trailing
 from ledgerloom.functions.quantiles import exact_quantiles
 from ledgerloom.functions.semantics import need, num, numbered, pct, period_start, ratio, total, with_total
 
@@ -84,12 +85,11 @@ def performance_by_device(df: DataFrame, device: str, metrics: list[str]) -> Dat
 def campaign_anomalies(df: DataFrame, date: str, metric: str, std_threshold: float = 2.0, ties: list[str] | None = None) -> DataFrame:
     """Adds rolling_mean and rolling_std of up to seven rows with the row itself, z_score, is_anomaly, anomaly_type.
 
-    Rows are in order of date; several rows of a date need ``ties``. Meant for one row a day, so one window over all
-    is small; aggregate to days first otherwise. With seven rows |z| stays under 6/sqrt(7)."""
+    Rows are in order of date; several rows of a date need ``ties``. Windows run within blocks of the order, each with the
+    last rows of the one before, for any number of rows. With seven rows |z| stays under 6/sqrt(7)."""
     need(df, date, metric, *(ties or []))
-    w = Window.orderBy(date, *(ties or [])).rowsBetween(-6, 0)
     v = num(metric)
-    got = df.withColumns({"rolling_mean": F.avg(v).over(w), "rolling_std": F.stddev_samp(v).over(w)})
+    got = trailing(df, [date, *(ties or [])], 7, rolling_mean=F.avg(v), rolling_std=F.stddev_samp(v))
     z = F.coalesce(ratio(v - F.col("rolling_mean"), F.col("rolling_std")), F.lit(0.0))
     odd = F.abs("z_score") > std_threshold
     return got.withColumn("z_score", z).withColumns({"is_anomaly": odd, "anomaly_type": F.when(odd & (F.col("z_score") > 0), "spike").when(odd, "drop").otherwise("normal")})
@@ -101,7 +101,7 @@ def half_trend(df: DataFrame, date: str, metric: str) -> DataFrame:
     need(df, date, metric)
     daily = df.where(F.col(date).isNotNull()).groupBy(period_start(date, "D").alias("day")).agg(total(metric).alias("v"))
     w = Window.orderBy("day")
-    daily = daily.withColumns({"i": F.row_number().over(w), "n": F.count("*").over(Window.partitionBy(F.lit(1)))})
+    daily = with_total(daily.withColumn("i", F.row_number().over(w)), n=F.count("*"))
     half = F.floor(F.col("n") / 2)
     got = daily.agg(F.avg(F.when(F.col("i") <= half, F.col("v"))).alias("first_half"), F.avg(F.when(F.col("i") > F.col("n") - half, F.col("v"))).alias("second_half"))
     change = ratio(F.col("second_half") - F.col("first_half"), F.col("first_half")) * 100

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.semantics import need, num, pct, period_start, periods_between, ratio, total, whole_days
+from ledgerloom.functions.semantics import need, num, pct, period_start, periods_between, ratio, total, whole_days, with_total
 
 
 def _activity(df: DataFrame, customer: str, date: str, period: str, value: str | None, segment: str | None) -> DataFrame:
@@ -37,9 +37,12 @@ def retention_by_index(matrix: DataFrame) -> DataFrame:
     return matrix.groupBy("period_index").agg(F.round(F.avg("retention_pct"), 2).alias("avg_retention"), F.count("*").alias("cohorts"))
 
 
-def retention_matrix(matrix: DataFrame, max_index: int = 12) -> DataFrame:
-    """Wide form for display: a column Period_i for each index to ``max_index``, percentages with one digit."""
-    return matrix.groupBy("cohort").pivot("period_index", list(range(max_index + 1))).agg(F.round(F.first("retention_pct"), 1)).withColumnsRenamed({str(i): f"Period_{i}" for i in range(max_index + 1)})
+def retention_matrix(matrix: DataFrame, max_index: int | None = None) -> DataFrame:
+    """Wide form for display: a column Period_i for each index there is (to ``max_index``, if given), percentages with one digit.
+    The indices, periods at most, are asked for first."""
+    found = sorted(r.period_index for r in matrix.select("period_index").distinct().collect())
+    kept = [i for i in found if max_index is None or i <= max_index]
+    return matrix.groupBy("cohort").pivot("period_index", kept).agg(F.round(F.first("retention_pct"), 1)).withColumnsRenamed({str(i): f"Period_{i}" for i in kept})
 
 
 def cohort_metadata(matrix: DataFrame) -> DataFrame:
@@ -82,8 +85,5 @@ def cohort_trends(matrix: DataFrame, recent: int = 3, early: int = 3) -> DataFra
     rank = matrix.select("cohort").distinct().select("cohort", F.row_number().over(Window.orderBy("cohort")).alias("i"), F.row_number().over(Window.orderBy(F.desc("cohort"))).alias("j"))
     got = matrix.join(F.broadcast(rank), "cohort").groupBy("period_index").agg(F.avg(F.when(F.col("j") <= recent, F.col("retention_pct"))).alias("recent_avg"), F.avg(F.when(F.col("i") <= early, F.col("retention_pct"))).alias("early_avg"))
     got = got.withColumn("difference", F.col("recent_avg") - F.col("early_avg"))
-    all_ = Window.partitionBy(F.lit(1))
-    return got.withColumns({
-        "improving": F.count_if(F.col("difference") > 0).over(all_), "declining": F.count_if(F.col("difference") < 0).over(all_),
-        "trend": F.when(F.avg("difference").over(all_) > 0, "improving").otherwise("declining"),
-    })
+    got = with_total(got, improving=F.count_if(F.col("difference") > 0), declining=F.count_if(F.col("difference") < 0), mean__=F.avg("difference"))
+    return got.withColumn("trend", F.when(F.col("mean__") > 0, "improving").otherwise("declining")).drop("mean__")

@@ -86,12 +86,13 @@ def _(s, d):
     return rounded(co.cohort_metadata(_matrix(s, d)))
 
 
-_WIDE = ", ".join(f"round(max(retention_pct) FILTER (period_index = {i}), 1) AS Period_{i}" for i in range(5))
+_WIDE = ", ".join(f"round(max(retention_pct) FILTER (period_index = {i}), 1) AS Period_{i}" for i in range(7))
 
 
-@query("cohort_matrix_wide", _retention() + f"SELECT cohort, {_WIDE} FROM m GROUP BY 1", _C)
+@query("cohort_matrix_wide", _retention(unit="year") + f"SELECT cohort, {_WIDE} FROM m GROUP BY 1", _C)
 def _(s, d):
-    return rounded(co.retention_matrix(_matrix(s, d), 4))
+    """Orders of seven years: every index there is."""
+    return rounded(co.retention_matrix(co.cohort_retention(_orders(s, d), "o_custkey", "o_orderdate", "Y")))
 
 
 @query("cohort_reactivation", """
@@ -167,11 +168,11 @@ def _(s, d):
 
 
 @query("campaign_kpis", f"""
-WITH c AS (SELECT campaign, sum(impressions) AS i, sum(clicks) AS c, sum(conversions) AS v, sum(revenue) AS r, sum(cost) AS k FROM {_DAILY} GROUP BY 1)
+WITH c AS (SELECT campaign, sum(impressions) AS i, sum(clicks) AS c, sum(conversions) AS v, round(sum(revenue), 6) AS r, round(sum(cost), 6) AS k FROM {_DAILY} GROUP BY 1)
 SELECT campaign, i AS impressions, c AS clicks, v AS conversions, round(r, 3) AS revenue, round(k, 3) AS cost, round(coalesce(c / nullif(i, 0), 0) * 100, 3) AS CTR, round(coalesce(v / nullif(c, 0), 0) * 100, 3) AS CVR,
   round(coalesce(k / nullif(c, 0), 0), 3) AS CPC, round(coalesce(k / nullif(v, 0), 0), 3) AS CPA, round(coalesce(r / nullif(k, 0), 0), 3) AS ROAS, round(coalesce(r / nullif(c, 0), 0), 3) AS Revenue_per_Click FROM c""")
 def _(s, d):
-    sums = _daily(s, d).groupBy("campaign").agg(*[F.sum(m).alias(m) for m in [*_ALL, "cost"]])
+    sums = _daily(s, d).groupBy("campaign").agg(*[F.round(F.sum(m), 6).alias(m) for m in [*_ALL, "cost"]])
     return rounded(ca.campaign_kpis(sums, "impressions", "clicks", "conversions", "revenue", "cost"), 3)
 
 
