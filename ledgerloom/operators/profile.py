@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ledgerloom.functions.quantiles import exact_quantiles, quantiles_of
 from ledgerloom.functions.semantics import categorical_columns, need, num, numbered, numeric_columns, pct, period_start, ratio, sample_kurtosis, sample_skewness, total, whole_days, with_total
 from ledgerloom.functions.store import stored
+from ledgerloom.operators.column_state import column_state, profile_types, text_of, typed_states
 
 PERCENTILES = (5, 10, 25, 50, 75, 90, 95)
 QUARTILES = (0.25, 0.5, 0.75)
@@ -125,15 +126,9 @@ def top_performers(df: DataFrame, group: str, value: str, n: int = 10, ascending
     return numbered(got, "total", [group], ascending=ascending).where(F.col("rank") <= n)
 
 
-def _text_of(df: DataFrame, c: str) -> Column:
-    """A text that tells the values of a column of any type apart."""
-    kind = df.schema[c].dataType
-    return F.to_json(F.struct(F.col(f"`{c}`"))) if isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.VariantType)) else F.hex(F.col(f"`{c}`")) if isinstance(kind, T.BinaryType) else F.col(f"`{c}`").cast("string")
-
-
 def missing_values(df: DataFrame) -> DataFrame:
     """column, non_null, missing, missing_pct, unique_count. Columns become (column, value) rows, which one aggregation counts."""
-    texts = df.select(*[F.when(F.col(f"`{c}`").isNotNull(), _text_of(df, c)).alias(c) for c in df.columns])
+    texts = df.select(*[F.when(F.col(f"`{c}`").isNotNull(), text_of(df, c)).alias(c) for c in df.columns])
     kinds = texts.unpivot([], [F.col(f"`{c}`") for c in df.columns], "column", "value").groupBy("column", "value").agg(F.count("*").alias("k"))
     there = F.col("value").isNotNull()
     got = kinds.groupBy("column").agg(F.coalesce(F.sum(F.when(there, F.col("k"))), F.lit(0)).alias("non_null"), F.coalesce(F.sum(F.when(~there, F.col("k"))), F.lit(0)).alias("missing"), F.count("value").alias("unique_count"))
@@ -147,7 +142,7 @@ def column_profile(df: DataFrame, samples: int = 5) -> DataFrame:
     and of numbers min, max, mean, median and std (0 of a single value)."""
     m = missing_values(df)
     kinds = semantic_types(df).select("column", "semantic_type")
-    texts = df.select(*[F.when(F.col(f"`{c}`").isNotNull(), _text_of(df, c)).alias(c) for c in df.columns])
+    texts = df.select(*[F.when(F.col(f"`{c}`").isNotNull(), text_of(df, c)).alias(c) for c in df.columns])
     first = texts.unpivot([], [F.col(f"`{c}`") for c in df.columns], "column", "value").where("value is not null").distinct()
     first = first.withColumn("i", F.row_number().over(Window.partitionBy("column").orderBy("value"))).where(F.col("i") <= samples)
     first = first.groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("sample_values"))
@@ -239,47 +234,13 @@ def data_quality(df: DataFrame) -> DataFrame:
 
 # Semantic types ----------------------------------------------------------------------------------------------------
 
-#: Parts of column names that tell a type or role.
-ROLE_WORDS = {
-    "date": ("date", "datum", "time", "timestamp", "created", "updated", "day", "month", "year"),
-    "revenue": ("revenue", "sales", "amount", "price", "total", "cost", "value", "profit", "spend", "umsatz"),
-    "quantity": ("quantity", "qty", "units", "count", "menge"),
-    "customer": ("customer", "client", "user", "kunde", "buyer"),
-    "product": ("product", "item", "sku", "article", "produkt"),
-    "category": ("category", "type", "segment", "group", "class", "kategorie"),
-    "channel": ("channel", "source", "medium", "campaign", "kanal"),
-}
-_ID, _PERCENT = re.compile(r"(^|_)(id|key|uuid|code|nr|number)$|key$"), ("pct", "percent", "rate", "ratio", "share")
-
-
 def semantic_types(df: DataFrame) -> DataFrame:
-    """column, semantic_type, null_pct, unique_pct, avg_length: unknown, boolean, datetime, identifier, currency, percentage,
-    numeric, text or categorical, by the first rule that fits the column's type, name and one pass of counts."""
-    aggs = [F.count("*").alias("n")]
-    for i, c in enumerate(df.columns):
-        text = F.col(c).cast("string") if not isinstance(df.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType)) else F.to_json(F.struct(c))
-        stamp = F.try_to_timestamp(text) if isinstance(df.schema[c].dataType, T.StringType) else F.lit(None).cast("timestamp")
-        aggs += [F.count(c).alias(f"a{i}"), F.count_distinct(text).alias(f"u{i}"), F.avg(F.length(text)).alias(f"l{i}"), F.count(stamp).alias(f"d{i}")]
-    s = df.agg(*aggs)
-    rows = []
-    for i, c in enumerate(df.columns):
-        kind, name = df.schema[c].dataType, c.lower()
-        n, u, length, dates = (F.col(f"{x}{i}") for x in "auld")
-        number, has = isinstance(kind, T.NumericType), lambda words, name=name: any(w in name for w in words)
-        unique = F.coalesce(ratio(u, n), F.lit(0.0))
-        rule = F.when(n == 0, "unknown")
-        if isinstance(kind, T.BooleanType):
-            rule = rule.otherwise("boolean")
-        elif isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-            rule = rule.otherwise("datetime")
-        elif number:
-            rest = "identifier" if _ID.search(name) else "percentage" if has(_PERCENT) else "currency" if has(ROLE_WORDS["revenue"]) else "numeric"
-            rule = rule.otherwise(rest)
-        else:
-            rule = rule.when(dates > n * 0.8, "datetime")
-            rule = rule.when(F.lit(bool(_ID.search(name))), "identifier").when(length > 50, "text").when((unique > 0.9) & (n > 20), "identifier").when((unique < 0.5) | (u < 20), "categorical").otherwise("text")
-        rows.append(F.struct(F.lit(c).alias("column"), rule.alias("semantic_type"), pct(F.col("n") - n, F.col("n")).alias("null_pct"), F.round(unique * 100, 2).alias("unique_pct"), F.round(length, 2).alias("avg_length")))
-    return s.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    """column, semantic_type, null_pct, unique_pct (of values), avg_length, by the rules of ``column_state.typed_states`` with exact counts
+    of different values: one pass for the states, one aggregation of (column, value) rows. ``column_state.profile_types`` takes
+    sketches instead."""
+    counts = missing_values(df).select("column", "unique_count", F.col("missing").alias("gaps"))
+    states = counts.join(column_state(df), "column", "left").fillna(0, ["rows", "n", "chars", "dates"]).fillna("other", ["kind"])
+    return typed_states(states).select("column", "semantic_type", "null_pct", "unique_pct", "avg_length")
 
 
 @dataclass(frozen=True)
@@ -293,52 +254,95 @@ class ColumnMapping:
     channel: str | None = None
 
 
-def suggest_mapping(df: DataFrame) -> ColumnMapping:
-    """Roles by name and type: of dates and numbers with revenue words the first, of the other roles the last."""
+#: Of each role the semantic type and parts of the name.
+MAPPING_WORDS = {
+    "revenue": ("numeric", ("revenue", "umsatz", "sales", "total", "amount")),
+    "quantity": ("numeric", ("qty", "quantity", "menge", "anzahl", "count", "units")),
+    "customer": ("identifier", ("customer", "kunde", "user", "client", "buyer")),
+    "product": ("identifier", ("product", "produkt", "item", "sku", "article", "artikel")),
+    "category": ("categorical", ("category", "kategorie", "type", "typ", "group", "segment")),
+    "channel": ("categorical", ("channel", "kanal", "source", "quelle", "medium", "platform")),
+}
+
+
+def suggest_mapping(df: DataFrame, types: dict[str, str] | None = None) -> ColumnMapping:
+    """Roles by semantic type (``types``, or those of ``profile_types``) and name: the first date; the first currency, unless a number
+    named as a revenue comes; of the other roles the last column that fits."""
+    types = types or {r.column: r.semantic_type for r in profile_types(df).select("column", "semantic_type").collect()}
     found: dict[str, str] = {}
-    for f in df.schema.fields:
-        name = f.name.lower()
-        fits = lambda role, name=name: any(w in name for w in ROLE_WORDS[role])
-        if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-            found.setdefault("date", f.name)
-        elif isinstance(f.dataType, T.NumericType) and fits("revenue"):
-            found.setdefault("revenue", f.name)
-        else:
-            for role in ("quantity", "customer", "product", "category", "channel"):
-                if fits(role):
-                    found[role] = f.name
-                    break
+    for c in df.columns:
+        kind, name = types.get(c, "unknown"), c.lower()
+        if kind == "datetime":
+            found.setdefault("date", c)
+        if kind == "currency":
+            found.setdefault("revenue", c)
+        for role, (needed, words) in MAPPING_WORDS.items():
+            if kind == needed and any(w in name for w in words):
+                found[role] = c
     return ColumnMapping(**found)
 
 
+#: Parts of column names that tell a role.
+ROLE_ID_WORDS = ("id", "_id", "code", "key", "nummer", "number")
+REVENUE_WORDS = ("revenue", "sales", "amount", "total", "price", "cost", "profit", "umsatz")
+QUANTITY_WORDS = ("qty", "quantity", "units", "count", "menge")
+CATEGORY_WORDS = ("category", "type", "channel", "region", "segment")
+
+
 @dataclass(frozen=True)
 class ColumnRoles:
-    date: list[str] = field(default_factory=list)
-    numeric: list[str] = field(default_factory=list)
-    categorical: list[str] = field(default_factory=list)
+    """Columns by role, each in one list."""
+
     id: list[str] = field(default_factory=list)
+    date: list[str] = field(default_factory=list)
+    revenue: list[str] = field(default_factory=list)
+    quantity: list[str] = field(default_factory=list)
+    category: list[str] = field(default_factory=list)
+    measure: list[str] = field(default_factory=list)
+    dimension: list[str] = field(default_factory=list)
+
+    @property
+    def numeric(self) -> list[str]:
+        return [*self.revenue, *self.quantity, *self.measure]
+
+    @property
+    def categorical(self) -> list[str]:
+        return [*self.category, *self.dimension]
 
 
 def column_roles(df: DataFrame) -> ColumnRoles:
-    """From the schema and the names; ids are told before numbers."""
+    """By type, name and, of texts named as categories, the number of different values (under 20, or under half of the rows):
+    ids are told before numbers; booleans are dimensions."""
     roles = ColumnRoles()
+    has = lambda name, words: any(w in name for w in words)
+    named = []
     for f in df.schema.fields:
+        name = f.name.lower()
         if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
             roles.date.append(f.name)
-        elif _ID.search(f.name.lower()):
+        elif has(name, ROLE_ID_WORDS):
             roles.id.append(f.name)
         elif isinstance(f.dataType, T.NumericType):
-            roles.numeric.append(f.name)
+            (roles.revenue if has(name, REVENUE_WORDS) else roles.quantity if has(name, QUANTITY_WORDS) else roles.measure).append(f.name)
         elif isinstance(f.dataType, (T.StringType, T.BooleanType)):
-            roles.categorical.append(f.name)
+            named.append(f.name)
+    asked = [c for c in named if has(c.lower(), CATEGORY_WORDS)]
+    few = set()
+    if asked:
+        counts = missing_values(df.select(*[F.col(f"`{c}`") for c in asked])).where((F.col("unique_count") < 20) | (F.col("unique_count") < (F.col("missing") + F.col("non_null")) / 2))
+        few = {r.column for r in counts.collect()}
+    for c in named:
+        (roles.category if c in few else roles.dimension).append(c)
     return roles
 
 
 def validate_for_analysis(df: DataFrame, required: tuple[str, ...] = ()) -> list[str]:
-    """What stands against an analysis: too few rows, roles that no column has. Empty: nothing."""
-    said = [] if df.limit(2).count() == 2 else ["fewer than two rows"]
-    mapping = suggest_mapping(df)
-    return said + [f"no {r} column" for r in required if getattr(mapping, r) is None]
+    """What stands against an analysis: no rows, fewer than two, semantic types that no column has. Empty: nothing."""
+    rows = df.limit(2).count()
+    if rows < 2 or not df.columns:
+        return ["the table is empty" if rows == 0 or not df.columns else "fewer than two rows"]
+    found = {r.semantic_type for r in profile_types(df).select("semantic_type").distinct().collect()} if required else set()
+    return [f"no {t} column" for t in required if t not in found]
 
 
 # Cleaning ----------------------------------------------------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text_metrics import text_metrics, text_table
+from ledgerloom.operators import column_state as cs
 from ledgerloom.operators import profile as pf
 from ledgerloom.operators.association import correlation_pairs
 from ledgerloom.operators.narrate import correlation_insights, segment_insights, series_insights
@@ -60,10 +61,30 @@ def _(s, d):
     return pf.duplicate_rows(table(s, d, "lineitem").select("l_orderkey", "l_linenumber"))
 
 
-@query("quick_stats", """
-SELECT count(*) AS rows, 0::BIGINT AS duplicates, 2::BIGINT AS columns, 1::BIGINT AS numeric_columns, round(sum(c_acctbal), 2) AS total_c_acctbal, round(avg(c_acctbal), 2) AS avg_c_acctbal, 0.0::DOUBLE AS missing_pct FROM customer""")
+#: A table with gaps, repeated rows, a constant and columns of every kind, made of line items: name, kind, SQL of both sides.
+_MIXED = [
+    ("channel", "text", "l_returnflag"), ("quantity", "number", "CASE WHEN l_quantity > 40 THEN NULL ELSE l_quantity END"), ("disc", "number", "l_discount"), ("tax_rate", "number", "l_tax * 100"),
+    ("flag", "text", "CASE WHEN l_linenumber % 2 = 0 THEN 'Yes' ELSE 'No' END"), ("odd", "number", "l_linenumber % 2"), ("constant", "text", "'x'"), ("shipped", "datetime", "l_shipdate"), ("order_code", "number", "l_orderkey"),
+    ("revenue", "number", "l_extendedprice"), ("day_text", "text", "CAST(CAST(l_shipdate AS DATE) AS STRING)"), ("note", "text", "repeat(l_linestatus, 60)"), ("parcel", "text", "concat(l_orderkey, '-', l_partkey, '-', l_suppkey, '-', l_linenumber)"),
+    ("nothing", "text", "CAST(CASE WHEN l_quantity < 0 THEN 'x' END AS STRING)"), ("agreed", "boolean", "l_tax > 0.04"),
+]
+_MIXED_SQL = "SELECT " + ", ".join(f"{e} AS {c}" for c, _, e in _MIXED) + " FROM lineitem"
+_DIRTY = ["channel", "flag", "constant", "nothing", "agreed", "odd"]
+_DIRTY_SQL = f"SELECT {', '.join(_DIRTY)} FROM ({_MIXED_SQL})"
+
+
+def _mixed(s, d):
+    return table(s, d, "lineitem").selectExpr(*[f"{e} AS {c}" for c, _, e in _MIXED])
+
+
+_CELLS = "WITH d AS (" + _DIRTY_SQL + "), c AS (" + " UNION ALL ".join(f"SELECT '{c}' AS column, count(*) - count({c}) AS gaps, count(*) AS rows, count(DISTINCT {c}) AS kinds FROM d" for c in _DIRTY) + "), u AS (SELECT count(*) AS kinds FROM (SELECT DISTINCT * FROM d))"
+
+
+@query("quick_stats", _CELLS + """
+SELECT (SELECT count(*) FROM d) AS rows, (SELECT count(*) FROM d) - (SELECT kinds FROM u) AS duplicates, count(*) AS columns, 1::BIGINT AS numeric_columns, round(sum(gaps) / sum(rows) * 100, 2) AS missing_pct,
+  (SELECT round(sum(odd), 2)::DOUBLE FROM d) AS total_odd, (SELECT round(avg(odd), 2) FROM d) AS avg_odd FROM c""")
 def _(s, d):
-    return pf.quick_stats(table(s, d, "customer").select("c_name", "c_acctbal"))
+    return pf.quick_stats(_mixed(s, d).select(*_DIRTY))
 
 
 @query("distribution", f"""
@@ -95,18 +116,48 @@ def _(s, d):
     return pf.missing_values(table(s, d, "part"))
 
 
-@query("data_quality", """
-SELECT count(*) AS rows, 0.0::DOUBLE AS missing_pct, 0.0::DOUBLE AS duplicate_pct, 0::BIGINT AS constant_columns, 3::BIGINT AS n_numeric, 'good' AS level, '' AS warnings FROM part""")
+_STEPS = "CASE WHEN {0} > {3} THEN 3 WHEN {0} > {2} THEN 2 WHEN {0} > {1} THEN 1 ELSE 0 END"
+
+
+@query("data_quality", _CELLS + f"""
+, q AS (SELECT any_value(rows) AS rows, round(sum(gaps) / sum(rows) * 100, 2) AS missing_pct, round((any_value(rows) - (SELECT kinds FROM u)) / any_value(rows) * 100, 2) AS duplicate_pct, count(*) FILTER (kinds <= 1) AS constant_columns FROM c),
+g AS (SELECT *, {_STEPS.format("missing_pct", 10, 30, 50)} AS a, {_STEPS.format("duplicate_pct", 5, 20, 50)} AS b, CASE WHEN rows < 10 THEN 3 WHEN rows < 50 THEN 2 WHEN rows < 100 THEN 1 ELSE 0 END AS e, CASE WHEN constant_columns > 0 THEN 1 ELSE 0 END AS f FROM q)
+SELECT rows, missing_pct, duplicate_pct, constant_columns, 1::BIGINT AS n_numeric, CASE greatest(a, b, e, f) WHEN 3 THEN 'critical' WHEN 2 THEN 'poor' WHEN 1 THEN 'fair' ELSE 'good' END AS level,
+  array_to_string(list_filter([CASE WHEN a > 0 THEN 'missing values' END, CASE WHEN b > 0 THEN 'duplicate rows' END, CASE WHEN e > 0 THEN 'few rows' END, CASE WHEN f > 0 THEN 'constant columns' END], lambda x: x IS NOT NULL), ', ') AS warnings FROM g""")
+def _(s, d):
+    return pf.data_quality(_mixed(s, d).select(*_DIRTY))
+
+
+def _type_sql(c: str, kind: str) -> str:
+    """One row: what the rules need to know of a column, and the first that fits."""
+    has = lambda words: "true" if any(w in c for w in words) else "false"
+    number, text = kind == "number", kind == "text"
+    lo, hi = f"lower(min({c})::VARCHAR)", f"lower(max({c})::VARCHAR)"
+    words = ", ".join(f"'{w}'" for w in cs.BOOLEAN_WORDS)
+    return f"""SELECT '{c}' AS column, CASE WHEN n = 0 THEN 'unknown' WHEN {str(kind == "boolean").lower()} OR u = 2 AND lo = 0 AND hi = 1 OR u <= 2 AND (lt IN ({words}) OR ht IN ({words})) THEN 'boolean'
+  WHEN {str(kind == "datetime").lower()} OR dates > n * 0.8 THEN 'datetime' WHEN {has(cs.ID_WORDS)} THEN 'identifier' WHEN {str(number).lower()} AND {has(cs.CURRENCY_WORDS)} THEN 'currency'
+  WHEN {str(number).lower()} AND ({has(cs.PERCENT_WORDS)} OR lo >= 0 AND hi <= 1) THEN 'percentage' WHEN {str(number).lower()} THEN 'numeric' WHEN len > 50 THEN 'text' WHEN u / n > 0.9 AND n > 20 THEN 'identifier'
+  WHEN u / n < 0.5 OR u < 20 THEN 'categorical' ELSE 'text' END AS semantic_type, round((rows - n) / rows * 100, 2) AS null_pct, CASE WHEN n = 0 THEN 0 ELSE round(u / n * 100, 2) END AS unique_pct, {"round(len, 2)" if text else "NULL::DOUBLE"} AS avg_length
+  FROM (SELECT count(*) AS rows, count({c}) AS n, count(DISTINCT {c}) AS u, {f"min({c})::DOUBLE AS lo, max({c})::DOUBLE AS hi" if number else "NULL::DOUBLE AS lo, NULL::DOUBLE AS hi"}, {lo} AS lt, {hi} AS ht, {f"count(try_cast({c} AS TIMESTAMP))" if text else "0"} AS dates, avg(length({c}::VARCHAR)) AS len FROM m)"""
+
+
+_TYPES_SQL = f"WITH m AS ({_MIXED_SQL}) " + " UNION ALL ".join(_type_sql(c, k) for c, k, _ in _MIXED)
+_TEXTS = [c for c, k, _ in _MIXED if k == "text"]
+
+
+@query("semantic_types", _TYPES_SQL)
 def _(s, d):
-    return pf.data_quality(table(s, d, "part"))
+    return pf.semantic_types(_mixed(s, d)).withColumn("avg_length", F.when(F.col("column").isin(_TEXTS), F.col("avg_length")))
 
 
-@query("semantic_types", """
-SELECT 'p_brand' AS column, 'categorical' AS semantic_type, 0.0::DOUBLE AS null_pct, round(count(DISTINCT p_brand) / count(*) * 100, 2) AS unique_pct, round(avg(length(p_brand)), 2) AS avg_length FROM part
-UNION ALL SELECT 'p_retailprice', 'currency', 0.0, round(count(DISTINCT p_retailprice) / count(*) * 100, 2), NULL FROM part""")
+@query("merged_profile", f"SELECT t.column, t.semantic_type, t.null_pct FROM ({_TYPES_SQL}) t")
 def _(s, d):
-    got = pf.semantic_types(table(s, d, "part").select("p_brand", "p_retailprice"))
-    return got.withColumn("avg_length", F.when(F.col("column") == "p_brand", F.col("avg_length")))
+    """The states of four parts of the table, merged, give the types of the whole."""
+    rows = _mixed(s, d)
+    part = F.pmod(F.hash("order_code"), F.lit(4))
+    states = [cs.column_state(rows.where(part == i)) for i in range(4)]
+    merged = states[0].unionByName(states[1]).unionByName(states[2]).unionByName(states[3])
+    return cs.typed_states(cs.merge_states(merged)).select("column", "semantic_type", "null_pct")
 
 
 @query("filtered", "SELECT o_orderkey FROM orders WHERE o_orderdate BETWEEN '1996-01-01' AND '1996-06-30' AND o_totalprice BETWEEN 1000 AND 200000 AND o_orderpriority IN ('1-URGENT', '2-HIGH')")
