@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.functions.order import placed
+
 PERIOD_UNIT = {"D": "day", "W": "week", "M": "month", "Q": "quarter", "Y": "year"}
 
 
@@ -91,40 +93,13 @@ def with_total(df: DataFrame, **sums: Column) -> DataFrame:
     return df.crossJoin(F.broadcast(df.agg(*[c.alias(n) for n, c in sums.items()])))
 
 
-def _bin(value: Column, per_doubling: int) -> Column:
-    """A whole number that grows with the value."""
-    return (F.signum(value) * F.floor(F.log2(F.abs(value) + 1) * per_doubling)).cast("long")
-
-
-def _fine_bin(value: Column) -> tuple[Column, Column]:
-    """(a whole number that grows with the value, whether all its rows have one value): 4096 bins a doubling; whole numbers up
-    to 64, and nulls, which come last, are bins of their own."""
-    base, near = _bin(value, 4096), F.round(value)
-    alone = (F.abs(near) <= 64) & (_bin(near, 4096) == base)
-    code = base * 3 + F.when(alone & (value == near), 1).when(alone & (value > near), 2).otherwise(0)
-    return code, F.coalesce(alone & (value == near), value.isNull())
-
-
 def numbered(df: DataFrame, value: str, ties: Iterable[str], ascending: bool = False, number: str = "rank", running: dict[str, str] | None = None) -> DataFrame:
     """Adds the position in the order of ``value`` (nulls last) then ``ties``, and running sums (new name: column).
 
-    There is no single sorted partition: rows are numbered within bins of the value, and each bin starts where the bins
-    before it end. A bin of one value (a count such as 1, or null) is cut once more by the first of ``ties``, if that is a
-    number. The bins, some hundred thousand at most, are all that one task holds."""
-    running, ties = running or {}, list(ties)
-    v = F.col(value).cast("double")
-    code, one = _fine_bin(v)
-    cut = _bin(F.col(ties[0]).cast("double"), 64) if ties and isinstance(df.schema[ties[0]].dataType, T.NumericType) else F.lit(0).cast("long")
-    d = df.withColumns({"bin__": F.coalesce(code * (1 if ascending else -1), F.lit((1 << 62))), "cut__": F.when(one, F.coalesce(cut, F.lit(1 << 62))).otherwise(0)})
+    Rows are dealt by ranges of that order (``order.placed``), so there is no single sorted partition, whatever values are frequent."""
     order = [F.col(value).asc_nulls_last() if ascending else F.col(value).desc_nulls_last(), *[F.col(t).asc_nulls_last() for t in ties]]
-    inside = Window.partitionBy("bin__", "cut__").orderBy(*order)
-    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.orderBy("bin__", "cut__").rowsBetween(Window.unboundedPreceding, -1)
-    sums = [F.count("*").alias("n__"), *[F.sum(c).alias(f"s__{n}") for n, c in running.items()]]
-    starts = d.groupBy("bin__", "cut__").agg(*sums).select("bin__", "cut__", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"b__{c}") for c in ["n__", *[f"s__{n}" for n in running]]])
-    d = d.withColumns({"i__": F.row_number().over(inside), **{f"r__{n}": F.sum(c).over(upto) for n, c in running.items()}}).join(starts, ["bin__", "cut__"])
-    made = {number: (F.col("b__n__") + F.col("i__")).cast("long"), **{n: F.col(f"b__s__{n}") + F.col(f"r__{n}") for n in running}}
-    return d.withColumns(made).select(*df.columns, *made)
+    got = placed(df, order, number, running)
+    return got.withColumn(number, (F.col(number) + 1).cast("long"))
 
 
 def competition_rank(df: DataFrame, value: str, name: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.semantics import need, num, numbered, pct, quantile_bin, ratio, total, whole_days, with_total
+from ledgerloom.functions.store import stored
 
 
 def customer_summary(df: DataFrame, customer: str, revenue: str, date: str | None = None, quantity: str | None = None) -> DataFrame:
@@ -61,7 +62,7 @@ def rfm_analysis(df: DataFrame, customer: str, date: str, revenue: str, referenc
     rows = df.select(customer, F.col(date).cast("timestamp").alias("d"), num(revenue).alias("v")).dropna()
     got = rows.groupBy(customer).agg(F.max("d").alias("last"), F.count("*").alias("frequency"), F.sum("v").alias("monetary"))
     reference = F.to_timestamp(F.lit(reference_date)) if reference_date else F.max("last") + F.expr("interval 1 day")
-    got = with_total(got, ref=reference, n=F.count("*")).withColumn("recency", whole_days(F.col("ref"), F.col("last")))
+    got = with_total(stored(got), ref=reference, n=F.count("*")).withColumn("recency", whole_days(F.col("ref"), F.col("last")))
     cuts = F.percentile("recency", F.array(*[F.lit(i / bins) for i in range(1, bins)]))
     got = with_total(got, cuts=cuts)
     below = sum((F.when(F.col("recency") > F.col("cuts")[i], 1).otherwise(0) for i in range(bins - 1)), F.lit(0))
@@ -84,7 +85,7 @@ def value_tiers(df: DataFrame, customer: str, revenue: str, tiers: int = 4, name
     need(df, customer, revenue)
     names = names or TIER_NAMES.get(tiers) or [f"Tier {i}" for i in range(1, tiers + 1)]
     got = df.where(F.col(customer).isNotNull()).groupBy(customer).agg(total(revenue).alias("total_revenue"))
-    got = numbered(with_total(got, n=F.count("*")), "total_revenue", [customer], ascending=True, number="i")
+    got = numbered(with_total(stored(got), n=F.count("*")), "total_revenue", [customer], ascending=True, number="i")
     got = got.withColumn("tier_order", quantile_bin(F.col("i"), F.col("n"), tiers))
     return got.select(customer, "total_revenue", F.element_at(F.array(*map(F.lit, names)), F.col("tier_order")).alias("tier"), "tier_order")
 

@@ -122,7 +122,7 @@ def top_performers(df: DataFrame, group: str, value: str, n: int = 10, ascending
     """group, total, average, count, share_pct, rank of the ``n`` first by total; ties by group."""
     need(df, group, value)
     got = df.where(F.col(group).isNotNull()).groupBy(group).agg(total(value).alias("total"), F.avg(num(value)).alias("average"), F.count(num(value)).alias("count"))
-    got = with_total(got, all__=F.sum("total")).withColumn("share_pct", pct(F.col("total"), F.col("all__"))).drop("all__")
+    got = with_total(stored(got), all__=F.sum("total")).withColumn("share_pct", pct(F.col("total"), F.col("all__"))).drop("all__")
     return numbered(got, "total", [group], ascending=ascending).where(F.col("rank") <= n)
 
 
