@@ -1,4 +1,4 @@
-"""Files as DataFrames: CSV, JSON, Parquet, ORC and Excel by extension, with sniffed delimiters and flattened structs."""
+"""Files as DataFrames by extension: CSV, JSON, Parquet, ORC, Excel, Word and PowerPoint."""
 
 from __future__ import annotations
 
@@ -14,9 +14,9 @@ from pyspark.sql import types as T
 
 from ledgerloom.operators.profile import ColumnMapping, suggest_mapping
 from ledgerloom.sources import csv_records, json_records
-from ledgerloom.sources.office import read_excel
+from ledgerloom.sources.office import read_excel, read_slides, read_word
 
-READERS = {".csv": "csv", ".tsv": "csv", ".txt": "csv", ".json": "json", ".jsonl": "json", ".ndjson": "json", ".parquet": "parquet", ".orc": "orc", ".xlsx": "excel", ".xlsm": "excel"}
+READERS = {".csv": "csv", ".tsv": "csv", ".txt": "csv", ".json": "json", ".jsonl": "json", ".ndjson": "json", ".parquet": "parquet", ".orc": "orc", ".xlsx": "excel", ".xlsm": "excel", ".docx": "word", ".pptx": "slides"}
 DELIMITERS = (",", ";", "\t", "|")
 _HEAD = 11
 BOOLEANS = ("True", "TRUE", "true", "False", "FALSE", "false")
@@ -241,13 +241,13 @@ def load_file(spark: SparkSession, path: str, **options) -> LoadResult:
     """Any supported file; what goes wrong is told in ``error``, not raised."""
     kind = READERS.get(extension(path))
     if kind is None:
-        known = {".xls": "save it as .xlsx", ".doc": "save it as .docx", ".ppt": "save it as .pptx", ".pdf": "no PDF library is here", ".docx": "use office.read_documents", ".pptx": "use office.read_documents"}
+        known = {".xls": "save it as .xlsx", ".doc": "save it as .docx", ".ppt": "save it as .pptx", ".pdf": "no PDF library is here"}
         return LoadResult(path, error=f"{extension(path) or 'no extension'} is not supported ({known.get(extension(path), 'supported: ' + ', '.join(supported_extensions()))})")
     try:
         if kind in ("csv", "json"):
             df, told = (scan_csv if kind == "csv" else _scan_json)(spark, path, **options)
             return LoadResult(path, df, kind, told)
-        read = {"excel": read_excel, "parquet": lambda s, p: s.read.parquet(p), "orc": lambda s, p: s.read.orc(p)}[kind]
+        read = {"excel": read_excel, "word": read_word, "slides": read_slides, "parquet": lambda s, p: s.read.parquet(p), "orc": lambda s, p: s.read.orc(p)}[kind]
         df = read(spark, path, **options)
         return LoadResult(path, df, kind, {"columns": len(df.columns)})
     except Exception as e:  # noqa: BLE001  the contract: errors are values

@@ -51,7 +51,7 @@ def test_office_files(spark, tmp_path):
         cell = lambda t: f"<w:tc><w:p><w:r><w:t>{t}</w:t></w:r></w:p></w:tc>"
         z.writestr("word/document.xml", f'<w:document xmlns:w="w"><w:body><w:p><w:r><w:t>Title</w:t></w:r></w:p><w:tbl><w:tr>{cell("Month")}{cell("Revenue")}</w:tr><w:tr>{cell("Jan")}{cell("800")}</w:tr></w:tbl></w:body></w:document>')
     got = office.read_documents(spark, str(tmp_path / "b.docx"))
-    assert [r.cells for r in got.where("kind = 'text'").collect()] == [["Title"]]
+    assert [r.cells for r in got.where("kind = 'text'").collect()] == [["Title", "Normal"]]
     assert office.table_of(got).first().asDict() == {"Month": "Jan", "Revenue": "800"}
     (tmp_path / "bad.pptx").write_bytes(b"no zip")
     assert office.read_documents(spark, str(tmp_path / "bad.pptx")).first().kind == "error"
