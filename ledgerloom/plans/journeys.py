@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import advice as ad
 from ledgerloom.operators import attribution as at
 from ledgerloom.operators import campaign as ca
 from ledgerloom.operators import cohort as co
@@ -326,3 +327,42 @@ def _(s, d):
     e = table(s, d, "events")
     t = e.groupBy("user_id").agg(*[F.min(F.when(F.col("event_type") == k, F.col("ts"))).alias(c) for c, k in (("viewed", "view"), ("clicked", "click"), ("purchased", "purchase"))])
     return rounded(fu.funnel_velocity(t, ["viewed", "clicked", "purchased"]), 4)
+
+
+# recommendations: the rules met with figures
+
+
+def _advice_sql(source: str, rule_set: str) -> str:
+    """One SELECT a rule over a table of a row a subject."""
+    marks = ("over", ">"), ("up_to", "<="), ("least", ">="), ("under", "<")
+    parts = []
+    for kind, rule, conditions, priority, category, impact, title, told, form, _ in ad.RULES:
+        if kind == rule_set:
+            holds = " AND ".join(f"{m} {mark} {b}" for m, bounds in conditions.items() for (_, mark), b in zip(marks, bounds, strict=True) if b is not None)
+            digits = form[form.index("%.") + 2]
+            before, after = form.split(f"%.{digits}f")
+            parts.append(f"SELECT subject, '{rule}' AS rule, '{priority}' AS priority, {ad.PRIORITIES[priority]} AS o, '{category}' AS category, '{impact}' AS estimated_impact, '{title}' AS title, '{before}' || printf('%.{digits}f', round({told}, {digits})) || '{after}' AS description FROM f WHERE {holds}")
+    return f"WITH f AS ({source}), r AS ({' UNION ALL '.join(parts)}) SELECT subject, row_number() OVER (PARTITION BY subject ORDER BY o DESC, rule) AS place, rule, priority, category, estimated_impact, title, description FROM r"
+
+
+_SPENT = """SELECT 'u' || (user_id % 60) AS subject, round(sum(value) FILTER (event_type = 'purchase') / sum(value) FILTER (event_type = 'error'), 6) AS roi, round(20 * sum(value) FILTER (event_type = 'error') / count(*) FILTER (event_type = 'purchase'), 6) AS cac,
+  round((sum(value) FILTER (event_type = 'purchase' AND hour(ts) >= 12) / sum(value) FILTER (event_type = 'purchase' AND hour(ts) < 12) - 1) * 100, 6) AS yoy_change FROM events GROUP BY 1"""
+
+
+@query("campaign_advice", _advice_sql(_SPENT, "campaign"))
+def _(s, d):
+    """Groups of users as campaigns; afternoons against mornings stand for the years."""
+    e, v = table(s, d, "events"), F.col("value")
+    bought, late = F.col("event_type") == "purchase", F.hour("ts") >= 12
+    cost, pick = F.sum(F.when(F.col("event_type") == "error", v)), lambda c: F.sum(F.when(c, v))
+    f = e.groupBy(F.concat(F.lit("u"), (F.col("user_id") % 60).cast("string")).alias("g")).agg(
+        F.round(pick(bought) / cost, 6).alias("roi"), F.round(20 * cost / F.nullif(F.count_if(bought), F.lit(0)), 6).alias("cac"), F.round((pick(bought & late) / pick(bought & ~late) - 1) * 100, 6).alias("yoy_change"))
+    return ad.recommend(ad.figures_of(f, "g", {c: c for c in ("roi", "cac", "yoy_change")}), "campaign").drop("action_items")
+
+
+@query("cohort_advice", _advice_sql(_retention() + """SELECT CAST(cohort AS VARCHAR) AS subject, max(retention_pct) FILTER (period_index = 1) AS retention_1, max(retention_pct) FILTER (period_index = 6) AS retention_6,
+  100 - max(retention_pct) FILTER (period_index = 1) AS churn_rate FROM m GROUP BY 1""", "cohort"))
+def _(s, d):
+    at_index = lambda i: F.max(F.when(F.col("period_index") == i, F.col("retention_pct")))
+    f = _matrix(s, d).groupBy(F.col("cohort").cast("string").alias("c")).agg(at_index(1).alias("retention_1"), at_index(6).alias("retention_6"), (100 - at_index(1)).alias("churn_rate"))
+    return ad.recommend(ad.figures_of(f, "c", {c: c for c in ("retention_1", "retention_6", "churn_rate")}), "cohort").drop("action_items")
