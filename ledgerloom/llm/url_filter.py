@@ -19,6 +19,8 @@ TERMS = (
     *((t, "soft", 0.5) for t in ("free", "click", "download", "deal", "best", "online", "offer")),
 )
 SOFT_LIMIT = 2.0
+#: Different soft terms that it takes at least.
+SEVERAL = 2
 #: Rules of the query: host and path in one string, verdict.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 
@@ -79,8 +81,8 @@ def judge_urls(pages: DataFrame, rules: tuple = RULES, terms: tuple | DataFrame
     """page_id, host, path, rule, verdict, n_strict, n_soft, soft_weight for each row of ``pages`` (page_id, url).
 
     ``terms`` (term, kind, weight): the vocabulary, as rows or as a table, which is collected: it has to fit in a task's
-    memory as the automaton does. Without a fitting rule a strict term blocks, and so do different soft terms whose weights
-    make up ``soft_limit``. Null or empty url: host and path empty, allowed. Repeated rows are kept, null ids stay null,
+    memory as the automaton does. Without a fitting rule a strict term blocks, and so do SEVERAL different soft terms, or more, whose
+    weights make up ``soft_limit``; a single soft term never does, whatever its weight. Null or empty url: host and path empty, allowed. Repeated rows are kept, null ids stay null,
     other columns are ignored, no rows give none. A URL is judged alone, so there is no shuffle."""
     by_host: dict[str, dict[str, str]] = {}
     for rule, verdict in rules:
@@ -98,7 +100,7 @@ def judge_urls(pages: DataFrame, rules: tuple = RULES, terms: tuple | DataFrame
                 host, path = split_url(url)
                 rule, verdict = longest_rule(host, path, by_host)
                 n_strict, n_soft, weight = term_hits(url or "", words) if listed else (0, 0, 0.0)
-                out.append((host, path, rule, verdict or ("block" if n_strict or weight >= soft_limit else "allow"), n_strict, n_soft, weight))
+                out.append((host, path, rule, verdict or ("block" if n_strict or n_soft >= SEVERAL and weight >= soft_limit else "allow"), n_strict, n_soft, weight))
             made = pd.DataFrame(out, columns=["host", "path", "rule", "verdict", "n_strict", "n_soft", "soft_weight"])
             made.insert(0, "page_id", batch["page_id"].to_numpy())
             yield made
@@ -126,7 +128,7 @@ terms(t, kind, w) AS (VALUES {", ".join(f"('{t}', '{k}', {w}::DOUBLE)" for t, k,
 hits AS (
   SELECT p.page_id, count(*) FILTER (kind = 'strict') AS n_strict, count(*) FILTER (kind = 'soft') AS n_soft, coalesce(sum(w) FILTER (kind = 'soft'), 0) AS weight
   FROM parts p LEFT JOIN terms ON regexp_matches(lower(coalesce(url, '')), '(^|[^a-z0-9])' || t || '($|[^a-z0-9])') GROUP BY p.page_id)
-SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.v, CASE WHEN n_strict > 0 OR weight >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.v, CASE WHEN n_strict > 0 OR n_soft >= {SEVERAL} AND weight >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
   CAST(n_strict AS BIGINT) AS n_strict, CAST(n_soft AS BIGINT) AS n_soft, CAST(weight AS DOUBLE) AS soft_weight
 FROM parts p LEFT JOIN fit f USING (page_id) JOIN hits h USING (page_id)
 """

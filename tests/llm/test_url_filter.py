@@ -31,3 +31,9 @@ def test_vocabulary_from_a_table_long_urls_and_repeated_rows(spark):
     # "b" stands in "a-b" too, between boundaries
     assert sorted(got) == sorted([("block", 0, 2, 1.25)] * 3 + [("block", 1, 0, 0.0)] * 2 + [("allow", 0, 0, 0.0)])
     assert {r.verdict for r in uf.judge_urls(rows, (), ()).collect()} == {"allow"}
+
+
+def test_one_soft_term_rejects_nothing_alone(spark):
+    terms = (("loan", "soft", 5.0), ("win", "soft", 0.1))
+    rows = spark.createDataFrame([(1, "http://loan.x/loan"), (2, "http://loan.x/win")], "page_id long, url string")
+    assert {r.page_id: (r.verdict, r.n_soft) for r in uf.judge_urls(rows, (), terms, 2.0).collect()} == {1: ("allow", 1), 2: ("block", 2)}
