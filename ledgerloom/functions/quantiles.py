@@ -45,7 +45,7 @@ def exact_quantiles(rows: DataFrame, by: list[str], value: str, probs: tuple[flo
             bins = bins.join(rest, [*by, "in__"])
         start = F.col("to__") - F.col("k__")
         hits = bins.select(*by, "bin__", "lo__", "hi__", start.alias("start__"), F.explode(F.filter("want__", lambda w: (w.at >= start) & (w.at < F.col("to__")))).alias("w"))
-        hits = stored(hits)
+        hits = stored(hits, little=True)
         found.append(hits.where("lo__ = hi__").select(*by, F.col("w.place").alias("place__"), F.col("lo__").alias("v__"), F.col("w.n").alias("n__")))
         left = hits.where("lo__ < hi__")
         if left.isEmpty():

@@ -36,14 +36,16 @@ def _remove(spark: SparkSession, path: str) -> None:
 _OPEN: list[list[str]] = []
 
 
-def stored(df: DataFrame, outlives: bool = False) -> DataFrame:
+def stored(df: DataFrame, outlives: bool = False, little: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: lineage ends there and lost executors
-    cost nothing that was written. The files go at the end of the ``passing`` block around the call (``outlives``: of the
-    block around that one), or else when the application ends."""
+    cost nothing that was written. Then the driver's garbage is collected, unless the table and what is behind it are
+    ``little``. The files go at the end of the ``passing`` block around the call (``outlives``: of the block around that one),
+    or else when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()  # so that Spark's cleaner drops the shuffle files of what is written now
+    if not little:
+        spark.sparkContext._jvm.System.gc()  # so that Spark's cleaner drops the shuffle files of what is written now
     atexit.register(_remove, spark, path)
     around = _OPEN[: len(_OPEN) - outlives]
     if around:

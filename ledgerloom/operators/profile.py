@@ -33,7 +33,7 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None, digits: int
         F.count(v).alias("count"), F.count_if(v.isNull()).alias("missing"), F.avg(v).alias("mean"),
         F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), sample_skewness(v).alias("skewness"), total("v").alias("sum"),
     )
-    s = stored(s.join(exact_quantiles(long, ["column"], "v", QUARTILES), "column", "left"))
+    s = stored(s.join(exact_quantiles(long, ["column"], "v", QUARTILES), "column", "left"), little=True)
     low, high = F.col("q")[0], F.col("q")[2]
     s = s.withColumns({"lo": low - (high - low) * outliers_beyond, "hi": high + (high - low) * outliers_beyond})
     out = long.join(F.broadcast(s.select("column", "lo", "hi")), "column").groupBy("column").agg(F.count_if((v < F.col("lo")) | (v > F.col("hi"))).alias("outlier_count"))
