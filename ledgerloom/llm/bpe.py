@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: Columns of the results.
+MADE = ("doc_id", "text", "ids", "n_tokens", "decoded", "ids_sha256", "decoded_sha256")
 #: Pieces and token pairs remembered by a Python worker; beyond it the memory starts afresh.
 REMEMBERED = 300_000
 
@@ -116,17 +118,19 @@ class BytePairCodec:
 
 
 def encode_documents(docs: DataFrame, vocabulary: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns named in ``keep``, ids (array), n_tokens, decoded (binary) for each row of ``docs``.
+    """doc_id, the columns named in ``keep``, ids (array), n_tokens, decoded (binary) for each row of ``docs``. A column of ``keep``
+    named like one of these, in any case, gives way to it.
 
     ``vocabulary``: path of a rank file that every executor can open; the public package's by default. Null or empty
-    text: no ids, no bytes. Rows are independent: repeated rows, null ids and other columns pass as they are, an empty
-    table gives none, and a very long piece takes time in proportion to its length."""
+    text: no ids, no bytes. Rows are independent: repeated rows and null ids pass as they are, other columns are left out, an
+    empty table gives none, and a very long piece takes time in proportion to its length."""
     made = _encoded(docs, vocabulary, keep, texts=True)
     return made.withColumn("ids", F.when(F.col("ids") == "", F.array().cast("array<int>")).otherwise(F.split("ids", " ").cast("array<int>")))
 
 
 def _encoded(docs: DataFrame, vocabulary: str | None, keep: tuple[str, ...], texts: bool) -> DataFrame:
     path = vocabulary or public_tokenizers.path(VOCABULARY)
+    keep = tuple(c for c in keep if c.lower() not in MADE)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = codec_of(path)

@@ -48,3 +48,9 @@ def test_query(spark, reference, tmp_path):
     assert got[7].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
     assert got[7].decoded_sha256 == hashlib.sha256(b"Some text, twice: some text").hexdigest()
     assert got[8].ids_sha256 == hashlib.sha256(b"").hexdigest() and got[8].n_tokens == 0
+
+
+def test_kept_columns_give_way_to_made_ones(spark, reference):
+    df = spark.createDataFrame([(1, "ab", "x", 2, "y", "z")], "doc_id long, text string, ids string, N_Tokens int, decoded string, lang string")
+    got = bpe.encode_documents(df, keep=("ids", "N_Tokens", "decoded", "text", "doc_id", "lang")).collect()
+    assert [(r.doc_id, r.lang, r.ids, r.n_tokens, bytes(r.decoded)) for r in got] == [(1, "z", reference.encode_ordinary("ab"), len(reference.encode_ordinary("ab")), b"ab")]
