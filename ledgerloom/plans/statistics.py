@@ -17,9 +17,6 @@ def _ab(s, d, k=2):
     return e.select(F.concat(F.lit("v"), (F.col("user_id") % k).cast("string")).alias("variant"), "value", (F.col("event_type") == "purchase").cast("int").alias("bought"))
 
 
-_P = ["p_value", "variant_a_ci_low", "variant_a_ci_high", "variant_b_ci_low", "variant_b_ci_high", "is_significant", "recommendation"]
-
-
 def _welch(k: int) -> str:
     return f"""WITH g AS (SELECT 'v' || (user_id % {k}) AS variant, count(*) AS n, avg(value) AS m, var_samp(value) AS s2 FROM events WHERE value IS NOT NULL GROUP BY 1),
 w AS (SELECT b.variant, b.n, b.m, a.n AS na, a.m AS ma, a.s2 AS sa, b.s2 AS sb, (b.m - a.m) / a.m * 100 AS lift, (b.m - a.m) / sqrt(a.s2 / a.n + b.s2 / b.n) AS t,
@@ -27,12 +24,21 @@ w AS (SELECT b.variant, b.n, b.m, a.n AS na, a.m AS ma, a.s2 AS sa, b.s2 AS sb,
   (b.m - a.m) / sqrt(((a.n - 1) * a.s2 + (b.n - 1) * b.s2) / (a.n + b.n - 2)) AS dd FROM g b JOIN g a ON a.variant = 'v0' AND b.variant <> 'v0')"""
 
 
-@query("ab_test", _welch(2) + """
+def _tested(k: int) -> str:
+    """The variants with Welch's two-sided p value: I_x(dof / 2, 1 / 2) at x = dof / (dof + t^2)."""
+    rows = beta_sql("(SELECT *, dof / 2 AS a, 0.5 AS b, dof / (dof + t * t) AS x FROM w)", "variant, n, m, na, ma, sa, sb, lift, t, dof, dd")
+    return _welch(k) + f", pv AS ({rows}), told AS (SELECT *, p < 0.05 AS won, CASE WHEN p < 0.05 AND lift > 0 THEN 'Implement ' || variant WHEN p < 0.05 THEN 'Keep v0' ELSE 'No significant difference; collect more data' END AS advice FROM pv)"
+
+
+_CI = ["variant_a_ci_low", "variant_a_ci_high", "variant_b_ci_low", "variant_b_ci_high"]
+
+
+@query("ab_test", _tested(2) + """
 SELECT 'v0' AS variant_a_name, variant AS variant_b_name, na AS variant_a_count, n AS variant_b_count, round(ma, 5) AS variant_a_mean, round(m, 5) AS variant_b_mean,
-  round(sqrt(sa), 5) AS variant_a_std, round(sqrt(sb), 5) AS variant_b_std, round(lift, 5) AS lift_percentage, round(t, 5) AS t_statistic, 0.95::DOUBLE AS confidence_level, round(dd, 5) AS cohens_d,
-  CASE WHEN abs(dd) < 0.2 THEN 'negligible' WHEN abs(dd) < 0.5 THEN 'small' WHEN abs(dd) < 0.8 THEN 'medium' ELSE 'large' END AS effect_size FROM w""")
+  round(sqrt(sa), 5) AS variant_a_std, round(sqrt(sb), 5) AS variant_b_std, round(lift, 5) AS lift_percentage, round(t, 5) AS t_statistic, round(p, 5) AS p_value, 0.95::DOUBLE AS confidence_level, won AS is_significant, round(dd, 5) AS cohens_d,
+  CASE WHEN abs(dd) < 0.2 THEN 'negligible' WHEN abs(dd) < 0.5 THEN 'small' WHEN abs(dd) < 0.8 THEN 'medium' ELSE 'large' END AS effect_size, advice AS recommendation FROM told""")
 def _(s, d):
-    return rounded(ex.ab_test(_ab(s, d), "variant", "value", "v0", "v1").drop(*_P), 5)
+    return rounded(ex.ab_test(_ab(s, d), "variant", "value", "v0", "v1").drop(*_CI), 5)
 
 
 @query("ab_test_full")
@@ -40,10 +46,10 @@ def _(s, d):
     return ex.ab_test(_ab(s, d), "variant", "value", "v0", "v1")
 
 
-@query("multi_variant", _welch(4) + " SELECT variant, n AS sample_size, round(m, 5) AS mean, round(lift, 5) AS lift_pct, round(dd, 5) AS effect_size, round(t, 5) AS t_statistic, round(dof, 3) AS dof FROM w")
+@query("multi_variant", _tested(4) + " SELECT variant, n AS sample_size, round(m, 5) AS mean, round(lift, 5) AS lift_pct, round(p, 5) AS p_value, won AS is_significant, advice AS recommendation, round(dd, 5) AS effect_size, round(t, 5) AS t_statistic, round(dof, 3) AS dof FROM told")
 def _(s, d):
     r = ex.multi_variant_test(_ab(s, d, 4), "variant", "value", "v0")
-    return rounded(r.drop("p_value", "is_significant", "recommendation").withColumn("dof", F.round("dof", 3)), 5)
+    return rounded(r.withColumn("dof", F.round("dof", 3)), 5)
 
 
 @query("sequential_test")
@@ -192,10 +198,11 @@ def _(s, d):
 @query("eta_squared", """
 WITH g AS (SELECT event_type, CAST(count(*) AS DOUBLE) AS n, avg(value) AS m, var_pop(value) AS v FROM events WHERE value IS NOT NULL GROUP BY 1),
 t AS (SELECT *, sum(n) OVER () AS na, sum(n * m) OVER () / sum(n) OVER () AS mm FROM g), s AS (SELECT count(*) AS k, any_value(na) AS n, sum(n * power(m - mm, 2)) AS b, sum(n * v) AS w FROM t)
-SELECT k AS groups, CAST(n AS BIGINT) AS n, round((b / (k - 1)) / (w / (n - k)), 5) AS f_statistic, round(b / (b + w), 6) AS eta_squared FROM s""")
+{eta}""".format(eta="SELECT groups, CAST(n AS BIGINT) AS n, round(f, 5) AS f_statistic, round(p, 8) AS p_value, round(eta, 6) AS eta_squared FROM (" + beta_sql(
+    "(SELECT *, (n - groups) / 2 AS a, (groups - 1) / 2 AS b, (n - groups) / (n - groups + (groups - 1) * f) AS x FROM (SELECT k AS groups, n, (b / (k - 1)) / (w / (n - k)) AS f, b / (b + w) AS eta FROM s))", "groups, n, f, eta") + ")"))
 def _(s, d):
     r = ass.eta_squared(table(s, d, "events"), "event_type", "value")
-    return r.select("groups", "n", F.round("f_statistic", 5).alias("f_statistic"), F.round("eta_squared", 6).alias("eta_squared"))
+    return r.select("groups", "n", F.round("f_statistic", 5).alias("f_statistic"), F.round("p_value", 8).alias("p_value"), F.round("eta_squared", 6).alias("eta_squared"))
 
 
 def _eta(c: str) -> str:
