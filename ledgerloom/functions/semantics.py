@@ -39,6 +39,11 @@ def total(c: str | Column) -> Column:
     return F.coalesce(F.sum(num(c)), F.lit(0.0))
 
 
+def settled(x: Column) -> Column:
+    """A sum of doubles to twelve significant digits: those behind depend on the order of addition, and would tip what is halfway when it is rounded."""
+    return F.when(x.isNotNull(), F.format_string("%.11e", x).cast("double"))
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, null where b is 0."""
     return F.try_divide(a.cast("double"), b.cast("double"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.order import trailing
 from ledgerloom.functions.quantiles import exact_quantiles
-from ledgerloom.functions.semantics import need, num, numbered, pct, period_start, ratio, total, with_total
+from ledgerloom.functions.semantics import need, num, numbered, pct, period_start, ratio, settled, total, with_total
 
 
 def campaign_summary(df: DataFrame, metrics: list[str], by: list[str] | None = None) -> DataFrame:
@@ -39,7 +39,7 @@ def year_over_year(df: DataFrame, date: str, metrics: list[str], current_year: i
 
 def wave_comparison(df: DataFrame, date: str, metrics: list[str], wave_1: tuple[str, str], wave_2: tuple[str, str]) -> DataFrame:
     """Per metric: totals and daily averages of two date ranges, absolute and per cent change from the second to the
-    first. Both ends count; an end means its midnight. Days are calendar days."""
+    first. Both ends count; an end means its midnight. Days are calendar days. Totals are ``settled``, whatever order they are added in."""
     need(df, date, *metrics)
     t = F.col(date).cast("timestamp")
 
@@ -50,7 +50,7 @@ def wave_comparison(df: DataFrame, date: str, metrics: list[str], wave_1: tuple[
         return F.datediff(F.to_date(F.lit(w[1])), F.to_date(F.lit(w[0]))) + 1
 
     long = df.where(inside(wave_1) | inside(wave_2)).select(inside(wave_1).alias("a"), inside(wave_2).alias("b"), *[num(m).alias(m) for m in metrics]).unpivot(["a", "b"], metrics, "metric", "v")
-    got = long.groupBy("metric").agg(total(F.when(F.col("a"), F.col("v"))).alias("wave_1_total"), total(F.when(F.col("b"), F.col("v"))).alias("wave_2_total"))
+    got = long.groupBy("metric").agg(settled(total(F.when(F.col("a"), F.col("v")))).alias("wave_1_total"), settled(total(F.when(F.col("b"), F.col("v")))).alias("wave_2_total"))
     return got.withColumns({
         "wave_1_daily_avg": F.col("wave_1_total") / days(wave_1), "wave_2_daily_avg": F.col("wave_2_total") / days(wave_2),
         "absolute_change": F.col("wave_1_total") - F.col("wave_2_total"), "percent_change": _change_pct(F.col("wave_1_total"), F.col("wave_2_total")),

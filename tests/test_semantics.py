@@ -172,3 +172,22 @@ def test_rare_combinations_hold_no_sets(spark):
     got = anomaly.rare_combinations(spark.createDataFrame(rows, "p string, q string, r string"), ["p", "q", "r"])
     assert "collect_set" not in plan_of(got)
     assert sorted((r.col1, r.col2, r.value1, r.value2, r["count"], r.frequency) for r in got.collect()) == [("p", "q", "b", "x", 3, 0.003), ("p", "q", "b", "y", 2, 0.002)]
+
+
+def test_wave_averages_do_not_hang_on_the_order_of_addition(spark):
+    """31132.85 over ten days is halfway between two cents; at sf0.01 some orders of addition stay below the sum."""
+    from ledgerloom.plans import registry
+
+    got = set()
+    for partitions in (1, 2, 4, 7, 16):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            got |= {r.wave_1_daily_avg for r in registry.queries()["campaign_waves"](spark, "/root/testdata/sf0.01").where("metric = 'revenue'").collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == {3113.29}
+
+
+def test_settled_sums(spark):
+    rows = spark.createDataFrame([(31132.849999999995,), (-0.1 - 0.2,), (0.0,), (1e300,), (float("inf"),), (None,)], "x double")
+    assert [r[0] for r in rows.select(se.settled(F.col("x"))).collect()] == [31132.85, -0.3, 0.0, 1e300, float("inf"), None]
