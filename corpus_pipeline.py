@@ -49,7 +49,7 @@ def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item; texts are told apart by a hash, so doc_ids may be null or repeated."""
     key = F.xxhash64(F.col("text").cast("string"))
-    leaks = find_leaks(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("th")).distinct()
+    leaks = find_leaks(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"), whole=True).select(F.col("doc_id").alias("th")).distinct()
     return docs.select(*COLUMNS, key.alias("th")).join(leaks, "th", "left_anti").select(*COLUMNS)
 
 

@@ -20,7 +20,7 @@ WINDOW, TEMPLATE = 6, 4
 RUN_TOKENS, SHARE = 13, 0.5
 #: Found windows that start at most so many tokens apart are in a row.
 STEP = 3
-#: A window that more items share is boilerplate: it counts beside others, but alone it proves nothing of items that have others.
+#: A window that more items share is looked up beside others of its item only, but for items that such windows alone can tell.
 OWN_ITEMS = 100
 #: Bits of the filter that tells which windows are worth a row; 2 MB whatever the benchmark's size.
 FILTER_BITS = 1 << 24
@@ -167,6 +167,22 @@ def document_windows(rows: pd.DataFrame, reader: Reader, lengths: list[int], pas
     return pd.DataFrame(out, columns=["doc_id", "pos", "n", "h", "kind", "vals"]).astype({"vals": object})
 
 
+def longest_run(places: list[int], n: int) -> int:
+    """Tokens of the longest row of windows of ``n`` tokens at ascending ``places``."""
+    run = longest = n
+    for p, q in zip(places, places[1:], strict=False):
+        run = run + q - p if q - p <= STEP else n
+        longest = max(longest, run)
+    return longest
+
+
+def told_by(windows: pd.DataFrame) -> bool:
+    """Whether these windows of an item are enough to find it, if a document has them all."""
+    first, plain = windows.iloc[0], windows["kind"] == 0
+    share = max(windows.loc[plain, "pos"].nunique() / first["n_plain"], windows.loc[~plain, "pos"].nunique() / first["n_made"] if first["n_made"] else 0.0)
+    return share >= SHARE or longest_run(sorted(set(windows["pos"])), int(first["n"])) >= RUN_TOKENS
+
+
 def judged(windows: list[tuple[int, int, int, tuple, tuple]], n: int, n_plain: int, n_made: int, n_tokens: int) -> tuple[int, float, int, bool] | None:
     """(n_windows, share, run_tokens, exact) of the passage that holds most of an item, or None if none holds enough.
 
@@ -197,17 +213,14 @@ def judged(windows: list[tuple[int, int, int, tuple, tuple]], n: int, n_plain: i
         places = sorted({w[0] for w in good})
         plain, made = len({w[0] for w in good if w[2] == 0}), len({w[0] for w in good if w[2]})
         share = max(plain / n_plain, made / n_made if n_made else 0.0)
-        run = longest = n
-        for p, q in zip(places, places[1:], strict=False):
-            run = run + q - p if q - p <= STEP else n
-            longest = max(longest, run)
+        longest = longest_run(places, n)
         if share >= SHARE or longest >= RUN_TOKENS:
             exact = plain == n_plain or all(w[3] == w[4] for w in good)
             best = max(best or (), (len(places), round(share, 6), longest, exact))
     return best
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, whole: bool = False) -> DataFrame:
     """doc_id, item_id, n_windows, share, run_tokens, exact for each document and benchmark item it holds.
 
     ``exact``: all of it as it is, or all slots hold the item's own values; otherwise it is the item with other numbers, names or units, filled
@@ -215,10 +228,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     any place, also of items of a single word; those of TEMPLATE tokens and more of which half or more are words meet as
     templates too. ``share`` is the larger of that of all windows as they are and that of all places of templates.
     Windows meet in a hash join on the whole benchmark, whatever its size; before it a fixed-size filter drops windows that no
-    item has. Windows that over OWN_ITEMS items share meet only where another window of the item has met, so boilerplate
-    costs no product of items and documents; an item that has no other windows is judged by them. Null and
-    empty texts hold nothing; null ids are left out; the rows of a doc_id count as one document; other columns
-    are ignored."""
+    item has. Windows that over OWN_ITEMS items share are looked up only where another window of the item has met. With
+    ``whole`` nothing is lost by that: of items that such windows can tell without others (``told_by``) all windows meet at
+    once, so every item that ``judged`` finds is found. Without it they are boilerplate, which proves nothing alone of items
+    that have other windows. Null and empty texts hold nothing; null ids are left out; the rows of a doc_id count as one
+    document; other columns are ignored."""
 
     def of_items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader()
@@ -247,8 +261,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     seen = stored(texts.mapInPandas(of_docs, f"doc_id long, {_FIELDS}").select("doc_id", "h", "n", F.col("pos").alias("dp"), F.col("vals").alias("dv")))
     times = wanted.select("item_id", "h", "n").distinct().groupBy("h", "n").agg(F.count("*").alias("n_items"))
     wanted = wanted.join(times, ["h", "n"]).withColumn("own", F.col("n_items") <= OWN_ITEMS)
-    alone = wanted.groupBy("item_id").agg(F.max("own").alias("has_own"))
-    wanted = stored(wanted.join(alone, "item_id").withColumn("own", F.col("own") | ~F.col("has_own")).withColumnsRenamed({"pos": "ip", "vals": "iv"}).drop("n_items", "has_own"))
+
+    def alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in whole_groups(batches, ["item_id"]):
+            yield pd.DataFrame({"item_id": [item for item, rows in frame.groupby("item_id", sort=False) if told_by(rows)]}, dtype="int64")
+
+    if whole:
+        common = wanted.where("not own").select("item_id", "pos", "n", "kind", "n_plain", "n_made").repartition("item_id").sortWithinPartitions("item_id")
+        told = common.mapInPandas(alone, "item_id long")
+    else:
+        told = wanted.groupBy("item_id").agg(F.max("own").alias("own")).where("not own").select("item_id")
+    told = told.withColumn("told", F.lit(True))
+    wanted = stored(wanted.join(told, "item_id", "left").withColumn("own", F.col("own") | F.col("told").isNotNull()).withColumnsRenamed({"pos": "ip", "vals": "iv"}).drop("n_items", "told"))
     met = stored(seen.join(wanted.where("own"), ["h", "n"]))
     common = wanted.where("not own")
     if not common.isEmpty():
@@ -273,7 +297,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, contaminated, n_items, items (ids, ascending) and exact for every document."""
     docs = table(spark, sf_dir, "documents")
-    leaks = find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    leaks = find_leaks(docs, table(spark, sf_dir, "benchmark"), whole=True)
     by_doc = leaks.groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("exact").alias("exact"))
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(by_doc, "doc_id", "left")
     return out.select(

@@ -162,3 +162,18 @@ def test_items_full_of_slots(spark):
     assert got[1, 1].exact and got[1, 1].share == 1
     assert got[2, 2].exact and got[2, 2].n_windows == 8 and got[2, 2].share == 1
     assert (3, 1) not in got and not got[4, 2].exact
+
+
+def test_windows_of_many_items_find_them_alone(spark, monkeypatch, tmp_path):
+    """Items of one template, and items that begin alike: documents with only what over OWN_ITEMS of them share are found by all rows of the query."""
+    monkeypatch.setattr(dc, "OWN_ITEMS", 3)
+    common = "choose the right answer among these four and explain it in one short sentence of yours"
+    tail = "kappa lambda sigma omega theta gamma delta epsilon zeta iota".split()
+    items = [(i, ITEM.replace("3", str(i + 10)).replace("5", str(i + 30))) for i in range(6)]
+    items += [(i + 10, f"{common} {' '.join(t + 'abcdef'[i] for t in tail)}") for i in range(6)]
+    docs = [(1, ITEM.replace("Alice", "Carol").replace("3", "7").replace("5", "9")), (2, f"please {common}"), (3, common[:40]), (4, items[7][1]), (5, "nothing of it")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: r.items for r in dc.op4_decontaminate(spark, str(tmp_path)).collect()}
+    assert got == {i: sorted(x) for i, x in brute(docs, items).items()}
+    assert got[1] == list(range(6)) and got[2] == list(range(10, 16)) and not got[3] and not got[5]
