@@ -56,6 +56,25 @@ def column_state(df: DataFrame) -> DataFrame:
     )
 
 
+def state_of_kinds(df: DataFrame, kinds: DataFrame) -> DataFrame:
+    """What the rules need of ``column_state``, with exact ``unique_count``, from the different values of ``df``'s columns as text and their
+    numbers of rows (column, value, k): a value is looked at once, however many rows have it. Mean and deviation are left null.
+    Columns of an empty table have states without values."""
+    shape = [(f.name, _kind(f.dataType), isinstance(f.dataType, (T.FloatType, T.DoubleType)), isinstance(f.dataType, T.FloatType)) for f in df.schema.fields]
+    every = df.sparkSession.createDataFrame(shape, "column string, kind string, nan boolean, narrow boolean")
+    rows = kinds.join(F.broadcast(every), "column")
+    value, k = F.when(~(F.col("nan") & (F.col("value") == "NaN")), F.col("value")), F.col("k")
+    number = F.when(F.col("kind") == "number", F.when(F.col("narrow"), value.try_cast("float").cast("double")).otherwise(value.try_cast("double")))
+    dated = F.when(F.col("kind") == "text", F.try_to_timestamp(value)).isNotNull()
+    got = rows.groupBy("column").agg(
+        F.sum(k).alias("rows"), F.sum(F.when(value.isNotNull(), k)).alias("n"), F.count("value").alias("unique_count"), F.min(value).alias("lo_text"), F.max(value).alias("hi_text"),
+        F.sum(F.when(dated, k)).alias("dates"), F.sum(F.length(value) * k).alias("chars"), F.min(number).alias("lo"), F.max(number).alias("hi"),
+    )
+    empty = F.lit(None).cast("double")
+    got = F.broadcast(every.select("column", "kind")).join(got, "column", "left").fillna(0, ["rows", "n", "unique_count", "dates", "chars"])
+    return got.withColumns({"mean": empty, "m2": empty})
+
+
 def merge_states(states: DataFrame) -> DataFrame:
     """The states of a whole from those of its parts."""
     n, mean = F.col("n").cast("double"), F.col("mean")

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ledgerloom.functions.quantiles import exact_quantiles, quantiles_of
 from ledgerloom.functions.semantics import categorical_columns, need, num, numbered, numeric_columns, pct, period_start, ratio, sample_kurtosis, sample_skewness, total, whole_days, with_total
 from ledgerloom.functions.store import stored
-from ledgerloom.operators.column_state import column_state, profile_types, text_of, typed_states
+from ledgerloom.operators.column_state import profile_types, state_of_kinds, text_of, typed_states
 
 PERCENTILES = (5, 10, 25, 50, 75, 90, 95)
 QUARTILES = (0.25, 0.5, 0.75)
@@ -126,10 +126,15 @@ def top_performers(df: DataFrame, group: str, value: str, n: int = 10, ascending
     return numbered(got, "total", [group], ascending=ascending).where(F.col("rank") <= n)
 
 
+def _kinds(df: DataFrame) -> DataFrame:
+    """column, value (as text), k: the different values of all columns, null with them, and their rows."""
+    texts = df.select(*[F.when(F.col(f"`{c}`").isNotNull(), text_of(df, c)).alias(c) for c in df.columns])
+    return texts.unpivot([], [F.col(f"`{c}`") for c in df.columns], "column", "value").groupBy("column", "value").agg(F.count("*").alias("k"))
+
+
 def missing_values(df: DataFrame) -> DataFrame:
     """column, non_null, missing, missing_pct, unique_count. Columns become (column, value) rows, which one aggregation counts."""
-    texts = df.select(*[F.when(F.col(f"`{c}`").isNotNull(), text_of(df, c)).alias(c) for c in df.columns])
-    kinds = texts.unpivot([], [F.col(f"`{c}`") for c in df.columns], "column", "value").groupBy("column", "value").agg(F.count("*").alias("k"))
+    kinds = _kinds(df)
     there = F.col("value").isNotNull()
     got = kinds.groupBy("column").agg(F.coalesce(F.sum(F.when(there, F.col("k"))), F.lit(0)).alias("non_null"), F.coalesce(F.sum(F.when(~there, F.col("k"))), F.lit(0)).alias("missing"), F.count("value").alias("unique_count"))
     every = df.sparkSession.createDataFrame([(c,) for c in df.columns], "column string")  # also those of an empty table
@@ -236,11 +241,9 @@ def data_quality(df: DataFrame) -> DataFrame:
 
 def semantic_types(df: DataFrame) -> DataFrame:
     """column, semantic_type, null_pct, unique_pct (of values), avg_length, by the rules of ``column_state.typed_states`` with exact counts
-    of different values: one pass for the states, one aggregation of (column, value) rows. ``column_state.profile_types`` takes
-    sketches instead."""
-    counts = missing_values(df).select("column", "unique_count", F.col("missing").alias("gaps"))
-    states = counts.join(column_state(df), "column", "left").fillna(0, ["rows", "n", "chars", "dates"]).fillna("other", ["kind"])
-    return typed_states(states).select("column", "semantic_type", "null_pct", "unique_pct", "avg_length")
+    of different values: one aggregation of (column, value) rows, and the states from the different values with their numbers of
+    rows. ``column_state.profile_types`` takes sketches instead."""
+    return typed_states(state_of_kinds(df, _kinds(df))).select("column", "semantic_type", "null_pct", "unique_pct", "avg_length")
 
 
 @dataclass(frozen=True)

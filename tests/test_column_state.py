@@ -92,3 +92,26 @@ def test_a_loaded_file_is_mapped_when_asked(spark, tmp_path):
     r = loader.load_file(spark, str(tmp_path / "a.csv"))
     assert (r.mapping.date, r.mapping.customer, r.mapping.revenue) == ("order_date", "kunde_nummer", "umsatz")
     assert loader.load_file(spark, str(tmp_path / "absent.csv")).mapping is None
+
+
+def test_semantic_types_look_at_each_value_once(spark, monkeypatch):
+    """The states come from the different values, and are those of the rows: NaN, floats, negative zero, dates as text, gaps."""
+    from pyspark.sql import functions as F
+
+    from ledgerloom.operators import column_state as cs
+    from ledgerloom.operators import profile as pf
+
+    d = spark.range(300).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN double('NaN') ELSE id % 7 END AS d", "float(id % 5) / 10 AS f", "CAST(id % 2 AS INT) AS b", "IF(id % 4 = 0, 'no', '2024-01-0' || (id % 7 + 1)) AS day",
+        "id % 9 = 1 AS flag", "CAST(NULL AS STRING) AS nothing", "array(id % 3) AS xs", "CAST(id % 11 AS DECIMAL(9, 2)) / 3 AS share", "IF(id % 2 = 0, -0.0D, 0.0D) AS zero", "timestamp_seconds(id % 20) AS t",
+    )
+    rows = {r.column: r for r in cs.column_state(d).drop("sketch").collect()}
+    kinds = {r.column: r for r in cs.state_of_kinds(d, pf._kinds(d)).collect()}
+    assert set(rows) == set(kinds)
+    for c, r in rows.items():
+        for k in ("kind", "rows", "n", "lo_text", "hi_text", "dates", "chars", "lo", "hi"):
+            assert r[k] == kinds[c][k], (c, k)
+    monkeypatch.setattr(cs, "column_state", None)  # no pass over the cells beside
+    monkeypatch.setattr(pf, "column_state", None, raising=False)
+    assert {r.column: r.semantic_type for r in pf.semantic_types(d).collect()} == {r.column: r.semantic_type for r in cs.typed_states(cs.state_of_kinds(d, pf._kinds(d))).collect()}
+    assert pf.semantic_types(d.where(F.lit(False))).where("semantic_type = 'unknown'").count() == 10
