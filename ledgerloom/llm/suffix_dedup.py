@@ -32,6 +32,8 @@ _MULT = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULT, -1, 1 << 64)
 #: Places are numbered within chunks of so many windows, so a text may have any length.
 _CHUNK, _PLACE_BITS = 1 << 22, 24
+#: Bits of a distance within a window; the place of an anchor has 31 bits, as texts have.
+_NEAR_BITS = 16
 _BYTES = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 _POWERS: dict[int, np.ndarray] = {}
@@ -98,6 +100,8 @@ def anchors(x: np.ndarray, threshold: int, gram: int) -> tuple[np.ndarray, ...]:
 
 
 def _digit_one(threshold: int, gram: int, words: bool):
+    """Rows of the first pass: ``r`` is a run, its anchor's place and how far its first and last window start before that."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             held: list[tuple] = []
@@ -105,9 +109,9 @@ def _digit_one(threshold: int, gram: int, words: bool):
                 x, _, _ = coded(text.encode("utf-8", "replace"), words)
                 if len(x) >= threshold:
                     h, place, first, last = anchors(x, threshold, gram)
-                    held.append((h, np.full(len(h), k1), np.full(len(h), k2), place, first, last))
+                    held.append((h, np.full(len(h), k1), np.full(len(h), k2), place << 2 * _NEAR_BITS | place - first << _NEAR_BITS | place - last))
             if held:
-                yield pd.DataFrame({name: np.concatenate(c) for name, c in zip(("h", "k1", "k2", "a", "s", "e"), zip(*held, strict=True), strict=True)})
+                yield pd.DataFrame({name: np.concatenate(c) for name, c in zip(("h", "k1", "k2", "r"), zip(*held, strict=True), strict=True)})
 
     return run
 
@@ -118,7 +122,7 @@ def _digit_two(threshold: int, stretch: int, words: bool):
     repeated as a whole, is repeated."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        digest = xxhash.xxh3_128_digest
+        digest, near = xxhash.xxh3_128_digest, (1 << _NEAR_BITS) - 1
         last_text = None
         for batch in batches:
             out = []
@@ -127,8 +131,8 @@ def _digit_two(threshold: int, stretch: int, words: bool):
                     continue
                 last_text = k1, k2
                 _, x, u = coded(text.encode("utf-8", "replace"), words)
-                for r in runs:
-                    a, low, high = r["a"], r["a"] - r["e"], r["a"] - r["s"]
+                for r in runs.tolist():
+                    a, low, high = r >> 2 * _NEAR_BITS, r & near, r >> _NEAR_BITS & near
                     for q in range(low // stretch, high // stretch + 1):
                         o1, o2 = max(low, q * stretch), min(high, q * stretch + stretch - 1)
                         begin, end = u * (a - q * stretch), u * (a - (q + 1) * stretch + 1 + threshold)
@@ -160,18 +164,20 @@ def _text_keys() -> list[Column]:
 def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, words: bool = False) -> DataFrame:
     """k1, k2 (two hashes of the text) and spans, array of (start, end): the tokens of each different text of ``docs`` that
     windows of ``threshold`` bytes, or words, cover which start anywhere else too. Texts without any are left out."""
+    if not 0 < threshold < 1 << _NEAR_BITS:
+        raise ValueError(f"threshold is from 1 to {(1 << _NEAR_BITS) - 1}")
     gram, stretch = max(1, int(threshold * GRAM_SHARE[words])), max(1, int(threshold * STRETCH_SHARE[words]))
     u = 8 if words else 1
     with passing(docs.sparkSession):
         texts = docs.select(*_text_keys(), F.col("text").cast("string").alias("text")).where(F.octet_length("text") >= (2 * threshold - 1 if words else threshold))
-        one = stored(texts.mapInPandas(_digit_one(threshold, gram, words), "h long, k1 long, k2 long, a long, s long, e long"))
+        one = stored(texts.mapInPandas(_digit_one(threshold, gram, words), "h long, k1 long, k2 long, r long"))
         twice = stored(one.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
         # a set, so that the copies of a text bring its runs once
-        runs = one.join(twice, "h").groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "s", "e")).alias("runs"))
+        runs = one.join(twice, "h").groupBy("k1", "k2").agg(F.collect_set("r").alias("runs"))
         fields = "core binary, v binary, q long, o1 long, o2 long, f binary, k1 long, k2 long, a long"
         two = stored(texts.join(runs, ["k1", "k2"]).select("k1", "k2", "text", "runs").mapInPandas(_digit_two(threshold, stretch, words), fields))
-        # stretches that are equal as a whole are one variant; a core with other variants goes through the third pass
-        variants = stored(two.groupBy("v").agg(F.first("core").alias("core"), F.first("q").alias("q"), F.first("o1").alias("o1"), F.first("o2").alias("o2"), F.first("f").alias("f"), F.count("*").alias("n")))
+        # stretches that are equal as a whole (v tells all the rest) are one variant; a core with other variants goes through the third pass
+        variants = stored(two.groupBy("v", "core", "q", "o1", "o2", "f").agg(F.count("*").alias("n")))
         several = stored(variants.groupBy("core").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("core"))
         open_ = variants.join(several, "core")
         window = open_.select("v", "n", "core", F.explode(F.sequence("o1", "o2")).alias("o"), (F.col("o2") - F.col("q") * stretch).alias("left"), F.col("q").alias("q"), "f")

@@ -113,3 +113,10 @@ def test_texts_stay_whole_characters(spark):
     assert by[1].text == "ãend" and by[2].text == "åfin" and by[None].text is None
     assert by[1].n_removed == 1800 and by[1].spans == 1 and by[1].k1 == 2 and len(got[0]) == 5
     assert suffix_dedup.remove_repeats(df.limit(0)).collect() == []
+
+
+def test_windows_that_do_not_fit_a_run_are_refused(spark):
+    import pytest
+
+    with pytest.raises(ValueError, match="threshold"):
+        suffix_dedup.repeated_spans(spark.createDataFrame([(1, "x")], "doc_id long, text string"), 1 << 16)
