@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import count, islice
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +28,7 @@ OWN_ITEMS = 100
 FILTER_BITS = 1 << 24
 UNITS = frozenset("mm cm m km kg g mg lb lbs oz l ml inch inches feet foot ft mile miles meter meters metre metres gram grams liter liters litre litres second seconds minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros pound pounds percent degree degrees mph kmh".split())
 SIGNS = frozenset("%$€£")
-_TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?:\n]|[%$€£]")
+_TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?:\n%$€£]")  # words, by far the most, first
 _B = 0x9E3779B97F4A7C15
 _LOWER, _CAPITAL, _NUMBER, _BREAK, _UNIT, _SIGN = range(6)
 _SLOT = {k: np.uint64(int.from_bytes(hashlib.blake2b(f"<{k}>".encode(), digest_size=8).digest(), "big")) for k in ("number", "name", "unit")}
@@ -36,6 +38,8 @@ _REMEMBERED, _TEXTS = 150_000, 500
 
 
 def _kind(token: str) -> int:
+    if token.islower() and token[0].isalpha():  # most tokens
+        return _UNIT if token in UNITS else _LOWER
     if token[0].isdigit():
         return _NUMBER
     if token in SIGNS:
@@ -112,18 +116,18 @@ class Reader:
     """Hashes and kinds of the tokens seen so far, up to a number."""
 
     def __init__(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: defaultdict[str, int] = defaultdict(count().__next__)  # a token not seen yet gets the next number
         self.hashes, self.kinds = np.zeros(0, np.uint64), np.zeros(0, np.int8)
 
     def of(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > _REMEMBERED:
             self.__init__()
-        fresh = list(set(tokens).difference(self.known))
-        self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
-        digests = b"".join(hashlib.blake2b(t.lower().encode("utf-8", "replace"), digest_size=8).digest() for t in fresh)
-        self.hashes = np.append(self.hashes, np.frombuffer(digests, np.uint64))
-        self.kinds = np.append(self.kinds, np.array([_kind(t) for t in fresh], np.int8))
+        before = len(self.known)
         ids = np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
+        fresh = list(islice(self.known, before, None))
+        digest = xxhash.xxh64_intdigest
+        self.hashes = np.append(self.hashes, np.array([digest(t.lower().encode("utf-8", "replace")) for t in fresh], np.uint64))
+        self.kinds = np.append(self.kinds, np.array([_kind(t) for t in fresh], np.int8))
         return self.hashes[ids], self.kinds[ids]
 
     def read(self, texts: list[str | None]) -> Reading:

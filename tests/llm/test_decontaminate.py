@@ -177,3 +177,17 @@ def test_windows_of_many_items_find_them_alone(spark, monkeypatch, tmp_path):
     got = {r.doc_id: r.items for r in dc.op4_decontaminate(spark, str(tmp_path)).collect()}
     assert got == {i: sorted(x) for i, x in brute(docs, items).items()}
     assert got[1] == list(range(6)) and got[2] == list(range(10, 16)) and not got[3] and not got[5]
+
+
+def test_reading_hashes_a_token_once(monkeypatch):
+    """A token is hashed and judged when it is first seen, and never put in a set of a batch's tokens; kinds are by the same rules."""
+    judged = []
+    plain = dc._kind
+    monkeypatch.setattr(dc, "_kind", lambda t: (judged.append(t), plain(t))[1])
+    reader = dc.Reader()
+    tokens = ["cm", "Word", "word", "3.5", "²a", "$", ".", "NASA", "word", "cm", "字"]
+    h, k = reader.of(tokens)
+    assert k.tolist() == [dc._UNIT, dc._CAPITAL, dc._LOWER, dc._NUMBER, dc._NUMBER, dc._SIGN, dc._BREAK, dc._LOWER, dc._LOWER, dc._UNIT, dc._LOWER]
+    again, _ = reader.of(["word", "Word", "cm", "new"])
+    assert again[0] == again[1] == h[2] == h[1] and again[2] == h[0]
+    assert judged == [*dict.fromkeys(tokens), "new"]  # in order of first sight: from one pass over the tokens
