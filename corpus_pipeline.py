@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.bpe import encode_documents
 from ledgerloom.llm.common import stored, table
 from ledgerloom.llm.decontaminate import find_leaks
-from ledgerloom.llm.near_sets import SHINGLE, similar_groups
-from ledgerloom.llm.simhash import near_duplicates
+from ledgerloom.llm.near_sets import similar_groups
 from ledgerloom.llm.suffix_dedup import WORDS, remove_repeats
 from ledgerloom.llm.toxicity import score_toxicity
 
@@ -27,13 +26,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links by five-word Jaccard >= 0.8: the one of smallest doc_id, once.
 
-    SimHash fingerprints of five-word shingles give the first candidates; as similar texts may differ in many bits, a
-    prefix pass over the shingles adds those that they miss, and all are checked on the shingles. A doc_id with several
+    SimHash fingerprints of five-word shingles link the texts, and each link is checked on the shingles; as similar texts may
+    differ in more bits than link, prefix buckets of the shingles add the pairs beyond, and these alone. A doc_id with several
     texts is several documents. Rows without doc_id stay. Texts are judged as they come in: documents that differ only in
     passages which the next stage cuts are two documents here, and may end with equal texts."""
     known = docs.where("doc_id is not null")
-    prints = near_duplicates(known.select("doc_id", "text"), SHINGLE).select("doc_id", "component_id")
-    first = similar_groups(known, prints).where("first").select("doc_id", F.col("text_hash").alias("th")).distinct()
+    first = similar_groups(known).where("first").select("doc_id", F.col("text_hash").alias("th")).distinct()
     rows = known.select(*COLUMNS, F.xxhash64(F.col("text").cast("string")).alias("th")).join(first, ["doc_id", "th"], "left_semi")
     # repeated rows of one text: the first in the order of the other columns
     kept = rows.groupBy("doc_id", "th").agg(F.min(F.struct("lang", "source", "n_chars", "text")).alias("row")).select("doc_id", "row.*")

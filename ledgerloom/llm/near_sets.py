@@ -1,4 +1,4 @@
-"""Near-duplicate documents by exact Jaccard similarity of their word shingles: prefix buckets, then a check on the texts."""
+"""Near-duplicate documents by SimHash, prefix buckets for what lies beyond its bits, and a check of the Jaccard similarity on the texts."""
 
 from __future__ import annotations
 
@@ -7,11 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import LOWER, components, in_blocks, over_groups, pairs_by_lag, passing, stored
+from ledgerloom.llm.simhash import MAX_BITS, bits_of, linked, ring_keys, shingle_hashes
 
 #: Words of a shingle, and the least similarity as a fraction.
 SHINGLE, NUM, DEN = 5, 4, 5
@@ -32,8 +32,7 @@ def shingles(text: str | None) -> set[bytes]:
 
 
 def _hashes(text: str | None) -> np.ndarray:
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(s) for s in shingles(text)], np.uint64))
+    return np.unique(shingle_hashes(text, SHINGLE))
 
 
 def _set_id(hashes: np.ndarray) -> int:
@@ -71,32 +70,46 @@ def _common(docs: DataFrame) -> np.ndarray:
 
 def _sets(docs: DataFrame) -> DataFrame:
     """doc_id, th (hash of the text), id (hash of the shingle set), n, keys: the shingles, rare first, of which two similar
-    sets share one at least, and the set's sketch."""
+    sets share one at least, the set's sketch, and fp, the SimHash fingerprint of the text."""
     common = docs.sparkSession.sparkContext.broadcast(_common(docs))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, sizes, keys, sketches = [], [], [], []
+            ids, sizes, keys, sketches, prints = [], [], [], [], []
             for text in batch["text"]:
-                h = _hashes(text)
+                all_of_it = shingle_hashes(text, SHINGLE)
+                prints.append(bits_of(all_of_it))
+                h = np.unique(all_of_it)
                 n = len(h)
                 rank = common.value[(h & np.uint64(SLOTS - 1)).astype(np.int64)]
                 keys.append(h[np.lexsort((h, rank))][: n - (NUM * n + DEN - 1) // DEN + 1].view(np.int64))
                 ids.append(_set_id(h))
                 sizes.append(n)
                 sketches.append(_sketch(h))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "th": batch["th"], "id": np.array(ids, np.int64), "n": np.array(sizes, np.int64), "keys": pd.Series(keys, dtype=object), "sketch": pd.Series(sketches, dtype=object)})
+            made = {"id": np.array(ids, np.int64), "n": np.array(sizes, np.int64), "keys": pd.Series(keys, dtype=object), "sketch": pd.Series(sketches, dtype=object)}
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "th": batch["th"], **made, "fp": np.array(prints, np.uint64).view(np.int64)})
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInPandas(run, "doc_id long, th long, id long, n long, keys array<long>, sketch array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInPandas(run, "doc_id long, th long, id long, n long, keys array<long>, sketch array<long>, fp long")
 
 
 def _pairs(frame: pd.DataFrame, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a bucket whose sizes and places still allow the similarity; rows of a bucket come in order of size."""
-    n, pos = frame["n"].to_numpy(), frame["pos"].to_numpy()
+    """Pairs of a bucket that SimHash does not link and whose sizes and places still allow the similarity; rows of a bucket come
+    in order of size."""
+    n, pos, fp = frame["n"].to_numpy(), frame["pos"].to_numpy(), frame["fp"].to_numpy()
     for a, b in pairs_by_lag(frame, _within(n, end)):
         # if the bucket's shingle is the first they share, no more than this is shared
         most = np.minimum(n[a] - pos[a], n[b] - pos[b])
         ok = most * (NUM + DEN) >= NUM * (n[a] + n[b])
+        a, b = a[ok], b[ok]
+        ok = np.bitwise_count((fp[a] ^ fp[b]).view(np.uint64)) > MAX_BITS
+        yield a[ok], b[ok]
+
+
+def _print_pairs(frame: pd.DataFrame, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a bucket that SimHash links and whose sizes allow the similarity."""
+    n, fp = frame["n"].to_numpy(), frame["fp"].to_numpy()
+    for a, b in pairs_by_lag(frame, _within(n, end)):
+        ok = np.bitwise_count((fp[a] ^ fp[b]).view(np.uint64)) <= MAX_BITS
         yield a[ok], b[ok]
 
 
@@ -118,15 +131,15 @@ def _partnered(frame: pd.DataFrame, start: np.ndarray, end: np.ndarray) -> pd.Da
         first[b[fresh]] = a[fresh]
         has[a] = has[b] = True
     out = frame.assign(other=ids[first])[has]
-    return out[["key", "id", "n", "pos", "blk", "bi", "bj", "other"]]
+    return out[["key", "id", "n", "fp", "pos", "blk", "bi", "bj", "other"]]
 
 
 def _apart(frame: pd.DataFrame, start: np.ndarray, end: np.ndarray) -> pd.DataFrame:
-    """Pairs of a bucket that no link joins yet and whose sketches allow the similarity."""
+    """Pairs of a bucket of keys (with places ``pos``) or of fingerprints that no link joins yet and whose sketches allow the similarity."""
     ids, part, n = frame["id"].to_numpy(), frame["part"].to_numpy(), frame["n"].to_numpy()
     sketch = np.stack(frame["sketch"].to_numpy()).view(np.uint64)
     found = [np.zeros((0, 2), np.int64)]
-    for a, b in _pairs(frame, end):
+    for a, b in _pairs(frame, end) if "pos" in frame else _print_pairs(frame, end):
         differ = part[a] != part[b]
         a, b = a[differ], b[differ]
         if len(a):
@@ -179,38 +192,40 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, hints: DataFrame | None = None) -> DataFrame:
+def similar_groups(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, component_id, first for each row of ``docs`` (doc_id, text) with a doc_id: the smallest doc_id
     reachable over documents with a Jaccard similarity of NUM / DEN or more between their sets of shingles, and whether the
     row has it (of several texts with that doc_id: the one of smallest hash).
 
-    ``hints`` (doc_id, component_id): groups that a cheaper method has found; each document is tried with its group's.
-    They save work, the result is the same without.
-
-    Sets of n shingles that are so similar share one of the first n - ceil(n NUM / DEN) + 1 in any common order, so no pair
-    is missed. Equal sets, also those without a word, are one node. First one partner a row and bucket is checked, then only
+    Pairs of MAX_BITS or less differing bits are SimHash's alone: each text is tried with its fingerprint's component, then
+    with those of its buckets that are not joined by that. The prefix buckets take the pairs that differ in more bits and no
+    other: sets of n shingles that are so similar share one of the first n - ceil(n NUM / DEN) + 1 in any common order, so no
+    pair is missed. Equal sets, also those without a word, are one node. First one partner a row and bucket is checked, then only
     pairs that these links have not joined, so a group of copies costs no pairs. Parity sketches of fixed size tell most pairs
     that can't be similar, such as documents that share a passage, before any text is sent; what they leave is checked exactly."""
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     with passing(docs.sparkSession):
         sets = stored(_sets(docs))
-        nodes = stored(sets.groupBy("id").agg(F.min(F.struct("doc_id", "th", "n", "keys", "sketch")).alias("s")).select("id", "s.*"))
-        keyed = nodes.select("id", "n", F.posexplode("keys").alias("pos", "key"))
+        nodes = stored(sets.groupBy("id").agg(F.min(F.struct("doc_id", "th", "n", "keys", "sketch", "fp")).alias("s")).select("id", "s.*"))
+        prints = linked(stored(nodes.groupBy("fp").agg(F.min("id").alias("id"))))
+        near = stored(nodes.join(prints, "fp").select("id", "n", "fp", "sketch", "component_id"))
+        keyed = nodes.select("id", "n", "fp", F.posexplode("keys").alias("pos", "key"))
         order = ("key", "bi", "bj", "n", "id")
-        dealt = in_blocks(keyed, "key", BLOCK).select("key", "id", "n", "pos", "blk", "bi", "bj").repartition("key", "bi", "bj").sortWithinPartitions(*order)
-        met = stored(dealt.mapInPandas(over_groups(_partnered, "key"), "key long, id long, n long, pos int, blk int, bi int, bj int, other long"))
-        tries = met.where("id <> other").select("id", "other")
-        if hints is not None:
-            ids = sets.select("doc_id", "id").distinct()
-            told = hints.where("doc_id <> component_id").select("doc_id", "component_id").distinct().join(ids, "doc_id")
-            tries = tries.unionByName(told.join(ids.toDF("component_id", "other"), "component_id").where("id <> other").select("id", "other"))
+        dealt = in_blocks(keyed, "key", BLOCK).select("key", "id", "n", "fp", "pos", "blk", "bi", "bj").repartition("key", "bi", "bj").sortWithinPartitions(*order)
+        met = stored(dealt.mapInPandas(over_groups(_partnered, "key"), "key long, id long, n long, fp long, pos int, blk int, bi int, bj int, other long"))
+        tries = met.where("id <> other").select("id", "other").union(near.where("id <> component_id").select("id", "component_id"))
         tries = tries.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
         tries = stored(_plausible(tries, nodes))
         links = stored(_similar(tries, stored(_texts(docs, tries, nodes))))
         part = components(links)
         left = met.drop("other").join(part, met["id"] == part["node"], "left").withColumn("part", F.coalesce("component", "id")).drop("node", "component")
         left = left.join(nodes.select("id", "sketch"), "id").repartition("key", "bi", "bj").sortWithinPartitions(*order)
-        more = stored(left.mapInPandas(over_groups(_apart, "key"), "a long, b long").distinct())
+        near = near.join(part, near["id"] == part["node"], "left").withColumn("part", F.coalesce("component", "id")).drop("node", "component")
+        unsettled = near.groupBy("component_id").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("component_id")
+        close = near.join(unsettled, "component_id").select("id", "n", "fp", "sketch", "part", F.explode(F.array(*ring_keys())).alias("key"))
+        close = in_blocks(close, "key", BLOCK).repartition("key", "bi", "bj").sortWithinPartitions(*order)
+        apart = [d.mapInPandas(over_groups(_apart, "key"), "a long, b long") for d in (left, close)]
+        more = stored(apart[0].union(apart[1]).distinct())
         more = stored(_similar(more, stored(_texts(docs, more, nodes))))
         found = components(links.unionByName(more))
         label = nodes.select("id", "doc_id", "th").join(found, F.col("id") == found["node"], "left").select("id", "doc_id", "th", F.coalesce("component", "id").alias("part"))

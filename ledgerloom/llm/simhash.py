@@ -22,11 +22,11 @@ BLOCK = 1024
 _CHUNK = 1 << 16
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Bit b is 1 if over half of the shingles' hashes have it; without a word: zero."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The hash of each shingle of a text, repeats included; of fewer words that of all, without a word none."""
     words = (text or "").encode("utf-8", "replace").translate(LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     if len(words) < shingle:
@@ -35,7 +35,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         starts = np.concatenate(([0], ends[:-1] + 1))
         spans = zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)
     digest, view = xxhash.xxh64_intdigest, memoryview(joined)
-    hashes = np.array([digest(view[a:b], SEED) for a, b in spans], np.uint64)
+    return np.array([digest(view[a:b], SEED) for a, b in spans], np.uint64)
+
+
+def bits_of(hashes: np.ndarray) -> int:
+    """Bit b is 1 if over half of the hashes have it; of none: zero."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), _CHUNK):
         bits = np.unpackbits(hashes[at : at + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -43,6 +47,10 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    return bits_of(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long) of each row."""
 
@@ -54,7 +62,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, fp long")
 
 
-def _keys() -> list:
+def ring_keys() -> list:
     """Of each start in the ring two keys: its segment, and either half of the next one.
 
     Chains of a linked pair obey the budgets of some start: no bit in its segment, at most one in the first two. So one
@@ -91,21 +99,27 @@ def _link(frame: pd.DataFrame, start: np.ndarray, end: np.ndarray) -> pd.DataFra
     return pd.DataFrame({"a": ids[moved], "b": ids[label[moved]]})
 
 
+def linked(classes: DataFrame) -> DataFrame:
+    """fp, component_id of each row of ``classes`` (id, fp; no fp twice): the smallest id reachable over fingerprints that differ
+    in MAX_BITS or less. Buckets of any size are compared in blocks."""
+    keyed = classes.select("id", "fp", F.explode(F.array(*ring_keys())).alias("key"))
+    dealt = in_blocks(keyed, "key", BLOCK).repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "id")
+    edges = dealt.mapInPandas(over_groups(_link, "key"), "a long, b long")
+    found = components(edges)
+    return classes.join(found, classes["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id for each row of ``docs`` (doc_id, text), by shingles of ``shingle`` words.
 
     Documents of one fingerprint are one class, held by its smallest doc_id; only distinct fingerprints are compared, so
-    copies cost a count. Buckets of any size are compared in blocks. Null or empty text: fingerprint zero, which links
+    copies cost a count. Null or empty text: fingerprint zero, which links
     like any other. Null doc_id: kept, with its fingerprint's component. Repeated rows are kept; other columns
     are ignored; an empty table gives no rows."""
     prints = stored(fingerprints(docs, shingle))
     with passing(docs.sparkSession):
         classes = stored(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")))
-        keyed = classes.select("id", "fp", F.explode(F.array(*_keys())).alias("key"))
-        dealt = in_blocks(keyed, "key", BLOCK).repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "id")
-        edges = dealt.mapInPandas(over_groups(_link, "key"), "a long, b long")
-        found = components(edges)
-        label = stored(classes.join(found, classes["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id")), outlives=True)
+        label = stored(linked(classes), outlives=True)
     return prints.join(label, "fp", "left").select("doc_id", "fp", "component_id")
 
 

@@ -87,3 +87,18 @@ def test_a_shared_passage_makes_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(near_sets, "_similar", lambda pairs, texts: (seen.append(pairs.count()), plain(pairs, texts))[1])
     assert {r.doc_id: r.component_id for r in near_sets.similar_groups(df).collect()} == {i: i for i, _ in rows}
     assert sum(seen) == 0
+
+
+def test_simhash_finds_the_pairs_within_its_bits(spark, monkeypatch):
+    """Pairs within four bits come from SimHash and from nothing beside it; also those that its component's first text is not like."""
+    rnd = random.Random(6)
+    base = [f"b{j}" for j in range(400)]
+    rows = [(i, " ".join(base[:200] + ([f"e{i}"] if i else []) + base[200:])) for i in range(6)]
+    loud = "one line that all of them repeat so often that it drowns the rest " * 300
+    tails = [[f"t{rnd.randrange(10**6)}" for _ in range(80)] for _ in range(4)]
+    rows += [(10 + i, loud + " ".join([*tails[i % 4], f"x{i}"])) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lambda: {r.doc_id: r.component_id for r in near_sets.similar_groups(df).collect()}
+    assert got() == brute(rows) == {i: 0 if i < 6 else 10 + (i - 10) % 4 for i, _ in rows}
+    monkeypatch.setattr(near_sets, "linked", lambda classes: classes.select("fp", classes["id"].alias("component_id")))
+    assert {i: c for i, c in got().items() if i < 6} == {i: i for i in range(6)}
