@@ -24,19 +24,20 @@ def ordered_bits(v: Column) -> Column:
     return F.when(v < 0, -size).otherwise(size)
 
 
-def exact_quantiles(rows: DataFrame, by: list[str], value: str, probs: tuple[float, ...], name: str = "q") -> DataFrame:
+def exact_quantiles(rows: DataFrame, by: list[str], value: str, probs: tuple[float, ...], name: str = "q", times: str | None = None) -> DataFrame:
     """A row a group of ``by`` (keys that are not null) that has values: ``name``, an array with the quantile of each of ``probs``,
     interpolated between the two values next to it. Null values don't count; there must be no NaN.
+    ``times``: a column that tells for how many rows a row stands.
 
     Rows are counted by the leading bits of their value, a bin a row of the aggregation. Only the bins that hold a wanted
     position go on to the next level, and those of one value end at once; so no buffer grows with the values, whatever they
     are. Each level reads the rows once, mostly there are two. Results of levels, some rows a group, are stored."""
-    rows = rows.select(*by, F.col(value).alias("v__"), ordered_bits(F.col(value)).alias("bits__")).where("v__ is not null")
+    rows = rows.select(*by, F.col(value).alias("v__"), ordered_bits(F.col(value)).alias("bits__"), (F.col(times) if times else F.lit(1)).alias("t__")).where("v__ is not null")
     window = Window.partitionBy(*by, "in__").orderBy("bin__")
     found, rest = [], None
     for shift in SHIFTS:
         inside = rows.withColumn("in__", F.lit(0).cast("long")) if rest is None else rows.withColumn("in__", F.shiftright("bits__", before)).join(rest, [*by, "in__"], "left_semi")
-        bins = inside.groupBy(*by, "in__", F.shiftright("bits__", shift).alias("bin__")).agg(F.count("*").alias("k__"), F.min("v__").alias("lo__"), F.max("v__").alias("hi__"))
+        bins = inside.groupBy(*by, "in__", F.shiftright("bits__", shift).alias("bin__")).agg((F.sum("t__") if times else F.count("*")).alias("k__"), F.min("v__").alias("lo__"), F.max("v__").alias("hi__"))
         bins = bins.withColumns({"to__": F.sum("k__").over(window), "n__": F.sum("k__").over(window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
         if rest is None:  # places from 0, among all and, as ``at``, within the bin
             places = F.array_distinct(F.flatten(F.array(*[F.array(F.floor((F.col("n__") - 1) * F.lit(p)), F.ceil((F.col("n__") - 1) * F.lit(p))) for p in probs])))

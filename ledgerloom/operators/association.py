@@ -19,12 +19,13 @@ def _pairs_long(one_row: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return one_row.select(F.explode(rows).alias("r")).select("r.*")
 
 
-def correlation_pairs(df: DataFrame, columns: list[str] | None = None, method: str = "pearson", digits: int | None = 4) -> DataFrame:
+def correlation_pairs(df: DataFrame, columns: list[str] | None = None, method: str = "pearson", digits: int | None = 4, kinds: DataFrame | None = None) -> DataFrame:
     """var1, var2, correlation for each pair of numeric columns, on rows where both are there.
 
     pearson: all pairs in one aggregation. spearman: the same of average ranks; columns without missing values are ranked
     once for all their pairs, others anew for each pair. kendall: tau-b, from the counts of distinct pairs of values, by
-    strips and cells (``kendall_tau``)."""
+    strips and cells (``kendall_tau``). ``kinds`` (column, v, k: the different values of the columns and their numbers of rows), if
+    there, spares spearman a pass a column."""
     columns = columns or numeric_columns(df)
     need(df, *columns)
     pairs = list(combinations(columns, 2))
@@ -38,7 +39,7 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None, method: s
         if method == "spearman":
             seen = d.agg(F.count("*").alias("n"), *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
             whole = [c for i, c in enumerate(columns) if seen[f"n{i}"] == seen["n"]]
-        got = _spearman_whole(d, whole, [p for p in pairs if set(p) <= set(whole)]) if len(whole) > 1 else None
+        got = _spearman_whole(d, whole, [p for p in pairs if set(p) <= set(whole)], kinds) if len(whole) > 1 else None
         for a, b in [p for p in pairs if not set(p) <= set(whole)]:
             p = one(d.select(F.col(a).alias("x"), F.col(b).alias("y")).dropna()).select(F.lit(a).alias("var1"), F.lit(b).alias("var2"), "correlation")
             got = p if got is None else got.unionByName(p)
@@ -60,11 +61,11 @@ def _spearman(d: DataFrame) -> DataFrame:
     return ranked.agg(F.corr("rx", "ry").alias("correlation"))
 
 
-def _spearman_whole(d: DataFrame, columns: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
+def _spearman_whole(d: DataFrame, columns: list[str], pairs: list[tuple[str, str]], kinds: DataFrame | None = None) -> DataFrame:
     """All pairs of columns without missing values: a rank a column, one aggregation."""
     ranked = d.select(*columns)
     for i, c in enumerate(columns):
-        counts = stored(d.groupBy(c).agg(F.count("*").alias("k__")))
+        counts = stored(d.groupBy(c).agg(F.count("*").alias("k__"))) if kinds is None else kinds.where((F.col("column") == c) & F.col("v").isNotNull()).select(F.col("v").alias(c), F.col("k").alias("k__"))
         ranks = numbered(counts, c, [], ascending=True, number="i__", running={"u__": "k__"})
         ranked = ranked.join(stored(ranks.select(c, (F.col("u__") - (F.col("k__") - 1) / 2).alias(f"r{i}__"))), c)
     at = {c: f"r{i}__" for i, c in enumerate(columns)}

@@ -132,9 +132,9 @@ def _kinds(df: DataFrame) -> DataFrame:
     return texts.unpivot([], [F.col(f"`{c}`") for c in df.columns], "column", "value").groupBy("column", "value").agg(F.count("*").alias("k"))
 
 
-def missing_values(df: DataFrame) -> DataFrame:
+def missing_values(df: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
     """column, non_null, missing, missing_pct, unique_count. Columns become (column, value) rows, which one aggregation counts."""
-    kinds = _kinds(df)
+    kinds = _kinds(df) if kinds is None else kinds
     there = F.col("value").isNotNull()
     got = kinds.groupBy("column").agg(F.coalesce(F.sum(F.when(there, F.col("k"))), F.lit(0)).alias("non_null"), F.coalesce(F.sum(F.when(~there, F.col("k"))), F.lit(0)).alias("missing"), F.count("value").alias("unique_count"))
     every = df.sparkSession.createDataFrame([(c,) for c in df.columns], "column string")  # also those of an empty table
@@ -218,11 +218,11 @@ def summary_insights(df: DataFrame) -> DataFrame:
     return out
 
 
-def data_quality(df: DataFrame) -> DataFrame:
+def data_quality(df: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
     """One row: rows, missing_pct, duplicate_pct, constant_columns, n_numeric, level and warnings.
 
     Steps: missing over 10, 30, 50 per cent; duplicates over 5, 20, 50; rows under 100, 50, 10; no number; constants."""
-    m = missing_values(df).agg(F.sum("missing").alias("m"), F.sum(F.col("missing") + F.col("non_null")).alias("cells"), F.count_if(F.col("unique_count") <= 1).alias("constant_columns"))
+    m = missing_values(df, kinds).agg(F.sum("missing").alias("m"), F.sum(F.col("missing") + F.col("non_null")).alias("cells"), F.count_if(F.col("unique_count") <= 1).alias("constant_columns"))
     d = duplicate_rows(df)
     n_num = len(numeric_columns(df))
     got = d.crossJoin(F.broadcast(m)).select("rows", F.coalesce(pct(F.col("m"), F.col("cells")), F.lit(0.0)).alias("missing_pct"), F.coalesce(pct(F.col("duplicates"), F.col("rows")), F.lit(0.0)).alias("duplicate_pct"), "constant_columns", F.lit(n_num).cast("long").alias("n_numeric"))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.quantiles import exact_quantiles
 from ledgerloom.functions.semantics import need, num, ratio
+from ledgerloom.functions.store import stored
 from ledgerloom.operators.anomaly import RANK, all_anomalies, unique_anomalies
 from ledgerloom.operators.association import correlation_pairs
-from ledgerloom.operators.profile import column_roles, data_quality, missing_values, numeric_summary
+from ledgerloom.operators.profile import QUARTILES, _kinds, column_roles, data_quality, missing_values
 
 #: A rise of columns with these in their names is bad.
 COST_WORDS = ("cost", "expense", "discount", "refund", "churn", "cancel")
@@ -45,10 +47,31 @@ def half_changes(df: DataFrame, order: str, metrics: list[str]) -> DataFrame:
     return got.select("metric", ratio(F.col("a"), F.col("na")).alias("first"), ratio(F.col("b"), F.col("nb")).alias("second"), "n")
 
 
-def top_value_share(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column, n, kinds, top (value of most rows, the smallest of several), top_pct: of numbers, without missing ones."""
+def number_kinds(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, v, k: the different values of numbers, without missing ones, and their rows."""
     need(df, *columns)
-    counts = df.select(*[num(c).alias(c) for c in columns]).unpivot([], columns, "column", "v").where("v is not null").groupBy("column", "v").agg(F.count("*").alias("k"))
+    return df.select(*[num(c).alias(c) for c in columns]).unpivot([], columns, "column", "v").where("v is not null").groupBy("column", "v").agg(F.count("*").alias("k"))
+
+
+def shapes(kinds: DataFrame, beyond: float) -> DataFrame:
+    """column, count, skewness, iqr, outlier_count (beyond ``beyond`` x iqr from the quartiles) as of ``numeric_summary``, from the
+    different values and their rows (``number_kinds``)."""
+    v, k, n = F.col("v"), F.col("k"), F.col("count")
+    one = kinds.groupBy("column").agg(F.sum("k").alias("count"), (F.sum(v * k) / F.sum("k")).alias("mean"))
+    one = stored(one.join(exact_quantiles(kinds, ["column"], "v", QUARTILES, times="k"), "column"), little=True)
+    low, high = F.col("q")[0], F.col("q")[2]
+    reach = (high - low) * beyond
+    off = v - F.col("mean")
+    got = kinds.join(F.broadcast(one), "column").groupBy("column", "count", (high - low).alias("iqr")).agg(
+        F.sum(k * off * off).alias("m2"), F.sum(k * off * off * off).alias("m3"), F.coalesce(F.sum(F.when((v < low - reach) | (v > high + reach), k)), F.lit(0)).alias("outlier_count")
+    )
+    skew = ratio(F.sqrt(n) * F.col("m3"), F.pow("m2", 1.5)) * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0))
+    return got.select("column", "count", F.round(F.when(n > 2, skew), 4).alias("skewness"), F.round("iqr", 4).alias("iqr"), "outlier_count")
+
+
+def top_value_share(df: DataFrame, columns: list[str], kinds: DataFrame | None = None) -> DataFrame:
+    """column, n, kinds, top (value of most rows, the smallest of several), top_pct: of numbers, without missing ones."""
+    counts = number_kinds(df, columns) if kinds is None else kinds
     got = counts.groupBy("column").agg(F.sum("k").alias("n"), F.count("*").alias("kinds"), F.min(F.struct((-F.col("k")).alias("k"), "v")).alias("t"))
     return got.select("column", "n", "kinds", F.col("t.v").alias("top"), (-F.col("t.k") / F.col("n") * 100).alias("top_pct"))
 
@@ -74,15 +97,17 @@ def mean_gaps(df: DataFrame, columns: list[str], revenue: str) -> DataFrame:
 
 def full_scan(df: DataFrame, date: str | None = None, numeric: list[str] | None = None, categorical: list[str] | None = None, revenue: str | None = None, anomalies: bool = True) -> DataFrame:
     """category, severity, direction, title, detail of all findings. Numbers and categories are by default those of the
-    schema, without ids; all of them take part. ``revenue``: the column whose means are compared over categories."""
+    schema, without ids; all of them take part. ``revenue``: the column whose means are compared over categories. The different
+    values of each column and their rows are counted and stored once; quality, missing values, shapes, top values and ranks come from them."""
     roles = column_roles(df)
     numeric, categorical = numeric or roles.numeric, categorical or roles.categorical
     date = date or (roles.date[0] if roles.date else None)
     need(df, date, revenue, *numeric, *categorical)
     neutral, parts = F.lit("neutral"), []
-    q = data_quality(df).where("warnings <> ''")
+    cells = stored(_kinds(df))
+    q = data_quality(df, cells).where("warnings <> ''")
     parts.append(q.select(*_finding("Data quality", F.when(F.col("level") == "critical", "high").when(F.col("level") == "poor", "medium").otherwise("low"), F.lit("negative"), F.lit("Data quality"), F.col("warnings"))))
-    m = missing_values(df).where("missing_pct > 10")
+    m = missing_values(df, cells).where("missing_pct > 10")
     parts.append(m.select(*_finding("Missing", F.when(F.col("missing_pct") > 50, "high").otherwise("medium"), F.lit("negative"), F.concat(F.lit("Missing values in "), "column"), F.format_string("%.2f%% missing", "missing_pct"))))
     if date and numeric:
         t = half_changes(df, date, numeric).where("n >= 10").withColumn("p", ratio(F.col("second") - F.col("first"), F.abs("first")) * 100).where("abs(p) >= 5")
@@ -90,14 +115,15 @@ def full_scan(df: DataFrame, date: str | None = None, numeric: list[str] | None
         good = (F.col("p") > 0) != cost
         parts.append(t.select(*_finding("Trend", F.when(F.abs("p") > 25, "high").when(F.abs("p") > 10, "medium").otherwise("low"), F.when(good, "positive").otherwise("negative"), F.concat("metric", F.when(F.col("p") > 0, " is rising").otherwise(" is falling")), F.format_string("%+.1f%% from the first to the second half", "p"))))
     if numeric:
-        s = numeric_summary(df, numeric, outliers_beyond=3.0).where("count >= 20")
+        kinds = stored(number_kinds(df, numeric))
+        s = shapes(kinds, 3.0).where("count >= 20")
         parts.append(s.where("abs(skewness) > 3").select(*_finding("Distribution", F.lit("medium"), neutral, F.concat("column", F.lit(" is skewed")), F.format_string("skewness %.1f", "skewness"))))
         share = F.col("outlier_count") / F.col("count") * 100
         parts.append(s.where((F.col("iqr") > 0) & (share > 0.5)).select(*_finding("Outliers", F.when(share >= 5, "high").otherwise("medium"), neutral, F.concat("column", F.lit(" has extreme outliers")), F.format_string("%d, %.1f%% of the values", "outlier_count", share))))
-        v = top_value_share(df, numeric).where("n >= 20 and kinds < n * 0.5 and top_pct > 50")
+        v = top_value_share(df, numeric, kinds).where("n >= 20 and kinds < n * 0.5 and top_pct > 50")
         parts.append(v.select(*_finding("Concentration", F.lit("medium"), neutral, F.concat("column", F.lit(" has one dominant value")), F.format_string("%.0f%% of the values", "top_pct"))))
     if len(numeric) > 1:
-        c = correlation_pairs(df, numeric, "spearman").where("abs(correlation) > 0.6")
+        c = correlation_pairs(df, numeric, "spearman", kinds=kinds).where("abs(correlation) > 0.6")
         strong = F.abs("correlation") > 0.85
         parts.append(c.select(*_finding("Correlation", F.when(strong, "medium").otherwise("low"), F.when(strong & (F.col("correlation") > 0), "positive").otherwise("neutral"), F.concat("var1", F.lit(" and "), "var2"), F.format_string("rank correlation %.2f", "correlation"))))
     if categorical:
