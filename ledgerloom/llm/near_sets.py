@@ -7,11 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import LOWER, components, in_blocks, over_groups, pairs_by_lag, passing, stored
 from ledgerloom.llm.simhash import MAX_BITS, bits_of, linked, ring_keys, shingle_hashes
+from ledgerloom.llm.suffix_dedup import piece_hashes, token_codes, word_places
 
 #: Words of a shingle, and the least similarity as a fraction.
 SHINGLE, NUM, DEN = 5, 4, 5
@@ -21,6 +23,8 @@ SLOTS, SAMPLE, COMMON = 1 << 22, 20_000, 8
 BLOCK, FILTER_BITS = 1024, 1 << 24
 #: Bits of the parity sketch of a set.
 SKETCH_BITS = 1024
+#: Bytes of a word from which on its hash is XXH64.
+LONG_WORD = 64
 
 
 def shingles(text: str | None) -> set[bytes]:
@@ -31,6 +35,26 @@ def shingles(text: str | None) -> set[bytes]:
     return {b" ".join(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
 
 
+def shingle_codes(text: str | None) -> np.ndarray:
+    """A 64-bit code of each run of SHINGLE words, repeats included; of fewer words that of all, without a word none. Cheaper than
+    ``shingle_hashes``, which are SimHash's."""
+    raw = (text or "").encode("utf-8", "replace").translate(LOWER)
+    start, end = word_places(raw)
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    words = piece_hashes(token_codes(raw), start, end)
+    for i in np.flatnonzero(end - start >= LONG_WORD).tolist():
+        words[i] = xxhash.xxh64_intdigest(raw[start[i] : end[i]])
+    width = min(len(words), SHINGLE)
+    n = len(words) - width + 1
+    out = np.full(n, width, np.uint64)
+    for j in range(width):
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + words[j : n + j]
+    out = (out ^ (out >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    out = (out ^ (out >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return out ^ (out >> np.uint64(33))
+
+
 def _hashes(text: str | None) -> np.ndarray:
     return np.unique(shingle_hashes(text, SHINGLE))
 
@@ -177,14 +201,22 @@ def _texts(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose shingle sets are similar, by the shingles themselves."""
+    """Those of ``pairs`` (a, b) whose shingle sets are similar, by the shingles themselves; their codes tell first which are not."""
+
+    def near(x: str, y: str, s: np.ndarray, t: np.ndarray) -> bool:
+        both = len(np.intersect1d(s, t, assume_unique=True))
+        if both * DEN < NUM * (len(s) + len(t) - both):
+            return False
+        one, other = shingles(x), shingles(y)
+        both = len(one & other)
+        return both * DEN >= NUM * (len(one) + len(other) - both)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keep = []
+            keep, last = [], {}
             for x, y in zip(batch["x"], batch["y"], strict=True):
-                s, t = shingles(x), shingles(y)
-                keep.append(len(s & t) * DEN >= NUM * len(s | t))
+                last = {z: last[z] if z in last else np.unique(shingle_codes(z)) for z in (x, y)}  # pairs of a text follow one another
+                keep.append(near(x, y, last[x], last[y]))
             yield batch.loc[np.array(keep, bool), ["a", "b"]]
 
     x = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))

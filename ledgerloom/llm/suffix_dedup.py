@@ -66,9 +66,14 @@ def word_places(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge < 0), np.flatnonzero(edge > 0)
 
 
+def token_codes(raw: bytes) -> np.ndarray:
+    """A code for each byte."""
+    return _BYTES[np.frombuffer(raw, np.uint8)]
+
+
 def coded(raw: bytes, words: bool) -> tuple[np.ndarray, bytes, int]:
     """(a code for each token, the same as bytes, bytes a token): for bytes their own, for words a hash of eight bytes each."""
-    x = _BYTES[np.frombuffer(raw, np.uint8)]
+    x = token_codes(raw)
     if not words:
         return x, raw, 1
     start, end = word_places(raw)

@@ -5,13 +5,14 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import extended, passing, stored, table
+from ledgerloom.llm.common import Remembered, extended, passing, stored, table
 
 #: A word is read byte by byte, each byte after the ORDER - 1 before it; START pads its front, END closes it.
 ORDER, START, END = 6, 1, 2
@@ -108,19 +109,24 @@ class KneserNey:
         return np.bincount(owner, weights=step[back], minlength=len(words)) / np.sqrt(size)
 
 
-def features(texts: list[str | None], model: KneserNey, known: dict[str, float]) -> np.ndarray:
-    """Six numbers a text; ``known`` keeps the ratios of words between calls, up to a fixed number."""
+def ratios_of(model: KneserNey) -> Remembered:
+    """The ratios of words, kept between calls up to a fixed number."""
+
+    def learn(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ratios = [model.ratios(words[at : at + _AT_ONCE]) for at in range(0, len(words), _AT_ONCE)]
+        return np.concatenate([np.zeros(0), *ratios]), np.ones(len(words), np.int64)
+
+    return Remembered(learn, _REMEMBERED)
+
+
+def features(texts: list[str | None], known: Remembered) -> np.ndarray:
+    """Six numbers a text, from the ratios of its words (``ratios_of``)."""
     found = [_WORD.findall((t or "").lower()) for t in texts]
-    fresh = list({w for words in found for w in words if w not in known})
-    if len(known) + len(fresh) > _REMEMBERED:
-        known.clear()
-        fresh = list({w for words in found for w in words})
-    for at in range(0, len(fresh), _AT_ONCE):
-        part = fresh[at : at + _AT_ONCE]
-        known.update(zip(part, model.ratios(part).tolist(), strict=True))
+    ends = np.cumsum([0, *map(len, found)]).tolist()
+    ratios, _ = known.of(list(chain.from_iterable(found)))
     out = np.zeros((len(texts), 6))
-    for i, words in enumerate(found):
-        r = np.array([known[w] for w in words] or [0.0])
+    for i, (start, end) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+        r = ratios[start:end] if start < end else np.zeros(1)
         top = np.partition(r, len(r) - TOP)[len(r) - TOP :] if len(r) > TOP else r
         strong = int((r > STRONG).sum())
         out[i] = 1, r.mean(), np.maximum(top, 0).sum() / TOP, np.log1p(strong), strong / len(r) * 10, np.log1p(len(r))
@@ -193,9 +199,9 @@ def train(sample: DataFrame) -> tuple[KneserNey, np.ndarray]:
     shared = sample.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, float] = {}
+        known = ratios_of(shared.value)
         for batch in batches:
-            yield pd.DataFrame({"x": list(features(batch["text"].tolist(), shared.value, known)), "y": batch["y"].to_numpy()})
+            yield pd.DataFrame({"x": list(features(batch["text"].tolist(), known)), "y": batch["y"].to_numpy()})
 
     got = sample.where("part = 'calibrate'").select("text", "y").mapInPandas(measure, "x array<double>, y long").toPandas()
     if not len(got) or got["y"].nunique() < 2:
@@ -216,11 +222,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, weights = shared.value
-        known: dict[str, float] = {}
+        known = ratios_of(model)
         for batch in batches:
             for at in range(0, len(batch), _TEXTS):
                 part = batch.iloc[at : at + _TEXTS]
-                z = features(part["text"].tolist(), model, known) @ weights
+                z = features(part["text"].tolist(), known) @ weights
                 yield part.assign(tox_score=1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
     return docs.mapInPandas(score, fields)
